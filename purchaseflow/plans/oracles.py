@@ -143,3 +143,223 @@ def sql_literal(s: str) -> str:
 
 
 PROMPT_SQL = (sql_literal(PROMPT_HEAD), sql_literal(PROMPT_TAIL_BATCH))
+
+
+# ---------------------------------------------------------------- labelled cells (F5)
+
+_F5_LINES = f"""
+    lines AS (
+      SELECT l_orderkey AS k, p_name, l_quantity, {CENTS} AS cents,
+             row_number() OVER (PARTITION BY l_orderkey
+                                ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn
+      FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+ORACLE_SQL["q12_label_dispatch"] = f"""
+WITH {_F5_LINES},
+    agg AS (SELECT k, sum(cents) AS c, count(*) AS n FROM lines WHERE rn % 5 <> 0 GROUP BY k)
+SELECT {FILE_NAME.format(k='o_orderkey')} AS file_name, c_name AS business_name,
+  strftime(o_orderdate, '%Y-%m-%d') AS date,
+  CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 10000 AS DOUBLE) / 100 AS tax,
+  CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS DOUBLE) / 100 AS total,
+  round(CAST(coalesce(c, 0) AS DOUBLE) / 100, 2) AS subtotal,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_items
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN agg ON agg.k = o_orderkey
+"""
+
+ORACLE_SQL["q13_cell_pivot"] = f"""
+WITH {_F5_LINES}
+SELECT {FILE_NAME.format(k='k')} AS file_name, CAST(rn AS BIGINT) AS row, p_name AS description,
+  CAST(cents AS DOUBLE) / 100 AS price, CAST(l_quantity AS BIGINT) AS quantity
+FROM lines WHERE rn % 5 <> 0
+"""
+
+# ---------------------------------------------------------------- attempt log (F6)
+
+_F6 = """
+    att AS (
+      SELECT strftime(ts, '%Y-%m-%d') AS run_id,
+             'r' || CAST(user_id AS VARCHAR) || '.jpg' AS file_name,
+             '/data/receipts/r' || CAST(user_id AS VARCHAR) || '.jpg' AS path,
+             event_id AS attempt_seq, ts AS attempted_at, value AS processing_time,
+             CASE WHEN event_type IN ('purchase', 'view') THEN 'ok'
+                  WHEN event_type = 'signup' THEN 'bad_json'
+                  WHEN event_type = 'click' THEN 'timeout' ELSE 'failed' END AS status
+      FROM events),
+    latest AS (
+      SELECT file_name, max(attempt_seq) AS attempt_seq, arg_max(status, attempt_seq) AS status,
+             arg_max(path, attempt_seq) AS path, arg_max(processing_time, attempt_seq) AS processing_time,
+             arg_max(run_id, attempt_seq) AS run_id, min(attempt_seq) AS first_seen,
+             count(*) AS n_attempts
+      FROM att GROUP BY file_name)"""
+
+ORACLE_SQL["q14_state_split"] = f"""
+WITH {_F6}
+SELECT file_name, attempt_seq, status,
+  CASE WHEN status = 'ok' THEN 'completed' ELSE 'placeholder' END AS state
+FROM latest
+"""
+
+ORACLE_SQL["q15_pending"] = f"""
+WITH {_F6}
+SELECT 'r' || CAST(c_custkey AS VARCHAR) || '.jpg' AS file_name,
+       '/data/receipts/r' || CAST(c_custkey AS VARCHAR) || '.jpg' AS path
+FROM customer
+WHERE 'r' || CAST(c_custkey AS VARCHAR) || '.jpg' NOT IN
+      (SELECT file_name FROM latest WHERE status = 'ok')
+"""
+
+ORACLE_SQL["q16_upsert"] = f"""
+WITH {_F6}
+SELECT file_name, attempt_seq, status, processing_time, run_id, first_seen, n_attempts FROM latest
+"""
+
+ORACLE_SQL["q17_placeholders"] = f"""
+WITH {_F6}
+SELECT file_name AS File_Name, '' AS Business_Name, '' AS Business_Address, '' AS Date,
+  '' AS Items, 0.0::DOUBLE AS Subtotal, 0.0::DOUBLE AS Tax, 0.0::DOUBLE AS Total,
+  0.0::DOUBLE AS Processing_Time_Seconds, '' AS Raw_OCR, '{{}}' AS Extracted_JSON
+FROM latest WHERE status IN ('failed', 'timeout', 'error')
+"""
+
+ORACLE_SQL["q18_skipped"] = f"""
+WITH {_F6}
+SELECT DISTINCT path FROM latest WHERE status IN ('failed', 'timeout', 'error')
+"""
+
+ORACLE_SQL["q19_progress"] = f"""
+WITH {_F6},
+    run AS (
+      SELECT *, count(*) OVER w AS processed,
+             CAST(sum(CASE WHEN status IN ('ok', 'bad_json') THEN 1 ELSE 0 END) OVER w AS BIGINT)
+               AS succeeded
+      FROM att
+      WINDOW w AS (PARTITION BY run_id ORDER BY attempt_seq
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT run_id, attempt_seq, file_name, processed, succeeded,
+  round(CAST(succeeded AS DOUBLE) * 100.0 / processed, 6) AS success_rate
+FROM run WHERE status NOT IN ('timeout', 'error')
+"""
+
+ORACLE_SQL["q20_run_totals"] = f"""
+WITH {_F6}
+SELECT run_id, count(*) AS n_attempts,
+  count(*) FILTER (WHERE status IN ('ok', 'bad_json')) AS n_results,
+  count(*) FILTER (WHERE status IN ('failed', 'timeout', 'error')) AS n_skipped
+FROM att GROUP BY run_id
+"""
+
+ORACLE_SQL["q21_mean_time"] = f"""
+WITH {_F6}
+SELECT run_id, round(avg(processing_time), 6) AS mean_time, count(*) AS n_results
+FROM att WHERE status IN ('ok', 'bad_json') GROUP BY run_id
+"""
+
+ORACLE_SQL["q22_state_counts"] = f"""
+WITH {_F6}
+SELECT CASE WHEN status = 'ok' THEN 'completed' ELSE 'placeholder' END AS state,
+  count(*) AS n_files
+FROM latest GROUP BY 1
+"""
+
+ORACLE_SQL["q31_retry_plan"] = f"""
+WITH {_F6},
+    skips AS (
+      SELECT *, row_number() OVER (PARTITION BY file_name, run_id ORDER BY attempt_seq) - 1 AS retry_no
+      FROM att WHERE status IN ('failed', 'timeout', 'error'))
+SELECT file_name, attempt_seq, CAST(retry_no AS BIGINT) AS retry_no,
+  CASE WHEN retry_no >= 3 THEN NULL
+       ELSE CAST(power(2, retry_no) * 30 + 1 + attempt_seq % 30 AS BIGINT) END AS wait_seconds,
+  CASE WHEN retry_no >= 3 THEN NULL
+       ELSE attempted_at + to_seconds(CAST(power(2, retry_no) * 30 + 1 + attempt_seq % 30 AS BIGINT))
+       END AS next_attempt_at,
+  retry_no >= 3 AS give_up
+FROM skips
+"""
+
+# ---------------------------------------------------------------- names, files, media, text
+
+ORACLE_SQL["q11_file_name"] = """
+SELECT page_id, regexp_extract(url, '[^/]*$', 0) AS file_name FROM pages
+"""
+
+ORACLE_SQL["q23_csv_roundtrip"] = """
+SELECT 'doc' || CAST(doc_id AS VARCHAR) || '.jpg' AS File_Name,
+  nullif(CASE WHEN doc_id % 5 = 0 THEN '' ELSE source || ' | ' || lang END, '') AS Business_Name,
+  '  "' || lang || '" \\ ' || source || '  ' AS Business_Address,
+  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang || '-' || source END AS Date,
+  CAST(doc_id % 3 AS VARCHAR) || 'x item|' || lang AS Items,
+  CAST(n_chars AS DOUBLE) / 100 AS Subtotal, CAST(doc_id AS DOUBLE) / 10 AS Tax,
+  CAST(n_chars AS DOUBLE) AS Total, CAST(doc_id AS DOUBLE) / 1000 AS Processing_Time_Seconds,
+  nullif(text, '') AS Raw_OCR,
+  '{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"lang":"' || lang || '"}' AS Extracted_JSON
+FROM documents
+"""
+
+ORACLE_SQL["q24_json_export"] = """
+SELECT o_orderkey,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS business_name,
+  strftime(o_orderdate, '%d-%m-%Y') AS date, CAST(1 AS INTEGER) AS n_items,
+  o_totalprice AS subtotal, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS tax,
+  o_totalprice AS total, CAST(6 AS INTEGER) AS n_keys, (o_orderkey % 4 = 0) AS has_null_name
+FROM orders
+"""
+
+ORACLE_SQL["q25_data_url"] = f"""
+SELECT doc_id, {FILE_NAME.format(k='doc_id')} AS file_name,
+  'data:' || CASE doc_id % 3 WHEN 2 THEN 'image/png' ELSE 'image/jpeg' END || ';base64,'
+    || to_base64(encode(text)) AS data_url
+FROM documents
+"""
+
+ORACLE_SQL["q26_file_slice"] = """
+SELECT page_id, url, regexp_extract(url, '[^/]*$', 0) AS file_name
+FROM pages ORDER BY url, page_id LIMIT 50 OFFSET 10
+"""
+
+ORACLE_SQL["q27_display"] = """
+WITH c AS (
+  SELECT c_custkey, c_acctbal,
+    CASE WHEN c_custkey % 11 = 0 THEN '' WHEN c_custkey % 11 = 1 THEN NULL ELSE c_name END AS name,
+    CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN '' ELSE c_mktsegment END AS d,
+    CASE WHEN c_custkey % 5 = 0 THEN 0.0 WHEN c_custkey % 5 = 1 THEN NULL ELSE c_acctbal END AS tax
+  FROM customer)
+SELECT c_custkey, coalesce(nullif(name, ''), 'Unknown Business') AS display_name,
+  coalesce(nullif(d, ''), 'Unknown') AS display_date,
+  CASE WHEN tax IS NULL OR tax = 0 THEN '$0.00' ELSE '$' || printf('%.2f', tax) END AS tax_app,
+  CASE WHEN tax IS NULL OR tax = 0 THEN 'N/A' ELSE '$' || printf('%.2f', tax) END AS tax_main,
+  '$' || printf('%.2f', c_acctbal) AS balance
+FROM c
+"""
+
+ORACLE_SQL["q28_prompt"] = f"""
+SELECT doc_id, {PROMPT_SQL[0]} || coalesce(text, '') || {PROMPT_SQL[1]} AS prompt FROM documents
+"""
+
+_SIZE = "(CAST(n_chars * 1024 AS DOUBLE) / 1048576)"
+_SCALE = f"sqrt(3.0 / {_SIZE})"
+ORACLE_SQL["q29_size_budget"] = f"""
+SELECT doc_id, {_SIZE} AS size_mb,
+  CASE WHEN {_SIZE} > 3.0 THEN {_SCALE} ELSE 1.0 END AS scale,
+  CASE WHEN {_SIZE} > 3.0 THEN CAST(floor((1000 + doc_id % 3000) * {_SCALE}) AS BIGINT)
+       ELSE 1000 + doc_id % 3000 END AS new_width,
+  CASE WHEN {_SIZE} > 3.0 THEN CAST(floor((800 + doc_id % 2000) * {_SCALE}) AS BIGINT)
+       ELSE 800 + doc_id % 2000 END AS new_height
+FROM documents
+"""
+
+ORACLE_SQL["q30_extract_offline"] = f"""
+WITH {_F5_LINES},
+    agg AS (
+      SELECT k, string_agg(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || 'x ' || p_name || ' ($'
+                           || printf('%.2f', CAST(cents AS DOUBLE) / 100) || ')', '; ' ORDER BY rn)
+               AS items,
+             count(*) AS n, sum(cents) AS c
+      FROM lines GROUP BY k)
+SELECT {FILE_NAME.format(k='o_orderkey')} AS file_name, 'ok' AS status, c_name AS business_name,
+  strftime(o_orderdate, '%d-%m-%Y') AS date, coalesce(items, '') AS items,
+  CAST(coalesce(c, 0) AS DOUBLE) / 100 AS subtotal,
+  CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 10000 AS DOUBLE) / 100 AS tax,
+  CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS DOUBLE) / 100 AS total,
+  CAST(coalesce(n, 0) AS INTEGER) AS n_items
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN agg ON agg.k = o_orderkey
+"""
