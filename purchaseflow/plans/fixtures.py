@@ -39,13 +39,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- text helpers
 
 def json_str(c: Column) -> Column:
-    """JSON string literal of ``c`` (quotes, backslashes and control characters escaped)."""
-    esc = F.regexp_replace(c, r"\\", r"\\\\")
-    esc = F.regexp_replace(esc, '"', '\\\\"')
-    esc = F.regexp_replace(esc, "\n", "\\\\n")
-    esc = F.regexp_replace(esc, "\r", "\\\\r")
-    esc = F.regexp_replace(esc, "\t", "\\\\t")
-    return F.concat(F.lit('"'), esc, F.lit('"'))
+    """JSON string literal of ``c``: the JSON writer escapes it inside a one-element
+    array, whose brackets are then trimmed (the literal itself starts and ends with
+    a quote, so only the brackets go)."""
+    return F.btrim(F.to_json(F.array(c)), F.lit("[]"))
 
 
 def cents_of(amount: Column) -> Column:
