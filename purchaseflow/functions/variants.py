@@ -41,6 +41,16 @@ def is_json_null(f: Column) -> Column:
     return f.isNotNull() & F.is_variant_null(f)
 
 
+def with_parsed(df, source: str, name: str = "_v"):
+    """``df`` plus ``name`` = ``try_parse_json(source)`` as its own projection.
+
+    Cleaning expressions read the variant in many conditional branches; referencing
+    a staged column (rather than the parse expression itself) lets Catalyst keep the
+    parse in a separate projection, so each text is parsed once.
+    """
+    return df.withColumn(name, F.try_parse_json(F.col(source)))
+
+
 def typed(v: Column) -> Column:
     """``struct(v, t)``: a variant with its type name, computed once."""
     return F.struct(v.alias("v"), vtype(v).alias("t"))

@@ -9,6 +9,7 @@ from ..functions.dates import date_value, standardize_date
 from ..functions.price import clean_price, strict_price
 from ..functions.quantity import normalize_quantity, strict_quantity
 from ..functions.text import items_text, strip_text
+from ..functions.variants import with_parsed
 from ..operators.receipts import (explode_items, resolve_status, sum_item_prices, to_result_rows,
                                   validate_receipts)
 from . import fixtures as fx
@@ -18,8 +19,8 @@ LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 def q01_price_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN1 over a JSON-typed price (text forms and bare numbers)."""
-    f2 = fx.f2_line_text(spark, sf_dir)
-    return f2.select(*LINE_KEY, clean_price(F.try_parse_json("price_json")).alias("price"))
+    f2 = with_parsed(fx.f2_line_text(spark, sf_dir), "price_json")
+    return f2.select(*LINE_KEY, clean_price(F.col("_v")).alias("price"))
 
 
 def q02_price_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +46,8 @@ def q04_date_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q05_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN5 (lenient, typed) and FN6 (strict, on the text form) of the quantity value."""
-    f2 = fx.f2_line_text(spark, sf_dir)
-    v = F.try_parse_json("quantity_json")
+    f2 = with_parsed(fx.f2_line_text(spark, sf_dir), "quantity_json")
+    v = F.col("_v")
     q = normalize_quantity(v)
     as_text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")) \
         .when(F.is_variant_null(v), F.lit("None")).otherwise(F.to_json(v))
