@@ -19,7 +19,7 @@ def _f1_lines() -> str:
     lines AS (
       SELECT l_orderkey AS k, p_name, l_partkey, l_quantity, {CENTS} AS cents,
              row_number() OVER (PARTITION BY l_orderkey
-                                ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn
+                                ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn
       FROM lineitem JOIN part ON p_partkey = l_partkey),
     valid AS (
       SELECT *, CASE rn % 5 WHEN 2 THEN 1.0 ELSE l_quantity END AS qty,
@@ -151,7 +151,7 @@ _F5_LINES = f"""
     lines AS (
       SELECT l_orderkey AS k, p_name, l_quantity, {CENTS} AS cents,
              row_number() OVER (PARTITION BY l_orderkey
-                                ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn
+                                ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn
       FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 ORACLE_SQL["q12_label_dispatch"] = f"""
