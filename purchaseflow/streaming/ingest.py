@@ -13,12 +13,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from ..functions.text import uri_base_name
 from ..sources.files import IMAGE_GLOB
 
 
+# The fixed schema of the binary file source (streaming sources need it declared).
+BINARY_FILE_SCHEMA = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("modificationTime", T.TimestampType()),
+    T.StructField("length", T.LongType()),
+    T.StructField("content", T.BinaryType()),
+])
+
+
 def ingest_once(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                 run_no: int, fmt: str = "binaryFile", schema: StructType | None = None,
                 glob: str | None = IMAGE_GLOB, max_files_per_trigger: int | None = None) -> None:
@@ -26,6 +36,8 @@ def ingest_once(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint:
     earlier pass is read and appended to ``sink_dir`` (parquet) tagged with
     ``ingest_run = run_no``."""
     reader = spark.readStream.format(fmt)
+    if schema is None and fmt == "binaryFile":
+        schema = BINARY_FILE_SCHEMA
     if schema is not None:
         reader = reader.schema(schema)
     if glob:

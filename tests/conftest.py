@@ -5,7 +5,13 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_TESTS = os.path.dirname(os.path.abspath(__file__))
+_ROOT = os.path.dirname(_TESTS)
+sys.path.insert(0, _ROOT)
+# Python workers (mapInPandas) must import the package and the test modules whose
+# functions they run; they inherit this from the JVM started below.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [_ROOT, _TESTS] + [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p])
 
 from purchaseflow.session import build_session, checkpoint_dir  # noqa: E402
 
