@@ -23,10 +23,16 @@ SKIP_STATUSES = ("failed", "timeout", "error")  # placeholder row + skipped entr
 
 
 def latest_attempts(attempts: DataFrame, key: str = "file_name",
-                    order: str = "attempt_seq") -> DataFrame:
+                    order: str = "attempt_seq", payload: list[str] | None = None) -> DataFrame:
     """REL11: one row per file, the attempt with the highest sequence number, plus
-    ``first_seen`` (lowest sequence, for output order) and ``n_attempts``."""
-    payload = [c for c in attempts.columns if c != key]
+    ``first_seen`` (lowest sequence, for output order) and ``n_attempts``.
+
+    ``payload`` limits the columns carried through the aggregation (default: all).
+    Column pruning does not reach through ``max_by(struct(...))``, so callers that
+    need only the status should say so -- the large ``raw_ocr``/``response`` texts are
+    then neither read nor shuffled; join them back by (file, sequence) when needed.
+    """
+    payload = [c for c in (payload or attempts.columns) if c not in (key, order)] + [order]
     latest = attempts.groupBy(key).agg(
         F.max_by(F.struct(*payload), F.col(order)).alias("_latest"),
         F.min(order).alias("first_seen"),

@@ -41,8 +41,12 @@ def q13_cell_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("file_name", "row", "description", "price", "quantity")
 
 
+# Columns the state queries need from the latest attempt (the texts stay behind).
+STATE_PAYLOAD = ["status", "path", "run_id"]
+
+
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_attempts(fx.f6_attempts(spark, sf_dir))
+    return latest_attempts(fx.f6_attempts(spark, sf_dir), payload=STATE_PAYLOAD)
 
 
 def q14_state_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +64,8 @@ def q16_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     att = fx.f6_attempts(spark, sf_dir)
     earlier = att.filter(F.col("attempt_seq") % 2 == 0)
     newer = att.filter(F.col("attempt_seq") % 2 == 1)
-    return latest_attempts(union_rows(earlier, newer)).select(
+    return latest_attempts(union_rows(earlier, newer),
+                           payload=["status", "processing_time", "run_id"]).select(
         "file_name", "attempt_seq", "status", "processing_time", "run_id", "first_seen", "n_attempts")
 
 
