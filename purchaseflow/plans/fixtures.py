@@ -32,8 +32,29 @@ F3_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyy
 F4_FORMATS = ["MM/dd/yyyy HH:mm", "yyyy-MM-dd'T'HH:mm", "MM-dd-yy", "dd-MM-yy", "MMM d, yyyy", None]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """A driver table; with ``spread_by``, see :func:`spread`."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, spread_by) if spread_by else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` when its scan yields fewer partitions than the
+    shuffle parallelism (a file with one large row group is read by one task).
+
+    ``key`` is the key the next aggregation or join needs, so that operator reuses
+    this partitioning instead of adding its own exchange; the explicit partition
+    count keeps AQE from coalescing it back into one task.  Inputs that already come
+    in many splits (the normal case at scale) are returned unchanged.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Connect session): leave the scan as it is
+        return df
+    if splits >= n:
+        return df
+    return df.repartition(n, key)
 
 
 # ---------------------------------------------------------------- text helpers
@@ -85,9 +106,9 @@ def render_f4(key: Column, d: Column) -> Column:
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order that has lines: ``lines`` = lines sorted by
-    (linenumber, partkey, suppkey) with part name and price in cents, plus the
-    cents total.  The position in ``lines`` is the line rank ``rn``."""
-    li = table(spark, sf_dir, "lineitem").select(
+    (linenumber, partkey, suppkey, quantity, cents) with part name and price in cents,
+    plus the cents total.  The position in ``lines`` is the line rank ``rn``."""
+    li = table(spark, sf_dir, "lineitem", spread_by="l_orderkey").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         cents_of(F.col("l_extendedprice")).alias("cents"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
@@ -100,7 +121,8 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders (all of them) with customer columns and their line array (empty when none)."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    o = table(spark, sf_dir, "orders", spread_by="o_orderkey").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name",
                                                 "c_mktsegment")
     ol = order_lines(spark, sf_dir).withColumnRenamed("l_orderkey", "o_orderkey")
@@ -183,7 +205,7 @@ def f2_line_text(spark: SparkSession, sf_dir: str, with_description: bool = Fals
     """per lineitem row, a price value (JSON text), a quantity value (JSON text)
     and (when asked, via the part join) a padded description;
     ``code = orderkey + linenumber + partkey + suppkey``."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", spread_by="l_orderkey")
     code = line_code()
     cents = cents_of(F.col("l_extendedprice"))
     ct = cents_text(cents)

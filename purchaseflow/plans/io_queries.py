@@ -62,7 +62,7 @@ def q23_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q24_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK5/SNK6: the six-key export with nulls kept, parsed back."""
-    o = fx.table(spark, sf_dir, "orders")
+    o = fx.table(spark, sf_dir, "orders", spread_by="o_orderkey")
     k = F.col("o_orderkey")
     name = F.when(k % 4 == 0, F.lit(None).cast("string")).otherwise(F.col("o_orderpriority"))
     items = F.array(F.struct(F.col("o_orderstatus").alias("description"),

@@ -41,7 +41,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", os.environ.get("PF_DRIVER_MEMORY", "8g")))
+               .config("spark.driver.memory", os.environ.get("PF_DRIVER_MEMORY", "16g")))
     for k, v in {**ENGINE_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -66,7 +66,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this setting points at shared storage and is used as is.  Only when
     it is unset (local tests) a fresh scratch folder is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Connect session has no SparkContext: use the setting alone
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        return configured or tempfile.mkdtemp(prefix="pf-checkpoint-")
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if configured:
