@@ -36,9 +36,16 @@ PROMPT_TAIL_SINGLE = (
 )
 
 
+# The characters Python's str.strip() removes by default (str.isspace()).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_text(s: Column) -> Column:
-    """FN7: remove leading/trailing Unicode whitespace (Spark ``trim`` strips spaces only)."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    """FN7: remove leading/trailing whitespace as Python's ``str.strip()`` does
+    (Spark ``trim`` strips spaces only)."""
+    return F.btrim(s, F.lit(PY_WHITESPACE))
 
 
 def base_name(path: Column) -> Column:

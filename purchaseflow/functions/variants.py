@@ -60,11 +60,12 @@ def views(tv: Column) -> Column:
     """``struct(missing, jnull, t, num, str, bool, json)`` from a :func:`typed` struct.
 
     ``missing``: SQL null (key absent); ``jnull``: JSON null; ``t``: type name;
-    ``num``/``str``/``bool``: the value when it is of that type, else null;
-    ``json``: JSON text of anything that is neither a string nor null.  Each view is
-    read only for the types that need it.
+    ``num``: the number; ``str``: the text of a string or a number; ``bool``: the
+    boolean; ``json``: JSON text of a nested value or a boolean.  Each view is read
+    only for the types that need it.
     """
     v, t = tv["v"], tv["t"]
+    number = is_number_type(t)
     # Numbers are read through their text and a native string->double cast: a direct
     # variant->double read costs far more per value (measured ~10x on decimals).
     text = F.try_variant_get(v, "$", "string")
@@ -72,10 +73,10 @@ def views(tv: Column) -> Column:
         v.isNull().alias("missing"),
         F.coalesce(t == "VOID", F.lit(False)).alias("jnull"),
         t.alias("t"),
-        F.when(is_number_type(t), text.try_cast("double")).alias("num"),
-        F.when(t == "STRING", text).alias("str"),
+        F.when(number, text.try_cast("double")).alias("num"),
+        F.when(number | (t == "STRING"), text).alias("str"),
         F.when(t == "BOOLEAN", text == "true").alias("bool"),
-        F.when(~t.isin("STRING", "VOID"), F.to_json(v)).alias("json"),
+        F.when(~number & ~t.isin("STRING", "VOID"), F.to_json(v)).alias("json"),
     )
 
 
@@ -86,8 +87,8 @@ def value_parts(v: Column) -> Column:
 
 
 def parts_text(p: Column) -> Column:
-    """Text of a scalar: the string itself for strings, the JSON text otherwise."""
-    return F.when(p["t"] == "STRING", p["str"]).otherwise(p["json"])
+    """Text of a value: the string itself, a number's text, else the JSON text."""
+    return F.coalesce(p["str"], p["json"])
 
 
 def parts_truthy(p: Column) -> Column:
