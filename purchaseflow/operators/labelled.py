@@ -80,6 +80,44 @@ def pivot_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
             .withColumn("quantity", strict_quantity(F.col("quantity_text"))))
 
 
+def labelled_receipts(df: DataFrame, keys: list[str], prediction: str = "prediction") -> DataFrame:
+    """REL9 + REL10 + REL7 + AGG1 in one pass: per document its header values (last
+    label wins), the sum of its item prices and its item count.
+
+    The header is dispatched per row and carried as one small struct through the
+    cell aggregation, so the documents are read once and no join back is needed.
+    Outer explodes keep documents without a table or without cells (0 items).
+    Output: ``keys, business_name, date, tax, total, subtotal, n_items``.
+    """
+    p = F.col(prediction)
+    header = F.struct(_last_text(p, MERCHANT).alias("business_name"),
+                      _last_text(p, DATE).alias("date"),
+                      strict_price(_last_text(p, TAX)).alias("tax"),
+                      strict_price(_last_text(p, TOTAL)).alias("total"))
+    tables = F.filter(p, lambda x: x["label"] == TABLE)
+    # The header struct gets its own projection: built in the same select as the
+    # generator, its field names would be lost.
+    fields = df.select(*keys, prediction, header.alias("_h")).select(
+        *keys, "_h", F.posexplode_outer(tables).alias("field_pos", "f"))
+    cells = fields.select(*keys, "_h", "field_pos", F.posexplode_outer("f.cells").alias("cell_pos", "c")) \
+        .select(*keys, "_h", "field_pos", "cell_pos", F.col("c.label").alias("label"),
+                F.col("c.row").alias("row"), F.col("c.text").alias("text"))
+    grouped = cells.groupBy(*keys, "field_pos", "row").agg(
+        F.any_value("_h").alias("_h"),
+        F.expr(f"min_by(text, cell_pos) FILTER (WHERE label = '{PRICE}')").alias("price_text"),
+        F.expr(f"min_by(text, cell_pos) FILTER (WHERE label = '{QUANTITY}')").alias("quantity_text"),
+        F.expr(f"collect_list(text) FILTER (WHERE label = '{DESCRIPTION}')").alias("descs"))
+    items = grouped.select(*keys, "_h", "price_text", "quantity_text",
+                           F.explode_outer("descs").alias("description"))
+    nonblank = lambda c: F.coalesce(c != "", F.lit(False))
+    valid = nonblank(F.col("description")) & nonblank(F.col("price_text")) & nonblank(F.col("quantity_text"))
+    per_doc = items.groupBy(*keys).agg(
+        F.any_value("_h").alias("_h"),
+        F.sum(F.when(valid, strict_price(F.col("price_text")))).alias("subtotal"),
+        F.count_if(valid).alias("n_items"))
+    return per_doc.select(*keys, "_h.*", F.coalesce("subtotal", F.lit(0.0)).alias("subtotal"), "n_items")
+
+
 def pivot_cells_nested(prediction: Column) -> Column:
     """REL10 + REL7 as one per-row expression (no shuffle; work grows with the square
     of the cells of one table): ``array<struct<description, price_text, quantity_text>>``

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.extract import retry_plan
-from ..operators.labelled import (dispatch_labels, explode_cells, parse_labelled, pivot_cells,
-                                  price_subtotals)
+from ..operators.labelled import explode_cells, labelled_receipts, parse_labelled, pivot_cells
 from ..operators.metrics import (mean_processing_time, progress, run_totals, running_counts,
                                  state_counts)
 from ..operators.state import (SKIP_STATUSES, drop_dummy_rows, latest_attempts, pending_files,
@@ -23,15 +22,11 @@ def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q12_label_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """REL9 header values (last wins) + AGG1 price subtotal of the pivoted items."""
-    docs = labelled_docs(spark, sf_dir)
-    head = dispatch_labels(docs).select("file_name", "business_name", "date", "tax", "total")
-    items = pivot_cells(explode_cells(docs, ["file_name"]), ["file_name"])
-    sums = price_subtotals(items, ["file_name"])
-    return head.join(sums, "file_name", "left").select(
-        "file_name", "business_name", "date", "tax", "total",
-        F.round(F.coalesce("subtotal", F.lit(0.0)), 2).alias("subtotal"),
-        F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"))
+    """REL9 header values (last wins) + AGG1 price subtotal of the pivoted items,
+    in one pass over the documents."""
+    r = labelled_receipts(labelled_docs(spark, sf_dir), ["file_name"])
+    return r.select("file_name", "business_name", "date", "tax", "total",
+                    F.round("subtotal", 2).alias("subtotal"), "n_items")
 
 
 def q13_cell_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:

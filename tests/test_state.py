@@ -96,3 +96,22 @@ def test_cell_pivot_rules(spark):
     got = sorted((r.description, r.price, r.quantity) for r in items.collect())
     assert got == [("x", 2.0, 3), ("y", 2.0, 3)]  # first price wins, no quantity -> dropped
     assert price_subtotals(items, ["file_name"]).first()["subtotal"] == 4.0
+
+
+def test_single_pass_labelled_receipts_equal_join_form(spark, sf_small):
+    from purchaseflow.operators.labelled import dispatch_labels, labelled_receipts, price_subtotals
+    docs = fx.f5_labelled(spark, sf_small).select("file_name", parse_labelled(F.col("body")).alias("prediction"))
+    no_table = spark.createDataFrame(
+        [("x.jpg", '{"result": [{"prediction": [{"label": "Merchant_Name", "ocr_text": "M"}]}]}')],
+        "file_name string, body string").select("file_name", parse_labelled(F.col("body")).alias("prediction"))
+    docs = docs.unionByName(no_table)
+    one = labelled_receipts(docs, ["file_name"])
+    head = dispatch_labels(docs).select("file_name", "business_name", "date", "tax", "total")
+    sums = price_subtotals(pivot_cells(explode_cells(docs, ["file_name"]), ["file_name"]), ["file_name"])
+    joined = head.join(sums, "file_name", "left").select(
+        "file_name", "business_name", "date", "tax", "total",
+        F.coalesce("subtotal", F.lit(0.0)).alias("subtotal"),
+        F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"))
+    key = lambda r: (r.file_name, r.business_name, r.date, r.tax, r.total, round(r.subtotal, 6), r.n_items)
+    assert sorted(map(key, one.collect())) == sorted(map(key, joined.collect()))
+    assert {r.file_name: r.n_items for r in one.filter("file_name = 'x.jpg'").collect()} == {"x.jpg": 0}
