@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.media import IMAGE_EXTENSIONS, extension
@@ -77,7 +77,3 @@ def _indexed(df: DataFrame, order: list[str]) -> DataFrame:
     return (sorted_df.join(F.broadcast(offsets), "_pid")
             .withColumn("_idx", F.col("_off") + F.col("_mid") - F.col("_first"))
             .drop("_pid", "_mid", "_first", "_off"))
-
-
-def file_rows(names: Column, paths: Column) -> list[Column]:
-    return [names.alias("file_name"), paths.alias("path")]
