@@ -12,21 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import standardize_date
-from ..functions.price import clean_price, clean_price_parts
+from ..functions.price import clean_price_parts
 from ..functions.quantity import normalize_quantity_parts
 from ..functions.text import items_text, line_total, strip_text
-from ..functions.variants import (field, is_json_null, is_truthy, parts_text, typed,
-                                  variant_text, views, vtype)
+from ..functions.variants import field, parts_text, parts_truthy, typed, views, vtype
 
 # Keys every receipt is completed with.
 REQUIRED_KEYS = ["business_name", "business_address", "date", "items", "subtotal", "tax", "total"]
+TOP_LEVEL = [k for k in REQUIRED_KEYS if k != "items"]
 
 
-def _text_value(f: Column) -> Column:
-    """Missing -> '' (default fill); JSON null -> null; otherwise its text."""
-    return (F.when(f.isNull(), F.lit(""))
-            .when(is_json_null(f), F.lit(None).cast("string"))
-            .otherwise(variant_text(f)))
+def _text_value(p: Column) -> Column:
+    """Missing -> '' (default fill); JSON null -> null; otherwise its text.
+    ``p`` is a :func:`views` struct."""
+    return (F.when(p["missing"], F.lit(""))
+            .when(p["jnull"], F.lit(None).cast("string"))
+            .otherwise(parts_text(p)))
 
 
 ITEM_FIELDS = "struct<description:variant,quantity:variant,price:variant>"
@@ -82,33 +83,38 @@ def validate_receipts(df: DataFrame, response: str = "response", compat: bool =
     parsed = df.withColumn("_v", F.try_parse_json(F.col(response)))
     # Stage 2: top-level type and the variant fields.
     fields = parsed.select("*", vtype(v).alias("_t"),
-                           *[field(v, k).alias(f"_f_{k}") for k in
-                             ("business_name", "business_address", "date", "subtotal", "tax", "total")])
-    date_f = F.col("_f_date")
-    date_t = F.col("_date_t")
-    fields = fields.withColumn("_date_t", vtype(date_f))
-    bad_date = date_f.isNotNull() & ~is_json_null(date_f) & (date_t != "STRING") & is_truthy(date_f)
+                           *[field(v, k).alias(f"_f_{k}") for k in TOP_LEVEL])
+    # Stage 3: each field's type name as its own column.  The cleaning expressions
+    # test the type in many branches; reading an attribute keeps the generated code
+    # small (inlined, the type test is repeated hundreds of times and whole-stage
+    # code generation gives up on the stage).
+    fields = fields.select("*", *[vtype(F.col(f"_f_{k}")).alias(f"_t_{k}") for k in TOP_LEVEL])
+
+    def parts(k: str) -> Column:
+        return views(F.struct(F.col(f"_f_{k}").alias("v"), F.col(f"_t_{k}").alias("t")))
+    date_p = parts("date")
+    bad_date = ~date_p["missing"] & ~date_p["jnull"] & (date_p["t"] != "STRING") & parts_truthy(date_p)
     status = (F.when(v.isNull(), F.lit("bad_json"))
               .when(~F.col("_t").startswith("OBJECT"), F.lit("failed"))
               .when(bad_date, F.lit("failed"))
               .otherwise(F.lit("ok")))
-    # Stage 3: status and the raw date text.
+    # Stage 4: status and the raw date text.
     staged = fields.withColumn("parse_status", status) \
-        .withColumn("_date_raw", _text_value(date_f))
+        .withColumn("_date_raw", _text_value(date_p))
     raw_date = F.col("_date_raw")
-    date = F.when(date_t == "STRING", standardize_date(raw_date, day_first)).otherwise(raw_date)
+    date = F.when(F.col("_t_date") == "STRING", standardize_date(raw_date, day_first)).otherwise(raw_date)
     ok = F.col("parse_status") == "ok"
     empty_items = F.array().cast("array<struct<description:string,quantity:double,"
                                  "quantity_text:string,price:double>>")
     out = staged.select(
         *df.columns, "parse_status",
-        F.when(ok, _text_value(F.col("_f_business_name"))).otherwise(F.lit("")).alias("business_name"),
-        F.when(ok, _text_value(F.col("_f_business_address"))).otherwise(F.lit("")).alias("business_address"),
+        F.when(ok, _text_value(parts("business_name"))).otherwise(F.lit("")).alias("business_name"),
+        F.when(ok, _text_value(parts("business_address"))).otherwise(F.lit("")).alias("business_address"),
         F.when(ok, date).otherwise(F.lit("")).alias("date"),
         F.when(ok, valid_items(v, compat)).otherwise(empty_items).alias("items"),
-        F.when(ok, clean_price(F.col("_f_subtotal"))).otherwise(F.lit(0.0)).alias("subtotal"),
-        F.when(ok, clean_price(F.col("_f_tax"))).otherwise(F.lit(0.0)).alias("tax"),
-        F.when(ok, clean_price(F.col("_f_total"))).otherwise(F.lit(0.0)).alias("total"))
+        F.when(ok, clean_price_parts(parts("subtotal"))).otherwise(F.lit(0.0)).alias("subtotal"),
+        F.when(ok, clean_price_parts(parts("tax"))).otherwise(F.lit(0.0)).alias("tax"),
+        F.when(ok, clean_price_parts(parts("total"))).otherwise(F.lit(0.0)).alias("total"))
     return out
 
 
@@ -161,14 +167,17 @@ def resolve_status(df: DataFrame, attempt_status: str = "status") -> DataFrame:
 
 def explode_items(df: DataFrame, keys: list[str]) -> DataFrame:
     """REL8 + FN14: one row per item with its 1-based position and line total;
-    receipts without items produce no rows."""
-    return (df.select(*keys, F.posexplode("items").alias("pos", "item"))
-            .select(*keys, (F.col("pos") + 1).alias("pos"),
-                    F.col("item.description").alias("description"),
-                    F.col("item.quantity").alias("quantity"),
-                    F.col("item.quantity_text").alias("quantity_text"),
-                    F.col("item.price").alias("price"),
-                    line_total(F.col("item.quantity"), F.col("item.price")).alias("line_total")))
+    receipts without items produce no rows.
+
+    The output row is shaped inside the array and then ``inline``d: every field of
+    the generated struct is used, so the optimizer has no nested field to prune
+    through the generator (which would re-inline the whole validation below it).
+    """
+    rows = F.transform("items", lambda it, i: F.struct(
+        (i + 1).alias("pos"), it["description"].alias("description"),
+        it["quantity"].alias("quantity"), it["quantity_text"].alias("quantity_text"),
+        it["price"].alias("price"), line_total(it["quantity"], it["price"]).alias("line_total")))
+    return df.select(*keys, F.inline(rows))
 
 
 def sum_item_prices(items: Column) -> Column:
