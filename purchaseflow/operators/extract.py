@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ATTEMPTS
+from ..session import ship_package
 
 # The reference's per-record limits and retry policy.
 RECORD_TIME_LIMIT_S = 180.0
@@ -98,6 +99,7 @@ def extract(files: DataFrame, extractor_factory: Callable[[], Extractor], run_id
     ``seq_base`` + a unique increasing id.
     """
     cols = input_cols or files.columns
+    ship_package(files.sparkSession)
     staged = files.select(*cols, (F.lit(seq_base) + F.monotonically_increasing_id()).alias("_seq"))
     if max_concurrency:
         staged = staged.repartition(max_concurrency)

@@ -60,6 +60,34 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (the programmatic form of
+    ``--py-files``): zip it once per session and add it with ``addPyFile``.  Needed
+    by stages that run Python on executors (the extraction stage)."""
+    import zipfile
+
+    key = id(spark)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    target = os.path.join(tempfile.mkdtemp(prefix="pf-pyfiles-"), "purchaseflow.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.relpath(full, root))
+    try:
+        spark.sparkContext.addPyFile(target)
+    except Exception:  # a Connect session ships Python files as artifacts
+        spark.addArtifacts(target, pyfile=True)
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
