@@ -32,16 +32,17 @@ def q02_price_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q03_date_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN3 over the 12 ladder renderings of the order date."""
     o = fx.table(spark, sf_dir, "orders", spread_by="o_orderkey")
-    text = fx.render_f3(F.col("o_orderkey"), F.col("o_orderdate"))
-    std = standardize_date(text)
-    return o.select("o_orderkey", std.alias("date"), date_value(std).alias("date_value"))
+    # the rendered text is its own column: the ladder reads it many times
+    texts = o.select("o_orderkey", fx.render_f3(F.col("o_orderkey"), F.col("o_orderdate")).alias("t"))
+    std = texts.select("o_orderkey", standardize_date(F.col("t")).alias("date"))
+    return std.select("o_orderkey", "date", date_value(F.col("date")).alias("date_value"))
 
 
 def q04_date_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN4 over odd renderings (time suffix, two-digit year, short month, blank)."""
     o = fx.table(spark, sf_dir, "orders", spread_by="o_orderkey")
-    text = fx.render_f4(F.col("o_orderkey"), F.col("o_orderdate"))
-    return o.select("o_orderkey", standardize_date(text).alias("date"))
+    texts = o.select("o_orderkey", fx.render_f4(F.col("o_orderkey"), F.col("o_orderdate")).alias("t"))
+    return texts.select("o_orderkey", standardize_date(F.col("t")).alias("date"))
 
 
 def q05_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
