@@ -128,3 +128,24 @@ def test_validate_defaults_and_items(spark):
     assert [i.description for i in compat["items"]] == ["x", "None"]
     items = validate_receipts(spark.createDataFrame([('{"items": {"a": 1}}',)], "response string")).first()
     assert items["items"] == []
+
+
+def test_day_first_option(spark):
+    from purchaseflow.functions.dates import standardize_date
+    got = one_col(spark, ["05-04-2023", "31-01-2023", "04/05/2023"],
+                  lambda c: standardize_date(c, day_first=True))
+    # only the dash formats swap order; the slash formats stay month-first
+    assert got == ["05-04-2023", "31-01-2023", "05-04-2023"]
+
+
+def test_date_whitespace_and_json_null(spark):
+    from purchaseflow.operators.receipts import validate_receipts
+    docs = ['{"date": null}', '{"date": "  "}', '{"date": "March\\t5,\\n2024"}', "{}"]
+    got = [r["date"] for r in validate_receipts(
+        spark.createDataFrame([(d,) for d in docs], "response string")).collect()]
+    assert got == [None, "  ", "05-03-2024", ""]
+
+
+def test_price_words_and_nested_values(spark):
+    raw = ['"comp"', '"GRATIS"', '"NC"', '[1, 2]', '{"a": 7}', '"  12.50 "']
+    assert json_field(spark, raw, clean_price) == [0.0, 0.0, 0.0, 12.0, 7.0, 12.5]
