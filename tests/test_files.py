@@ -95,3 +95,11 @@ def test_stream_ingest_of_image_folder(spark, tmp_path):
     ingest_once(spark, src, sink, ck, 3)
     got = {r.file_name: r.ingest_run for r in read_ingested(spark, sink).collect()}
     assert got == {"a b.jpg": 1, "c+d.png": 1, "e#f.jpeg": 1, "late.png": 3}
+
+
+def test_zero_byte_result_file_starts_fresh(spark, tmp_path):
+    empty = tmp_path / "results.csv"
+    empty.write_bytes(b"")
+    df = read_results(spark, str(empty))
+    assert df.count() == 0
+    assert df.columns == RESULT_COLUMNS
