@@ -90,10 +90,12 @@ def item_text(item: Column) -> Column:
                     money(item["price"]), F.lit(")"))
 
 
-def items_text(items: Column) -> Column:
+def items_text(items: Column, validated: bool = False) -> Column:
     """FN13: items joined with ``"; "``; items without a description are skipped,
-    blank when nothing is left."""
-    kept = F.filter(items, lambda x: F.coalesce(x["description"], F.lit("")) != "")
+    blank when nothing is left.  ``validated=True`` skips that filter for arrays that
+    already hold only described items (the output of receipt validation)."""
+    kept = items if validated else F.filter(
+        items, lambda x: F.coalesce(x["description"], F.lit("")) != "")
     return F.coalesce(F.array_join(F.transform(kept, item_text), "; "), F.lit(""))
 
 

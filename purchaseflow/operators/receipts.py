@@ -146,7 +146,7 @@ def to_result_rows(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.when(ok, F.col("business_name")).otherwise(F.lit("")).alias("Business_Name"),
         F.when(ok, F.col("business_address")).otherwise(F.lit("")).alias("Business_Address"),
         F.when(ok, F.col("date")).otherwise(F.lit("")).alias("Date"),
-        F.when(ok, items_text(F.col("items"))).otherwise(F.lit("")).alias("Items"),
+        F.when(ok, items_text(F.col("items"), validated=True)).otherwise(F.lit("")).alias("Items"),
         F.when(ok, F.col("subtotal")).otherwise(F.lit(0.0)).alias("Subtotal"),
         F.when(ok, F.col("tax")).otherwise(F.lit(0.0)).alias("Tax"),
         F.when(ok, F.col("total")).otherwise(F.lit(0.0)).alias("Total"),

@@ -132,7 +132,7 @@ def q30_extract_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
                        input_cols=["file_name", "path", "ocr_text"])
     r = resolve_status(validate_receipts(attempts))
     return r.select("file_name", "status", "business_name", "date",
-                    items_text(F.col("items")).alias("items"), "subtotal", "tax", "total",
+                    items_text(F.col("items"), validated=True).alias("items"), "subtotal", "tax", "total",
                     F.size("items").alias("n_items"))
 
 

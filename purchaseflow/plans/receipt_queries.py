@@ -71,7 +71,7 @@ def q06_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q07_items_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN13 per receipt."""
     r = receipts(spark, sf_dir)
-    return r.select("file_name", items_text(F.col("items")).alias("items"),
+    return r.select("file_name", items_text(F.col("items"), validated=True).alias("items"),
                     F.size("items").alias("n_items"))
 
 
