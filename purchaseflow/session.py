@@ -60,7 +60,7 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -69,7 +69,10 @@ def ship_package(spark: SparkSession) -> None:
     by stages that run Python on executors (the extraction stage)."""
     import zipfile
 
-    key = id(spark)
+    try:
+        key = spark.sparkContext.applicationId
+    except Exception:  # a Connect session has no SparkContext
+        key = spark.conf.get("spark.app.id", str(id(spark)))
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
@@ -91,23 +94,23 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is used as is.  Only when
-    it is unset (local tests) a fresh scratch folder is created and registered.
+    On a cluster this setting must point at storage that the driver and all executors
+    share, and is used as is.  Only a session whose master is ``local`` may leave it
+    unset: its executors share the driver's disk, so a fresh scratch folder is created.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # a Connect session has no SparkContext: use the setting alone
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        return configured or tempfile.mkdtemp(prefix="pf-checkpoint-")
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
+        sc = None
+    configured = (sc.getConf().get("spark.checkpoint.dir", None) if sc else None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if configured:
-        if not sc.getCheckpointDir():
+        if sc and not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    local = tempfile.mkdtemp(prefix="pf-checkpoint-")
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    if sc and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    if not sc or not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all hosts share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="pf-checkpoint-"))
+    return sc.getCheckpointDir()
