@@ -12,7 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
@@ -64,6 +64,25 @@ def release() -> None:
 atexit.register(release)
 
 
+def held_out() -> Column:
+    """The fifth of the documents whose labels no model may learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """``doc_id``, ``text`` and ``y`` of at most ``per_class`` labelled documents of each
+    class outside the held-out fold, in the order of a hash of the id.  A document with
+    several labels counts as the largest."""
+    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+             .filter("doc_id IS NOT NULL AND y IN (0, 1)").filter(~held_out())
+             .groupBy("doc_id").agg(F.max("y").alias("y"))
+             .join(documents(docs).select("doc_id"), "doc_id", "left_semi"))
+    order = F.xxhash64("doc_id")
+    some = [known.filter(F.col("y") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
+    # At most 2 * per_class rows of an id and a class.
+    return documents(docs).join(F.broadcast(some[0].unionAll(some[1])), "doc_id")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without nulls, and the offsets of its rows."""
     if pa.types.is_large_string(column.type):

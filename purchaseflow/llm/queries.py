@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, packing, quality, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document by its labelled neighbours."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens; one row per piece."""
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
@@ -21,10 +26,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document by a convolutional classifier."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 
-# Neither the vocabulary nor its merges can be reached from SQL; see tests/llm.
+# Vocabularies and trained models cannot be reached from SQL: see tests/llm for those.
 ORACLES: dict[str, str] = {}

@@ -41,12 +41,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def letter_breaks() -> np.ndarray:
+    """Breaks at every ASCII byte that is no letter or digit: words without punctuation."""
+    table = np.ones(256, bool)
+    table[128:] = False
+    for a, b in (("0", "9"), ("A", "Z"), ("a", "z")):
+        table[ord(a):ord(b) + 1] = False
+    return table
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the index of the first word of each row
     (one more entry than rows)."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[raw]
+    word = ~breaks[raw]
     first = word.copy()
     first[1:] &= ~word[:-1]
     edges = offsets[1:-1]
