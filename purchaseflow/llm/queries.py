@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, toxicity
+from . import bpe, jaccard, packing, quality, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are 85 % alike."""
+    return jaccard.components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document by a convolutional classifier."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -35,6 +40,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
+    "op8_jaccard": op8_jaccard,
     "op9_toxicity": op9_toxicity,
 }
 
