@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, packing, quality, toxicity
+from . import bpe, jaccard, packing, quality, substrings, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 20-word windows that occur earlier."""
+    return substrings.kept_digests(substrings.deduplicated(table(spark, sf_dir, "documents")))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles are 85 % alike."""
     return jaccard.components(table(spark, sf_dir, "documents"), words=4, percent=85)
@@ -40,6 +45,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
+    "op6_substrings": op6_substrings,
     "op8_jaccard": op8_jaccard,
     "op9_toxicity": op9_toxicity,
 }
