@@ -11,6 +11,10 @@ from purchaseflow.llm.common import staged
 
 #: Each function takes (spark, docs, sf_dir) and returns a DataFrame.
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", stages.without_toxic),
+    ("quality classifier", stages.with_quality),
+    ("n-gram Jaccard join", stages.without_near_copies),
+    ("substring dedup", stages.without_repeats),
     ("packing", stages.packed_pieces),
 ]
 

@@ -1,15 +1,59 @@
 """The stages of the corpus pipeline: each applies one operator to the documents that the
-stage before kept, and returns documents (the last one: pieces of packed sequences)."""
+stage before kept, and returns documents (the last one: pieces of packed sequences).
+
+A decision is joined back by ``doc_id`` and all columns of the row are kept, whatever
+else the table holds.  Rows with a null id take no part in any operator and are not
+returned; rows that share an id share its decision."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import jaccard, packing, quality, substrings, toxicity
+from .common import table
 from .queries import VOCABULARY
 
 
+def _keep(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without the documents of ``rejected`` (a few ids)."""
+    gone = rejected.select(F.col("doc_id").alias("__rejected")).distinct()
+    return (docs.filter("doc_id IS NOT NULL")
+            .join(gone, docs["doc_id"].cast("long") == gone["__rejected"], "left_anti"))
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents predicted toxic go."""
+    found = toxicity.classify(docs, table(spark, sf_dir, "labels"))
+    return _keep(docs, found.filter("predicted = 1"))
+
+
+def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality: documents predicted poor go."""
+    found = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return _keep(docs, found.filter("predicted = 0"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join on five words at 0.8: of each component its smallest id stays."""
+    found = jaccard.components(docs, words=5, percent=80)
+    return _keep(docs, found.filter("doc_id <> component_id")).dropDuplicates(["doc_id"])
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Substring dedup: a text with repeated passages becomes its kept words joined by one
+    space (``n_chars`` follows); other texts stay as they are."""
+    cut = substrings.deduplicated(docs).filter("n_removed > 0").select(
+        F.col("doc_id").alias("__doc_id"), F.col("kept").alias("__kept")).dropDuplicates(["__doc_id"])
+    joined = docs.filter("doc_id IS NOT NULL").join(cut, F.col("doc_id").cast("long") == F.col("__doc_id"), "left")
+    new = {"text": F.coalesce("__kept", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(
+            F.char_length("__kept").cast(docs.schema["n_chars"].dataType))
+    return joined.select([new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
 def packed_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: the remaining documents as pieces of sequences of 4096 tokens."""
     return packing.piece_digests(packing.pack(docs, public_tokenizers.path(VOCABULARY)))
