@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, packing, quality, substrings, toxicity
+from . import bpe, fingerprints, jaccard, packing, quality, substrings, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -16,6 +16,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens; one row per piece."""
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
@@ -43,6 +48,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op6_substrings": op6_substrings,
