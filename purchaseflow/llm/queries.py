@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, packing, quality, substrings, toxicity
+from . import ann, bpe, fingerprints, jaccard, lm, packing, quality, substrings, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -31,6 +32,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of every document by the counts of all documents."""
+    return lm.scores(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 20-word windows that occur earlier."""
     return substrings.kept_digests(substrings.deduplicated(table(spark, sf_dir, "documents")))
@@ -46,15 +52,24 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
+    "op5_lm": op5_lm,
     "op6_substrings": op6_substrings,
     "op8_jaccard": op8_jaccard,
     "op9_toxicity": op9_toxicity,
+    "op10_ann": op10_ann,
 }
 
 # Vocabularies and trained models cannot be reached from SQL: see tests/llm for those.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_lm": lm.ORACLE_SQL,
+}
