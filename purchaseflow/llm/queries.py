@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, jaccard, lm, packing, quality, substrings, toxicity
+from . import ann, bpe, fingerprints, jaccard, licenses, lm, packing, quality, substrings, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -42,6 +42,11 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.kept_digests(substrings.deduplicated(table(spark, sf_dir, "documents")))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that each document's text or lines name."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles are 85 % alike."""
     return jaccard.components(table(spark, sf_dir, "documents"), words=4, percent=85)
@@ -64,6 +69,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_lm": op5_lm,
     "op6_substrings": op6_substrings,
+    "op7_licenses": op7_licenses,
     "op8_jaccard": op8_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_ann": op10_ann,
@@ -72,4 +78,5 @@ QUERIES = {
 # Vocabularies and trained models cannot be reached from SQL: see tests/llm for those.
 ORACLES: dict[str, str] = {
     "op5_lm": lm.ORACLE_SQL,
+    "op7_licenses": licenses.ORACLE_SQL,
 }
