@@ -1,16 +1,16 @@
 """Labelled-cell responses: parse (SRC8), label dispatch (REL9), cell pivot (REL10),
 complete-cell filter (REL7) and the price subtotal (AGG1).
 
-Label dispatch reads a handful of header fields per document, so it stays a per-row
-expression (last occurrence wins, no shuffle).  The cell pivot scales with the
-number of cells; instead of the reference's scan per Description cell (quadratic)
-it explodes cells once and aggregates per (document, table field, row) -- one hash
-aggregation whose groups are single table rows, so a very large document spreads
-over many groups instead of one task.
+A document is one row, and everything here stays inside it: the header reads a handful of
+fields, and the pivot sorts a table's cells by (row, label, position), cuts the sorted
+array where the row changes, and reads each piece once.  No row is shuffled, documents
+never mix (whatever their names), and the work is that of one sort of a table's cells.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,101 +46,75 @@ def dispatch_labels(df: DataFrame, prediction: str = "prediction") -> DataFrame:
     )
 
 
-def explode_cells(df: DataFrame, keys: list[str], prediction: str = "prediction") -> DataFrame:
-    """Flat cells of every table field: ``keys, field_pos, cell_pos, label, row, text``."""
-    fields = (df.select(*keys, F.posexplode(prediction).alias("field_pos", "f"))
-              .filter(F.col("f.label") == TABLE))
-    return (fields.select(*keys, "field_pos", F.posexplode("f.cells").alias("cell_pos", "c"))
-            .select(*keys, "field_pos", "cell_pos", F.col("c.label").alias("label"),
-                    F.col("c.row").alias("row"), F.col("c.text").alias("text")))
-
-
-def pivot_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """REL10 + REL7 + FN2/FN6 over flat cells -> one row per item.
-
-    Per (document, table field, row): the first Price and the first Quantity cell
-    (by cell position) and every Description cell; each Description becomes an item.
-    Items lacking a description, price or quantity text are dropped (REL7).
-    Output: ``keys, field_pos, row, desc_pos, description, price_text, quantity_text,
-    price, quantity``.
-    """
-    grouped = cells.groupBy(*keys, "field_pos", "row").agg(
-        F.expr(f"min_by(text, cell_pos) FILTER (WHERE label = '{PRICE}')").alias("price_text"),
-        F.expr(f"min_by(text, cell_pos) FILTER (WHERE label = '{QUANTITY}')").alias("quantity_text"),
-        F.expr(f"collect_list(struct(cell_pos, text)) FILTER (WHERE label = '{DESCRIPTION}')")
-        .alias("descs"))
-    items = grouped.select(*keys, "field_pos", "row", "price_text", "quantity_text",
-                           F.explode("descs").alias("d"))
-    nonblank = lambda c: F.coalesce(c != "", F.lit(False))
-    return (items.select(*keys, "field_pos", "row", F.col("d.cell_pos").alias("desc_pos"),
-                         F.col("d.text").alias("description"), "price_text", "quantity_text")
-            .filter(nonblank(F.col("description")) & nonblank(F.col("price_text"))
-                    & nonblank(F.col("quantity_text")))
-            .withColumn("price", strict_price(F.col("price_text")))
-            .withColumn("quantity", strict_quantity(F.col("quantity_text"))))
+# What an item needs of its row, in sorting order: the first price, the first quantity,
+# then every description.
+_KINDS = (PRICE, QUANTITY, DESCRIPTION)
 
 
-def labelled_receipts(df: DataFrame, keys: list[str], prediction: str = "prediction") -> DataFrame:
-    """REL9 + REL10 + REL7 + AGG1 in one pass: per document its header values (last
-    label wins), the sum of its item prices and its item count.
-
-    The header is dispatched per row and carried as one small struct through the
-    cell aggregation, so the documents are read once and no join back is needed.
-    Outer explodes keep documents without a table or without cells (0 items).
-    Output: ``keys, business_name, date, tax, total, subtotal, n_items``.
-    """
-    p = F.col(prediction)
-    header = F.struct(_last_text(p, MERCHANT).alias("business_name"),
-                      _last_text(p, DATE).alias("date"),
-                      strict_price(_last_text(p, TAX)).alias("tax"),
-                      strict_price(_last_text(p, TOTAL)).alias("total"))
-    tables = F.filter(p, lambda x: x["label"] == TABLE)
-    # The header struct gets its own projection: built in the same select as the
-    # generator, its field names would be lost.
-    fields = df.select(*keys, prediction, header.alias("_h")).select(
-        *keys, "_h", F.posexplode_outer(tables).alias("field_pos", "f"))
-    cells = fields.select(*keys, "_h", "field_pos", F.posexplode_outer("f.cells").alias("cell_pos", "c")) \
-        .select(*keys, "_h", "field_pos", "cell_pos", F.col("c.label").alias("label"),
-                F.col("c.row").alias("row"), F.col("c.text").alias("text"))
-    grouped = cells.groupBy(*keys, "field_pos", "row").agg(
-        F.any_value("_h").alias("_h"),
-        F.expr(f"min_by(text, cell_pos) FILTER (WHERE label = '{PRICE}')").alias("price_text"),
-        F.expr(f"min_by(text, cell_pos) FILTER (WHERE label = '{QUANTITY}')").alias("quantity_text"),
-        F.expr(f"collect_list(text) FILTER (WHERE label = '{DESCRIPTION}')").alias("descs"))
-    items = grouped.select(*keys, "_h", "price_text", "quantity_text",
-                           F.explode_outer("descs").alias("description"))
-    nonblank = lambda c: F.coalesce(c != "", F.lit(False))
-    valid = nonblank(F.col("description")) & nonblank(F.col("price_text")) & nonblank(F.col("quantity_text"))
-    per_doc = items.groupBy(*keys).agg(
-        F.any_value("_h").alias("_h"),
-        F.sum(F.when(valid, strict_price(F.col("price_text")))).alias("subtotal"),
-        F.count_if(valid).alias("n_items"))
-    return per_doc.select(*keys, "_h.*", F.coalesce("subtotal", F.lit(0.0)).alias("subtotal"), "n_items")
-
-
-def pivot_cells_nested(prediction: Column) -> Column:
-    """REL10 + REL7 as one per-row expression (no shuffle; work grows with the square
-    of the cells of one table): ``array<struct<description, price_text, quantity_text>>``
-    in item order.  Used to cross-check :func:`pivot_cells` and for small documents."""
-    tables = F.filter(prediction, lambda x: x["label"] == TABLE)
-
-    def items_of(t):
-        cells = t["cells"]
-
-        def first(label, d):
-            hit = F.filter(cells, lambda c: (c["label"] == label) & c["row"].eqNullSafe(d["row"]))
-            return F.try_element_at(hit, F.lit(1))["text"]
-        descs = F.filter(cells, lambda c: c["label"] == DESCRIPTION)
-        return F.transform(descs, lambda d: F.struct(
-            d["text"].alias("description"), first(PRICE, d).alias("price_text"),
-            first(QUANTITY, d).alias("quantity_text")))
+def _row_items(group: Column) -> Column:
+    """The items of one table row: ``group`` is its cells, sorted; each description is an
+    item with the row's first price and first quantity."""
+    def first(kind: int) -> Column:
+        return F.try_element_at(F.filter(group, lambda c: c["kind"] == kind), F.lit(1))["text"]
+
+    return F.transform(F.filter(group, lambda c: c["kind"] == 2), lambda d: F.struct(
+        d["row"].alias("row"), d["pos"].alias("desc_pos"), d["text"].alias("description"),
+        first(0).alias("price_text"), first(1).alias("quantity_text")))
+
+
+def _table_items(cells: Column) -> Column:
+    """REL10 on one table's cells -> its items by row and position."""
+    kind = lambda c: F.array_position(F.array(*map(F.lit, _KINDS)), c["label"]) - 1
+    useful = F.filter(F.transform(cells, lambda c, i: F.struct(
+        c["row"].alias("row"), kind(c).cast("int").alias("kind"), i.alias("pos"), c["text"].alias("text"))),
+        lambda c: c["kind"] >= 0)
+
+    def grouped(s: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(s))
+        starts = F.filter(places, lambda i: (i == 1) | ~s[i - 2]["row"].eqNullSafe(s[i - 1]["row"]))
+        return F.flatten(_with(starts, lambda at: F.transform(at, lambda a, n: _row_items(
+            F.slice(s, a, F.coalesce(F.get(at, n + 1), F.size(s) + 1) - a)))))
+
+    return F.when(F.size(useful) > 0, _with(F.array_sort(useful), grouped))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def table_items(prediction: Column) -> Column:
+    """REL10 + REL7 + FN2/FN6: the complete items of every table field of a prediction,
+    ``array<struct<field_pos, desc_pos, row, description, price_text, quantity_text, price,
+    quantity>>`` in the order of their description cells.  Items without a description,
+    price or quantity text are dropped."""
     nonblank = lambda c: F.coalesce(c != "", F.lit(False))
-    return F.filter(F.flatten(F.transform(tables, items_of)),
-                    lambda it: nonblank(it["description"]) & nonblank(it["price_text"])
-                    & nonblank(it["quantity_text"]))
+    tables = F.filter(F.transform(prediction, lambda f, i: F.struct(i.alias("pos"), f["label"].alias("label"), f["cells"].alias("cells"))),
+                      lambda f: f["label"] == TABLE)
+    items = F.flatten(F.filter(F.transform(tables, lambda t: F.transform(
+        _table_items(t["cells"]), lambda it: F.struct(t["pos"].alias("field_pos"), it.alias("it")))),
+        lambda x: x.isNotNull()))
+    complete = F.filter(items, lambda x: nonblank(x["it"]["description"]) & nonblank(x["it"]["price_text"])
+                        & nonblank(x["it"]["quantity_text"]))
+    return F.array_sort(F.transform(complete, lambda x: F.struct(
+        x["field_pos"].alias("field_pos"), x["it"]["desc_pos"].alias("desc_pos"), x["it"]["row"].alias("row"),
+        x["it"]["description"].alias("description"), x["it"]["price_text"].alias("price_text"),
+        x["it"]["quantity_text"].alias("quantity_text"), strict_price(x["it"]["price_text"]).alias("price"),
+        strict_quantity(x["it"]["quantity_text"]).alias("quantity"))))
+
+
+def labelled_items(df: DataFrame, keys: list[str], prediction: str = "prediction") -> DataFrame:
+    """One row per complete item of every document: ``keys`` and the fields of
+    :func:`table_items`."""
+    return df.select(*keys, F.inline(table_items(F.col(prediction))))
 
 
-def price_subtotals(items: DataFrame, keys: list[str]) -> DataFrame:
-    """AGG1 flat form: sum of item prices per document (partial aggregation first)."""
-    return items.groupBy(*keys).agg(F.sum("price").alias("subtotal"),
-                                    F.count(F.lit(1)).alias("n_items"))
+def labelled_receipts(df: DataFrame, keys: list[str], prediction: str = "prediction") -> DataFrame:
+    """REL9 + REL10 + REL7 + AGG1: per document its header values (last label wins), the
+    sum of its item prices and its item count (0 without a table or cells).
+    Output: ``keys, business_name, date, tax, total, subtotal, n_items``."""
+    prices = F.transform(table_items(F.col(prediction)), lambda it: F.coalesce(it["price"], F.lit(0.0)))
+    head = dispatch_labels(df.withColumn("_prices", prices), prediction)
+    return head.select(*keys, "business_name", "date", "tax", "total",
+                       F.coalesce(F.aggregate("_prices", F.lit(0.0), lambda acc, p: acc + p), F.lit(0.0)).alias("subtotal"),
+                       F.coalesce(F.size("_prices"), F.lit(0)).cast("long").alias("n_items"))

@@ -6,7 +6,7 @@ that the DuckDB oracles compute from the base columns without reusing the cleani
 code.
 
 Grain notes for scale:
-* F2 (line text) is row-local: a map-only projection of ``lineitem``.
+* F2 (line text) is row-local: a projection of ``lineitem`` without an exchange.
 * F1/F5/F7 are one document per order.  Lines are pre-aggregated with
   ``collect_list`` (partial aggregation on the map side), the order side is joined on
   ``o_orderkey``; a document is by definition one row, so its size is the size of one
@@ -32,29 +32,9 @@ F3_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyy
 F4_FORMATS = ["MM/dd/yyyy HH:mm", "yyyy-MM-dd'T'HH:mm", "MM-dd-yy", "dd-MM-yy", "MMM d, yyyy", None]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """A driver table; with ``spread_by``, see :func:`spread`."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, spread_by) if spread_by else df
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` when its scan yields fewer partitions than the
-    shuffle parallelism (a file with one large row group is read by one task).
-
-    ``key`` is the key the next aggregation or join needs, so that operator reuses
-    this partitioning instead of adding its own exchange; the explicit partition
-    count keeps AQE from coalescing it back into one task.  Inputs that already come
-    in many splits (the normal case at scale) are returned unchanged.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Connect session): leave the scan as it is
-        return df
-    if splits >= n:
-        return df
-    return df.repartition(n, key)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # ---------------------------------------------------------------- text helpers
@@ -83,9 +63,16 @@ def cents_text_grouped(cents: Column) -> Column:
 
 
 def file_name_of(key: Column) -> Column:
-    """9-digit key plus an image suffix chosen by key % 3."""
+    """The key, padded to 9 digits at least, plus an image suffix chosen by key % 3.
+    A longer key keeps all its digits, so no two keys share a name."""
     ext = F.when(key % 3 == 0, F.lit(".jpg")).when(key % 3 == 1, F.lit(".jpeg")).otherwise(F.lit(".png"))
-    return F.concat(F.lpad(key.cast("string"), 9, "0"), ext)
+    text = key.cast("string")
+    return F.concat(F.lpad(text, F.greatest(F.lit(9), F.length(text)), F.lit("0")), ext)
+
+
+def shared_file_name_of(key: Column) -> Column:
+    """:func:`file_name_of`, except that every 32nd document repeats another's name."""
+    return file_name_of(F.when(key % 32 == 7, key - 1).otherwise(key))
 
 
 def render_f3(key: Column, d: Column) -> Column:
@@ -108,7 +95,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order that has lines: ``lines`` = lines sorted by
     (linenumber, partkey, suppkey, quantity, cents) with part name and price in cents,
     plus the cents total.  The position in ``lines`` is the line rank ``rn``."""
-    li = table(spark, sf_dir, "lineitem", spread_by="l_orderkey").select(
+    li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         cents_of(F.col("l_extendedprice")).alias("cents"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
@@ -121,7 +108,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders (all of them) with customer columns and their line array (empty when none)."""
-    o = table(spark, sf_dir, "orders", spread_by="o_orderkey").select(
+    o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name",
                                                 "c_mktsegment")
@@ -205,7 +192,7 @@ def f2_line_text(spark: SparkSession, sf_dir: str, with_description: bool = Fals
     """per lineitem row, a price value (JSON text), a quantity value (JSON text)
     and (when asked, via the part join) a padded description;
     ``code = orderkey + linenumber + partkey + suppkey``."""
-    li = table(spark, sf_dir, "lineitem", spread_by="l_orderkey")
+    li = table(spark, sf_dir, "lineitem")
     code = line_code()
     cents = cents_of(F.col("l_extendedprice"))
     ct = cents_text(cents)
@@ -258,7 +245,8 @@ def _f5_cells(x: Column, i: Column) -> Column:
 
 
 def f5_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """one labelled-cell response per order -> ``file_name, o_orderkey, body``."""
+    """one labelled-cell response per order -> ``file_name, o_orderkey, body``.  Some
+    documents share a file name; ``o_orderkey`` is the document."""
     k = F.col("o_orderkey")
     total_cents = cents_of(F.col("o_totalprice"))
 
@@ -275,7 +263,7 @@ def f5_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
                          field("Total_Amount", F.concat(F.lit("$"), cents_text(total_cents))))
     body = F.concat(F.lit('{"result": [{"prediction": ['), fields, F.lit("]}]}"))
     return orders_with_lines(spark, sf_dir).select(
-        file_name_of(k).alias("file_name"), "o_orderkey", body.alias("body"))
+        shared_file_name_of(k).alias("file_name"), "o_orderkey", body.alias("body"))
 
 
 # ---------------------------------------------------------------- F6 attempt log

@@ -8,8 +8,10 @@ from ..functions.text import PROMPT_HEAD, PROMPT_TAIL_BATCH
 CODE = "(l_orderkey + l_linenumber + l_partkey + l_suppkey)"
 CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
 LINE_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
-FILE_NAME = ("lpad(CAST({k} AS VARCHAR), 9, '0') || "
+FILE_NAME = ("lpad(CAST({k} AS VARCHAR), CAST(greatest(9, length(CAST({k} AS VARCHAR))) AS INTEGER), '0') || "
              "CASE {k} % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.jpeg' ELSE '.png' END")
+# Every 32nd labelled document repeats the file name of another.
+SHARED_NAME = FILE_NAME.replace("{k}", "(CASE WHEN {k} % 32 = 7 THEN {k} - 1 ELSE {k} END)")
 SWAPPED = "({k} % 12 IN (2, 4, 8, 11) AND day({d}) <= 12)"
 
 
@@ -157,7 +159,7 @@ _F5_LINES = f"""
 ORACLE_SQL["q12_label_dispatch"] = f"""
 WITH {_F5_LINES},
     agg AS (SELECT k, sum(cents) AS c, count(*) AS n FROM lines WHERE rn % 5 <> 0 GROUP BY k)
-SELECT {FILE_NAME.format(k='o_orderkey')} AS file_name, c_name AS business_name,
+SELECT o_orderkey, {SHARED_NAME.format(k='o_orderkey')} AS file_name, c_name AS business_name,
   strftime(o_orderdate, '%Y-%m-%d') AS date,
   CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 10000 AS DOUBLE) / 100 AS tax,
   CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS DOUBLE) / 100 AS total,
@@ -168,7 +170,7 @@ FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN agg ON agg.k =
 
 ORACLE_SQL["q13_cell_pivot"] = f"""
 WITH {_F5_LINES}
-SELECT {FILE_NAME.format(k='k')} AS file_name, CAST(rn AS BIGINT) AS row, p_name AS description,
+SELECT k AS o_orderkey, {SHARED_NAME.format(k='k')} AS file_name, CAST(rn AS BIGINT) AS row, p_name AS description,
   CAST(cents AS DOUBLE) / 100 AS price, CAST(l_quantity AS BIGINT) AS quantity
 FROM lines WHERE rn % 5 <> 0
 """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.extract import retry_plan
-from ..operators.labelled import explode_cells, labelled_receipts, parse_labelled, pivot_cells
+from ..operators.labelled import labelled_items, labelled_receipts, parse_labelled
 from ..operators.metrics import (mean_processing_time, progress, run_totals, running_counts,
                                  state_counts)
 from ..operators.state import (SKIP_STATUSES, drop_dummy_rows, latest_attempts, pending_files,
@@ -18,22 +18,21 @@ PROGRESS_BUCKET = 4096
 
 
 def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.f5_labelled(spark, sf_dir).select("file_name", parse_labelled(F.col("body")).alias("prediction"))
+    return fx.f5_labelled(spark, sf_dir).select(
+        "o_orderkey", "file_name", parse_labelled(F.col("body")).alias("prediction"))
 
 
 def q12_label_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REL9 header values (last wins) + AGG1 price subtotal of the pivoted items,
-    in one pass over the documents."""
-    r = labelled_receipts(labelled_docs(spark, sf_dir), ["file_name"])
-    return r.select("file_name", "business_name", "date", "tax", "total",
-                    F.round("subtotal", 2).alias("subtotal"), "n_items")
+    inside each document's row."""
+    r = labelled_receipts(labelled_docs(spark, sf_dir), ["o_orderkey", "file_name"])
+    return r.withColumn("subtotal", F.round("subtotal", 2))
 
 
 def q13_cell_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REL10 + REL7 + FN2 + FN6: one row per complete table item."""
-    docs = labelled_docs(spark, sf_dir)
-    items = pivot_cells(explode_cells(docs, ["file_name"]), ["file_name"])
-    return items.select("file_name", "row", "description", "price", "quantity")
+    items = labelled_items(labelled_docs(spark, sf_dir), ["o_orderkey", "file_name"])
+    return items.select("o_orderkey", "file_name", "row", "description", "price", "quantity")
 
 
 # Columns the state queries need from the latest attempt (the texts stay behind).

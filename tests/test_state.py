@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from purchaseflow.operators.labelled import (explode_cells, parse_labelled, pivot_cells,
-                                             pivot_cells_nested)
+from purchaseflow.operators.labelled import (dispatch_labels, labelled_items, labelled_receipts,
+                                             parse_labelled)
 from purchaseflow.operators.metrics import running_counts
 from purchaseflow.operators.state import (latest_attempts, pending_files, split_results, state_of,
                                           union_rows)
@@ -68,50 +71,65 @@ def test_running_counts_match_a_plain_window(spark, sf_small):
     assert a == b
 
 
-def test_nested_and_flat_cell_pivot_agree(spark, sf_small):
-    docs = fx.f5_labelled(spark, sf_small).select("file_name", parse_labelled(F.col("body")).alias("prediction"))
-    flat = pivot_cells(explode_cells(docs, ["file_name"]), ["file_name"])
-    flat_rows = sorted((r.file_name, r.description, r.price_text, r.quantity_text)
-                       for r in flat.collect())
-    nested = docs.select("file_name", F.explode(pivot_cells_nested(F.col("prediction"))).alias("it"))
-    nested_rows = sorted((r.file_name, r.it.description, r.it.price_text, r.it.quantity_text)
-                         for r in nested.collect())
-    assert flat_rows == nested_rows
-
-
-def test_cell_pivot_rules(spark):
-    body = ('{"result": [{"prediction": ['
-            '{"label": "Merchant_Name", "ocr_text": "A"}, {"label": "Merchant_Name", "ocr_text": "B"},'
-            '{"label": "table", "cells": ['
-            '{"label": "Description", "row": 1, "text": "x"}, {"label": "Price", "row": 1, "text": "$2.00"},'
-            '{"label": "Price", "row": 1, "text": "9.99"}, {"label": "Quantity", "row": 1, "text": "3"},'
-            '{"label": "Description", "row": 1, "text": "y"},'
-            '{"label": "Description", "row": 2, "text": "z"}, {"label": "Price", "row": 2, "text": "1.5"}]}'
-            ']}]}')
-    from purchaseflow.operators.labelled import dispatch_labels, price_subtotals
-    docs = spark.createDataFrame([("r.jpg", body)], "file_name string, body string") \
-        .select("file_name", parse_labelled(F.col("body")).alias("prediction"))
-    assert dispatch_labels(docs).first()["business_name"] == "B"
-    items = pivot_cells(explode_cells(docs, ["file_name"]), ["file_name"])
-    got = sorted((r.description, r.price, r.quantity) for r in items.collect())
-    assert got == [("x", 2.0, 3), ("y", 2.0, 3)]  # first price wins, no quantity -> dropped
-    assert price_subtotals(items, ["file_name"]).first()["subtotal"] == 4.0
-
-
-def test_single_pass_labelled_receipts_equal_join_form(spark, sf_small):
-    from purchaseflow.operators.labelled import dispatch_labels, labelled_receipts, price_subtotals
-    docs = fx.f5_labelled(spark, sf_small).select("file_name", parse_labelled(F.col("body")).alias("prediction"))
-    no_table = spark.createDataFrame(
-        [("x.jpg", '{"result": [{"prediction": [{"label": "Merchant_Name", "ocr_text": "M"}]}]}')],
-        "file_name string, body string").select("file_name", parse_labelled(F.col("body")).alias("prediction"))
-    docs = docs.unionByName(no_table)
-    one = labelled_receipts(docs, ["file_name"])
-    head = dispatch_labels(docs).select("file_name", "business_name", "date", "tax", "total")
-    sums = price_subtotals(pivot_cells(explode_cells(docs, ["file_name"]), ["file_name"]), ["file_name"])
-    joined = head.join(sums, "file_name", "left").select(
-        "file_name", "business_name", "date", "tax", "total",
-        F.coalesce("subtotal", F.lit(0.0)).alias("subtotal"),
-        F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"))
-    key = lambda r: (r.file_name, r.business_name, r.date, r.tax, r.total, round(r.subtotal, 6), r.n_items)
-    assert sorted(map(key, one.collect())) == sorted(map(key, joined.collect()))
-    assert {r.file_name: r.n_items for r in one.filter("file_name = 'x.jpg'").collect()} == {"x.jpg": 0}
+def plain_items(prediction):
+    """The pivot as nested loops over one document's cells."""
+    out = []
+    for f in prediction or []:
+        if f["label"] != "table":
+            continue
+        cells = f["cells"] or []
+        for d in cells:
+            if d["label"] != "Description":
+                continue
+            found = [next((c["text"] for c in cells if c["label"] == k and c["row"] == d["row"]), None)
+                     for k in ("Price", "Quantity")]
+            if d["text"] and all(found):
+                out.append((d["row"], d["text"], *found))
+    return out
+
+
+def labelled_docs(spark, bodies):
+    return spark.createDataFrame(list(enumerate(bodies)), "doc long, body string").select(
+        "doc", F.lit("same.jpg").alias("file_name"), parse_labelled(F.col("body")).alias("prediction"))
+
+
+def test_cell_pivot_matches_nested_loops(spark):
+    rng = random.Random(4)
+    bodies = []
+    for _ in range(60):
+        fields = []
+        for _ in range(rng.choice([0, 1, 2])):
+            cells = [{"label": rng.choice(["Description", "Price", "Quantity", "Total"]), "row": rng.choice([None, 1, 2, 3, 7]),
+                      "text": rng.choice(["x", "$2.00", "3", "", None])} for _ in range(rng.choice([0, 1, 4, 30]))]
+            fields.append({"label": "table", "cells": rng.choice([cells, cells, None])})
+        bodies.append(json.dumps({"result": [{"prediction": fields + [{"label": "Merchant_Name", "ocr_text": "M"}]}]}))
+    docs = labelled_docs(spark, bodies + ["{not json", "{}"])
+    got = {}
+    for r in labelled_items(docs, ["doc", "file_name"]).orderBy("doc", "field_pos", "desc_pos").collect():
+        got.setdefault(r.doc, []).append((r.row, r.description, r.price_text, r.quantity_text))
+    want = {i: plain_items(json.loads(b)["result"][0]["prediction"]) for i, b in enumerate(bodies)}
+    assert got == {i: w for i, w in want.items() if w}
+    totals = {r.doc: r.n_items for r in labelled_receipts(docs, ["doc", "file_name"]).collect()}
+    assert totals == {**{i: len(w) for i, w in want.items()}, 60: 0, 61: 0}
+
+
+def test_documents_with_one_name_do_not_mix(spark):
+    def body(price):
+        return json.dumps({"result": [{"prediction": [{"label": "table", "cells": [
+            {"label": "Description", "row": 1, "text": "x"}, {"label": "Price", "row": 1, "text": price},
+            {"label": "Price", "row": 1, "text": "9.99"}, {"label": "Quantity", "row": 1, "text": "3"},
+            {"label": "Description", "row": 1, "text": "y"}, {"label": "Description", "row": 2, "text": "z"},
+            {"label": "Price", "row": 2, "text": "1.5"}]}, {"label": "Merchant_Name", "ocr_text": "A"},
+            {"label": "Merchant_Name", "ocr_text": price}]}]})
+
+    docs = labelled_docs(spark, [body("1.00"), body("2.00")])
+    items = [(r.doc, r.description, r.price, r.quantity) for r in labelled_items(docs, ["doc"]).orderBy("doc", "desc_pos").collect()]
+    assert items == [(0, "x", 1.0, 3), (0, "y", 1.0, 3), (1, "x", 2.0, 3), (1, "y", 2.0, 3)]
+    assert {r.doc: r.subtotal for r in labelled_receipts(docs, ["doc"]).collect()} == {0: 2.0, 1: 4.0}
+    assert {r.doc: r.business_name for r in dispatch_labels(docs).collect()} == {0: "1.00", 1: "2.00"}
+
+
+def test_wide_keys_keep_their_names_apart(spark):
+    keys = spark.createDataFrame([(12345678901,), (12345678904,), (7,)], "k long")
+    assert [r[0] for r in keys.select(fx.file_name_of(F.col("k"))).collect()] == [
+        "12345678901.jpeg", "12345678904.jpeg", "000000007.jpeg"]
