@@ -40,15 +40,16 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID)
         part, at = TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u2").tobytes()
         for rows in batches:
-            for begin in range(0, rows.num_rows, 256):
-                some = rows.slice(begin, 256)
-                blobs = [ids + end for ids in encoder.encode(some.column(1).to_pylist())]
-                sizes = np.array([len(b) // 2 for b in blobs], np.int64)
+            for begin in range(0, rows.num_rows, 512):
+                some = rows.slice(begin, 512)
+                ids, bounds = encoder.encode(some.column(1))
+                sizes = np.diff(bounds) + 1
                 starts = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
+                raw, bounds = ids.tobytes(), (2 * bounds).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(blobs), part, np.int32)), pa.array(starts), some.column(0),
-                     pa.array(sizes), pa.array(blobs, pa.binary())],
+                    [pa.array(np.full(len(sizes), part, np.int32)), pa.array(starts), some.column(0), pa.array(sizes),
+                     pa.array([raw[a:b] + end for a, b in zip(bounds, bounds[1:])], pa.binary())],
                     names=["part", "start", "doc_id", "doc_tokens", "ids"])
 
     stored = staged(documents(docs).mapInArrow(encode, _STORED), "packing")

@@ -1,29 +1,25 @@
 """Ids of whole texts by the ``tokenizers`` library, asked once per distinct piece.
 
 The vocabulary drops white space and never merges over it, so a text's ids are those of
-its pieces in order.  The new pieces of a batch of texts go to the library as one
-pre-split text; a bounded memory keeps the ids of pieces already seen by this worker.
+its pieces in order.  Pieces are cut, hashed and looked up as arrays, a batch of texts at
+a time, in a bounded table of this worker; only pieces that are new become strings and go
+to the library.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from itertools import compress
 
 import numpy as np
+import pyarrow as pa
 
-MEMORY = 800_000
-LONGEST = 64
-# Python's split() takes these for white space, the vocabulary's pattern does not.
-_ODD = re.compile("[\x1c-\x1f]")
-_MARKS = frozenset(".,;:!?")
-_PIECES = re.compile(r"(?:[^\s]|[\x1c-\x1f])+")
-
+from .common import text_bytes
+from .words import word_hashes, word_spans
 
-def _letters(piece: str) -> bool:
-    """Whether the piece is one run of letters, and still is when normalised."""
-    return piece.isalpha() and (piece.isascii() or (
-        unicodedata.is_normalized("NFC", piece) and piece.lower().isalpha()))
+SLOTS = 1 << 22     # of the table; three quarters of them are used at most
+WORDS = 1_000_000   # folded words remembered
+_MARKS = frozenset(".,;:!?")
 
 
 class WordIds:
@@ -36,43 +32,120 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.final = np.zeros(1 << 16, bool)  # the tokens that end a short word
         self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 16-bit integers."""
-        pieces = [_PIECES.findall(t) if _ODD.search(t) else t.split() for t in texts]
-        known = self.known
-        new = set().union(*pieces).difference(known) if pieces else set()
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = set().union(*pieces)
-        # Letters, and letters before one mark: one and two short words, each ended by a
-        # final token, so many of them can share one text.
-        letters = [p for p in new if _letters(p)]
-        marked = [p for p in new if p[-1] in _MARKS and _letters(p[:-1])]
-        self._add(letters, 1)
-        self._add(marked, 2)
-        self._add_split(list(new.difference(letters, marked)))
-        out = [b"".join([known[p] for p in some]) for some in pieces]
-        for p in [p for p in new if len(p) > LONGEST]:
-            del known[p]
-        return out
-
-    def _add(self, pieces: list[str], short_words: int) -> None:
-        texts = [" ".join(pieces[i:i + 128]) for i in range(0, len(pieces), 128)]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = np.array([i for x in found for i in x.ids], "<u2")
-        ends = (2 * (np.flatnonzero(self.final[ids])[short_words - 1::short_words] + 1)).tolist()
-        self._remember(pieces, ids.tobytes(), [0, *ends])
-
-    def _add_split(self, pieces: list[str]) -> None:
-        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u2").tobytes()
-        places = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(pieces) + 1)) * 2
-        self._remember(pieces, ids, places.tolist())
-
-    def _remember(self, pieces: list[str], ids: bytes, ends: list[int]) -> None:
-        self.known.update([(p, ids[a:b]) for p, a, b in zip(pieces, ends, ends[1:])])
+        self.marks = {m: np.array([vocabulary[m + "</w>"]], "<u2").tobytes() for m in _MARKS}
+        self.words: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(SLOTS, np.uint64)      # hash of the piece in each slot; 0: free
+        self.entry = np.zeros(SLOTS, np.int32)      # its number
+        self.ids = np.zeros(1 << 16, "<u2")         # the ids of all pieces, one after another
+        self.ends = np.zeros(1, np.int64)           # where each piece's ids end
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's begin (one more
+        entry than texts)."""
+        raw, offsets = text_bytes(texts)
+        starts, ends, firsts = word_spans(raw, offsets)
+        hashes = np.maximum(word_hashes(raw, starts, ends), np.uint64(1))
+        ids, sizes = [np.zeros(0, "<u2")], [np.zeros(0, np.int64)]
+        for lo in range(0, len(hashes), SLOTS // 4):  # the table holds the pieces of a part
+            part = slice(lo, lo + SLOTS // 4)
+            number = self._numbers(hashes[part], raw, starts[part], ends[part])
+            begin = self.ends[number]
+            size = self.ends[number + 1] - begin
+            total = np.cumsum(size)
+            ids.append(self.ids[np.arange(total[-1]) + np.repeat(begin - total + size, size)])
+            sizes.append(size)
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        return np.concatenate(ids), bounds[firsts]
+
+    def _numbers(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each piece; new pieces are entered first."""
+        number = self._find(hashes)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            new, at = np.unique(hashes[missing], return_index=True)
+            at = missing[at]
+            if len(self.ends) + len(new) > SLOTS // 2:
+                self._clear()
+                new, at = np.unique(hashes, return_index=True)
+                missing = np.arange(len(hashes))
+            self._add(new, [raw[a:b].tobytes().decode("utf-8") for a, b in zip(starts[at], ends[at])])
+            number[missing] = self._find(hashes[missing])
+        return number
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash's piece, -1 if it isn't there."""
+        mask = np.uint64(SLOTS - 1)
+        slot = (hashes & mask).astype(np.int64)
+        key = self.keys[slot]
+        number = np.where(key == hashes, self.entry[slot], -1)
+        todo = np.flatnonzero((key != hashes) & (key != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
+            key = self.keys[slot[todo]]
+            hit = key == hashes[todo]
+            number[todo[hit]] = self.entry[slot[todo[hit]]]
+            todo = todo[~hit & (key != 0)]
+        return number
+
+    def _add(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Enter new pieces (distinct hashes) with their ids."""
+        found = self._new(pieces)
+        blobs = [found[p] for p in pieces]
+        ids = np.frombuffer(b"".join(blobs), "<u2")
+        used, first = int(self.ends[-1]), len(self.ends) - 1
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), "<u2")])
+        self.ids[used:used + len(ids)] = ids
+        sizes = np.array([len(b) // 2 for b in blobs], np.int64)
+        self.ends = np.concatenate([self.ends, used + np.cumsum(sizes)])
+        slot, todo = (hashes & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(hashes))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == 0]
+            _, one = np.unique(slot[free], return_index=True)
+            placed = free[one]
+            self.keys[slot[placed]] = hashes[placed]
+            self.entry[slot[placed]] = first + placed
+            todo = todo[self.keys[slot[todo]] != hashes[todo]]
+            slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces.  Letters, and letters before one mark, share the memory of
+        folded words; the rest goes to the library piece by piece."""
+        joined = " ".join(pieces)
+        if unicodedata.is_normalized("NFC", joined):
+            # Lower case letter by letter, as the vocabulary's normaliser does it.
+            folded = joined.replace("Σ", "σ").lower().split(" ")
+            words = [f[:-1] if f[-1] in _MARKS else f for f in folded]
+            plain = list(map(str.isalpha, words))
+        else:
+            folded = words = pieces
+            plain = [False] * len(pieces)
+        if len(self.words) > WORDS:
+            self.words.clear()
+        known, marks = self.words, self.marks
+        self._learn(list(set(compress(words, plain)).difference(known)))
+        found = {p: known[w] if len(w) == len(f) else known[w] + marks[f[-1]]
+                 for p, f, w, good in zip(pieces, folded, words, plain) if good}
+        other = [p for p, good in zip(pieces, plain) if not good]
+        if other:
+            encoded = self.tokenizer.encode(other, is_pretokenized=True, add_special_tokens=False)
+            places = np.searchsorted(np.array(encoded.word_ids, np.int64), np.arange(len(other) + 1)) * 2
+            found.update(self._cut(other, np.array(encoded.ids, "<u2"), places.tolist()))
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        """Many words share one text: each is ended by a final token."""
+        texts = [" ".join(words[i:i + 128]) for i in range(0, len(words), 128)]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.array([i for x in encoded for i in x.ids], "<u2")
+        self.words.update(self._cut(words, ids, [0, *(2 * (np.flatnonzero(self.final[ids]) + 1)).tolist()]))
+
+    @staticmethod
+    def _cut(pieces: list[str], ids: np.ndarray, ends: list[int]):
+        return zip(pieces, map(ids.tobytes().__getitem__, map(slice, ends, ends[1:])))
 
 
 _LOADED: dict[str, WordIds] = {}

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -42,17 +43,19 @@ def test_both_encoders_agree_with_the_library(library):
         ids, decoded = own.encode(text)
         assert np.frombuffer(ids, "<u2").tolist() == want, text[:60]
         assert decoded == library.decode(want, skip_special_tokens=False)
-        assert np.frombuffer(by_piece.encode([text])[0], "<u2").tolist() == want, text[:60]
+        assert by_piece.encode(pa.array([text]))[0].tolist() == want, text[:60]
 
 
 def test_bounded_memory_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY", 3)
-    monkeypatch.setattr("purchaseflow.llm.token_ids.MEMORY", 3)
+    monkeypatch.setattr("purchaseflow.llm.token_ids.SLOTS", 256)
+    monkeypatch.setattr("purchaseflow.llm.token_ids.WORDS", 3)
     own, by_piece = bpe.WordBpe(PATH), WordIds(PATH)
-    for text in texts()[:80]:
+    for text in [*texts()[:200], " ".join(f"w{i}" for i in range(2000))]:
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(own.encode(text)[0], "<u2").tolist() == want
-        assert np.frombuffer(by_piece.encode([text, text])[1], "<u2").tolist() == want
+        ids, bounds = by_piece.encode(pa.array([text, "x", text]))
+        assert ids[bounds[2]:].tolist() == want
 
 
 def test_bpe_query_on_hard_rows(spark, library):
