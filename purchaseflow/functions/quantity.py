@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .variants import is_fractional_type, is_integer_type, value_parts
+from .variants import is_fractional_type, is_integer_type, is_whole_type, value_parts
 
 
 def float_text(d: Column) -> Column:
-    """Text of a float the way Python prints it for ordinary magnitudes
-    (``2.0``, ``0.5``, ``12.25``)."""
-    whole = F.abs(d) < F.lit(1e16)
-    return F.when((d == F.floor(d)) & whole, F.format_string("%.1f", d)).otherwise(d.cast("string"))
+    """Text of a float the way Python prints it: shortest digits, plain between 0.0001 and
+    1e16 (``2.0``, ``12345678.5``, ``0.0001``), with a two-digit exponent outside
+    (``1e-05``, ``1.5e+16``)."""
+    size = F.abs(d)
+    plain = F.regexp_replace(d.cast("string").try_cast("decimal(38,20)").cast("string"), r"(\.\d*?)0+$", "$1")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    parts = F.split(d.cast("string"), "E")
+    power = parts[1].cast("int")
+    exponent = F.concat(F.regexp_replace(parts[0], r"\.0$", ""), F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
+                        F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    return (F.when((d == F.floor(d)) & (size < F.lit(1e16)), F.format_string("%.1f", d))
+            .when((size >= F.lit(1e-4)) & (size < F.lit(1e16)), plain).otherwise(exponent))
 
 
 def int_text(d: Column) -> Column:
@@ -40,14 +48,14 @@ def normalize_quantity_parts(p: Column) -> Column:
     num = p["num"]
     from_text = quantity_from_text(F.when(t == "STRING", p["str"]).otherwise(p["json"]))
     text_qty_text = F.when(from_text == F.floor(from_text), int_text(from_text)).otherwise(
-        from_text.cast("string"))
+        float_text(from_text))
     default = p["missing"] | p["jnull"]
     quantity = (F.when(default, F.lit(1.0))
                 .when(is_integer_type(t) | is_fractional_type(t), num)
                 .when(t == "BOOLEAN", F.when(p["bool"], F.lit(1.0)).otherwise(F.lit(0.0)))
                 .otherwise(from_text))
     quantity_text = (F.when(default, F.lit("1"))
-                     .when(is_integer_type(t), int_text(num))
+                     .when(is_whole_type(t), p["str"])
                      .when(is_fractional_type(t), float_text(num))
                      .when(t == "BOOLEAN", F.when(p["bool"], F.lit("True")).otherwise(F.lit("False")))
                      .otherwise(text_qty_text))

@@ -23,6 +23,12 @@ def is_integer_type(t: Column) -> Column:
     return t.isin(INTEGER_TYPES)
 
 
+def is_whole_type(t: Column) -> Column:
+    """Integers, also those too wide for a long, which are kept as decimals of 19 digits or
+    more without a fraction (narrower ones are floats such as ``2.0``)."""
+    return is_integer_type(t) | t.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
+
+
 def is_fractional_type(t: Column) -> Column:
     return t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT")
 
@@ -37,10 +43,6 @@ def field(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", "variant")
 
 
-def is_json_null(f: Column) -> Column:
-    return f.isNotNull() & F.is_variant_null(f)
-
-
 def with_parsed(df, source: str, name: str = "_v"):
     """``df`` plus ``name`` = ``try_parse_json(source)`` as its own projection.
 
@@ -99,11 +101,3 @@ def parts_truthy(p: Column) -> Column:
             .when(t == "BOOLEAN", p["bool"])
             .when(t == "STRING", p["str"] != "")
             .otherwise(~p["json"].isin("[]", "{}")))
-
-
-def variant_text(f: Column) -> Column:
-    return parts_text(value_parts(f))
-
-
-def is_truthy(f: Column) -> Column:
-    return parts_truthy(value_parts(f))

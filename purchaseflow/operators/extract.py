@@ -1,177 +1,230 @@
-"""Extraction stage (ENR1-ENR5): the only step that leaves the JVM.
+"""Extraction stage (ENR1-ENR5): the only step that calls out of the engine.
 
 ``extract`` runs an injected extractor over the partitions of a file frame with
-``mapInPandas`` (Arrow batches in and out).  The extractor is built once per
-partition by ``extractor_factory`` (for a model client: one client per task), and
-is called per record -- a record is one external call.  Per record the stage
-measures the elapsed time, applies the retry policy of the reference (``429``:
-exponential wait, ``400``: short wait; at most 3 retries), enforces the per-record
-deadline as a status (not as a lost result), and emits one row of the attempt-log
-schema.  Concurrency is bounded by repartitioning to ``max_concurrency`` tasks;
-AQE never coalesces a ``repartition(n)`` with an explicit number.
-
-The attempt rows are meant to be appended to the log first and everything else
-derived from the log, so a recomputation never calls the extractor twice for a
-committed batch.
+``mapInPandas`` (Arrow batches in and out).  The extractor is built once per partition by
+``extractor_factory`` (for a model client: one client per task) and has two calls, as the
+record has two steps: ``ocr(record, limit_s)`` and ``chat(raw_ocr, limit_s)``.  Each call
+is told the seconds it may take and must give up by itself (``ExtractTimeout``); a call
+cannot be interrupted from outside.
+
+Per record the stage keeps a random gap to the one before, retries each call by the retry
+policy, turns limits and errors into a status with the error's text, and reports two
+times: of the calls that counted, and of everything since the record began.  Rows leave
+the stage every few records, and partitions are small, so a lost task repeats few calls.
+How many tasks run at once is the cluster's business: give ``extract`` a resource profile
+whose tasks claim as many cores as the rate limit asks for.
+
+The attempt rows are meant to be appended to the log first and everything else derived
+from the log (:mod:`purchaseflow.operators.job`), so a recomputation never calls the
+extractor twice for a committed batch.
 """
 
 from __future__ import annotations
 
-import json
 import random
-import re
 import time
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from ..schemas import ATTEMPTS
 from ..session import ship_package
 
-# The reference's per-record limits and retry policy.
-RECORD_TIME_LIMIT_S = 180.0
+# The limits and the retry policy of a record.
+RECORD_LIMIT_S = 180.0
+STEP_LIMIT_S = {"ocr": 60.0, "chat": 90.0}
 MAX_RETRIES = 3
 RATE_LIMIT_BASE_S = 30
 RATE_LIMIT_JITTER_S = (1, 30)
 BAD_REQUEST_WAIT_S = 5
-MIN_GAP_S = (2, 5)
+GAP_S = (2, 5)
 
-Extractor = Callable[[dict], "tuple[str, str] | None"]
+# Rows per output batch: what a failing task repeats at most, besides its last record.
+CHUNK = 16
+
+
+class Extractor(Protocol):
+    """The two external calls of a record; each returns None when it has no answer."""
+
+    def ocr(self, record: dict, limit_s: float) -> str | None: ...
+
+    def chat(self, raw_ocr: str, limit_s: float) -> str | None: ...
 
 
 class ExtractTimeout(Exception):
-    """Raised by an extractor (or the stage) when a record runs past its deadline."""
+    """Raised by an extractor (or the stage) when a call runs past its limit."""
+
 
+class StepError(Exception):
+    """A call failed for good; the text starts with the step's name."""
 
-def retry_wait(retry_no: int, error_text: str, rng: random.Random) -> float | None:
-    """ENR4: seconds to wait before retry ``retry_no`` (0-based), or None when the
-    error is not retryable or retries are used up."""
+
+def retry_wait(retry_no: int, error: str, rng: random.Random) -> float | None:
+    """ENR4: seconds to wait before retry ``retry_no`` (0-based) of a call, or None when
+    the error is final.  ``error`` is ``<step>: <message>``: a 429 is retried in either
+    step, a 400 only in the first."""
     if retry_no >= MAX_RETRIES:
         return None
-    if "429" in error_text:
+    if "429" in error:
         return (2 ** retry_no) * RATE_LIMIT_BASE_S + rng.randint(*RATE_LIMIT_JITTER_S)
-    if "400" in error_text:
+    if error.startswith("ocr:") and "400" in error:
         return BAD_REQUEST_WAIT_S
     return None
 
 
-def run_one(record: dict, extractor: Extractor, deadline_s: float,
-            sleep: Callable[[float], None], clock: Callable[[], float],
-            rng: random.Random) -> tuple[str, str | None, str | None, float]:
-    """One record through the extractor with retries and a deadline.
-    Returns ``(status, raw_ocr, response, elapsed)``."""
-    start = clock()
+def _call(step: str, call: Callable[[float], str | None], until: float, sleep: Callable[[float], None],
+          clock: Callable[[], float], rng: random.Random) -> tuple[str | None, float]:
+    """One step with its own retries -> its answer and the seconds of the call that gave it."""
     retry_no = 0
     while True:
+        begin = clock()
+        limit = min(STEP_LIMIT_S[step], until - begin)
+        if limit <= 0:
+            raise ExtractTimeout(f"{step}: no time left")
         try:
-            out = extractor(record)
-            elapsed = clock() - start
-            if elapsed > deadline_s:
-                return "timeout", None, None, elapsed
-            if out is None:
-                return "failed", None, None, elapsed
-            raw_ocr, response = out
-            return "ok", raw_ocr, response, elapsed
-        except ExtractTimeout:
-            return "timeout", None, None, clock() - start
-        except Exception as exc:  # noqa: BLE001 - any extractor error is a status
-            wait = retry_wait(retry_no, str(exc), rng)
+            answer = call(limit)
+        except ExtractTimeout as exc:
+            raise ExtractTimeout(f"{step}: {exc}") from exc
+        except Exception as exc:  # noqa: BLE001 - any error of the extractor is a status
+            error = f"{step}: {exc}"
+            wait = retry_wait(retry_no, error, rng)
             if wait is None:
-                return "error", None, None, clock() - start
-            if clock() - start + wait > deadline_s:
-                return "timeout", None, None, clock() - start
+                raise StepError(error) from exc
+            if clock() + wait > until:
+                raise ExtractTimeout(f"{error} (no time for a retry)") from exc
             sleep(wait)
             retry_no += 1
+            continue
+        took = clock() - begin
+        if took > limit:
+            raise ExtractTimeout(f"{step}: took {took:.1f} s")
+        return answer, took
+
+
+def run_one(record: dict, extractor: Extractor, sleep: Callable[[float], None], clock: Callable[[], float],
+            rng: random.Random, limit_s: float = RECORD_LIMIT_S
+            ) -> tuple[str, str | None, str | None, float, float, str | None]:
+    """One record -> ``(status, raw_ocr, response, processing_time, wall_time, error)``.
+    ``processing_time`` counts the calls that answered, ``wall_time`` also failed calls
+    and waits."""
+    start = clock()
+    until, spent, raw_ocr = start + limit_s, 0.0, None
+
+    def out(status: str, response: str | None = None, error: str | None = None):
+        kept = raw_ocr if status == "ok" else None
+        return status, kept, response, spent, clock() - start, error
+
+    try:
+        raw_ocr, took = _call("ocr", lambda s: extractor.ocr(record, s), until, sleep, clock, rng)
+        spent += took
+        if raw_ocr is None:
+            return out("failed", error="ocr: no answer")
+        response, took = _call("chat", lambda s: extractor.chat(raw_ocr, s), until, sleep, clock, rng)
+        spent += took
+        return out("failed", error="chat: no answer") if response is None else out("ok", response)
+    except ExtractTimeout as exc:
+        return out("timeout", error=str(exc))
+    except StepError as exc:
+        return out("error", error=str(exc))
 
 
 def extract(files: DataFrame, extractor_factory: Callable[[], Extractor], run_id: str,
-            seq_base: int = 0, deadline_s: float = RECORD_TIME_LIMIT_S,
-            max_concurrency: int | None = None, min_gap_s: float = 0.0,
-            input_cols: list[str] | None = None,
-            sleep: Callable[[float], None] = time.sleep,
+            run_seq: int | None = None, input_cols: list[str] | None = None, partitions: int | None = None,
+            gap_s: tuple[float, float] | None = GAP_S, limit_s: float = RECORD_LIMIT_S,
+            profile: ResourceProfile | None = None, sleep: Callable[[float], None] = time.sleep,
             clock: Callable[[], float] = time.monotonic) -> DataFrame:
     """ENR1 (+ENR3-ENR5): attempt rows for every file of ``files``.
 
-    ``files`` needs ``file_name`` and ``path``; ``input_cols`` (default: all columns)
-    are handed to the extractor as a dict per record.  ``attempt_seq`` is
-    ``seq_base`` + a unique increasing id.
+    ``files`` needs ``file_name`` and ``path``; ``input_cols`` (default: all columns) are
+    handed to the extractor as a dict per record.  An attempt's place in the log is
+    (``run_seq``, ``attempt_seq``): ``run_seq`` is the run's start in milliseconds unless
+    given, so a later run always comes after an earlier one, and ``attempt_seq`` is unique
+    within the run.  ``partitions`` cuts the work in many small tasks; ``gap_s`` bounds the
+    random gap between two records of a task; ``profile`` limits how many run at once.
     """
     cols = input_cols or files.columns
     ship_package(files.sparkSession)
-    staged = files.select(*cols, (F.lit(seq_base) + F.monotonically_increasing_id()).alias("_seq"))
-    if max_concurrency:
-        staged = staged.repartition(max_concurrency)
+    run_no = int(time.time() * 1000) if run_seq is None else run_seq
+    spread = files.repartition(partitions) if partitions else files
+    numbered = spread.select(*cols, F.monotonically_increasing_id().alias("_seq"))
+    names = [f.name for f in ATTEMPTS.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extractor = extractor_factory()
-        rng = random.Random(seq_base)
-        first = True
+        # Every task of every run draws waits of its own.
+        rng = random.Random(f"{run_id}/{run_no}/{TaskContext.get().partitionId()}")
+        first, rows = True, []
         for pdf in batches:
-            out = []
             for rec in pdf.to_dict("records"):
-                if not first and min_gap_s:
-                    sleep(min_gap_s)
+                if not first and gap_s:
+                    sleep(rng.uniform(*gap_s))
                 first = False
-                status, raw_ocr, response, elapsed = run_one(
-                    {k: rec[k] for k in cols}, extractor, deadline_s, sleep, clock, rng)
-                out.append((run_id, rec["file_name"], rec["path"], int(rec["_seq"]), status,
-                            raw_ocr, response, float(elapsed), pd.Timestamp.now(tz="UTC").tz_localize(None)))
-            yield pd.DataFrame(out, columns=[f.name for f in ATTEMPTS.fields])
-
-    return staged.mapInPandas(run, ATTEMPTS)
-
-
-def throttle_gap(rng: random.Random) -> float:
-    """ENR5: the reference's random gap between records (2-5 s)."""
-    return float(rng.randint(*MIN_GAP_S))
-
-
-def retry_plan(status: Column, retry_no: Column, attempted_at: Column, jitter: Column) -> Column:
-    """ENR4 as a plannable column: ``struct(wait_seconds, next_attempt_at, give_up)`` for
-    retryable attempts, so retries become a later batch instead of a blocked task."""
-    retryable = status.isin("timeout", "failed", "error")
-    give_up = retry_no >= MAX_RETRIES
-    wait = (F.pow(F.lit(2), retry_no) * RATE_LIMIT_BASE_S + jitter).cast("bigint")
-    wait = F.when(retryable & ~give_up, wait)
+                status, raw_ocr, response, spent, wall, error = run_one(
+                    {k: rec[k] for k in cols}, extractor, sleep, clock, rng, limit_s)
+                rows.append((run_id, run_no, rec["file_name"], rec["path"], int(rec["_seq"]), status, raw_ocr, response,
+                             spent, wall, error, pd.Timestamp.now(tz="UTC").tz_localize(None)))
+                if len(rows) == CHUNK:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    return numbered.mapInPandas(run, ATTEMPTS, profile=profile)
+
+
+def retry_plan(error: Column, retry_no: Column, attempted_at: Column, jitter: Column) -> Column:
+    """ENR4 as a plannable column, with the same rules as :func:`retry_wait`:
+    ``struct(wait_seconds, next_attempt_at, give_up)``, so retries become a later batch
+    instead of a blocked task.  ``give_up``: the error is final or retries are used up."""
+    limited = F.coalesce(error.contains("429"), F.lit(False))
+    bad_request = F.coalesce(error.startswith("ocr:") & error.contains("400"), F.lit(False))
+    left = retry_no < MAX_RETRIES
+    wait = (F.when(left & limited, (F.pow(F.lit(2), retry_no) * RATE_LIMIT_BASE_S + jitter).cast("bigint"))
+            .when(left & bad_request, F.lit(BAD_REQUEST_WAIT_S).cast("bigint")))
     return F.struct(wait.alias("wait_seconds"),
-                    (attempted_at + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), wait))
-                    .alias("next_attempt_at"),
-                    (retryable & give_up).alias("give_up"))
+                    (attempted_at + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), wait)).alias("next_attempt_at"),
+                    wait.isNull().alias("give_up"))
 
 
 # ---------------------------------------------------------------- offline extractor
 
-_ITEM_LINE = re.compile(r"^(\d+) x (.+) (\$\d+\.\d{2})$")
-_FIELD_LINE = re.compile(r"^(Date|Subtotal|Tax|Total): (.*)$")
-
-
-def parse_ocr_text(text: str) -> str:
-    """ENR2: a model stand-in that reads the OCR markdown layout (``# name``,
+def answer_of_text(text: Column) -> Column:
+    """ENR2: a model stand-in in columns.  It reads the OCR markdown layout (``# name``,
     ``Date:``, ``<qty> x <description> $<price>`` lines, ``Subtotal:``, ``Tax:``,
-    ``Total:``) and answers with the JSON the prompt asks for."""
-    doc: dict = {"items": []}
-    for line in (text or "").splitlines():
-        if line.startswith("# ") and "business_name" not in doc:
-            doc["business_name"] = line[2:]
-            continue
-        m = _ITEM_LINE.match(line)
-        if m:
-            doc["items"].append({"description": m.group(2), "quantity": int(m.group(1)),
-                                 "price": m.group(3)})
-            continue
-        m = _FIELD_LINE.match(line)
-        if m:
-            doc[m.group(1).lower()] = m.group(2)
-    return json.dumps(doc)
-
-
-def offline_extractor_factory(text_col: str = "ocr_text") -> Callable[[], Extractor]:
-    """Factory of the offline extractor: OCR text comes from ``text_col``."""
-    def build() -> Extractor:
-        def extractor(record: dict):
-            text = record.get(text_col)
-            return text, parse_ocr_text(text)
-        return extractor
-    return build
+    ``Total:``) and answers with the JSON that the prompt asks for; keys that the text
+    does not have stay out."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    item = r"^(\d+) x (.+) (\$\d+\.\d{2})$"
+    items = F.transform(F.filter(lines, lambda x: x.rlike(item)), lambda x: F.struct(
+        F.regexp_extract(x, item, 2).alias("description"),
+        F.regexp_extract(x, item, 1).cast("bigint").alias("quantity"),
+        F.regexp_extract(x, item, 3).alias("price")))
+
+    def last(label: str) -> Column:
+        hits = F.filter(lines, lambda x: x.startswith(f"{label}: "))
+        return F.substring(F.try_element_at(hits, F.lit(-1)), F.lit(len(label) + 3), F.length(F.try_element_at(hits, F.lit(-1))))
+
+    name = F.try_element_at(F.filter(lines, lambda x: x.startswith("# ")), F.lit(1))
+    return F.to_json(F.struct(F.substring(name, F.lit(3), F.length(name)).alias("business_name"), last("Date").alias("date"),
+                              items.alias("items"), last("Subtotal").alias("subtotal"), last("Tax").alias("tax"),
+                              last("Total").alias("total")))
+
+
+def extract_offline(files: DataFrame, run_id: str, run_seq: int, text_col: str = "ocr_text",
+                    failed: Column | None = None) -> DataFrame:
+    """Attempt rows of the offline extractor, all in columns: ``failed`` marks records
+    whose call has no answer."""
+    miss = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)
+    text = F.when(~miss, F.coalesce(F.col(text_col), F.lit("")))
+    values = {
+        "run_id": F.lit(run_id), "run_seq": F.lit(run_seq).cast("long"), "file_name": F.col("file_name"), "path": F.col("path"),
+        "attempt_seq": F.monotonically_increasing_id(), "status": F.when(miss, F.lit("failed")).otherwise(F.lit("ok")),
+        "raw_ocr": text, "response": F.when(~miss, answer_of_text(F.col(text_col))),
+        "processing_time": F.lit(0.0), "wall_time": F.lit(0.0), "error": F.when(miss, F.lit("ocr: no answer")),
+        "attempted_at": F.localtimestamp()}
+    return files.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in ATTEMPTS.fields])

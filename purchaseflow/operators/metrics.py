@@ -7,7 +7,9 @@ totals are aggregated (partial aggregation, small output), an exclusive prefix o
 the bucket totals gives each bucket's offset, and a window partitioned by
 (run, bucket) adds the running count inside the bucket.  A run holding a third of
 all rows is therefore spread over many buckets; only the small bucket-total table
-is windowed per run.
+is windowed per run.  The windowed rows are checkpointed, so the input is read and
+shuffled once: the bucket totals are the last running counts of each bucket, and both
+uses keep the partitioning of the window.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from .state import RESULT_STATUSES, SKIP_STATUSES
 
-DEFAULT_BUCKET_WIDTH = 1 << 16
+DEFAULT_BUCKET_WIDTH = 1 << 18
 
 
 def running_counts(df: DataFrame, partition: list[str], order: str, flags: dict[str, Column],
@@ -25,20 +28,21 @@ def running_counts(df: DataFrame, partition: list[str], order: str, flags: dict[
     """Inclusive running ``count(*)`` (as ``n``) and running sums of 0/1 ``flags``
     over rows of each ``partition`` ordered by the unique, integral ``order`` column."""
     names = list(flags)
+    checkpoint_dir(df.sparkSession)
     b = df.select("*", *[F.when(c, 1).otherwise(0).alias(f"_f_{k}") for k, c in flags.items()],
                   F.floor(F.col(order) / F.lit(bucket_width)).alias("_bucket"))
-    totals = b.groupBy(*partition, "_bucket").agg(
-        F.count(F.lit(1)).alias("_t_n"), *[F.sum(f"_f_{k}").alias(f"_t_{k}") for k in names])
+    upto = Window.partitionBy(*partition, "_bucket").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    within = b.select(*df.columns, "_bucket", F.count(F.lit(1)).over(upto).alias("_w_n"),
+                      *[F.sum(f"_f_{k}").over(upto).alias(f"_w_{k}") for k in names]).checkpoint()
+    totals = within.groupBy(*partition, "_bucket").agg(
+        F.max("_w_n").alias("_t_n"), *[F.max(f"_w_{k}").alias(f"_t_{k}") for k in names])
     before = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = totals.select(
         *partition, "_bucket",
         F.coalesce(F.sum("_t_n").over(before), F.lit(0)).alias("_o_n"),
         *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in names])
-    upto = Window.partitionBy(*partition, "_bucket").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    within = b.select("*", F.count(F.lit(1)).over(upto).alias("_w_n"),
-                      *[F.sum(f"_f_{k}").over(upto).alias(f"_w_{k}") for k in names])
     joined = within.join(offsets, [*partition, "_bucket"])
     return joined.select(
         *df.columns, (F.col("_o_n") + F.col("_w_n")).alias("n"),
@@ -51,7 +55,7 @@ def progress(attempts: DataFrame, bucket_width: int = DEFAULT_BUCKET_WIDTH) -> D
     timed-out and errored files count but print no progress line, so their rows are
     dropped after counting."""
     s = F.col("status")
-    counted = running_counts(attempts, ["run_id"], "attempt_seq",
+    counted = running_counts(attempts.select("run_id", "attempt_seq", "file_name", "status"), ["run_id"], "attempt_seq",
                              {"succeeded": s.isin(*RESULT_STATUSES)}, bucket_width)
     rate = F.coalesce(F.try_divide(F.col("succeeded") * F.lit(100.0), F.col("n")), F.lit(0.0))
     return (counted.filter(~F.col("status").isin("timeout", "error"))

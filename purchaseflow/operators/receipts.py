@@ -3,7 +3,8 @@
 Covers SRC7 (parse), FN8 (default missing keys), FN9 (non-list items), REL6 (valid
 items), FN10 (the composite), REL5/REL4 (projections), REL8 (explode), REL12
 (failure routing) and FN13 (item text).  Everything is one narrow ``select`` chain
-over VARIANT values: no UDF, no shuffle, whole-stage codegen end to end.
+over VARIANT values: no UDF and no shuffle; the top level is code-generated, the passes
+over the item array are not (higher-order functions are interpreted).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import standardize_date
+from ..functions.dates import date_value, standardize_date
 from ..functions.price import clean_price_parts
 from ..functions.quantity import normalize_quantity_parts
 from ..functions.text import items_text, line_total, strip_text
@@ -50,9 +51,9 @@ def valid_items(v: Column, compat: bool = False) -> Column:
     """FN9 + REL6 + FN5/FN7/FN1 per element: ``array<struct<description, quantity,
     quantity_text, price>>``; object elements with a non-blank description only.
 
-    Three passes over the array, each a cheap per-element step: (1) read every
-    element as a struct of three variant fields (null for non-objects, which are
-    dropped), (2) extract each field's views once, (3) derive the cleaned values.
+    Six passes over the array, each a cheap per-element step: read every element as a
+    struct of three variant fields, drop the non-objects, type each field, extract its
+    views once, derive the cleaned values, drop blank descriptions.
     """
     arr = F.coalesce(F.try_variant_get(v, "$.items", "array<variant>"),
                      F.array().cast("array<variant>"))
@@ -72,9 +73,11 @@ def validate_receipts(df: DataFrame, response: str = "response", compat: bool =
     """Add the validated receipt columns to ``df``.
 
     New columns: ``parse_status`` (``ok``; ``bad_json`` when the text is no JSON;
-    ``failed`` when the top level is no object or a non-text date cannot be read),
-    ``business_name``, ``business_address``, ``date``, ``date_value``, ``items``,
-    ``subtotal``, ``tax``, ``total``.
+    ``failed`` when the top level is no object), ``business_name``, ``business_address``,
+    ``date``, ``date_value`` (a DATE, null when the text is none), ``items``, ``subtotal``,
+    ``tax``, ``total`` and ``extra_json`` (the other keys of the answer as one JSON object,
+    null without any).  A date that is no text is read from its text; with ``compat`` the
+    whole receipt is ``failed`` instead (quirk K12).
     """
     # Stage 1: parse once.  Later stages reference the parsed value and the extracted
     # fields as attributes, so Catalyst keeps them as separate projections instead of
@@ -83,6 +86,8 @@ def validate_receipts(df: DataFrame, response: str = "response", compat: bool =
     parsed = df.withColumn("_v", F.try_parse_json(F.col(response)))
     # Stage 2: top-level type and the variant fields.
     fields = parsed.select("*", vtype(v).alias("_t"),
+                           F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"),
+                                        lambda k, _: ~k.isin(REQUIRED_KEYS)).alias("_extra"),
                            *[field(v, k).alias(f"_f_{k}") for k in TOP_LEVEL])
     # Stage 3: each field's type name as its own column.  The cleaning expressions
     # test the type in many branches; reading an attribute keeps the generated code
@@ -93,16 +98,17 @@ def validate_receipts(df: DataFrame, response: str = "response", compat: bool =
     def parts(k: str) -> Column:
         return views(F.struct(F.col(f"_f_{k}").alias("v"), F.col(f"_t_{k}").alias("t")))
     date_p = parts("date")
-    bad_date = ~date_p["missing"] & ~date_p["jnull"] & (date_p["t"] != "STRING") & parts_truthy(date_p)
+    odd_date = ~date_p["missing"] & ~date_p["jnull"] & (date_p["t"] != "STRING") & parts_truthy(date_p)
     status = (F.when(v.isNull(), F.lit("bad_json"))
               .when(~F.col("_t").startswith("OBJECT"), F.lit("failed"))
-              .when(bad_date, F.lit("failed"))
+              .when(odd_date & F.lit(compat), F.lit("failed"))
               .otherwise(F.lit("ok")))
     # Stage 4: status and the raw date text.
     staged = fields.withColumn("parse_status", status) \
-        .withColumn("_date_raw", _text_value(date_p))
+        .withColumn("_date_raw", _text_value(date_p)).withColumn("_date_read", (F.col("_t_date") == "STRING") | odd_date)
     raw_date = F.col("_date_raw")
-    date = F.when(F.col("_t_date") == "STRING", standardize_date(raw_date, day_first)).otherwise(raw_date)
+    staged = staged.withColumn("_date", F.when(F.col("_date_read"), standardize_date(raw_date, day_first)).otherwise(raw_date))
+    date = F.col("_date")
     ok = F.col("parse_status") == "ok"
     empty_items = F.array().cast("array<struct<description:string,quantity:double,"
                                  "quantity_text:string,price:double>>")
@@ -111,23 +117,34 @@ def validate_receipts(df: DataFrame, response: str = "response", compat: bool =
         F.when(ok, _text_value(parts("business_name"))).otherwise(F.lit("")).alias("business_name"),
         F.when(ok, _text_value(parts("business_address"))).otherwise(F.lit("")).alias("business_address"),
         F.when(ok, date).otherwise(F.lit("")).alias("date"),
+        F.when(ok, date_value(date)).alias("date_value"),
         F.when(ok, valid_items(v, compat)).otherwise(empty_items).alias("items"),
         F.when(ok, clean_price_parts(parts("subtotal"))).otherwise(F.lit(0.0)).alias("subtotal"),
         F.when(ok, clean_price_parts(parts("tax"))).otherwise(F.lit(0.0)).alias("tax"),
-        F.when(ok, clean_price_parts(parts("total"))).otherwise(F.lit(0.0)).alias("total"))
+        F.when(ok, clean_price_parts(parts("total"))).otherwise(F.lit(0.0)).alias("total"),
+        F.when(ok & (F.size("_extra") > 0), F.to_json("_extra")).alias("extra_json"))
     return out
 
 
+def is_receipt(response: Column) -> Column:
+    """Whether a response is a JSON object (anything else makes no receipt)."""
+    return F.coalesce(vtype(F.try_parse_json(response)).startswith("OBJECT"), F.lit(False))
+
+
 def extracted_json(prefix: str = "") -> Column:
-    """SNK6: JSON text of the validated receipt with nulls kept."""
+    """SNK6: JSON text of the validated receipt, nulls and the answer's other keys kept."""
     c = lambda n: F.col(prefix + n)
     items = F.transform(c("items"), lambda it: F.struct(
         it["description"].alias("description"), it["quantity"].alias("quantity"),
         it["price"].alias("price")))
-    return F.to_json(F.struct(
+    own = F.to_json(F.struct(
         c("business_name").alias("business_name"), c("business_address").alias("business_address"),
         c("date").alias("date"), items.alias("items"), c("subtotal").alias("subtotal"),
         c("tax").alias("tax"), c("total").alias("total")), {"ignoreNullFields": "false"})
+    extra = c("extra_json")
+    # Two objects become one: the first without its last brace, the second without its first.
+    return F.when(extra.isNull(), own).otherwise(F.concat(
+        F.substring(own, F.lit(1), F.length(own) - 1), F.lit(","), F.substring(extra, F.lit(2), F.length(extra))))
 
 
 def to_result_rows(df: DataFrame, keep: list[str] | None = None) -> DataFrame:

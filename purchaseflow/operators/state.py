@@ -4,11 +4,11 @@ REL11 (latest wins upsert), REL13 (union of old and new rows), REL1 (completed /
 placeholder split), REL2 (pending files), REL3 (dummy-row filter) and REL12's
 placeholder rows.
 
-Scale notes: the latest attempt per file is a ``max_by`` hash aggregation, which
-Spark runs as partial (map-side) + final aggregation, so a file with a huge number
-of attempts is pre-reduced in every map task before the shuffle.  Pending files are
-a left-anti join; Catalyst/AQE broadcast the smaller side only when its measured
-size is under the broadcast threshold and fall back to a shuffled join otherwise.
+Scale notes: the latest place of a file is found by hash aggregation over numbers
+(partial in every map task, so a file with a huge number of attempts is pre-reduced), and
+its columns are then fetched by (file, place).  Pending files are a left-anti join;
+Catalyst/AQE broadcast the smaller side only when its measured size is under the broadcast
+threshold and fall back to a shuffled join otherwise.
 """
 
 from __future__ import annotations
@@ -22,22 +22,37 @@ RESULT_STATUSES = ("ok", "bad_json")            # a result dict was produced
 SKIP_STATUSES = ("failed", "timeout", "error")  # placeholder row + skipped entry
 
 
-def latest_attempts(attempts: DataFrame, key: str = "file_name",
-                    order: str = "attempt_seq", payload: list[str] | None = None) -> DataFrame:
-    """REL11: one row per file, the attempt with the highest sequence number, plus
-    ``first_seen`` (lowest sequence, for output order) and ``n_attempts``.
+LOG_ORDER = ["run_seq", "attempt_seq"]
 
-    ``payload`` limits the columns carried through the aggregation (default: all).
-    Column pruning does not reach through ``max_by(struct(...))``, so callers that
-    need only the status should say so -- the large ``raw_ocr``/``response`` texts are
-    then neither read nor shuffled; join them back by (file, sequence) when needed.
+
+def latest_attempts(attempts: DataFrame, key: str = "file_name", order: list[str] | None = None,
+                    payload: list[str] | None = None) -> DataFrame:
+    """REL11: one row per file, the attempt with the highest place in the log, plus
+    ``first_seen`` (the lowest sequence number of its first run, for output order) and
+    ``n_attempts``.
+
+    ``order`` is the log's order: the run, then the number within the run
+    (``LOG_ORDER``), or a single column that is unique over all runs.  ``payload`` limits
+    the columns that are fetched (default: all); say so when only the status is needed:
+    the large texts are then neither read nor shuffled.  Rows repeated exactly count as
+    one result.
     """
-    payload = [c for c in (payload or attempts.columns) if c not in (key, order)] + [order]
-    latest = attempts.groupBy(key).agg(
-        F.max_by(F.struct(*payload), F.col(order)).alias("_latest"),
-        F.min(order).alias("first_seen"),
-        F.count(F.lit(1)).alias("n_attempts"))
-    return latest.select(key, "_latest.*", "first_seen", "n_attempts")
+    order = order or LOG_ORDER
+    columns = [c for c in (payload or attempts.columns) if c not in (key, *order)]
+    *run, seq = order
+    places = attempts.groupBy(key, *run).agg(
+        F.max(seq).alias("_high"), F.min(seq).alias("_low"), F.count(F.lit(1)).alias("_n"))
+    if run:
+        runs = places.groupBy(key).agg(F.max(run[0]).alias("_last"), F.min(run[0]).alias("_first"),
+                                       F.sum("_n").alias("n_attempts"))
+        low = places.select(key, F.col(run[0]).alias("_first"), F.col("_low").alias("first_seen"))
+        places = (places.select(key, F.col(run[0]).alias("_last"), F.col("_high"))
+                  .join(runs, [key, "_last"]).join(low, [key, "_first"])
+                  .select(key, F.col("_last").alias(run[0]), F.col("_high").alias(seq), "first_seen", "n_attempts"))
+    else:
+        places = places.select(key, F.col("_high").alias(seq), F.col("_low").alias("first_seen"), F.col("_n").alias("n_attempts"))
+    return (attempts.select(key, *order, *columns).join(places, [key, *order]).distinct()
+            .select(key, *columns, *order, "first_seen", "n_attempts"))
 
 
 def union_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -78,13 +93,11 @@ def pending_files(files: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def pending_from_results(files: DataFrame, results: DataFrame) -> DataFrame:
-    """REL2 for CSV interop: files not completed, plus files whose row is a placeholder."""
-    split = split_results(results, files)
-    completed = split.filter(F.col("state") == "completed").select(F.col("File_Name").alias("file_name"))
-    placeholders = split.filter(F.col("state") == "placeholder").select(F.col("File_Name").alias("file_name"))
-    return (files.join(completed, "file_name", "left_anti")
-            .unionByName(files.join(placeholders, "file_name", "left_semi"))
-            .distinct())
+    """REL2 for CSV interop: files of the slice without a result row, or with a row that
+    is a placeholder (blank or null ``Business_Name``)."""
+    named = F.coalesce(F.col("Business_Name"), F.lit("")) != ""
+    done = results.groupBy("File_Name").agg(F.bool_and(named).alias("done")).filter("done")
+    return files.join(done.select(F.col("File_Name").alias("file_name")), "file_name", "left_anti")
 
 
 def drop_dummy_rows(results: DataFrame) -> DataFrame:

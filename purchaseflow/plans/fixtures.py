@@ -28,6 +28,9 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 F3_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyyy",
               "MMMM dd, yyyy", "dd MMMM yyyy", "MM/dd/yy", "dd/MM/yy", "yyyy/MM/dd",
               "dd.MM.yyyy", "MM.dd.yyyy"]
+# Error texts of failed attempts (F6); index = event id % 4.
+F6_ERRORS = ["ocr: HTTP 429 Too Many Requests", "ocr: HTTP 400 Bad Request", "chat: HTTP 400 Bad Request",
+             "chat: HTTP 500 Server Error"]
 # Odd date renderings for the fallback (F4); index = order key % 6.
 F4_FORMATS = ["MM/dd/yyyy HH:mm", "yyyy-MM-dd'T'HH:mm", "MM-dd-yy", "dd-MM-yy", "MMM d, yyyy", None]
 
@@ -128,11 +131,16 @@ def _f1_item(x: Column, i: Column) -> Column:
     desc = (F.when(blank, F.lit("  "))
             .when(rn % 3 == 1, F.concat(F.lit("\t"), x["p_name"], F.lit(" ")))
             .otherwise(x["p_name"]))
-    qty = (F.when(rn % 5 == 0, q)
-           .when(rn % 5 == 1, json_str(F.concat(q, F.lit("x"))))
-           .when(rn % 5 == 2, F.lit("null"))
-           .when(rn % 5 == 3, json_str(F.concat(q, F.lit(".0 kg"))))
-           .otherwise(F.concat(q, F.lit(".0"))))
+    two = F.lpad(q, 2, "0")
+    code = x["l_partkey"] % 8
+    qty = (F.when(code == 0, q)
+           .when(code == 1, json_str(F.concat(q, F.lit("x"))))
+           .when(code == 2, F.lit("null"))
+           .when(code == 3, json_str(F.concat(q, F.lit(".0 kg"))))
+           .when(code == 4, F.concat(q, F.lit(".0")))
+           .when(code == 5, F.concat(F.lit("90071992547410"), two))     # beyond 2^53
+           .when(code == 6, F.concat(F.lit("123456"), two, F.lit(".5")))  # beyond 1e7
+           .otherwise(F.concat(F.lit("0.0005"), two)))                  # below 1e-3
     c = x["cents"]
     price = (F.when(rn % 4 == 0, cents_text(c))
              .when(rn % 4 == 1, json_str(F.concat(F.lit("$"), cents_text(c))))
@@ -206,12 +214,17 @@ def f2_line_text(spark: SparkSession, sf_dir: str, with_description: bool = Fals
                   .otherwise(ct))
     price_json = F.when(code % 8 == 7, ct).otherwise(json_str(price_text))
     q = F.col("l_quantity").cast("bigint").cast("string")
-    qty_json = (F.when(code % 6 == 0, q)
-                .when(code % 6 == 1, json_str(F.concat(q, F.lit("x"))))
-                .when(code % 6 == 2, json_str(F.concat(q, F.lit(".0 kg"))))
-                .when(code % 6 == 3, F.lit('""'))
-                .when(code % 6 == 4, F.lit("null"))
-                .otherwise(F.lit('"abc"')))
+    two = F.lpad(q, 2, "0")
+    qty_json = (F.when(code % 10 == 0, q)
+                .when(code % 10 == 1, json_str(F.concat(q, F.lit("x"))))
+                .when(code % 10 == 2, json_str(F.concat(q, F.lit(".0 kg"))))
+                .when(code % 10 == 3, F.lit('""'))
+                .when(code % 10 == 4, F.lit("null"))
+                .when(code % 10 == 5, F.lit('"abc"'))
+                .when(code % 10 == 6, F.concat(F.lit("90071992547410"), two))     # beyond 2^53
+                .when(code % 10 == 7, F.concat(F.lit("123456"), two, F.lit(".5")))  # beyond 1e7
+                .when(code % 10 == 8, F.concat(F.lit("0.0005"), two))             # below 1e-3
+                .otherwise(json_str(F.concat(F.lit("123456"), two, F.lit(".5 kg")))))
     desc = (F.when(F.col("l_partkey") % 17 == 0, F.lit(" \t "))
             .when(code % 3 == 0, F.concat(F.lit(" \t"), F.col("p_name"), F.lit("\n")))
             .when(code % 3 == 1, F.concat(F.col("p_name"), F.lit("  ")))
@@ -269,15 +282,20 @@ def f5_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- F6 attempt log
 
 def f6_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as an attempt log in the ATTEMPTS schema."""
+    """``events`` as an attempt log in the ATTEMPTS schema: one run a day, sequence
+    numbers unique over all runs, an error text for attempts that failed."""
     e = table(spark, sf_dir, "events")
     status = (F.when(F.col("event_type").isin("purchase", "view"), F.lit("ok"))
               .when(F.col("event_type") == "signup", F.lit("bad_json"))
               .when(F.col("event_type") == "click", F.lit("timeout"))
               .otherwise(F.lit("failed")))
     fname = F.concat(F.lit("r"), F.col("user_id").cast("string"), F.lit(".jpg"))
+    errors = F.array(*map(F.lit, F6_ERRORS))
+    error = (F.when(status == "failed", errors[(F.col("event_id") % len(F6_ERRORS)).cast("int")])
+             .when(status == "timeout", F.lit("chat: no time left")))
     return e.select(
         F.date_format("ts", "yyyy-MM-dd").alias("run_id"),
+        F.unix_date(F.col("ts").cast("date")).cast("long").alias("run_seq"),
         fname.alias("file_name"),
         F.concat(F.lit("/data/receipts/"), fname).alias("path"),
         F.col("event_id").alias("attempt_seq"),
@@ -285,9 +303,19 @@ def f6_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("# "), F.col("event_type")).alias("raw_ocr"),
         F.col("props").alias("response"),
         F.col("value").alias("processing_time"),
+        (F.col("value") * 2).alias("wall_time"),
+        error.alias("error"),
         F.col("ts").alias("attempted_at"))
 
 
+def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F6 as two runs that both number their attempts from 0: even event ids are run 1."""
+    k = F.col("attempt_seq")
+    return f6_attempts(spark, sf_dir).withColumns(
+        {"run_id": F.concat(F.lit("run"), (k % 2 + 1).cast("string")), "run_seq": k % 2 + 1,
+         "attempt_seq": F.floor(k / 2).cast("long")})
+
+
 def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file folder of the state queries: one file per customer key."""
     fname = F.concat(F.lit("r"), F.col("c_custkey").cast("string"), F.lit(".jpg"))

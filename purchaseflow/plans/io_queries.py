@@ -1,8 +1,9 @@
 """Queries over file names, result files, exports, media, prompts, the extraction
-stage and streaming ingest: q11, q23-q30, q32."""
+stage, the batch job and streaming ingest: q11, q23-q30, q32, q34-q37, q39, q40."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 from ..functions.media import data_url, mime_type, size_plan
 from ..functions.text import (base_name, display_date, display_name, items_text, money,
                               money_or_na, money_or_zero, render_prompt)
-from ..operators.extract import extract, offline_extractor_factory
+from ..operators.extract import ExtractTimeout, extract, extract_offline
+from ..operators.job import run_batch
 from ..operators.receipts import resolve_status, validate_receipts
+from ..operators.state import latest_attempts, pending_from_results, skipped_paths, split_results
+from ..schemas import RESULT_COLUMNS
 from ..session import checkpoint_dir
-from ..sinks.outputs import receipt_json, write_results
-from ..sources.files import slice_files
-from ..sources.results import read_results
+from ..sinks.outputs import append_attempts, receipt_json, write_results, write_skipped
+from ..sources.files import image_type_filter, slice_files
+from ..sources.results import load_attempts, read_results
 from ..streaming.ingest import ingest_once, read_ingested
 from . import fixtures as fx
 
@@ -57,7 +61,7 @@ def q23_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK1 + SRC4: write the pipe-separated result file, read it back."""
     path = _scratch(spark, "q23-results")
     write_results(doc_results(spark, sf_dir), path)
-    return read_results(spark, path, na_as_missing=False)
+    return read_results(spark, path, na_as_missing=False).select(*RESULT_COLUMNS)
 
 
 def q24_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,17 +129,99 @@ def q29_size_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q30_extract_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ENR1 + ENR2: OCR texts through the extraction stage with the offline extractor,
-    then validated like model answers."""
-    ocr = fx.f7_ocr(spark, sf_dir)
-    attempts = extract(ocr, offline_extractor_factory("ocr_text"), run_id="q30",
-                       input_cols=["file_name", "path", "ocr_text"])
-    r = resolve_status(validate_receipts(attempts))
+    """ENR2: OCR texts through the offline extractor, then validated like model answers."""
+    r = resolve_status(validate_receipts(extract_offline(fx.f7_ocr(spark, sf_dir), "q30", 1)))
     return r.select("file_name", "status", "business_name", "date",
                     items_text(F.col("items"), validated=True).alias("items"), "subtotal", "tax", "total",
                     F.size("items").alias("n_items"))
 
 
+class EchoExtractor:
+    """A stand-in client for the extraction stage: the outcome follows the document's id."""
+
+    def ocr(self, record: dict, limit_s: float) -> str | None:
+        if record["doc_id"] % 10 == 7:
+            raise ExtractTimeout("too slow")
+        self.record = record
+        return None if record["doc_id"] % 10 == 3 else record["text"]
+
+    def chat(self, raw_ocr: str, limit_s: float) -> str | None:
+        if self.record["doc_id"] % 10 == 5:
+            raise RuntimeError("HTTP 500")
+        if self.record["doc_id"] % 10 == 9:
+            return "no json"
+        return json.dumps({"business_name": self.record["source"], "total": len(raw_ocr)})
+
+
+def q34_extract_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ENR1: every document through the extraction stage, answers validated."""
+    d = fx.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("file_name"),
+        F.concat(F.lit("/data/"), F.col("doc_id").cast("string")).alias("path"), "doc_id", "source", "text")
+    r = resolve_status(validate_receipts(extract(d, EchoExtractor, run_id="q34", run_seq=1, gap_s=None)))
+    return r.select("file_name", "status", "error", "business_name", "total")
+
+
+def q35_batch_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole batch job over OCR texts: a run in which every fifth file has no answer,
+    then a run that extracts just those; the results derive from the log."""
+    base = _scratch(spark, "q35-job")
+    files = fx.f7_ocr(spark, sf_dir)
+    run_batch(spark, files, lambda todo: extract_offline(todo, "run1", 1, failed=F.col("o_orderkey") % 5 == 0),
+              f"{base}/log", f"{base}/results1", f"{base}/skipped1")
+    run_batch(spark, files, lambda todo: extract_offline(todo, "run2", 2), f"{base}/log", f"{base}/results2")
+    log = load_attempts(spark, f"{base}/log")
+    latest = latest_attempts(log, payload=["status", "response"])
+    r = resolve_status(validate_receipts(latest))
+    return r.select("file_name", "status", "n_attempts", "business_name", "date",
+                    items_text(F.col("items"), validated=True).alias("items"), "subtotal", "tax", "total",
+                    F.size("items").alias("n_items"))
+
+
+def q36_csv_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REL1 + REL2 by the result file: rows with blank names and NA tokens, rows outside the
+    slice and files without a row; written, read back, split, and what is pending."""
+    path = _scratch(spark, "q36-results")
+    k = F.col("doc_id")
+    d = doc_results(spark, sf_dir).withColumn("doc_id", F.regexp_extract("File_Name", r"\d+", 0).cast("long"))
+    name = (F.when(k % 5 == 0, F.lit("")).when(k % 7 == 1, F.lit("N/A")).when(k % 7 == 2, F.lit("null"))
+            .otherwise(F.lit("Shop")))
+    write_results(d.filter(k % 4 != 3).withColumn("Business_Name", name), path)
+    files = fx.table(spark, sf_dir, "documents").filter(k % 3 != 0).select(
+        F.concat(F.lit("doc"), k.cast("string"), F.lit(".jpg")).alias("file_name"))
+    rows = read_results(spark, path)
+    states = split_results(rows, files).select(F.col("File_Name").alias("file_name"), "state")
+    pending = pending_from_results(files, rows).withColumn("pending", F.lit(True))
+    return (states.join(pending, "file_name", "full")
+            .select("file_name", "state", F.coalesce("pending", F.lit(False)).alias("pending")))
+
+
+def q37_log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2/SNK3 + SRC6: the attempt log appended in two batches and loaded."""
+    path = _scratch(spark, "q37-log")
+    att = fx.f6_attempts(spark, sf_dir)
+    append_attempts(att.filter(F.col("attempt_seq") % 2 == 0), path)
+    append_attempts(att.filter(F.col("attempt_seq") % 2 == 1), path)
+    return load_attempts(spark, path).select("run_id", "attempt_seq", "file_name", "path", "status", "error",
+                                             "processing_time", "wall_time")
+
+
+def q39_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC3: names with an image suffix, in any case."""
+    suffixes = F.array(*map(F.lit, [".jpg", ".JPEG", ".png", ".gif", ""]))
+    p = fx.table(spark, sf_dir, "pages").select("page_id", F.concat(
+        base_name(F.col("url")), suffixes[(F.col("page_id") % 5).cast("int")]).alias("file_name"))
+    return image_type_filter(p)
+
+
+def q40_skipped_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK4: the skipped list written and read back."""
+    path = _scratch(spark, "q40-skipped")
+    latest = latest_attempts(fx.f6_attempts(spark, sf_dir), order=["attempt_seq"], payload=["status", "path"])
+    write_skipped(skipped_paths(latest), path)
+    return spark.read.text(path).withColumnRenamed("value", "path")
+
+
 def q32_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC9: the attempt log lands in a folder in two commits; three ``availableNow``
     passes ingest it -- the second picks up only the new files, the third nothing."""

@@ -15,6 +15,10 @@ SHARED_NAME = FILE_NAME.replace("{k}", "(CASE WHEN {k} % 32 = 7 THEN {k} - 1 ELS
 SWAPPED = "({k} % 12 IN (2, 4, 8, 11) AND day({d}) <= 12)"
 
 
+WHOLE = "CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)"
+TWO = f"lpad({WHOLE}, 2, '0')"
+
+
 def _f1_lines() -> str:
     """Lines of F1 with their rank in the order and the F1 quantity text."""
     return f"""
@@ -24,10 +28,12 @@ def _f1_lines() -> str:
                                 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn
       FROM lineitem JOIN part ON p_partkey = l_partkey),
     valid AS (
-      SELECT *, CASE rn % 5 WHEN 2 THEN 1.0 ELSE l_quantity END AS qty,
-             CASE rn % 5 WHEN 2 THEN '1'
-                         WHEN 4 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.0'
-                         ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS qty_text,
+      SELECT *, CASE l_partkey % 8 WHEN 2 THEN 1.0::DOUBLE WHEN 5 THEN CAST('90071992547410' || {TWO} AS DOUBLE)
+                     WHEN 6 THEN CAST('123456' || {TWO} || '.5' AS DOUBLE) WHEN 7 THEN CAST('0.0005' || {TWO} AS DOUBLE)
+                     ELSE CAST(l_quantity AS DOUBLE) END AS qty,
+             CASE l_partkey % 8 WHEN 2 THEN '1' WHEN 4 THEN {WHOLE} || '.0' WHEN 5 THEN '90071992547410' || {TWO}
+                         WHEN 6 THEN '123456' || {TWO} || '.5' WHEN 7 THEN rtrim('0.0005' || {TWO}, '0')
+                         ELSE {WHOLE} END AS qty_text,
              row_number() OVER (PARTITION BY k ORDER BY rn) AS pos
       FROM lines WHERE l_partkey % 17 <> 0),
     agg AS (
@@ -62,7 +68,15 @@ SELECT {FILE_NAME.format(k='k')} AS File_Name, status,
   CASE WHEN has_items THEN coalesce(items, '') ELSE '' END AS Items,
   CASE WHEN ok THEN CAST(line_cents AS DOUBLE) / 100 ELSE 0.0 END AS Subtotal,
   CASE WHEN ok AND k % 5 <> 0 THEN CAST(total_cents % 10000 AS DOUBLE) / 100 ELSE 0.0 END AS Tax,
-  CASE WHEN ok THEN CAST(total_cents AS DOUBLE) / 100 ELSE 0.0 END AS Total
+  CASE WHEN ok THEN CAST(total_cents AS DOUBLE) / 100 ELSE 0.0 END AS Total,
+  CASE WHEN status = 'failed' THEN 0.0::DOUBLE ELSE CAST(k % 1000 AS DOUBLE) / 100 END AS Processing_Time_Seconds,
+  CASE WHEN status = 'failed' THEN '' ELSE '# receipt ' || CAST(k AS VARCHAR) END AS Raw_OCR,
+  CASE WHEN NOT ok OR k % 11 = 2 THEN NULL WHEN k % 11 IN (0, 1) THEN '' WHEN k % 11 = 3 THEN 'N/A' ELSE c_name END
+    AS json_name,
+  CASE WHEN ok THEN 'USD' END AS json_currency,
+  CASE WHEN ok THEN CAST(total_cents AS DOUBLE) / 100 END AS json_total,
+  CAST(CASE WHEN NOT ok THEN NULL WHEN has_items THEN coalesce(n_items, 0) ELSE 0 END AS INTEGER) AS json_items,
+  CAST(CASE WHEN ok THEN 8 ELSE 0 END AS INTEGER) AS json_keys
 FROM base
 """
 
@@ -79,7 +93,8 @@ WITH {_f1_lines()}
 SELECT {FILE_NAME.format(k='valid.k')} AS file_name, CAST(pos AS INTEGER) AS pos,
   p_name AS description, CAST(qty AS DOUBLE) AS quantity, qty_text AS quantity_text,
   CAST(cents AS DOUBLE) / 100 AS price,
-  round(CAST(qty AS DOUBLE) * (CAST(cents AS DOUBLE) / 100), 2) AS line_total
+  CASE WHEN qty > 1e6 THEN qty * (CAST(cents AS DOUBLE) / 100)
+       ELSE round(qty * (CAST(cents AS DOUBLE) / 100), 2) END AS line_total
 FROM valid JOIN base ON base.k = valid.k
 WHERE base.has_items
 """
@@ -124,10 +139,14 @@ SELECT o_orderkey,
 FROM orders""",
     "q05_quantity": f"""
 SELECT {LINE_KEY},
-  CASE WHEN {CODE} % 6 IN (0, 1, 2) THEN l_quantity ELSE 1.0 END AS quantity,
-  CASE WHEN {CODE} % 6 IN (0, 1, 2) THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE '1' END
-    AS quantity_text,
-  CASE WHEN {CODE} % 6 = 0 THEN CAST(l_quantity AS BIGINT) ELSE NULL END AS strict_quantity
+  CASE {CODE} % 10 WHEN 3 THEN 1.0::DOUBLE WHEN 4 THEN 1.0 WHEN 5 THEN 1.0 WHEN 6 THEN CAST('90071992547410' || {TWO} AS DOUBLE)
+    WHEN 7 THEN CAST('123456' || {TWO} || '.5' AS DOUBLE) WHEN 9 THEN CAST('123456' || {TWO} || '.5' AS DOUBLE)
+    WHEN 8 THEN CAST('0.0005' || {TWO} AS DOUBLE) ELSE CAST(l_quantity AS DOUBLE) END AS quantity,
+  CASE {CODE} % 10 WHEN 3 THEN '1' WHEN 4 THEN '1' WHEN 5 THEN '1' WHEN 6 THEN '90071992547410' || {TWO}
+    WHEN 7 THEN '123456' || {TWO} || '.5' WHEN 9 THEN '123456' || {TWO} || '.5'
+    WHEN 8 THEN rtrim('0.0005' || {TWO}, '0') ELSE {WHOLE} END AS quantity_text,
+  CASE {CODE} % 10 WHEN 0 THEN CAST(l_quantity AS BIGINT) WHEN 6 THEN CAST('90071992547410' || {TWO} AS BIGINT) END
+    AS strict_quantity
 FROM lineitem""",
     "q06_receipts": Q06,
     "q07_items_text": Q07,
@@ -185,7 +204,13 @@ _F6 = """
              event_id AS attempt_seq, ts AS attempted_at, value AS processing_time,
              CASE WHEN event_type IN ('purchase', 'view') THEN 'ok'
                   WHEN event_type = 'signup' THEN 'bad_json'
-                  WHEN event_type = 'click' THEN 'timeout' ELSE 'failed' END AS status
+                  WHEN event_type = 'click' THEN 'timeout' ELSE 'failed' END AS status,
+             CASE WHEN event_type IN ('purchase', 'view', 'signup') THEN NULL
+                  WHEN event_type = 'click' THEN 'chat: no time left'
+                  WHEN event_id % 4 = 0 THEN 'ocr: HTTP 429 Too Many Requests'
+                  WHEN event_id % 4 = 1 THEN 'ocr: HTTP 400 Bad Request'
+                  WHEN event_id % 4 = 2 THEN 'chat: HTTP 400 Bad Request'
+                  ELSE 'chat: HTTP 500 Server Error' END AS error
       FROM events),
     latest AS (
       SELECT file_name, max(attempt_seq) AS attempt_seq, arg_max(status, attempt_seq) AS status,
@@ -267,17 +292,41 @@ ORACLE_SQL["q31_retry_plan"] = f"""
 WITH {_F6},
     skips AS (
       SELECT *, row_number() OVER (PARTITION BY file_name, run_id ORDER BY attempt_seq) - 1 AS retry_no
-      FROM att WHERE status IN ('failed', 'timeout', 'error'))
-SELECT file_name, attempt_seq, CAST(retry_no AS BIGINT) AS retry_no,
-  CASE WHEN retry_no >= 3 THEN NULL
-       ELSE CAST(power(2, retry_no) * 30 + 1 + attempt_seq % 30 AS BIGINT) END AS wait_seconds,
-  CASE WHEN retry_no >= 3 THEN NULL
-       ELSE attempted_at + to_seconds(CAST(power(2, retry_no) * 30 + 1 + attempt_seq % 30 AS BIGINT))
-       END AS next_attempt_at,
-  retry_no >= 3 AS give_up
-FROM skips
+      FROM att WHERE status IN ('failed', 'timeout', 'error')),
+    waits AS (
+      SELECT *, CASE WHEN retry_no >= 3 THEN NULL
+                     WHEN status = 'failed' AND attempt_seq % 4 = 0
+                       THEN CAST(power(2, retry_no) * 30 + 1 + attempt_seq % 30 AS BIGINT)
+                     WHEN status = 'failed' AND attempt_seq % 4 = 1 THEN 5::BIGINT END AS wait_seconds
+      FROM skips)
+SELECT file_name, attempt_seq, error, CAST(retry_no AS BIGINT) AS retry_no, wait_seconds,
+  attempted_at + to_seconds(wait_seconds) AS next_attempt_at, wait_seconds IS NULL AS give_up
+FROM waits
+"""
+
+ORACLE_SQL["q32_stream_ingest"] = f"""
+WITH {_F6}
+SELECT file_name, attempt_seq, status, CAST(1 + attempt_seq % 2 AS INTEGER) AS ingest_run FROM att
+"""
+
+ORACLE_SQL["q33_run_order"] = f"""
+WITH {_F6},
+    placed AS (SELECT *, 1 + attempt_seq % 2 AS run_seq, attempt_seq // 2 AS seq FROM att),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY run_seq DESC, seq DESC) AS r,
+                      count(*) OVER (PARTITION BY file_name) AS n_attempts,
+                      first_value(seq) OVER (PARTITION BY file_name ORDER BY run_seq, seq) AS first_seen
+               FROM placed)
+SELECT file_name, run_seq, seq AS attempt_seq, status, 'run' || CAST(run_seq AS VARCHAR) AS run_id, first_seen, n_attempts
+FROM ranked WHERE r = 1
+"""
+
+ORACLE_SQL["q37_log_append"] = f"""
+WITH {_F6}
+SELECT run_id, attempt_seq, file_name, path, status, error, processing_time, processing_time * 2 AS wall_time FROM att
 """
 
+ORACLE_SQL["q40_skipped_file"] = ORACLE_SQL["q18_skipped"]
+
 # ---------------------------------------------------------------- names, files, media, text
 
 ORACLE_SQL["q11_file_name"] = """
@@ -365,3 +414,38 @@ SELECT {FILE_NAME.format(k='o_orderkey')} AS file_name, 'ok' AS status, c_name A
   CAST(coalesce(n, 0) AS INTEGER) AS n_items
 FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN agg ON agg.k = o_orderkey
 """
+
+ORACLE_SQL["q34_extract_stage"] = """
+SELECT 'doc' || CAST(doc_id AS VARCHAR) || '.jpg' AS file_name,
+  CASE WHEN doc_id % 10 = 3 THEN 'failed' WHEN doc_id % 10 = 5 THEN 'error' WHEN doc_id % 10 = 7 THEN 'timeout'
+       WHEN doc_id % 10 = 9 THEN 'bad_json' ELSE 'ok' END AS status,
+  CASE doc_id % 10 WHEN 3 THEN 'ocr: no answer' WHEN 5 THEN 'chat: HTTP 500' WHEN 7 THEN 'ocr: too slow' END AS error,
+  CASE WHEN doc_id % 10 IN (3, 5, 7, 9) THEN '' ELSE source END AS business_name,
+  CASE WHEN doc_id % 10 IN (3, 5, 7, 9) THEN 0.0::DOUBLE ELSE CAST(length(text) AS DOUBLE) END AS total
+FROM documents
+"""
+
+ORACLE_SQL["q35_batch_job"] = ORACLE_SQL["q30_extract_offline"].replace(
+    "'ok' AS status, c_name AS business_name", "'ok' AS status, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) "
+    "AS n_attempts, c_name AS business_name")
+
+ORACLE_SQL["q36_csv_resume"] = """
+WITH d AS (
+  SELECT doc_id AS k, 'doc' || CAST(doc_id AS VARCHAR) || '.jpg' AS f, doc_id % 4 <> 3 AS has_row, doc_id % 3 <> 0 AS in_slice,
+         (doc_id % 5 = 0 OR doc_id % 7 IN (1, 2)) AS blank
+  FROM documents)
+SELECT f AS file_name,
+  CASE WHEN has_row THEN CASE WHEN NOT blank THEN 'completed' WHEN in_slice THEN 'placeholder' ELSE 'outside' END END AS state,
+  in_slice AND NOT (has_row AND NOT blank) AS pending
+FROM d WHERE has_row OR in_slice
+"""
+
+ORACLE_SQL["q38_dummy_rows"] = """
+SELECT c_custkey, 'r' || CAST(c_custkey AS VARCHAR) || '.jpg' AS File_Name FROM customer WHERE c_custkey % 6 NOT IN (0, 1)
+"""
+
+ORACLE_SQL["q39_type_filter"] = """
+SELECT page_id, regexp_extract(url, '[^/]*$', 0) ||
+       CASE page_id % 5 WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPEG' ELSE '.png' END AS file_name
+FROM pages WHERE page_id % 5 < 3
+"""

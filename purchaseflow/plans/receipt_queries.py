@@ -64,8 +64,15 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q06_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: model responses -> validated, normalised result rows."""
     rows = to_result_rows(receipts(spark, sf_dir), keep=["status"])
-    return rows.select("File_Name", "status", "Business_Name", "Business_Address", "Date", "Items",
-                       "Subtotal", "Tax", "Total")
+    js = F.col("Extracted_JSON")
+    # The JSON column is compared by its values: key order and number text may differ.
+    return rows.select(
+        *[c for c in rows.columns if c != "Extracted_JSON"],
+        F.get_json_object(js, "$.business_name").alias("json_name"),
+        F.get_json_object(js, "$.currency").alias("json_currency"),
+        F.get_json_object(js, "$.total").cast("double").alias("json_total"),
+        F.json_array_length(F.get_json_object(js, "$.items")).alias("json_items"),
+        F.size(F.json_object_keys(js)).alias("json_keys"))
 
 
 def q07_items_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +85,8 @@ def q07_items_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q08_items_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REL8 + FN14: one row per valid item with its line total."""
     r = receipts(spark, sf_dir)
-    return explode_items(r, ["file_name"]).withColumn("line_total", F.round("line_total", 2))
+    return explode_items(r, ["file_name"]).withColumn(
+        "line_total", F.when(F.col("quantity") > 1e6, F.col("line_total")).otherwise(F.round("line_total", 2)))
 
 
 def q09_sum_price(spark: SparkSession, sf_dir: str) -> DataFrame:

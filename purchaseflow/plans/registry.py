@@ -40,7 +40,14 @@ QUERIES = {
     "q30_extract_offline": io.q30_extract_offline,
     "q31_retry_plan": sq.q31_retry_plan,
     "q32_stream_ingest": io.q32_stream_ingest,
+    "q33_run_order": sq.q33_run_order,
+    "q34_extract_stage": io.q34_extract_stage,
+    "q35_batch_job": io.q35_batch_job,
+    "q36_csv_resume": io.q36_csv_resume,
+    "q37_log_append": io.q37_log_append,
+    "q38_dummy_rows": sq.q38_dummy_rows,
+    "q39_type_filter": io.q39_type_filter,
+    "q40_skipped_file": io.q40_skipped_file,
 }
 
-# q32 (streaming, two commits and three ingest passes) has no SQL form: rows-only.
 ORACLES = dict(ORACLE_SQL)

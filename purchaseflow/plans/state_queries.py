@@ -13,10 +13,6 @@ from ..operators.state import (SKIP_STATUSES, drop_dummy_rows, latest_attempts,
                                placeholder_rows, skipped_paths, state_of, union_rows)
 from . import fixtures as fx
 
-# Bucket width (in attempt sequence numbers) of the two-level running counts.
-PROGRESS_BUCKET = 4096
-
-
 def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.f5_labelled(spark, sf_dir).select(
         "o_orderkey", "file_name", parse_labelled(F.col("body")).alias("prediction"))
@@ -40,7 +36,7 @@ STATE_PAYLOAD = ["status", "path", "run_id"]
 
 
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_attempts(fx.f6_attempts(spark, sf_dir), payload=STATE_PAYLOAD)
+    return latest_attempts(fx.f6_attempts(spark, sf_dir), order=["attempt_seq"], payload=STATE_PAYLOAD)
 
 
 def q14_state_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +54,7 @@ def q16_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     att = fx.f6_attempts(spark, sf_dir)
     earlier = att.filter(F.col("attempt_seq") % 2 == 0)
     newer = att.filter(F.col("attempt_seq") % 2 == 1)
-    return latest_attempts(union_rows(earlier, newer),
+    return latest_attempts(union_rows(earlier, newer), order=["attempt_seq"],
                            payload=["status", "processing_time", "run_id"]).select(
         "file_name", "attempt_seq", "status", "processing_time", "run_id", "first_seen", "n_attempts")
 
@@ -76,7 +72,7 @@ def q18_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q19_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG2: running processed / succeeded / success rate per run."""
-    return progress(fx.f6_attempts(spark, sf_dir), PROGRESS_BUCKET)
+    return progress(fx.f6_attempts(spark, sf_dir))
 
 
 def q20_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,16 +92,28 @@ def q22_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q31_retry_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ENR3-ENR5 as a plan: for every skipped attempt, its retry number within the
-    file's run, the wait before the next attempt (``2^n * 30 + jitter``), when that
-    is, and whether the retries are used up."""
-    att = fx.f6_attempts(spark, sf_dir)
+    file's run, the wait before the next attempt by its error (429: ``2^n * 30 + jitter``,
+    400 of the first step: 5 s), when that is, and whether it is given up."""
+    att = fx.f6_attempts(spark, sf_dir).select("file_name", "run_id", "attempt_seq", "status", "error", "attempted_at")
     skip = F.col("status").isin(*SKIP_STATUSES)
-    counted = running_counts(att, ["file_name", "run_id"], "attempt_seq", {"skips": skip},
-                             PROGRESS_BUCKET).filter(skip)
+    counted = running_counts(att, ["file_name", "run_id"], "attempt_seq", {"skips": skip}).filter(skip)
     retry_no = F.col("skips") - 1
     jitter = F.lit(1) + F.col("attempt_seq") % 30
-    plan = retry_plan(F.col("status"), retry_no, F.col("attempted_at"), jitter)
-    return counted.select("file_name", "attempt_seq", retry_no.alias("retry_no"),
+    plan = retry_plan(F.col("error"), retry_no, F.col("attempted_at"), jitter)
+    return counted.select("file_name", "attempt_seq", "error", retry_no.alias("retry_no"),
                           plan["wait_seconds"].alias("wait_seconds"),
                           plan["next_attempt_at"].alias("next_attempt_at"),
                           plan["give_up"].alias("give_up"))
+
+
+def q33_run_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REL11 over two runs whose sequence numbers overlap: the later run wins."""
+    return latest_attempts(fx.two_runs(spark, sf_dir), payload=["status", "run_id"])
+
+
+def q38_dummy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REL3: rows with a blank or null file name go."""
+    c = fx.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    name = F.when(k % 6 == 0, F.lit("")).when(k % 6 > 1, F.concat(F.lit("r"), k.cast("string"), F.lit(".jpg")))
+    return drop_dummy_rows(c.select("c_custkey", name.alias("File_Name")))

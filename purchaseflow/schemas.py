@@ -20,9 +20,11 @@ RESULTS = T.StructType([
 ])
 RESULT_COLUMNS = [f.name for f in RESULTS.fields]
 
-# Append-only attempt log: one row per extraction attempt of one file.
+# Append-only attempt log: one row per extraction attempt of one file, in the order of
+# (run_seq, attempt_seq).
 ATTEMPTS = T.StructType([
     T.StructField("run_id", T.StringType()),
+    T.StructField("run_seq", T.LongType()),
     T.StructField("file_name", T.StringType()),
     T.StructField("path", T.StringType()),
     T.StructField("attempt_seq", T.LongType()),
@@ -30,18 +32,11 @@ ATTEMPTS = T.StructType([
     T.StructField("raw_ocr", T.StringType()),
     T.StructField("response", T.StringType()),
     T.StructField("processing_time", T.DoubleType()),
+    T.StructField("wall_time", T.DoubleType()),
+    T.StructField("error", T.StringType()),
     T.StructField("attempted_at", T.TimestampNTZType()),
 ])
 
-STATUSES = ("ok", "bad_json", "failed", "timeout", "error")
-
-ITEM = T.StructType([
-    T.StructField("description", T.StringType()),
-    T.StructField("quantity", T.DoubleType()),
-    T.StructField("quantity_text", T.StringType()),
-    T.StructField("price", T.DoubleType()),
-])
-
 CELL = T.StructType([
     T.StructField("label", T.StringType()),
     T.StructField("row", T.LongType()),

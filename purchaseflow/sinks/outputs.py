@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ATTEMPTS, RESULT_COLUMNS
+from ..session import checkpoint_dir
 from ..sources.results import CSV_OPTIONS
 
 # Writer options: keep leading/trailing blanks (the CSV writer trims by default).
@@ -19,11 +20,16 @@ WRITE_OPTIONS = {**{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"},
                  "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
+# A quoted field may hold line breaks, so a file is read back by one task: files are small.
+RECORDS_PER_FILE = 20_000
+
+
 def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK1: the result rows as pipe-separated text with a header, fields quoted when
-    needed (embedded ``|``, quotes, line breaks).  Write to a fresh location: Spark
-    cannot overwrite a path it is reading."""
-    results.select(*RESULT_COLUMNS).write.mode(mode).options(**WRITE_OPTIONS).csv(path)
+    needed (embedded ``|``, quotes, line breaks), in files of bounded size.  Write to a
+    fresh location: Spark cannot overwrite a path it is reading."""
+    (results.select(*RESULT_COLUMNS).write.mode(mode).option("maxRecordsPerFile", RECORDS_PER_FILE)
+     .options(**WRITE_OPTIONS).csv(path))
 
 
 def append_attempts(attempts: DataFrame, path: str) -> None:
@@ -33,10 +39,12 @@ def append_attempts(attempts: DataFrame, path: str) -> None:
 
 def write_skipped(skipped: DataFrame, path: str) -> bool:
     """SNK4: one path per line; nothing is written when there is no skipped file.
-    Returns whether anything was written."""
-    if skipped.isEmpty():
+    Returns whether anything was written.  The input is evaluated once."""
+    checkpoint_dir(skipped.sparkSession)
+    paths = skipped.select("path").checkpoint()
+    if paths.isEmpty():
         return False
-    skipped.select("path").write.mode("overwrite").text(path)
+    paths.write.mode("overwrite").text(path)
     return True
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.media import IMAGE_EXTENSIONS, extension
 from ..functions.text import uri_base_name
@@ -12,11 +13,6 @@ from ..session import checkpoint_dir
 # Fixed value: case-sensitive suffix glob of the folder scan (non-recursive).
 IMAGE_GLOB = "*.{jpg,jpeg,png}"
 
-# Above this many rows a slice is cut by a distributed row index instead of a
-# bounded top-k.
-TOP_K_SLICE_LIMIT = 100_000
-
-
 def scan_images(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:
     """SRC1: the image files directly in ``folder`` (``*.jpg``, ``*.jpeg``, ``*.png``,
     case-sensitive, no sub-folders) -> ``file_name, path, length, modification_time``
@@ -38,42 +34,64 @@ def image_type_filter(df: DataFrame, name: str = "file_name") -> DataFrame:
 
 def slice_files(df: DataFrame, start: int | None, end: int | None,
                 order: list[str] | None = None) -> DataFrame:
-    """SRC2: rows ``[start, end)`` of ``df`` sorted by ``order`` (zero-based,
-    half-open, applied only when both bounds are given, as in the reference).
-
-    Up to :data:`TOP_K_SLICE_LIMIT` rows the slice is an ``offset``/``limit`` over the
-    sort (a bounded top-k per task).  Larger slices get a global row index from a
-    range-partitioned sort: the sorted frame is checkpointed (so both passes see the
-    same partitions), per-partition counts give each partition's offset, and the
-    index is offset + position within the partition.
+    """SRC2: rows ``[start, end)`` of ``df`` sorted by ``order`` (zero-based, half-open,
+    applied only when both bounds are given, as in the reference).  The rows come in no
+    particular order.
+
+    Only the order columns are sorted: range-partitioned, checkpointed and numbered by the
+    partitions' counts, which gives the order values at both ends of the slice.  The rows
+    between them are then a filter of ``df``, so wide columns (an image's content) are
+    neither sorted nor shuffled.  Rows that tie with an end of the slice, where only some
+    of them belong to it, are taken in the order of their other plain columns.
     """
     if start is None or end is None:
         return df
     if start < 0 or end < 0:
         raise ValueError("slice bounds must be non-negative")
     order = order or ["file_name"]
+    keys = _sorted_keys(df.select(*order), order)
+    counts = [(r["_pid"], r["n"], r["first"]) for r in keys.groupBy("_pid").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_mid").alias("first")).orderBy("_pid").collect()]  # a row a partition
+    end = min(end, sum(n for _, n, _ in counts))
     if end <= start:
         return df.limit(0)
-    if end <= TOP_K_SLICE_LIMIT:
-        return df.orderBy(*order).offset(start).limit(end - start)
-    return _indexed(df, order).filter((F.col("_idx") >= start) & (F.col("_idx") < end)).drop("_idx")
+    low, high = _key_at(keys, counts, start), _key_at(keys, counts, end - 1)
+    value = F.struct(*order)
+    at = {name: F.struct(*[F.lit(k[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+          for name, k in (("low", low), ("high", high))}
+    # How many rows lie before each end, and how many tie with it.
+    n = keys.agg(*[F.count_if(cond).alias(f"{side}_{name}") for name, k in at.items()
+                   for side, cond in (("before", value < k), ("tied", value.eqNullSafe(k)))]).first()
+    if low == high:
+        return _some_of(df, value.eqNullSafe(at["low"]), start - n["before_low"], end - n["before_low"], n["tied_low"])
+    inner = df.filter((value > at["low"]) & (value < at["high"]))
+    first = _some_of(df, value.eqNullSafe(at["low"]), start - n["before_low"], n["tied_low"], n["tied_low"])
+    last = _some_of(df, value.eqNullSafe(at["high"]), 0, end - n["before_high"], n["tied_high"])
+    return inner.unionAll(first).unionAll(last)
 
 
-def _indexed(df: DataFrame, order: list[str]) -> DataFrame:
-    spark = df.sparkSession
+def _sorted_keys(keys: DataFrame, order: list[str]) -> DataFrame:
+    spark = keys.sparkSession
     checkpoint_dir(spark)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_df = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                 .withColumn("_pid", F.spark_partition_id())
-                 .withColumn("_mid", F.monotonically_increasing_id())
-                 .checkpoint(eager=True))
-    per_part = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"),
-                                             F.min("_mid").alias("_first"))
-    # one row per partition: small by construction
-    offsets = per_part.select(
-        "_pid", "_first",
-        F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (sorted_df.join(F.broadcast(offsets), "_pid")
-            .withColumn("_idx", F.col("_off") + F.col("_mid") - F.col("_first"))
-            .drop("_pid", "_mid", "_first", "_off"))
+    return (keys.repartitionByRange(n, *order).sortWithinPartitions(*order)
+            .withColumn("_pid", F.spark_partition_id())
+            .withColumn("_mid", F.monotonically_increasing_id()).checkpoint())
+
+
+def _key_at(keys: DataFrame, counts: list[tuple[int, int, int]], place: int) -> Row:
+    """The order values at a place of the sorted rows."""
+    for pid, n, first in counts:
+        if place < n:
+            return keys.filter((F.col("_pid") == pid) & (F.col("_mid") == first + place)).drop("_pid", "_mid").first()
+        place -= n
+    raise IndexError(place)
+
+
+def _some_of(df: DataFrame, tied: Column, a: int, b: int, n: int) -> DataFrame:
+    """Rows [a, b) of the n rows that tie."""
+    ties = df.filter(tied)
+    if (a, b) == (0, n):
+        return ties
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.AtomicType,)) and not isinstance(f.dataType, T.BinaryType)]
+    return ties.orderBy(*plain).offset(a).limit(b - a)

@@ -6,44 +6,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 
 from ..schemas import ATTEMPTS, RESULTS
 
 # The pipe-separated result file format.
 CSV_OPTIONS = {"sep": "|", "header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 
-# Tokens a pandas CSV reader turns into NaN by default; a business name
-# equal to one of them reads back as missing.
+# Tokens a pandas CSV reader turns into NaN by default; a field equal to
+# one of them reads back as missing.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _size(spark: SparkSession, path: str) -> int | None:
+    """Bytes under ``path``; None when it does not exist."""
     jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(where).getLength() if fs.exists(where) else None
 
 
 def read_results(spark: SparkSession, path: str, na_as_missing: bool = True) -> DataFrame:
-    """SRC4/SRC5: the pipe-separated result file(s) at ``path`` with the declared
-    schema; an absent or empty location gives an empty frame (no dummy row)."""
-    empty = spark.createDataFrame([], RESULTS)
-    if not _exists(spark, path):
-        return empty
-    try:
-        df = spark.read.schema(RESULTS).options(**CSV_OPTIONS).csv(path)
-    except AnalysisException:
-        return empty
-    if na_as_missing:
-        df = df.withColumn("Business_Name", F.when(F.col("Business_Name").isin(NA_TOKENS),
-                                                   F.lit(None)).otherwise(F.col("Business_Name")))
-    return df
+    """SRC4/SRC5: the pipe-separated result file(s) at ``path``: the declared columns, found
+    by their names in the header (a column the file does not have is null), plus
+    ``bad_fields``, the names of the amounts whose text is no number ('' for none).
+
+    Only a missing or empty location counts as a fresh start and gives an empty frame;
+    anything else that cannot be read is an error.  ``na_as_missing``: every field that
+    holds an NA token is missing."""
+    if not _size(spark, path):
+        return spark.createDataFrame([], RESULTS).withColumn("bad_fields", F.lit(""))
+    raw = spark.read.options(**CSV_OPTIONS).csv(path)
+
+    def text(name: str):
+        if name not in raw.columns:
+            return F.lit(None).cast("string")
+        value = F.col(f"`{name}`")
+        return F.when(~value.isin(NA_TOKENS), value) if na_as_missing else value
+
+    amounts = [f.name for f in RESULTS.fields if isinstance(f.dataType, T.DoubleType)]
+    columns = [(text(f.name).try_cast("double") if f.name in amounts else text(f.name)).alias(f.name) for f in RESULTS.fields]
+    bad = F.array_join(F.array(*[F.when(text(n).isNotNull() & text(n).try_cast("double").isNull(), F.lit(n)) for n in amounts]), ",")
+    return raw.select(*columns, bad.alias("bad_fields"))
 
 
 def load_attempts(spark: SparkSession, path: str) -> DataFrame:
     """SRC6: the attempt log, or an empty frame when there is none yet."""
-    if not _exists(spark, path):
+    if not _size(spark, path):
         return spark.createDataFrame([], ATTEMPTS)
     return spark.read.schema(ATTEMPTS).parquet(path)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from purchaseflow.schemas import RESULT_COLUMNS
 from purchaseflow.sinks.outputs import receipt_json, write_results, write_skipped
-from purchaseflow.sources import files as files_mod
 from purchaseflow.sources.files import image_type_filter, scan_images, slice_files
 from purchaseflow.sources.results import read_results
 from purchaseflow.streaming.ingest import ingest_once, read_ingested
@@ -42,18 +41,29 @@ def test_type_filter_any_case(spark):
     assert sorted(r.file_name for r in image_type_filter(df).collect()) == ["a.JPG", "b.png"]
 
 
-def test_slice_paths_agree(spark, sf_small, monkeypatch):
-    pages = spark.read.parquet(f"{sf_small}/pages.parquet").select("page_id", "url")
-    top_k = [r.page_id for r in slice_files(pages, 5, 30, ["url", "page_id"]).collect()]
-    monkeypatch.setattr(files_mod, "TOP_K_SLICE_LIMIT", 0)
-    indexed = slice_files(pages, 5, 30, ["url", "page_id"])
-    got = [r.page_id for r in indexed.orderBy("url", "page_id").collect()]
-    assert len(top_k) == 25 and sorted(got) == sorted(top_k)
+def test_slices_match_a_sorted_list(spark, sf_small):
+    pages = spark.read.parquet(f"{sf_small}/pages.parquet").select("page_id", "url", F.lit(b"x").alias("content"))
+    ids = [r.page_id for r in sorted(pages.collect(), key=lambda r: (r.url, r.page_id))]
+    for start, end in ((0, 1), (5, 30), (0, len(ids)), (len(ids) - 3, len(ids) + 10), (7, 7), (len(ids), len(ids) + 1)):
+        got = [r.page_id for r in slice_files(pages, start, end, ["url", "page_id"]).collect()]
+        assert sorted(got) == sorted(ids[start:end])
     assert slice_files(pages, None, 30).count() == pages.count()
     with pytest.raises(ValueError):
         slice_files(pages, -1, 3)
 
 
+def test_slices_with_ties_and_nulls(spark):
+    names = [None, "a", "a", "a", "b", None, "c", "c"]
+    df = spark.createDataFrame(list(enumerate(names)), "n int, file_name string").repartition(3)
+    ordered = sorted(names, key=lambda x: (x is not None, x or ""))
+    for start in range(9):
+        for end in range(start, 10):
+            got = [r.file_name for r in slice_files(df, start, end).collect()]
+            assert sorted(got, key=str) == sorted(ordered[start:end], key=str)
+    halves = slice_files(df, 0, 3).unionAll(slice_files(df, 3, 8))
+    assert sorted(r.n for r in halves.collect()) == list(range(8))
+
+
 def test_result_file_roundtrip_and_na(spark, tmp_path):
     rows = [("x.jpg", 'A | "B"', "  pad  ", "", "1x a ($1.00)", 1.0, 0.0, 1.0, 0.5, "l1\nl2|l3", "{}"),
             ("y.jpg", "N/A", None, "01-01-2020", "", 0.0, 0.0, 0.0, 0.0, "\\back", "{}")]
@@ -102,4 +112,26 @@ def test_zero_byte_result_file_starts_fresh(spark, tmp_path):
     empty.write_bytes(b"")
     df = read_results(spark, str(empty))
     assert df.count() == 0
-    assert df.columns == RESULT_COLUMNS
+    assert df.columns == [*RESULT_COLUMNS, "bad_fields"]
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "swapped.csv"
+    path.write_text("Business_Name|File_Name|Total|Tax|Notes\nShop|a.jpg|1.5|n/a|x\nNULL|b.jpg|abc|2|y\n")
+    got = {r.File_Name: r for r in read_results(spark, str(path)).collect()}
+    assert got["a.jpg"].Business_Name == "Shop" and got["a.jpg"].Total == 1.5 and got["a.jpg"].Tax is None
+    assert got["b.jpg"].Business_Name is None and got["b.jpg"].Total is None and got["b.jpg"].Subtotal is None
+    assert (got["a.jpg"].bad_fields, got["b.jpg"].bad_fields) == ("", "Total")
+
+
+def test_na_tokens_are_missing_in_every_column(spark, tmp_path):
+    path = tmp_path / "na.csv"
+    path.write_text("File_Name|Business_Address|Date|Raw_OCR\na.jpg|NA|null|nan\n")
+    r = read_results(spark, str(path)).first()
+    assert (r.Business_Address, r.Date, r.Raw_OCR, r.bad_fields) == (None, None, None, "")
+    assert read_results(spark, str(path), na_as_missing=False).first().Business_Address == "NA"
+
+
+def test_an_unreadable_location_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception):
+        read_results(spark, "nosuchscheme://x/y").count()

@@ -66,6 +66,15 @@ def test_quantity_vectors(spark):
         (1.0, "1"), (1.0, "1"), (-2.0, "-2"), (2.0, "2"), (0.0, "0"), (1.0, "True")]
 
 
+def test_quantity_text_is_what_python_prints(spark):
+    raw = ["12345678.5", "0.0001", "0.00012", "0.00001", "1e16", "2.5e17", "123456789012345.25", "-0.5", "1e3",
+           "9007199254740993", "-9007199254740993", "12345678901234567890"]
+    got = [r["quantity_text"] for r in json_field(spark, raw, normalize_quantity)]
+    assert got == [str(json.loads(x)) for x in raw]
+    text = json_field(spark, ['"12345678.5 kg"', '"0.0001"', '"x 90071992547409.5"', '"12345678"'], normalize_quantity)
+    assert [r["quantity_text"] for r in text] == ["12345678.5", "0.0001", "90071992547409.5", "12345678"]
+
+
 def test_strict_quantity_vectors(spark):
     assert one_col(spark, [" 2 ", "+2", "1.5", "2x", ""], strict_quantity) == [2, 2, None, None, None]
 
@@ -106,7 +115,7 @@ def test_data_url_one_line(spark):
 
 
 @pytest.mark.parametrize("doc,status", [
-    ('{"a": 1', "bad_json"), ("[]", "failed"), ('"text"', "failed"), ('{"date": 20230101}', "failed"),
+    ('{"a": 1', "bad_json"), ("[]", "failed"), ('"text"', "failed"),
     ('{"date": 0}', "ok"), ("{}", "ok")])
 def test_parse_status(spark, doc, status):
     from purchaseflow.operators.receipts import validate_receipts
@@ -114,6 +123,25 @@ def test_parse_status(spark, doc, status):
     assert validate_receipts(df).first()["parse_status"] == status
 
 
+def test_a_date_that_is_no_text(spark):
+    from purchaseflow.operators.receipts import validate_receipts
+    df = spark.createDataFrame([('{"date": 20230101}',), ('{"date": ["2023-01-02"]}',), ('{"date": "2023-01-02"}',)], "response string")
+    rows = validate_receipts(df).collect()
+    assert [r.parse_status for r in rows] == ["ok", "ok", "ok"]
+    assert (rows[0].date, rows[0].date_value) == ("20230101", None)
+    assert (rows[2].date, str(rows[2].date_value)) == ("02-01-2023", "2023-01-02")
+    assert [r.parse_status for r in validate_receipts(df, compat=True).collect()] == ["failed", "failed", "ok"]
+
+
+def test_other_keys_stay_in_the_json(spark):
+    from purchaseflow.operators.receipts import extracted_json, validate_receipts
+    docs = ['{"currency": "USD", "total": "$2", "more": {"a": [1, null]}, "none": null}', '{"total": 1}', "{}"]
+    got = [json.loads(r[0]) for r in validate_receipts(spark.createDataFrame([(d,) for d in docs], "response string"))
+           .select(extracted_json()).collect()]
+    blank = {"business_name": "", "business_address": "", "date": "", "items": [], "subtotal": 0.0, "tax": 0.0, "total": 0.0}
+    assert got == [{**blank, "total": 2.0, "currency": "USD", "more": {"a": [1, None]}, "none": None}, {**blank, "total": 1.0}, blank]
+
+
 def test_validate_defaults_and_items(spark):
     from purchaseflow.operators.receipts import validate_receipts
     doc = {"business_name": None, "items": [{"description": " x ", "quantity": "2", "price": "$1.50"},

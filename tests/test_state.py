@@ -29,10 +29,18 @@ def test_upsert_latest_wins_over_union(spark):
                                 "file_name string, attempt_seq bigint, status string")
     new = spark.createDataFrame([("a.jpg", 3, "ok")], "file_name string, attempt_seq bigint, status string")
     got = {r.file_name: (r.attempt_seq, r.status, r.first_seen, r.n_attempts)
-           for r in latest_attempts(union_rows(old, new)).collect()}
+           for r in latest_attempts(union_rows(old, new), order=["attempt_seq"]).collect()}
     assert got == {"a.jpg": (3, "ok", 1, 2), "b.jpg": (2, "ok", 2, 1)}
 
 
+def test_a_later_run_wins_whatever_its_numbers(spark):
+    rows = [("a.jpg", 1, 900, "failed"), ("a.jpg", 2, 0, "ok"), ("a.jpg", 1, 5, "failed"), ("b.jpg", 1, 3, "ok"), ("b.jpg", 1, 3, "ok")]
+    log = spark.createDataFrame(rows, "file_name string, run_seq long, attempt_seq long, status string")
+    got = {r.file_name: (r.run_seq, r.attempt_seq, r.status, r.first_seen, r.n_attempts) for r in latest_attempts(log).collect()}
+    assert got == {"a.jpg": (2, 0, "ok", 5, 3), "b.jpg": (1, 3, "ok", 3, 2)}
+    assert latest_attempts(log).count() == 2
+
+
 def test_split_is_a_partition_and_pending_disjoint(spark, sf_small):
     latest = state_of(latest_attempts(fx.f6_attempts(spark, sf_small)))
     n = latest.count()
