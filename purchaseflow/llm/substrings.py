@@ -203,6 +203,15 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             .groupBy("part").applyInArrow(merge, "doc_id long, starts array<long>, ends array<long>"))
 
 
+def without_spans(text: str, starts, ends) -> tuple[int, int, str]:
+    """The numbers of words and of removed words of a text, and its kept words."""
+    words = text.encode("utf-8").split()  # at the six ASCII separators
+    n = len(words)
+    for a, b in zip(reversed(starts or ()), reversed(ends or ())):
+        del words[a:b]
+    return n, n - len(words), b" ".join(words).decode("utf-8")
+
+
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (the kept words joined by one
     space) of every document."""
@@ -213,20 +222,13 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for rows in batches:
             for i in range(0, rows.num_rows, 512):
                 some = rows.slice(i, 512)
-                total, removed, kept = [], [], []
-                for text, starts, ends in zip(*(some.column(c).to_pylist() for c in (1, 2, 3))):
-                    words = text.encode("utf-8").split()  # at the six ASCII separators
-                    n = len(words)
-                    for a, b in zip(reversed(starts or ()), reversed(ends or ())):
-                        del words[a:b]
-                    total.append(n)
-                    removed.append(n - len(words))
-                    kept.append(b" ".join(words).decode("utf-8"))
+                total, removed, kept = zip(*map(without_spans, *(some.column(c).to_pylist() for c in (1, 2, 3))))
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return (documents(docs).join(spans, "doc_id", "left").select("doc_id", "text", "starts", "ends")
+    # The same plan for any number of spans.
+    return (documents(docs).join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "starts", "ends")
             .mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string"))
 
 
