@@ -34,13 +34,14 @@ def _text_value(p: Column) -> Column:
 ITEM_FIELDS = "struct<description:variant,quantity:variant,price:variant>"
 
 
-def _item(p: Column, compat: bool) -> Column:
-    d = p["d"]
+def _description(d: Column, compat: bool) -> Column:
     if compat:  # JSON null description prints as 'None' and is kept (quirk K9)
-        desc = F.when(d["missing"], F.lit("")).when(d["jnull"], F.lit("None")) \
-                .otherwise(strip_text(parts_text(d)))
-    else:
-        desc = F.when(d["missing"] | d["jnull"], F.lit("")).otherwise(strip_text(parts_text(d)))
+        return F.when(d["missing"], F.lit("")).when(d["jnull"], F.lit("None")).otherwise(strip_text(parts_text(d)))
+    return F.when(d["missing"] | d["jnull"], F.lit("")).otherwise(strip_text(parts_text(d)))
+
+
+def _item(p: Column, compat: bool) -> Column:
+    desc = _description(p["d"], compat)
     q = normalize_quantity_parts(p["q"])
     return F.struct(desc.alias("description"), q["quantity"].alias("quantity"),
                     q["quantity_text"].alias("quantity_text"),
@@ -197,6 +198,32 @@ def explode_items(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.inline(rows))
 
 
+def explode_response_items(df: DataFrame, keys: list[str], response: str = "response",
+                           attempt_status: str = "status", compat: bool = False) -> DataFrame:
+    """REL8 + FN14 straight from the answers: the same rows as :func:`explode_items` of the
+    validated receipts.  Only the test for a blank description runs inside the array; the
+    items are then rows, and quantities and prices are cleaned as plain, code-generated
+    columns."""
+    parsed = (df.filter(F.col(attempt_status) == "ok")
+              .select(*keys, F.try_parse_json(F.col(response)).alias("_v")))
+    objects = F.filter(F.transform(F.coalesce(F.try_variant_get(F.col("_v"), "$.items", "array<variant>"),
+                                              F.array().cast("array<variant>")),
+                                   lambda x: F.try_variant_get(x, "$", ITEM_FIELDS)), lambda s: s.isNotNull())
+    named = F.filter(objects, lambda s: _description(views(typed(s["description"])), compat) != "")
+    rows = parsed.select(*keys, F.posexplode(named).alias("_pos", "_s"))
+    fields = rows.select(*keys, "_pos", *[F.col(f"_s.{n}").alias(f"_{n}") for n in ("description", "quantity", "price")])
+    staged = fields.select("*", *[vtype(F.col(f"_{n}")).alias(f"_t_{n}") for n in ("description", "quantity", "price")])
+
+    def parts(n: str) -> Column:
+        return views(F.struct(F.col(f"_{n}").alias("v"), F.col(f"_t_{n}").alias("t")))
+
+    q = normalize_quantity_parts(parts("quantity"))
+    items = staged.select(*keys, (F.col("_pos") + 1).alias("pos"), _description(parts("description"), compat).alias("description"),
+                          q["quantity"].alias("quantity"), q["quantity_text"].alias("quantity_text"),
+                          clean_price_parts(parts("price")).alias("price"))
+    return items.withColumn("line_total", line_total(F.col("quantity"), F.col("price")))
+
+
 def sum_item_prices(items: Column) -> Column:
     """AGG1 nested form: sum of unit prices (quantity ignored), 0 when empty."""
     return F.aggregate(items, F.lit(0.0), lambda acc, it: acc + it["price"])

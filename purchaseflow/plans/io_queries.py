@@ -4,7 +4,6 @@ stage, the batch job and streaming ingest: q11, q23-q30, q32, q34-q37, q39, q40.
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from ..operators.job import run_batch
 from ..operators.receipts import resolve_status, validate_receipts
 from ..operators.state import latest_attempts, pending_from_results, skipped_paths, split_results
 from ..schemas import RESULT_COLUMNS
-from ..session import checkpoint_dir
+from ..session import scratch_path
 from ..sinks.outputs import append_attempts, receipt_json, write_results, write_skipped
 from ..sources.files import image_type_filter, slice_files
 from ..sources.results import load_attempts, read_results
@@ -28,11 +27,6 @@ from . import fixtures as fx
 SLICE_START, SLICE_END = 10, 60
 
 
-def _scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under the shared checkpoint location."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def q11_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN11: base name (last path segment) of every page URL."""
     return fx.table(spark, sf_dir, "pages").select("page_id", base_name(F.col("url")).alias("file_name"))
@@ -59,7 +53,7 @@ def doc_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q23_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK1 + SRC4: write the pipe-separated result file, read it back."""
-    path = _scratch(spark, "q23-results")
+    path = scratch_path(spark, "q23-results")
     write_results(doc_results(spark, sf_dir), path)
     return read_results(spark, path, na_as_missing=False).select(*RESULT_COLUMNS)
 
@@ -165,7 +159,7 @@ def q34_extract_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q35_batch_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole batch job over OCR texts: a run in which every fifth file has no answer,
     then a run that extracts just those; the results derive from the log."""
-    base = _scratch(spark, "q35-job")
+    base = scratch_path(spark, "q35-job")
     files = fx.f7_ocr(spark, sf_dir)
     run_batch(spark, files, lambda todo: extract_offline(todo, "run1", 1, failed=F.col("o_orderkey") % 5 == 0),
               f"{base}/log", f"{base}/results1", f"{base}/skipped1")
@@ -181,7 +175,7 @@ def q35_batch_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q36_csv_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REL1 + REL2 by the result file: rows with blank names and NA tokens, rows outside the
     slice and files without a row; written, read back, split, and what is pending."""
-    path = _scratch(spark, "q36-results")
+    path = scratch_path(spark, "q36-results")
     k = F.col("doc_id")
     d = doc_results(spark, sf_dir).withColumn("doc_id", F.regexp_extract("File_Name", r"\d+", 0).cast("long"))
     name = (F.when(k % 5 == 0, F.lit("")).when(k % 7 == 1, F.lit("N/A")).when(k % 7 == 2, F.lit("null"))
@@ -198,7 +192,7 @@ def q36_csv_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q37_log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK2/SNK3 + SRC6: the attempt log appended in two batches and loaded."""
-    path = _scratch(spark, "q37-log")
+    path = scratch_path(spark, "q37-log")
     att = fx.f6_attempts(spark, sf_dir)
     append_attempts(att.filter(F.col("attempt_seq") % 2 == 0), path)
     append_attempts(att.filter(F.col("attempt_seq") % 2 == 1), path)
@@ -216,7 +210,7 @@ def q39_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q40_skipped_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK4: the skipped list written and read back."""
-    path = _scratch(spark, "q40-skipped")
+    path = scratch_path(spark, "q40-skipped")
     latest = latest_attempts(fx.f6_attempts(spark, sf_dir), order=["attempt_seq"], payload=["status", "path"])
     write_skipped(skipped_paths(latest), path)
     return spark.read.text(path).withColumnRenamed("value", "path")
@@ -225,7 +219,7 @@ def q40_skipped_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q32_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC9: the attempt log lands in a folder in two commits; three ``availableNow``
     passes ingest it -- the second picks up only the new files, the third nothing."""
-    base = _scratch(spark, "q32-ingest")
+    base = scratch_path(spark, "q32-ingest")
     src, sink, ck = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
     att = fx.f6_attempts(spark, sf_dir)
     schema = att.schema

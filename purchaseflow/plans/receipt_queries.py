@@ -10,7 +10,7 @@ from ..functions.price import clean_price, strict_price
 from ..functions.quantity import normalize_quantity, strict_quantity
 from ..functions.text import items_text, strip_text
 from ..functions.variants import with_parsed
-from ..operators.receipts import (explode_items, resolve_status, sum_item_prices, to_result_rows,
+from ..operators.receipts import (explode_response_items, resolve_status, sum_item_prices, to_result_rows,
                                   validate_receipts)
 from . import fixtures as fx
 
@@ -84,8 +84,8 @@ def q07_items_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q08_items_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REL8 + FN14: one row per valid item with its line total."""
-    r = receipts(spark, sf_dir)
-    return explode_items(r, ["file_name"]).withColumn(
+    rows = explode_response_items(fx.f1_receipts(spark, sf_dir), ["file_name"])
+    return rows.withColumn(
         "line_total", F.when(F.col("quantity") > 1e6, F.col("line_total")).otherwise(F.round("line_total", 2)))
 
 

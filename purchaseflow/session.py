@@ -15,8 +15,10 @@ holds the configuration the engine relies on:
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -114,3 +116,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all hosts share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="pf-checkpoint-"))
     return sc.getCheckpointDir()
+
+
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A fresh folder under the shared checkpoint location, removed by
+    :func:`release_scratch` (at the latest when the process ends)."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def release_scratch() -> None:
+    """Delete the scratch folders of this process: call it once the results that read
+    them have been written."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: the folder's owner removes what is left
+            return
+
+
+atexit.register(release_scratch)

@@ -133,6 +133,26 @@ def test_a_date_that_is_no_text(spark):
     assert [r.parse_status for r in validate_receipts(df, compat=True).collect()] == ["failed", "failed", "ok"]
 
 
+def test_both_explodes_agree(spark, sf_small):
+    from purchaseflow.operators.receipts import explode_items, explode_response_items, resolve_status, validate_receipts
+    from purchaseflow.plans import fixtures as fx
+    odd = spark.createDataFrame([("x.jpg", '{"items": [{"description": null, "price": 2}, 3, {"description": " a "}]}', "ok"),
+                                 ("y.jpg", '{"items": [{"description": "b"}]}', "failed")], "file_name string, response string, status string")
+    for compat in (False, True):
+        for df in (odd, fx.f1_receipts(spark, sf_small)):
+            one = explode_items(resolve_status(validate_receipts(df, compat=compat)).filter("status = 'ok'"), ["file_name"])
+            two = explode_response_items(df, ["file_name"], compat=compat)
+            assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+
+def test_the_prompts_are_the_fixed_texts():
+    from hashlib import sha256
+
+    from purchaseflow.functions import text
+    got = {n: sha256(getattr(text, n).encode()).hexdigest()[:16] for n in dir(text) if n.startswith("PROMPT_")}
+    assert got == {"PROMPT_HEAD": "18ecf359c8340d17", "PROMPT_TAIL_BATCH": "6d003b38317704cf", "PROMPT_TAIL_SINGLE": "8222167e836e749d"}
+
+
 def test_other_keys_stay_in_the_json(spark):
     from purchaseflow.operators.receipts import extracted_json, validate_receipts
     docs = ['{"currency": "USD", "total": "$2", "more": {"a": [1, null]}, "none": null}', '{"total": 1}', "{}"]
