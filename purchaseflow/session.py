@@ -129,14 +129,19 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one scratch folder."""
+    _SCRATCH[:] = [(s, p) for s, p in _SCRATCH if p != path]
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release_scratch() -> None:
     """Delete the scratch folders of this process: call it once the results that read
     them have been written."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
+    for spark, path in list(_SCRATCH):
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            drop_scratch(spark, path)
         except Exception:  # the session has ended: the folder's owner removes what is left
             return
 
