@@ -5,7 +5,9 @@ letters and digits, lower case) and compared to each template over sets of word
 ``2 * common / (size + template size) >= LEAST``.  Sizes bound this from above, so a unit
 meets only templates whose size is between ``LEAST / (2 - LEAST)`` and its inverse times
 its own; and a unit with fewer words, or fewer bigrams of any template, than the smallest
-template allows is dropped before its own set is built.
+template allows is dropped before its own set is built.  The least number of common
+bigrams also means that a unit must hold one of a few marker words (``markers``): texts
+and lines without any are dropped by one scan, before they are cut into words.
 
 Only built-in functions are used; the templates are constants, and rows move once, as
 ids and their few matches.
@@ -19,6 +21,9 @@ table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +65,10 @@ TEMPLATES = [
 ]
 
 
+# Words of the templates that are common in any text.
+COMMON = frozenset("a all and any as at be by for from in is it may not of on or that the this to under you".split())
+
+
 def template_bigrams(text: str) -> list[str]:
     """The distinct word bigrams of a text, by the normalisation of the scan."""
     words = [w.lower() for w in re.findall("[A-Za-z0-9]+", text)]
@@ -71,6 +80,28 @@ def unit_bigrams(words: Column) -> Column:
                       lambda a, b: F.concat_ws(" ", a, b))
 
 
+def _once(value: Column, name: str) -> Column:
+    """A column computed once, whatever reads it: a generator's output is never inlined
+    into the expressions and filters above it."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def markers(sets: list[list[str]], least: float) -> list[str]:
+    """A few words of which every unit that reaches ``least`` with some template holds one:
+    the bigrams without a marker are too few to reach it.  Words shared by many templates
+    come first, then long ones; a marker may be part of a longer word."""
+    chosen: list[str] = []
+
+    def open_bigrams(bigrams: list[str]) -> list[str]:
+        left = [b for b in bigrams if not any(m in b for m in chosen)]
+        return left if 2 * len(left) >= least * (len(left) + len(bigrams)) - 1e-9 else []
+
+    while rest := [left for b in sets if (left := open_bigrams(b))]:
+        held = Counter(w for left in rest for w in {w for b in left for w in b.split(" ")})
+        chosen.append(max(held, key=lambda w: (w not in COMMON, len(w) > 4, held[w], len(w), w)))
+    return chosen
+
+
 def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """``doc_id``, ``unit`` (0 the whole text, else the line), ``license`` and ``dice`` of
     every unit and template with a Dice coefficient of ``least`` or more."""
@@ -78,19 +109,26 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least
     sets = [(name, template_bigrams(text)) for name, text in templates]
     known = sorted({b for _, bigrams in sets for b in bigrams})
     smallest = min(len(b) for _, b in sets)
-    units = (docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    words = markers([b for _, b in sets], least)
+
+    def marked(text: str) -> Column:  # the lower-case text is made once
+        return F.exists(F.array(F.lower(text)), lambda t: reduce(or_, [t.contains(F.lit(w)) for w in words]))
+
+    units = (docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").filter(marked("text"))
              .select(F.col("doc_id").cast("long").alias("doc_id"),
                      F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("unit", "line"))
-             .select("doc_id", "unit", F.split(F.trim(F.lower(F.regexp_replace("line", "[^A-Za-z0-9]+", " "))), " ").alias("words")))
+             .filter(marked("line"))
+             .select("doc_id", "unit", _once(F.split(F.trim(F.lower(F.regexp_replace("line", "[^A-Za-z0-9]+", " "))), " "), "words")))
     # dice >= least needs size >= least / (2 - least) * template, and as many common bigrams.
-    floor = least / (2 - least) * smallest
-    bigrams = unit_bigrams(F.col("words"))
-    common = F.array_distinct(F.filter(bigrams, lambda b: b.isin(known)))
-    some = (units.filter(F.size("words") - 1 >= floor).withColumn("common", common)
+    bound = least / (2 - least) - 1e-9
+    floor = bound * smallest
+    some = (units.filter(F.size("words") - 1 >= floor)
+            .select("doc_id", "unit", _once(unit_bigrams(F.col("words")), "own"))
+            .select("doc_id", "unit", "own", _once(F.array_distinct(F.filter("own", lambda b: b.isin(known))), "common"))
             .filter(F.size("common") >= floor)
-            .withColumn("size", F.size(F.array_distinct(bigrams))))
+            .select("doc_id", "unit", "common", _once(F.size(F.array_distinct("own")), "size")))
     table = F.broadcast(spark.createDataFrame([(n, b, len(b)) for n, b in sets], "license string, bigrams array<string>, template int"))
-    inside = (F.col("size") >= least / (2 - least) * F.col("template")) & (F.col("size") * (least / (2 - least)) <= F.col("template"))
+    inside = (F.col("size") >= bound * F.col("template")) & (F.col("size") * bound <= F.col("template"))
     return (some.join(table, inside)
             .withColumn("dice", 2.0 * F.size(F.array_intersect("common", "bigrams")) / (F.col("size") + F.col("template")))
             .filter(F.col("dice") >= least).select("doc_id", "unit", "license", "dice"))
