@@ -19,13 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, held_out, labelled_sample, ready, text_bytes
 from .words import word_hashes, word_spans
 
-PER_CLASS = 2048
+PER_CLASS = 1500
 FEATURES = 4096
 DIMENSIONS = 64
 NEIGHBOURS = 24
@@ -102,7 +102,8 @@ class Model:
         x[:, :FEATURES] /= np.maximum(norms, 1e-9)
         x[:, FEATURES:] *= SHAPE_WEIGHT
         x -= self.centre
-        return np.where(norms > 0, x, 0)
+        x[norms[:, 0] <= 0] = 0
+        return x
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         v = self.weighted(counts) @ self.directions
@@ -158,7 +159,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model |
     for row in ordered.toLocalIterator():  # at most 2 * PER_CLASS rows of 8 KB
         ys.append(row.y)
         counts.append(np.frombuffer(row.counts, np.float16))
-    return fit(np.stack(counts).astype(np.float32), np.array(ys)) if ys else None
+    if not ys:
+        return None
+    table = np.empty((len(ys), FEATURES + SHAPES), np.float32)
+    for i, c in enumerate(counts):
+        table[i] = c
+    counts.clear()
+    return fit(table, np.array(ys))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -180,6 +187,21 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def score_column(spark: SparkSession, model: Model | None, text: Column) -> Column:
+    """The score of a text column, for use beside other columns of its rows."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        model = shared.value
+        raw, offsets = text_bytes(texts)
+        found = (np.concatenate([model.scores(features(raw, offsets[i:i + BLOCK + 1])) for i in range(0, len(texts), BLOCK)])
+                 if model and len(texts) else np.zeros(len(texts)))
+        return pa.array(found, pa.float64())
+
+    return run(F.coalesce(text, F.lit("")))
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` (score at ``CUTOFF`` or over)."""
     scored = score(docs, train(docs, labels, label))

@@ -8,45 +8,51 @@ returned; rows that share an id share its decision."""
 from __future__ import annotations
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard, packing, quality, substrings, toxicity
-from .common import table
+from .common import staged, table
 from .queries import VOCABULARY
 
 
-def _keep(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without the documents of ``rejected`` (a few ids)."""
-    gone = rejected.select(F.col("doc_id").alias("__rejected")).distinct()
-    return (docs.filter("doc_id IS NOT NULL")
-            .join(gone, docs["doc_id"].cast("long") == gone["__rejected"], "left_anti"))
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxicity: documents predicted toxic go."""
-    found = toxicity.classify(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, found.filter("predicted = 1"))
+    """Toxicity: documents predicted toxic go.  One pass, no row moves."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return docs.filter("doc_id IS NOT NULL").filter(
+        toxicity.score_column(spark, model, F.col("text")) < toxicity.CUTOFF)
 
 
 def with_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality: documents predicted poor go."""
-    found = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, found.filter("predicted = 0"))
+    """Quality: documents predicted poor go (none without labels).  One pass, no row moves."""
+    kept = docs.filter("doc_id IS NOT NULL")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return kept if model is None else kept.filter(quality.score_column(spark, model, F.col("text")) >= quality.CUTOFF)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join on five words at 0.8: of each component its smallest id stays."""
-    found = jaccard.components(docs, words=5, percent=80)
-    return _keep(docs, found.filter("doc_id <> component_id")).dropDuplicates(["doc_id"])
+    found = jaccard.components(docs, words=5, percent=80).filter("doc_id = component_id")
+    kept = found.select(F.col("doc_id").alias("__kept")).distinct()
+    return (docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == kept["__kept"], "left_semi")
+            .dropDuplicates(["doc_id"]))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: a text with repeated passages becomes its kept words joined by one
     space (``n_chars`` follows); other texts stay as they are."""
-    cut = substrings.deduplicated(docs).filter("n_removed > 0").select(
-        F.col("doc_id").alias("__doc_id"), F.col("kept").alias("__kept")).dropDuplicates(["__doc_id"])
-    joined = docs.filter("doc_id IS NOT NULL").join(cut, F.col("doc_id").cast("long") == F.col("__doc_id"), "left")
+    spans = staged(substrings.repeats(docs), "pipeline-repeats").select(
+        F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
+
+    @F.arrow_udf("string")
+    def kept(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return pa.array([None if a is None else substrings.without_spans(t or "", a, b)[2]
+                         for t, a, b in zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist())], pa.string())
+
+    joined = (docs.filter("doc_id IS NOT NULL")
+              .join(spans.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left")
+              .withColumn("__kept", kept("text", "__starts", "__ends")))
     new = {"text": F.coalesce("__kept", "text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(

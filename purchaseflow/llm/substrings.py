@@ -100,7 +100,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     parts = ready(spark)
     docs = documents(docs)
-    cells = max(CELLS, 1 << int(np.ceil(np.log2(64 * parts))))
+    cells = max(CELLS, 1 << int(np.ceil(np.log2(16 * parts))))
     levels = [n for n in LEVELS if n < window]
     shared = spark.sparkContext.broadcast(census(docs, window, cells))
 
