@@ -7,18 +7,14 @@ no identity and take no part; a null text counts as the empty text.
 
 from __future__ import annotations
 
-import atexit
-import uuid
+import gc
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, ship_package
-
-_TABLES: list[tuple[SparkSession, str]] = []
-
+from ..session import drop_scratch, scratch_path, ship_package
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,37 +27,34 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> int:
-    """Make the package importable on the executors, bound the rows of an Arrow batch,
+    """Make the package importable on the executors, bound an Arrow batch,
     and return the number of shuffle partitions."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back: cuts lineage,
-    and later passes see exactly the rows of the first.  :func:`release` removes it."""
+    and later passes see exactly the rows of the first.  ``session.release_scratch`` or
+    :func:`discard` removes it."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _TABLES.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete the staged tables of this process (also at exit): call it once the results
-    that read them have been written."""
-    while _TABLES:
-        spark, path = _TABLES.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended: the folder's owner removes what is left
-            return
-
-
-atexit.register(release)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._staged_path = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more.  Spark drops the shuffle files of
+    finished work once the driver has collected its garbage, so that is asked for here."""
+    for df in tables:
+        drop_scratch(df.sparkSession, df._staged_path)
+    for df in tables[:1]:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
 
 
 def held_out() -> Column:

@@ -9,14 +9,17 @@ Documents with equal sets are one class.  Two classes link when
 * Heavy: sets from the boundary on (and the smaller ones that can link with them) enter
   the inverted lists of their prefix, the part of a set that any linked set must meet.
   Shingles are ordered by their count in the corpus, rarest first, so common passages
-  come last.  The lists are scanned in two rounds.  First every member is paired with the
-  smallest member of its list and size class; verified pairs join components.  Then all
-  pairs of a list that are still in different components are verified.  A list of copies
-  has become one component by then, so no list of copies is ever squared.
+  come last.  The lists are scanned in three rounds, and verified pairs join components
+  after each.  First every member is paired with the smallest member of its list and size
+  class.  The lists that still hold several components are then scanned whole, block by
+  block: members of different components are compared inside the task by their cell
+  counts.  In the second round each member's most similar partner leaves the task, which
+  ties up families of near copies; in the third round all pairs that may still link do,
+  and what is left are pairs on the verge of linking.
 * The boundary is the size with the least estimated cost: subsets enumerated below it
   against list entries read above it, at the measured mean length of a list.
 
-Pairs are pruned by counts of shingles in 64 hash cells (an upper bound of the
+Pairs are pruned by counts of shingles in 256 hash cells (an upper bound of the
 intersection) and then verified on the whole sets.  Words, shingles and sets are told
 apart by 64-bit hashes.
 
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, ready, staged, text_bytes
+from .common import discard, documents, ready, staged, text_bytes
 from .components import connected
 from .words import _STEP, mix, runs, word_hashes, word_spans
 
@@ -48,7 +51,9 @@ HEAVY = 1 << 18
 HEAVY_FROM = 8
 SPLIT = 4096
 LARGEST_BOUNDARY = 32
-CELLS = 64
+CELLS = 256
+CELLED = 30_000     # larger sets are not pruned by their cells, which count to 255
+BLOCK = 2048
 BITS = 1 << 24
 
 _ENTRY = np.dtype([("token", "<u8"), ("set", "<u8"), ("n", "<u4"), ("tag", "<u2")])
@@ -149,7 +154,8 @@ class _Join:
     def sizes(self) -> DataFrame:
         """``doc_id``, size, set and the cell counts of its set."""
         def run(ids, sets):
-            cells = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS).astype("<u4").tobytes() for s in sets]
+            cells = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+                     for s in sets]
             keys = np.array([set_id(s) for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(keys)), pa.array(cells, pa.binary())],
@@ -285,8 +291,8 @@ class _Join:
         return (self._pass(run, "pid int, blob binary").groupBy("pid")
                 .applyInArrow(gather, "token long, set_id long, n long, hub long"))
 
-    def verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The ``a``-``b`` pairs that link."""
+    def pruned(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """The ``a``-``b`` pairs that may link by their sizes and cells."""
         percent = self.percent
         cells = classes.select("set_id", "n", "cells")
         near = (pairs.join(cells.toDF("a", "n_a", "cells_a"), "a").join(cells.toDF("b", "n_b", "cells_b"), "b")
@@ -296,14 +302,16 @@ class _Join:
             for rows in batches:
                 if not rows.num_rows:
                     continue
-                x, y = (np.frombuffer(b"".join(rows.column(i).to_pylist()), "<u4").reshape(-1, CELLS) for i in (4, 5))
-                bound = np.minimum(x, y).sum(1, dtype=np.int64)
-                size = rows.column(2).to_numpy() + rows.column(3).to_numpy()
-                keep = pa.array(100 * bound >= percent * (size - bound))
+                x, y = (_cells(rows.column(i)) for i in (4, 5))
+                keep = pa.array(may_link(rows.column(2).to_numpy(), rows.column(3).to_numpy(), np.minimum(x, y).sum(1, dtype=np.int64), percent))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0).filter(keep), rows.column(1).filter(keep)], names=["a", "b"])
 
-        near = staged(near.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(prune, "a long, b long"), "jaccard-pairs")
+        return near.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(prune, "a long, b long")
+
+    def verified(self, near: DataFrame) -> DataFrame:
+        """The ``a``-``b`` pairs of a staged table that link, by their whole sets."""
+        percent = self.percent
         sets = staged(self._sets(near), "jaccard-sets")
 
         def compare(batches):
@@ -317,8 +325,81 @@ class _Join:
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0).filter(keep), rows.column(1).filter(keep)], names=["a", "b"])
 
-        return (near.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
-                .select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"))
+        links = staged(near.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+                       .select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "jaccard-links")
+        discard(sets)
+        return links
+
+    def scanned(self, lists: DataFrame, roots: DataFrame, classes: DataFrame, nearest: bool) -> DataFrame:
+        """The pairs of a list in different components that may link; with ``nearest``, of
+        each member the most similar one.  Of lists with the same members one is scanned; a
+        list of many members is dealt as pairs of blocks."""
+        held = (lists.filter("token IS NOT NULL").select("token", "set_id", "n")
+                .join(roots.toDF("set_id", "root"), "set_id", "left")
+                .select("token", "set_id", "n", F.coalesce("root", "set_id").alias("root")))
+        apart = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        held = held.join(apart.select("token"), "token", "left_semi")
+        percent = self.percent
+        scans = held.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("set_id")).alias("members"))
+        scans = scans.groupBy("m", "members").agg(F.min("token").alias("token")).select(
+            "token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        dealt = (held.join(scans, "token").join(classes.select("set_id", "cells"), "set_id")
+                 .withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                 .select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                         "block", "set_id", "n", "root", "cells")
+                 .repartition(self.parts, "token", "i", "j").sortWithinPartitions("token", "i", "j"))
+
+        def scan(batches):
+            held = None
+            for rows in batches:
+                table = pa.Table.from_batches([rows]) if held is None else pa.concat_tables([held, pa.Table.from_batches([rows])])
+                keys = np.stack([table.column(c).to_numpy() for c in (0, 1, 2)], 1)
+                cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+                if len(cuts):
+                    yield from groups(table.slice(0, cuts[-1]), cuts)
+                    table = table.slice(cuts[-1])
+                held = table.combine_chunks()
+            if held is not None and held.num_rows:
+                yield from groups(held, np.array([held.num_rows]))
+
+        def groups(table, ends):
+            block, own, n, root = (table.column(c).to_numpy() for c in ("block", "set_id", "n", "root"))
+            i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
+            cells = _cells(table.column("cells").combine_chunks())
+            found = [np.zeros((0, 2), np.int64)]
+            for a, b in zip([0, *ends[:-1]], ends):
+                some = []
+                for lo in range(a, b - 1, 64):
+                    hi = min(lo + 64, b)
+                    left, right = np.arange(lo, hi)[:, None], np.arange(lo + 1, b)[None]
+                    apart = (left < right) & (root[left] != root[right])
+                    apart &= np.minimum(n[left], n[right]) * 100 >= np.maximum(n[left], n[right]) * percent
+                    if i[a] != j[a]:
+                        apart &= block[left] != block[right]
+                    x, y = np.nonzero(apart)
+                    x, y = x + lo, y + lo + 1
+                    for c in range(0, len(x), 1 << 16):
+                        u, v = x[c:c + (1 << 16)], y[c:c + (1 << 16)]
+                        common = np.minimum(cells[u], cells[v]).sum(1, dtype=np.int64)
+                        keep = may_link(n[u], n[v], common, percent)
+                        some.append((u[keep], v[keep], common[keep] / (n[u[keep]] + n[v[keep]])))
+                if not some:
+                    continue
+                u, v, score = map(np.concatenate, zip(*some))
+                if nearest:
+                    member, pair = np.concatenate([u, v]), np.tile(np.arange(len(u)), 2)
+                    order = np.lexsort((-score[pair], member))
+                    best = np.ones(len(order), bool)
+                    best[1:] = member[order[1:]] != member[order[:-1]]
+                    chosen = np.unique(pair[order[best]])
+                    u, v = u[chosen], v[chosen]
+                found.append(np.stack([own[u], own[v]], 1))
+            pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        return dealt.mapInArrow(scan, "a long, b long").distinct()
 
     def _sets(self, pairs: DataFrame) -> DataFrame:
         """The whole sets of the pairs, once each.  Two bits of a table of ``BITS`` bits mark
@@ -354,6 +435,15 @@ class _Join:
                 .dropDuplicates(["set_id"]))
 
 
+def _cells(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
+
+
+def may_link(n: np.ndarray, m: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with so many members and at most ``common`` in both can link."""
+    return (100 * common >= percent * (n + m - common)) | (np.maximum(n, m) > CELLED)
+
+
 def _pairs_table(token, member, n, hub) -> pa.Table:
     return pa.table({"token": pa.array(_signed(np.ascontiguousarray(token))) if token is not None else pa.nulls(len(member), pa.int64()),
                      "set_id": pa.array(_signed(np.ascontiguousarray(member))),
@@ -400,27 +490,24 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     tokens = heavy.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     below = join.boundary(classes, mean_list)
+    discard(counts)
     lists = staged(join.lists((tokens[order], heavy.column("held").to_numpy()[order]), below), "jaccard-lists")
 
     # First round: members with their hubs, and the hubs of a split list with one another.
     hubs = lists.filter("token IS NOT NULL").select("token", "hub").distinct()
     top = hubs.groupBy("token").agg(F.min("hub").alias("top"))
     first = staged(_pairs(lists, "set_id", "hub").unionByName(_pairs(hubs.join(top, "token"), "hub", "top")).distinct(), "jaccard-first")
-    links = staged(join.verified(first, classes), "jaccard-links")
-    roots = connected(links)
-
-    # Second round: what shares a list and is still apart.
-    held = (lists.filter("token IS NOT NULL").select("token", "set_id", "n").join(
-        roots.toDF("set_id", "root"), "set_id", "left")
-        .select("token", "set_id", "n", F.coalesce("root", "set_id").alias("root")))
-    apart = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    held = held.join(apart.select("token"), "token", "left_semi")
-    rest = (held.toDF("token", "a", "n_a", "root_a").join(held.toDF("token", "b", "n_b", "root_b"), "token")
-            .filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-                    & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
-            .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    more = staged(join.verified(staged(rest, "jaccard-rest"), classes), "jaccard-more")
-    roots = connected(links.unionByName(more))
+    near = staged(join.pruned(first, classes), "jaccard-near")
+    links = join.verified(near)
+    discard(near)
+    tried, roots = first, connected(links)
+    # Second and third round: what shares a list and is still apart.
+    for nearest in (True, False):
+        rest = staged(join.scanned(lists, roots, classes, nearest).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
+        links = links.unionByName(join.verified(rest))
+        tried, roots = tried.unionByName(rest), connected(links)
+    roots = staged(roots, "jaccard-roots")
+    discard(lists)
 
     rooted = classes.select("set_id", "rep").join(roots.toDF("set_id", "root"), "set_id", "left").select(
         "set_id", "rep", F.coalesce("root", "set_id").alias("root"))

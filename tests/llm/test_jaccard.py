@@ -81,6 +81,7 @@ def test_small_sets_alone_and_lists_alone(spark, monkeypatch):
 
 def test_split_lists(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SPLIT", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
     monkeypatch.setattr(jaccard, "HEAVY_FROM", 2)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(60)]
