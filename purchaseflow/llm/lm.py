@@ -36,6 +36,7 @@ from .words import mix, word_hashes, word_spans
 
 BACKOFF = 0.4
 MIN_COUNT = 2
+RANGES = 4  # of a partition's contexts, joined one after another
 HOT = 1 / 4096
 _MASK = np.uint64((1 << 48) - 1)
 START = np.uint64(1)   # the context of a document's first word
@@ -125,6 +126,65 @@ def hot_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return hot, counts, int(total.n), int(total.docs)
 
 
+def _one_range(blobs, low, high, lookup, totals, later_words, later_docs, cold_words, cold_counts) -> None:
+    """Join the bigrams whose context hash is in [low, high) with their counts.  Adds what
+    they score to ``totals`` (per document of each block), those that back off to the
+    ``later`` lists, and the counts of contexts that are not hot to the ``cold`` lists."""
+    first, second, number, docs, about = [], [], [], [], []
+    for blob in blobs:
+        f, spread, s, n, d, ids = _parts(blob)
+        contexts, spread, n = _from_six(f), unpacked(spread), unpacked(n)
+        a, b = np.searchsorted(contexts, [low, high])
+        entry = np.concatenate([[0], np.cumsum(spread)])[[a, b]]
+        place = np.concatenate([[0], np.cumsum(n)])[entry]
+        first.append(np.repeat(contexts[a:b], spread[a:b]))
+        second.append(_from_six(s[6 * entry[0]:6 * entry[1]]))
+        number.append(n[entry[0]:entry[1]].astype(np.int32))
+        docs.append(_loose(d, "<u2")[place[0]:place[1]].copy())
+        about.append(unpacked(ids))
+    lengths = [len(f) for f in first]
+    if not sum(lengths):
+        return
+    first, second, number = np.concatenate(first), np.concatenate(second), np.concatenate(number)
+    order = np.lexsort((second, first)).astype(np.int32)
+    f, s = first[order], second[order]
+    del first
+    new_context = np.ones(len(f), bool)
+    new_context[1:] = f[1:] != f[:-1]
+    new = new_context.copy()
+    new[1:] |= s[1:] != s[:-1]
+    words = f[new_context]
+    del f
+    count = np.bincount(np.cumsum(new) - 1, number[order])[np.cumsum(new) - 1]
+    context = np.cumsum(new_context) - 1
+    of_context = np.bincount(context, number[order]).astype(np.int64)
+    is_hot, exact = lookup(words)
+    cold_words.append(words[~is_hot])
+    cold_counts.append(of_context[~is_hot])
+    seen = count >= MIN_COUNT
+    value = np.where(seen, np.log10(count / np.where(is_hot, exact, of_context)[context]), 0.0)
+    del count, context
+    last_hot, last_exact = lookup(s)
+    here = ~seen & last_hot & (s != END)  # the last word's count is known: no need to send it on
+    value[here] = np.log10(last_exact[here])
+    value[s == END] = 0.0
+    later = ~seen & ~here & (s != END)
+    back, state = np.empty(len(order)), np.zeros(len(order), np.int8)
+    back[order] = value
+    state[order] = np.where(here, 1, np.where(later, 2, 0))
+    at = 0
+    for n, d, ids in zip(lengths, docs, about):
+        k = number[at:at + n]
+        v, st, w = np.repeat(back[at:at + n], k), np.repeat(state[at:at + n], k), np.repeat(second[at:at + n], k)
+        at += n
+        touched = np.unique(d)
+        totals["ids"].append(ids[touched])
+        totals["sum"].append(np.bincount(d, v, minlength=len(ids))[touched])
+        totals["backed"].append(np.bincount(d[st == 1], minlength=len(ids))[touched])
+        later_words.append(w[st == 2])
+        later_docs.append(ids[d[st == 2]])
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_words`` and ``score`` of every document, by the counts of all."""
     spark = docs.sparkSession
@@ -202,53 +262,13 @@ def scores(docs: DataFrame) -> DataFrame:
         pid, blobs = key[0].as_py(), group.column("blob").to_pylist()
         if pid >= 2 * parts:
             return table([(pid, b) for b in blobs])
-        first, second, number, docs, about = [], [], [], [], []
-        for blob in blobs:
-            f, spread, s, n, d, ids = _parts(blob)
-            first.append(np.repeat(_from_six(f), unpacked(spread)))
-            second.append(_from_six(s))
-            number.append(unpacked(n))
-            docs.append(_loose(d, "<u2"))
-            about.append(unpacked(ids))
-        lengths = [len(f) for f in first]
-        first, second, number = np.concatenate(first), np.concatenate(second), np.concatenate(number)
-        order = np.lexsort((second, first))
-        f, s = first[order], second[order]
-        new_context = np.ones(len(f), bool)
-        new_context[1:] = f[1:] != f[:-1]
-        new = new_context.copy()
-        new[1:] |= s[1:] != s[:-1]
-        bigram, context = np.cumsum(new) - 1, np.cumsum(new_context) - 1
-        count = np.bincount(bigram, number[order]).astype(np.int64)[bigram]
-        of_context = np.bincount(context, number[order]).astype(np.int64)
-        words = f[new_context]
-        is_hot, exact = lookup(words)
-        context_count = np.where(is_hot, exact, of_context)[context]
-        value = np.where(count >= MIN_COUNT, np.log10(np.maximum(count, 1) / context_count), 0.0)
-        backed = (count < MIN_COUNT) & (s != END)
-        last_hot, last_exact = lookup(s)
-        here = backed & last_hot  # the last word's count is known: no need to send it on
-        value = np.where(here, np.log10(np.maximum(last_exact, 1)), value)
-        value[s == END] = 0.0
-        back = np.empty(len(order))
-        back[order] = value
-        state = np.zeros(len(order), np.int8)
-        state[order] = np.where(here, 1, np.where(backed, 2, 0))
-        out, at = [], 0
-        later_words, later_docs = [], []
         totals: dict[str, list] = {"ids": [], "sum": [], "backed": []}
-        for n, d, ids in zip(lengths, docs, about):
-            k = number[at:at + n]
-            v, st, w = np.repeat(back[at:at + n], k), np.repeat(state[at:at + n], k), np.repeat(second[at:at + n], k)
-            at += n
-            total = np.bincount(d, v, minlength=len(ids))
-            many = np.bincount(d[st == 1], minlength=len(ids))
-            touched = np.unique(d)
-            totals["ids"].append(ids[touched])
-            totals["sum"].append(total[touched])
-            totals["backed"].append(many[touched])
-            later_words.append(w[st == 2])
-            later_docs.append(ids[d[st == 2]])
+        later_words, later_docs, cold_words, cold_counts = [], [], [], []
+        # A block is sorted by context, so a range of contexts is a slice of each block.
+        edges = np.linspace(0, 1 << 48, RANGES + 1).astype(np.uint64)
+        for low, high in zip(edges, edges[1:]):
+            _one_range(blobs, low, high, lookup, totals, later_words, later_docs, cold_words, cold_counts)
+        out = []
         ids, inverse = np.unique(np.concatenate(totals["ids"]), return_inverse=True)
         out += sums(ids, np.bincount(inverse, np.concatenate(totals["sum"])),
                     np.bincount(inverse, np.concatenate(totals["backed"])).astype(np.int64))
@@ -258,9 +278,9 @@ def scores(docs: DataFrame) -> DataFrame:
         found, begin = np.unique(part[order], return_index=True)
         for p, a, b in zip(found, begin, [*begin[1:], len(order)]):
             out.append((parts + int(p), _block(_six(w[order[a:b]]), packed(d[order[a:b]]))))
-        cold = ~is_hot
-        if cold.any():  # the unigram counts of this partition's own words
-            out.append((parts + pid, _block(_six(words[cold]), packed(of_context[cold]), b"")))
+        words, counts = np.concatenate(cold_words), np.concatenate(cold_counts)
+        if len(words):  # the unigram counts of this partition's own words
+            out.append((parts + pid, _block(_six(words), packed(counts), b"")))
         return table(out)
 
     def unigrams(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
