@@ -198,21 +198,25 @@ def answer_of_text(text: Column) -> Column:
     ``Date:``, ``<qty> x <description> $<price>`` lines, ``Subtotal:``, ``Tax:``,
     ``Total:``) and answers with the JSON that the prompt asks for; keys that the text
     does not have stay out."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
     item = r"^(\d+) x (.+) (\$\d+\.\d{2})$"
-    items = F.transform(F.filter(lines, lambda x: x.rlike(item)), lambda x: F.struct(
-        F.regexp_extract(x, item, 2).alias("description"),
-        F.regexp_extract(x, item, 1).cast("bigint").alias("quantity"),
-        F.regexp_extract(x, item, 3).alias("price")))
-
-    def last(label: str) -> Column:
-        hits = F.filter(lines, lambda x: x.startswith(f"{label}: "))
-        return F.substring(F.try_element_at(hits, F.lit(-1)), F.lit(len(label) + 3), F.length(F.try_element_at(hits, F.lit(-1))))
-
-    name = F.try_element_at(F.filter(lines, lambda x: x.startswith("# ")), F.lit(1))
-    return F.to_json(F.struct(F.substring(name, F.lit(3), F.length(name)).alias("business_name"), last("Date").alias("date"),
-                              items.alias("items"), last("Subtotal").alias("subtotal"), last("Tax").alias("tax"),
-                              last("Total").alias("total")))
+
+    def after(prefix: str, lines: Column) -> Column:
+        """What follows a prefix, on the lines that have it."""
+        return F.transform(F.filter(lines, lambda x: x.startswith(prefix)),
+                           lambda x: F.substring(x, F.lit(len(prefix) + 1), F.length(x)))
+
+    def read(lines: Column) -> Column:
+        last = lambda label: F.try_element_at(after(f"{label}: ", lines), F.lit(-1))
+        items = F.transform(F.filter(lines, lambda x: x.rlike(item)), lambda x: F.struct(
+            F.regexp_extract(x, item, 2).alias("description"),
+            F.regexp_extract(x, item, 1).cast("bigint").alias("quantity"),
+            F.regexp_extract(x, item, 3).alias("price")))
+        return F.struct(F.try_element_at(after("# ", lines), F.lit(1)).alias("business_name"), last("Date").alias("date"),
+                        items.alias("items"), last("Subtotal").alias("subtotal"), last("Tax").alias("tax"),
+                        last("Total").alias("total"))
+
+    # The lines are cut once: inside the lambda they are a variable.
+    return F.to_json(F.transform(F.array(F.split(F.coalesce(text, F.lit("")), "\n")), read)[0])
 
 
 def extract_offline(files: DataFrame, run_id: str, run_seq: int, text_col: str = "ocr_text",

@@ -12,7 +12,7 @@ from ..functions.media import data_url, mime_type, size_plan
 from ..functions.text import (base_name, display_date, display_name, items_text, money,
                               money_or_na, money_or_zero, render_prompt)
 from ..operators.extract import ExtractTimeout, extract, extract_offline
-from ..operators.job import run_batch
+from ..operators.job import results_of, run_batch
 from ..operators.receipts import resolve_status, validate_receipts
 from ..operators.state import latest_attempts, pending_from_results, skipped_paths, split_results
 from ..schemas import RESULT_COLUMNS
@@ -162,14 +162,12 @@ def q35_batch_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "q35-job")
     files = fx.f7_ocr(spark, sf_dir)
     run_batch(spark, files, lambda todo: extract_offline(todo, "run1", 1, failed=F.col("o_orderkey") % 5 == 0),
-              f"{base}/log", f"{base}/results1", f"{base}/skipped1")
-    run_batch(spark, files, lambda todo: extract_offline(todo, "run2", 2), f"{base}/log", f"{base}/results2")
-    log = load_attempts(spark, f"{base}/log")
-    latest = latest_attempts(log, payload=["status", "response"])
-    r = resolve_status(validate_receipts(latest))
-    return r.select("file_name", "status", "n_attempts", "business_name", "date",
-                    items_text(F.col("items"), validated=True).alias("items"), "subtotal", "tax", "total",
-                    F.size("items").alias("n_items"))
+              f"{base}/log", skipped_path=f"{base}/skipped")
+    run_batch(spark, files, lambda todo: extract_offline(todo, "run2", 2), f"{base}/log")
+    rows = results_of(load_attempts(spark, f"{base}/log"), keep=["status", "n_attempts"])
+    return rows.select(F.col("File_Name").alias("file_name"), "status", "n_attempts", F.col("Business_Name").alias("business_name"),
+                       F.col("Date").alias("date"), F.col("Items").alias("items"), F.col("Subtotal").alias("subtotal"),
+                       F.col("Tax").alias("tax"), F.col("Total").alias("total"))
 
 
 def q36_csv_resume(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -427,7 +427,7 @@ FROM documents
 
 ORACLE_SQL["q35_batch_job"] = ORACLE_SQL["q30_extract_offline"].replace(
     "'ok' AS status, c_name AS business_name", "'ok' AS status, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) "
-    "AS n_attempts, c_name AS business_name")
+    "AS n_attempts, c_name AS business_name").replace(",\n  CAST(coalesce(n, 0) AS INTEGER) AS n_items", "")
 
 ORACLE_SQL["q36_csv_resume"] = """
 WITH d AS (
