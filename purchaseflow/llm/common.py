@@ -7,6 +7,7 @@ no identity and take no part; a null text counts as the empty text.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
@@ -16,6 +17,12 @@ from pyspark.sql import functions as F
 
 from ..session import drop_scratch, scratch_path, ship_package
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: it has no such call
+    _LIBC = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,7 +37,7 @@ def ready(spark: SparkSession) -> int:
     """Make the package importable on the executors, bound an Arrow batch,
     and return the number of shuffle partitions."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -76,8 +83,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return documents(docs).join(F.broadcast(some[0].unionAll(some[1])), "doc_id")
 
 
+def trim() -> None:
+    """Give freed memory back to the system.  Python workers live on from stage to stage,
+    and the C library keeps what arrays of one batch or group have used."""
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without nulls, and the offsets of its rows."""
+    trim()
     if pa.types.is_large_string(column.type):
         kind = np.int64
     else:

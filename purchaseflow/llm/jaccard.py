@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, ready, staged, text_bytes
+from .common import discard, documents, ready, staged, text_bytes, trim
 from .components import connected
 from .words import _STEP, mix, runs, word_hashes, word_spans
 
@@ -260,6 +260,7 @@ class _Join:
         ratio = np.log(100 / percent) if percent < 100 else 1.0
 
         def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            trim()
             e = np.concatenate([np.frombuffer(b, _ENTRY) for b in table.column("blob").to_pylist()])
             small = key[0].as_py() >= parts
             sizes = np.zeros(len(e), np.int64) if small else np.floor(np.log(np.maximum(e["n"], 1)) / ratio).astype(np.int64)

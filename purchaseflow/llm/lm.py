@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, long_column, packed, ready, text_bytes, unpacked
+from .common import documents, long_column, packed, ready, text_bytes, trim, unpacked
 from .words import mix, word_hashes, word_spans
 
 BACKOFF = 0.4
@@ -267,6 +267,7 @@ def scores(docs: DataFrame) -> DataFrame:
         # A block is sorted by context, so a range of contexts is a slice of each block.
         edges = np.linspace(0, 1 << 48, RANGES + 1).astype(np.uint64)
         for low, high in zip(edges, edges[1:]):
+            trim()
             _one_range(blobs, low, high, lookup, totals, later_words, later_docs, cold_words, cold_counts)
         out = []
         ids, inverse = np.unique(np.concatenate(totals["ids"]), return_inverse=True)

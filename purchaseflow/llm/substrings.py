@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, long_column, packed, ready, staged, text_bytes, unpacked
+from .common import documents, long_column, packed, ready, staged, text_bytes, trim, unpacked
 from .words import mix, run_mask, runs, word_hashes, word_spans
 
 WINDOW = 20
@@ -156,6 +156,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         pid, blobs = key[0].as_py(), table.column("blob").to_pylist()
         if pid >= parts:
             return pa.table({"part": pa.array([pid - parts] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        trim()
         digests, ids, starts = [], [], []
         for blob in blobs:
             sizes = np.frombuffer(blob, "<u8", 4).astype(np.int64)

@@ -11,7 +11,7 @@ import numpy as np
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_PIECE = 1 << 22  # bytes hashed at a time
+_PIECE = 1 << 20  # bytes hashed at a time
 
 _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
