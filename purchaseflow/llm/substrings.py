@@ -99,6 +99,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     covered by windows that occur earlier, for each document that has any."""
     spark = docs.sparkSession
     parts = ready(spark)
+    groups = 4 * parts  # of suffixes; one at a time is in a worker's memory
     docs = documents(docs)
     cells = max(CELLS, 1 << int(np.ceil(np.log2(16 * parts))))
     levels = [n for n in LEVELS if n < window]
@@ -127,7 +128,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 head = heads[np.searchsorted(digest[heads], digest[twin])]
                 late = twin[(ids[row[twin]] != ids[row[head]]) | (start[twin] != start[head])]
                 if len(late):
-                    out += [(parts + p, blob) for p, blob in _by_document(ids[row[late]], start[late], parts)]
+                    out += [(groups + p, blob) for p, blob in _by_document(ids[row[late]], start[late], parts)]
             keep = np.flatnonzero(~again)
             key = digest[keep].copy()
             todo = np.arange(len(keep))
@@ -138,7 +139,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 todo = todo[long]
                 if not len(todo):
                     break
-            part = (mix(key) % np.uint64(parts)).astype(np.int64)
+            part = (mix(key) % np.uint64(groups)).astype(np.int64)
             by_part = np.argsort(part, kind="stable")
             found, begin = np.unique(part[by_part], return_index=True)
             about = packed(ids), packed(firsts)
@@ -154,8 +155,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def subtrees(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         pid, blobs = key[0].as_py(), table.column("blob").to_pylist()
-        if pid >= parts:
-            return pa.table({"part": pa.array([pid - parts] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        if pid >= groups:
+            return pa.table({"part": pa.array([pid - groups] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
         trim()
         digests, ids, starts = [], [], []
         for blob in blobs:
