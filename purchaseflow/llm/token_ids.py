@@ -17,8 +17,8 @@ import pyarrow as pa
 from .common import text_bytes
 from .words import word_hashes, word_spans
 
-SLOTS = 1 << 21     # of the table; three quarters of them are used at most
-WORDS = 300_000     # folded words remembered
+SLOTS = 1 << 20     # of the table; three quarters of them are used at most
+WORDS = 150_000     # folded words remembered
 _MARKS = frozenset(".,;:!?")
 
 
