@@ -97,3 +97,34 @@ def test_pooling_matches_a_plain_convolution(monkeypatch):
                 want = np.maximum(want, total)
             column += width * toxicity.FILTERS
             assert got[d, w * toxicity.FILTERS:(w + 1) * toxicity.FILTERS] == pytest.approx(want, abs=1e-4)
+
+
+def test_a_long_document_keeps_no_other_out_of_the_sample(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = [d for d in range(1, 400) if zlib.crc32(str(d).encode()) % 5]
+    first = spark.createDataFrame([(d,) for d in ids], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").first().doc_id
+    rows = [(d, " ".join(rng.choice(["one", "two", "three"], 9)) + (" vile" if d % 2 else " fine"), d % 2) for d in ids]
+    rows = [(d, t + " and more" * 4000 if d == first else t, y) for d, t, y in rows]
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 5000)
+    seen = []
+    monkeypatch.setattr(toxicity, "_train", lambda words, y: seen.append((np.diff(words.firsts), y)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    toxicity.train(docs, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+    sizes, y = seen[0]
+    assert len(y) == len(ids) - 1 and set(sizes) == {10}
+
+
+def test_words_of_the_sample_are_shared_by_the_classes(monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 2000)
+
+    def taken(clean, toxic):
+        y = np.array([0] * len(clean) + [1] * len(toxic))
+        some = toxicity.within_words(y, np.array(clean + toxic))
+        return some[y == 0].tolist(), some[y == 1].tolist()
+
+    assert taken([9] * 150, [9] * 50) == ([True] * 150, [True] * 50)  # what one class leaves, the other uses
+    assert sum(taken([10] * 200, [10] * 200)[0]) == sum(taken([10] * 200, [10] * 200)[1]) == 100
+    assert taken([990, 10, 5000, 10], [10] * 200)[0] == [False, True, False, True]
+    assert taken([900, 10, 950, 10], [10] * 200)[0] == [True, True, False, True]
+    assert taken([9000, 8000], [7000]) == ([False, True], [True])
+    assert taken([], [5])[0] == []
