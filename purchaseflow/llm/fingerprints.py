@@ -12,9 +12,12 @@ text, and the finer of two fingerprints can be thinned to the coarser one's step
 Likeness is the share of equal bits over the steps of the longer walk, rescaled so that
 chance agreement (one half) is 0 and equality is 1.
 
-Near-duplicate classes: bands of sampled bits bring candidates together, each class of
-equal fingerprints entering once; a band's members are paired with its first member and
-with their neighbours in order, and a pair is a link if its likeness is high enough.
+Near-duplicate classes: each class of equal fingerprints enters once, and every pair that can
+be alike enough is compared, so no link is lost.  Likeness bounds the lengths: fingerprints
+are banded by level and length, and the blocks of a band meet one another and those of the
+next band.  Fingerprints also meet at the coarser levels whose texts are near their length.
+The time grows with the square of the number of distinct fingerprints of a length; memory
+is bounded by a pair of blocks, and a pair of blocks sends one link a member at most.
 
 Defined results: null and empty texts have the fingerprint of no steps, which is like
 nothing but itself; rows with a null id take no part; repeated rows and rows that share
@@ -39,7 +42,7 @@ from .words import mix
 LEVEL = 9              # texts under 2 ** LEVEL characters are sampled at every step
 STEPS = 3              # a walk takes at most so many steps a character
 CHARACTERS = 1 << 24   # characters walked together
-BANDS, BAND_BITS = 24, 18
+BLOCK = 2048           # fingerprints compared with as many others at once
 LIKENESS = 0.7
 _SEED = np.uint64(0x8F1BBCDCBFA53E0B)
 
@@ -254,52 +257,120 @@ def with_edits(docs: DataFrame) -> DataFrame:
                                    "edited_fingerprint string, near_edited double, near_next double")
 
 
-def band_keys(mark: tuple[int, np.ndarray]) -> list[int]:
-    """Hashes of random samples of the bits, at the fingerprint's own level and the next
-    coarser one (so texts on either side of a level meet)."""
-    out = []
-    for level in (mark[0], mark[0] + 1):
-        bits = thinned(mark, level)
-        usual = min(len(bits), 1 << LEVEL)
-        if usual < BAND_BITS:
-            continue
-        for band in range(BANDS):
-            draws = _draws(band * 1000, band * 1000 + BAND_BITS, 5 + level)
-            # Steps of the shortest text of a level, so all its texts have them.
-            places = (draws % np.uint64(max(BAND_BITS, 3 << LEVEL >> 2))).astype(np.int64)
-            if places.max() >= len(bits):
-                places %= usual
-            value = int.from_bytes(np.packbits(bits[places]).tobytes(), "big")
-            out.append(int(mix(np.array([value | level << 32 | band << 40], np.uint64)).view(np.int64)[0]))
+def meeting(mark: tuple[int, np.ndarray], share: float) -> list[tuple[int, np.ndarray]]:
+    """The fingerprint at its own level and at each coarser one where it holds a ``share``
+    of the steps that the shortest text of that level has at least."""
+    own, bits = mark
+    steps = sampled_steps(own)
+    draws = _drawn(own)
+    out = [(own, bits)] if len(bits) else []
+    for level in range(own + 1, own + 4):  # a walk is at most STEPS times its text
+        inside = draws <= np.uint64(((1 << 64) - 1) >> (level - LEVEL))
+        kept = bits[inside[:len(bits)]]
+        if len(kept) and len(kept) >= share * np.count_nonzero(inside & (steps < 1 << level - 1)):
+            out.append((level, kept))
     return out
 
 
-def near_classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """``doc_id`` and ``class_id`` (the smallest id linked to it) of every document."""
-    marked = staged(fingerprints(docs), "fingerprints")
-    classes = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
+@cache
+def _drawn(level: int) -> np.ndarray:
+    """The draws of the level's sampled steps."""
+    steps = sampled_steps(level).astype(np.uint64)
+    return mix(steps * np.uint64(2) + np.uint64(1) ^ (_SEED * np.array([1], np.uint64)))
 
-    def banded(batches):
-        for rows in batches:
-            keys = [band_keys(from_text(t)) for t in rows.column(0).to_pylist()]
-            sizes = [len(k) for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(1).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
-                 pa.array([x for k in keys for x in k], pa.int64())], names=["rep", "band"])
 
-    bands = staged(classes.mapInArrow(banded, "rep long, band long"), "bands")
-    firsts = bands.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    pairs = bands.join(firsts, "band").filter("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    one = marked.groupBy("doc_id").agg(F.min("fingerprint").alias("fingerprint"))
+def _signs(marks: list[bytes], sizes: np.ndarray, width: int) -> np.ndarray:
+    """Bits as 1 and -1, padded by 0."""
+    out = np.zeros((len(marks), width), np.float32)
+    for row, blob, n in zip(out, marks, sizes):
+        row[:n] = np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(np.float32) * 2 - 1
+    return out
+
 
-    def verify(batches):
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number linked to each of ``n`` numbers by the links a-b."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        if (root[a] == low).all() and (root[b] == low).all():
+            return root
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def _near(rows: pa.Table, least: float) -> pa.Table:
+    """Links of a task's fingerprints: those of side 0 with one another if there is no side
+    1, else with those of side 1; at least one of a pair is at its own level."""
+    side = rows.column("side").to_numpy()
+    sizes = rows.column("n").to_numpy().astype(np.int64)
+    own = rows.column("own").to_numpy(zero_copy_only=False).astype(bool)
+    reps = rows.column("rep").to_numpy()
+    marks = rows.column("bits").to_pylist()
+    signs = _signs(marks, sizes, int(sizes.max()))
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if rows.column("alone")[0].as_py():
+        x = y = np.arange(len(side))
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(x), 256):
+        some = x[at:at + 256]
+        twice = np.minimum.outer(sizes[some], sizes[y]) + (signs[some] @ signs[y].T).astype(np.int64)
+        near = twice / np.maximum.outer(sizes[some], sizes[y]) - 1 >= least
+        near &= np.logical_or.outer(own[some], own[y])
+        i, j = np.nonzero(near)
+        lefts.append(some[i])
+        rights.append(y[j])
+    root = _forest(np.concatenate(lefts), np.concatenate(rights), len(side))
+    linked = np.flatnonzero(root != np.arange(len(side)))
+    return pa.table({"a": pa.array(reps[root[linked]], pa.int64()), "b": pa.array(reps[linked], pa.int64())})
+
+
+def near_links(classes: DataFrame, least: float) -> DataFrame:
+    """Links ``a``-``b`` that join the same ``rep`` as all pairs of fingerprints whose
+    likeness is ``least`` (over 0) or more."""
+    spark = classes.sparkSession
+    # The shorter has as many bits as agree, a share of the longer's; wider bands do no harm.
+    share = min((1 + least) / 2, 0.95)
+
+    def placed(batches):
         for rows in batches:
-            keep = pa.array([likeness(from_text(x), from_text(y)) >= least
-                             for x, y in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([rows.column(0).filter(keep), rows.column(1).filter(keep)], names=["a", "b"])
+            found = [(level, int(np.log(len(bits)) / -np.log(share * 0.9999)), level == int(text[:2], 16), rep,
+                      len(bits), np.packbits(bits).tobytes())
+                     for text, rep in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())
+                     for level, bits in meeting(from_text(text), share)]
+            yield pa.RecordBatch.from_pylist(
+                [dict(zip(kinds.names, f)) for f in found], schema=kinds)
+
+    kinds = pa.schema([("level", pa.int32()), ("cell", pa.int32()), ("own", pa.bool_()), ("rep", pa.int64()),
+                       ("n", pa.int32()), ("bits", pa.binary())])
+    rows = staged(classes.select("fingerprint", "rep").mapInArrow(
+        placed, "level int, cell int, own boolean, rep long, n int, bits binary"), "bands")
+    # One row a level and length band: some hundreds at most.
+    counts = {(r.level, r.cell): (r.n, r.own) for r in rows.groupBy("level", "cell").agg(
+        F.count("*").alias("n"), F.sum(F.col("own").cast("long")).alias("own")).collect()}
+    blocks = {(level, cell): -(-n // BLOCK) for (level, cell), (n, _) in counts.items()
+              if any(counts.get((level, c), (0, 0))[1] for c in (cell - 1, cell, cell + 1))}
+    sizes = spark.createDataFrame([(*k, n, blocks.get((k[0], k[1] - 1), 0), blocks.get((k[0], k[1] + 1), 0))
+                                   for k, n in blocks.items()], "level int, cell int, blocks long, before long, after long")
+    dealt = rows.join(F.broadcast(sizes), ["level", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+
+    def task(kind: int, cell, i, j, side, alone, others: str) -> DataFrame:
+        return (dealt.filter(F.col(others) > 0).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+                .select("level", cell.alias("cell"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"),
+                        side.cast("int").alias("side"), alone.alias("alone"), "own", "rep", "n", "bits"))
+
+    block, other, cell, no = F.col("block"), F.col("other"), F.col("cell"), F.lit(False)
+    tasks = (task(0, cell, F.least(block, other), F.greatest(block, other), block > other, block == other, "blocks")
+             .unionAll(task(1, cell, block, other, F.lit(0), no, "after"))
+             .unionAll(task(1, cell - 1, other, block, F.lit(1), no, "before")))
+    return tasks.groupBy("level", "cell", "kind", "i", "j").applyInArrow(lambda rows: _near(rows, least), "a long, b long")
+
 
-    links = (pairs.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b").select("a", "b", "x", "y")
-             .mapInArrow(verify, "a long, b long"))
-    roots = connected(links).toDF("rep", "root")
+def near_classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """``doc_id`` and ``class_id`` (the smallest id linked to it) of every document."""
+    marked = staged(fingerprints(docs), "fingerprints")
+    classes = staged(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "classes")
+    roots = connected(near_links(classes, least)).toDF("rep", "root")
     of_class = classes.join(roots, "rep", "left").select("fingerprint", F.coalesce("root", "rep").alias("class_id"))
     return marked.join(of_class, "fingerprint").select("doc_id", "class_id")

@@ -115,3 +115,57 @@ def test_classes_join_near_copies_only(spark):
 def test_query_on_a_whole_table(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text").collect()
     check_edits([(r.doc_id, r.text or "") for r in docs], queries.QUERIES["op2_fingerprints"](spark, sf_small).collect())
+
+
+def check_classes(spark, rows, least=fp.LIKENESS):
+    """Classes against all pairs; returns the number of links between different texts."""
+    marks = fp.walked([t for _, t in rows])
+    root = {d: d for d, _ in rows}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    links = 0
+    for i, (a, s) in enumerate(rows):
+        for j in range(i):
+            if fp.likeness(marks[i], marks[j]) >= least:
+                links += s != rows[j][1]
+                x, y = sorted((top(a), top(rows[j][0])))
+                root[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in fp.near_classes(docs, least).collect()}
+    assert got == {d: top(d) for d, _ in rows}
+    return links
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+@pytest.mark.parametrize("kind", ["short", "header", "early", "levels"])
+def test_classes_lose_no_link(spark, monkeypatch, kind, block):
+    monkeypatch.setattr(fp, "BLOCK", block)
+    rng = random.Random(5)
+
+    def some(n):
+        return "".join(rng.choices("abcdefgh ", k=n))
+
+    header = some(260)
+    rows = []
+    for _ in range(25):
+        t = {"short": lambda: some(rng.randrange(1, 190)), "header": lambda: header + some(rng.choice([60, 240])),
+             "early": lambda: some(rng.choice([300, 900])), "levels": lambda: some(rng.choice([509, 512, 1020, 1026, 2046]))}[kind]()
+        rows.append(t)
+        for _ in range(3):
+            i = rng.randrange(min(len(t), 40)) if kind == "early" else rng.randrange(len(t))
+            t = t[:i] + rng.choice(["", "x", "xyz"]) + t[i + rng.choice([0, 1, 4]):]
+            rows.append(t)
+    rows = list(enumerate(rng.sample(rows, len(rows))))
+    assert check_classes(spark, [*rows, (1000, ""), (1001, "")]) > 20
+
+
+def test_classes_at_other_bounds(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choices("ab", k=rng.choice([3, 40, 400, 700])))) for i in range(60)]
+    rows += [(100 + i, t[:len(t) * 3 // 4]) for i, t in rows]
+    assert check_classes(spark, rows, 0.4) > 20
+    check_classes(spark, rows, 1.0)
