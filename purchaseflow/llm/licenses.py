@@ -1,6 +1,9 @@
-"""License scans: texts and their lines against licence templates by Dice coefficient.
+"""License scans: texts, their lines and their windows against licence templates by Dice
+coefficient.
 
-A unit is a line of a document, or its whole text.  A unit is normalised (runs of ASCII
+A unit is a line of a document, its whole text, or a window: as many words in a row of the
+whole text as the template has, line breaks ignored, so a notice that is wrapped over lines
+or stands inside a paragraph is found.  A unit is normalised (runs of ASCII
 letters and digits, lower case) and compared to each template over sets of word bigrams:
 ``2 * common / (size + template size) >= LEAST``.  Sizes bound this from above, so a unit
 meets only templates whose size is between ``LEAST / (2 - LEAST)`` and its inverse times
@@ -9,9 +12,18 @@ template allows is dropped before its own set is built.  The least number of com
 bigrams also means that a unit must hold one of a few marker words (``markers``): texts
 and lines without any are dropped by one scan, before they are cut into words.
 
+Windows begin where a bigram of the template stands (or end with the text): any other
+window has one of these that holds the same bigrams of the template.  A text meets a
+template by windows only if it has enough of its bigrams, and a window is scored only if
+enough of them stand in it.
+
 Only built-in functions are used; the templates are constants, and rows move once, as
 ids and their few matches.
 
+Windows only add: the ``dice`` of a licence that a line or the whole text matches is theirs.
+``ORACLE_SQL`` knows lines and whole texts only; it agrees where no notice is found by
+windows alone.
+
 Defined results: null, empty and wordless texts have no units and match nothing; rows
 with a null id take no part; rows that share an id are one document (one result row, the
 matches of all their lines); ties go to the licence first in alphabetical order; an empty
@@ -20,6 +32,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from functools import reduce
@@ -69,9 +82,14 @@ TEMPLATES = [
 COMMON = frozenset("a all and any as at be by for from in is it may not of on or that the this to under you".split())
 
 
+def template_words(text: str) -> list[str]:
+    """The words of a text, by the normalisation of the scan."""
+    return [w.lower() for w in re.findall("[A-Za-z0-9]+", text)]
+
+
 def template_bigrams(text: str) -> list[str]:
     """The distinct word bigrams of a text, by the normalisation of the scan."""
-    words = [w.lower() for w in re.findall("[A-Za-z0-9]+", text)]
+    words = template_words(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
@@ -103,10 +121,12 @@ def markers(sets: list[list[str]], least: float) -> list[str]:
 
 
 def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """``doc_id``, ``unit`` (0 the whole text, else the line), ``license`` and ``dice`` of
-    every unit and template with a Dice coefficient of ``least`` or more."""
+    """``doc_id``, ``unit`` (0 the whole text, -1 the best window, else the line),
+    ``license`` and ``dice`` of every unit and template with a Dice coefficient of ``least``
+    or more."""
     spark = docs.sparkSession
     sets = [(name, template_bigrams(text)) for name, text in templates]
+    widths = [len(template_words(text)) - 1 for _, text in templates]  # bigrams of a window
     known = sorted({b for _, bigrams in sets for b in bigrams})
     smallest = min(len(b) for _, b in sets)
     words = markers([b for _, b in sets], least)
@@ -126,21 +146,67 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least
             .select("doc_id", "unit", _once(unit_bigrams(F.col("words")), "own"))
             .select("doc_id", "unit", "own", _once(F.array_distinct(F.filter("own", lambda b: b.isin(known))), "common"))
             .filter(F.size("common") >= floor)
-            .select("doc_id", "unit", "common", _once(F.size(F.array_distinct("own")), "size")))
-    table = F.broadcast(spark.createDataFrame([(n, b, len(b)) for n, b in sets], "license string, bigrams array<string>, template int"))
+            .select("doc_id", "unit", F.when(F.col("unit") == 0, F.col("own")).alias("own"), "common",
+                    _once(F.size(F.array_distinct("own")), "size")))
+    rows = [(n, b, len(b), width, math.ceil(bound * len(b))) for (n, b), width in zip(sets, widths)]
+    table = F.broadcast(spark.createDataFrame(
+        rows, "license string, bigrams array<string>, template int, width int, need int"))
     inside = (F.col("size") >= bound * F.col("template")) & (F.col("size") * bound <= F.col("template"))
-    return (some.join(table, inside)
-            .withColumn("dice", 2.0 * F.size(F.array_intersect("common", "bigrams")) / (F.col("size") + F.col("template")))
+    # A window has at least as many words as its template; a text of fewer is one unit.
+    wide = ((F.col("unit") == 0) & (F.size("own") >= F.col("width")) & (F.size("common") >= F.col("need"))
+            & (F.size(F.array_intersect("common", "bigrams")) >= F.col("need")))
+    met = some.join(table, inside | wide).select(
+        "doc_id", "unit", "license", "template", "width", "need", "own",
+        F.when(inside, 2.0 * F.size(F.array_intersect("common", "bigrams")) / (F.col("size") + F.col("template"))).alias("dice"),
+        _once(F.when(wide, _places(F.col("own"), F.col("bigrams"), known)), "hits"))
+    return (met.select("doc_id", "license", F.inline(F.array(
+                F.struct("unit", "dice"), F.struct(F.lit(-1).alias("unit"), _window_dice().alias("dice")))))
             .filter(F.col("dice") >= least).select("doc_id", "unit", "license", "dice"))
 
 
+def _places(own: Column, bigrams: Column, known: list[str]) -> Column:
+    """Place and bigram of each bigram of a text that the template has."""
+    return F.filter(F.transform(own, lambda b, i: F.struct(i.alias("i"), b.alias("b"))),
+                    lambda x: x["b"].isin(known) & F.array_contains(bigrams, x["b"]))
+
+
+def _window_dice() -> Column:
+    """The largest Dice coefficient of a text's windows with a template, from ``hits``, their
+    places; null if no window has the bigrams that are needed."""
+    hits, own, width, need = F.col("hits"), F.col("own"), F.col("width"), F.col("need")
+    last = F.size(own) - width  # where the last window begins
+
+    def promising(x: Column) -> Column:
+        # The last window stands for all places after its begin: only the first is scored.
+        inner = F.get(hits, x["k"] + need - 1)["i"] < x["i"] + width
+        first = (x["k"] == 0) | (F.get(hits, x["k"] - 1)["i"] < last)
+        return F.when(x["i"] < last, inner).otherwise(first)
+
+    def dice(x: Column) -> Column:
+        begin = F.least(x["i"], last)
+        # A window holds no more hits than places, and begins at one or just before it.
+        near = F.filter(F.slice(hits, x["k"] + 1, width), lambda h: h["i"] < begin + width)
+        common = F.size(F.array_distinct(F.transform(near, lambda h: h["b"])))
+        return 2.0 * common / (F.size(F.array_distinct(F.slice(own, begin + 1, width))) + F.col("template"))
+
+    numbered = F.transform(hits, lambda h, k: F.struct(k.alias("k"), h["i"].alias("i")))
+    return F.array_max(F.transform(F.filter(numbered, promising), dice))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: ``licenses`` (sorted, joined by commas), ``n_lines`` that match
-    one, the ``best`` licence and its ``dice`` (null without a match)."""
+    one, the ``best`` licence and its ``dice`` (null without a match).  A licence that the
+    text or a line matches has their ``dice``, any other that of its best window."""
+    match = F.struct((-F.col("dice")).alias("d"), "license")
+    window = F.col("unit") < 0
+    # Of a document: at most one name a licence and one best window a template.
     found = (matches(docs).groupBy("doc_id").agg(
-        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
+        F.array_sort(F.collect_set("license")).alias("names"),
+        F.collect_set(F.when(~window, F.col("license"))).alias("in_units"),
         F.countDistinct(F.when(F.col("unit") > 0, F.col("unit"))).alias("n_lines"),
-        F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best")))
+        F.min(F.when(~window, match)).alias("unit"), F.collect_set(F.when(window, match)).alias("windows"))
+        .select("doc_id", F.array_join("names", ",").alias("licenses"), "n_lines", F.least("unit", F.array_min(F.filter(
+            "windows", lambda w: ~F.array_contains("in_units", w["license"])))).alias("best")))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     return ids.join(found, "doc_id", "left").select(
         "doc_id", F.coalesce("licenses", F.lit("")).alias("licenses"),

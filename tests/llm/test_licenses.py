@@ -81,3 +81,60 @@ def test_no_unit_reaches_the_least_without_a_marker():
     for bigrams in sets:
         rest = [b for b in bigrams if not any(m in b for m in marks)]
         assert 2 * len(rest) / (len(rest) + len(bigrams)) < licenses.LEAST
+
+
+def best_windows(text, least=licenses.LEAST):
+    """Licence to Dice coefficient of its best window, stepping one word."""
+    words, out = licenses.template_words(text), {}
+    bigrams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    for name, body in licenses.TEMPLATES:
+        own, width = set(licenses.template_bigrams(body)), len(licenses.template_words(body)) - 1
+        for at in range(len(bigrams) - width + 1):
+            window = set(bigrams[at:at + width])
+            dice = 2 * len(window & own) / (len(window) + len(own))
+            if dice >= least:
+                out[name] = max(dice, out.get(name, 0))
+    return out
+
+
+def test_notices_inside_longer_texts(spark):
+    rng = random.Random(4)
+    filler = [f"w{i}" for i in range(300)] + "the of and to a is in copy work version software any".split()
+    rows = []
+    for i, (name, text) in enumerate(licenses.TEMPLATES * 4):
+        parts = text.split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            parts[rng.randrange(len(parts))] = rng.choice(filler)
+        before, after = (rng.choices(filler, k=rng.choice([0, 3, 200])) for _ in "ab")
+        if i % 2:  # wrapped every few words
+            k = rng.choice([4, 7])
+            parts = [w + "\n" * (n % k == k - 1) for n, w in enumerate(parts)]
+        rows.append((i, " ".join([*before, *parts, *after])))
+    rows += [(900, " ".join(t for _, t in licenses.TEMPLATES)), (901, "All rights reserved. " * 300), (902, "w " * 400 + "All rights\nreserved")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in licenses.matches(docs).filter("unit = -1").collect():
+        got.setdefault(r.doc_id, {})
+        got[r.doc_id][r.license] = max(r.dice, got[r.doc_id].get(r.license, 0))
+    want = {d: w for d, t in rows if (w := best_windows(t))}
+    assert got.keys() == want.keys()
+    for d, w in want.items():
+        assert got[d] == pytest.approx(w), d
+    found = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    units = brute(rows)
+    for d, t in rows:
+        named, n_lines, best, dice = units[d]
+        alone = [(-v, n) for n, v in want.get(d, {}).items() if n not in named.split(",")]
+        least, name = min([*alone, *([(-dice, best)] if best else [])], default=(None, None))
+        assert found[d].licenses == ",".join(sorted({*named.split(","), *want.get(d, {})} - {""}))
+        assert (found[d].n_lines, found[d].best) == (n_lines, name)
+        assert found[d].dice == (None if name is None else pytest.approx(-least, abs=2e-6))
+
+
+@pytest.mark.parametrize("name, text", [(n, t) for n, t in licenses.TEMPLATES if len(t.split()) > 10 and not n.startswith("cc-")])
+def test_a_wrapped_notice_and_one_in_a_paragraph_are_found(spark, name, text):
+    around = " ".join(f"w{i}" for i in range(200))
+    wrapped = "\n".join(" ".join(text.split()[i:i + 4]) for i in range(0, len(text.split()), 4))
+    docs = spark.createDataFrame([(1, f"{around}\n{wrapped}\n{around}"), (2, f"{around} {text} {around}"), (3, around)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.best, r.dice) for r in licenses.scan(docs).collect()}
+    assert got == {1: (name, name, 1.0), 2: (name, name, 1.0), 3: ("", None, None)}
