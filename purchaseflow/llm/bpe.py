@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, ready
+from .unicode_classes import LETTER, NUMBER, ranges
 
 MEMORY = 400_000
 LONGEST = 64
@@ -38,20 +39,25 @@ SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 WORD_END = "</w>"
 
 
-def unicode_class(kind: str) -> str:
-    """The characters of a general category (``L``, ``N``) as ranges of a pattern class."""
-    inside = [unicodedata.category(chr(c))[0] == kind for c in range(0x110000)]
-    edges = np.flatnonzero(np.diff(np.array([False, *inside, False], np.int8)))
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2]))
+def unicode_class(kind: int) -> str:
+    """The characters of a class as ranges of a pattern class."""
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges(kind))
 
 
 @cache
 def word_pattern() -> re.Pattern:
     """Contractions, runs of letters, single digits, runs of anything else but space."""
-    letters, numbers = unicode_class("L"), unicode_class("N")
+    letters, numbers = unicode_class(LETTER), unicode_class(NUMBER)
     return re.compile(f"{CONTRACTIONS}|[{letters}]+|[{numbers}]|(?:[^\\s{letters}{numbers}]|[\x1c-\x1f])+")
 
 
+@cache
+def _normaliser():
+    from tokenizers import normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
 _SPECIALS = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 # Python takes these for white space, the vocabulary's pattern does not.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -108,7 +114,10 @@ class WordBpe:
         return parts
 
     def _plain(self, piece: str) -> list[int]:
-        text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        if piece.isascii() or not any(unicodedata.category(c) == "Cn" for c in piece):
+            text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        else:  # newer than Python's tables: the library's form of it
+            text = _normaliser().normalize_str(piece)
         ids: list[int] = []
         for word in word_pattern().findall(text):
             known = self.words.get(word)

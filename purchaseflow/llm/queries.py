@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, jaccard, licenses, lm, packing, quality, substrings, toxicity
+from . import (ann, bpe, fingerprints, jaccard, licenses, lm, packing, quality, substrings, token_counts,
+               toxicity)
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +64,12 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and which are over 512 tokens."""
+    return token_counts.with_limit(token_counts.count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY)))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
@@ -73,6 +81,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_ann": op10_ann,
+    "op13_token_counts": op13_token_counts,
 }
 
 # Vocabularies and trained models cannot be reached from SQL: see tests/llm for those.

@@ -46,6 +46,17 @@ def test_both_encoders_agree_with_the_library(library):
         assert by_piece.encode(pa.array([text]))[0].tolist() == want, text[:60]
 
 
+def test_every_code_point_is_encoded_as_the_library_does(library):
+    own, by_piece = bpe.WordBpe(PATH), WordIds(PATH)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        # a letter and a digit on both sides show the class of each character
+        text = " ".join(f"a{chr(c)}b 1{chr(c)}2" for c in points[at:at + 4096])
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text)[0], "<u2").tolist() == want, hex(points[at])
+        assert by_piece.encode(pa.array([text]))[0].tolist() == want, hex(points[at])
+
+
 def test_bounded_memory_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY", 3)
     monkeypatch.setattr("purchaseflow.llm.token_ids.SLOTS", 256)
