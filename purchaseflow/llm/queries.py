@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann, bpe, fingerprints, jaccard, licenses, lm, merkle, packing, quality, substrings,
-               token_counts, toxicity)
+from . import (ann, bpe, conversations, fingerprints, jaccard, licenses, lm, merkle, packing, quality,
+               substrings, token_counts, toxicity)
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -64,6 +64,11 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after known damage."""
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, checked against a tampered copy."""
     return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), *merkle.tampered()))
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_ann": op10_ann,
+    "op11_conversations": op11_conversations,
     "op12_merkle": op12_merkle,
     "op13_token_counts": op13_token_counts,
 }
