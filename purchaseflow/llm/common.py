@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import pickle
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +86,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return documents(docs).join(F.broadcast(some[0].unionAll(some[1])), "doc_id")
 
 
+def fitted(sample: DataFrame, order: list[Column | str], fit: Callable[[list[pa.RecordBatch]], Any]) -> Any:
+    """What ``fit`` makes of a sample of bounded size (None: no rows), in the given order.  It runs in one
+    task, so the driver holds the model and never the sample."""
+    def run(batches):
+        rows = list(batches)
+        trim()
+        model = fit(rows)
+        rows.clear()
+        trim()
+        yield batch(model=pa.array([pickle.dumps(model, protocol=5)], pa.binary()))
+
+    found = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else None  # Spark may skip an empty sample
+
+
 def trim() -> None:
     """Give freed memory back to the system.  Python workers live on from stage to stage,
     and the C library keeps what arrays of one batch or group have used."""

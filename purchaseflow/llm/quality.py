@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, labelled_sample, ready, text_bytes
+from .common import documents, fitted, held_out, labelled_sample, long_column, ready, text_bytes
 from .words import word_hashes, word_spans
 
-PER_CLASS = 1500
+PER_CLASS = 2048
 FEATURES = 4096
 DIMENSIONS = 64
 NEIGHBOURS = 24
@@ -139,6 +139,18 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
     return model
 
 
+def _fit(rows: list[pa.RecordBatch]) -> Model | None:
+    """The model of all rows of a training sample."""
+    ys = np.concatenate([np.zeros(0, np.int64), *[long_column(r.column(1)) for r in rows]])
+    if not len(ys):
+        return None
+    table = np.empty((len(ys), FEATURES + SHAPES), np.float32)
+    blobs = (blob for r in rows for blob in r.column(2))
+    for i, blob in enumerate(blobs):
+        table[i] = np.frombuffer(blob.as_buffer(), np.float16)
+    return fit(table, ys)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
     """The model of a bounded sample of labelled documents; None without any."""
     ready(docs.sparkSession)
@@ -153,19 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model |
                 [rows.column(0), rows.column(2), pa.array(blobs, pa.binary())], names=["doc_id", "y", "counts"])
 
     some = labelled_sample(docs, labels, label, PER_CLASS).mapInArrow(counted, "doc_id long, y int, counts binary")
-    ordered = (some.groupBy("doc_id").agg(F.max("y").alias("y"), F.max("counts").alias("counts"))
-               .orderBy(F.xxhash64("doc_id")))
-    ys, counts = [], []
-    for row in ordered.toLocalIterator():  # at most 2 * PER_CLASS rows of 8 KB
-        ys.append(row.y)
-        counts.append(np.frombuffer(row.counts, np.float16))
-    if not ys:
-        return None
-    table = np.empty((len(ys), FEATURES + SHAPES), np.float32)
-    for i, c in enumerate(counts):
-        table[i] = c
-    counts.clear()
-    return fit(table, np.array(ys))
+    # At most 2 * PER_CLASS rows of 8 KB.
+    return fitted(some.groupBy("doc_id").agg(F.max("y").alias("y"), F.max("counts").alias("counts")), [F.xxhash64("doc_id")], _fit)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

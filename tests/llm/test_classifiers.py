@@ -106,12 +106,12 @@ def test_a_long_document_keeps_no_other_out_of_the_sample(spark, monkeypatch):
     rows = [(d, " ".join(rng.choice(["one", "two", "three"], 9)) + (" vile" if d % 2 else " fine"), d % 2) for d in ids]
     rows = [(d, t + " and more" * 4000 if d == first else t, y) for d, t, y in rows]
     monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 5000)
-    seen = []
-    monkeypatch.setattr(toxicity, "_train", lambda words, y: seen.append((np.diff(words.firsts), y)))
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    toxicity.train(docs, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
-    sizes, y = seen[0]
-    assert len(y) == len(ids) - 1 and set(sizes) == {10}
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    sample = toxicity.training_sample(docs, labels).collect()
+    assert len(sample) == len(ids) - 1 and {len(r.words) // 16 for r in sample} == {10}
+    model = toxicity.train(docs, labels)
+    assert [s > 0.5 for s in model.scores(toxicity.Words.of(pa.array(["one vile", "one fine"])))] == [True, False]
 
 
 def test_words_of_the_sample_are_shared_by_the_classes(monkeypatch):

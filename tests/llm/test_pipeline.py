@@ -45,12 +45,34 @@ def test_one_document_of_each_group_stays(spark, sf_small):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 7, 8, 9]
 
 
+def test_texts_that_share_an_id_or_have_none_are_judged_by_themselves(spark, sf_small):
+    rng = random.Random(2)
+    one, two, three = (" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=80)) for _ in range(3))
+    rows = [(1, one, "b"), (1, two, "a"), (1, two, "b"), (None, three, "a"), (None, one, "a"), (2, two, "a"), (None, None, "a"),
+            (None, None, "a"), (None, "few words", None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, row_key string")
+    kept = stages.without_near_copies(spark, docs, sf_small)
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted((t or "" for _, t, _, _ in got)) == sorted([one, two, three, "", "few words"])
+    assert (2, two, "a", "x") in got  # the smallest id that is one row's alone
+    spans = [tuple(r) for r in stages.without_repeats(spark, docs, sf_small).collect()]
+    assert sum(len((t or "").split()) for _, t, _, _ in spans) >= 3 * 80 + 2
+    assert {t for _, t, _, _ in spans} >= {three, None, "few words"} and len(spans) == len(rows)
+
+
+def test_filters_keep_clean_rows_without_an_id(spark, docs, sf_small):
+    some = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")))
+    for stage in (stages.without_toxic, stages.with_quality):
+        assert stage(spark, some, sf_small).filter("doc_id IS NULL").count() > 0
+
+
 def test_repeated_passages_go_and_clean_texts_stay(spark, sf_small):
     passage = " ".join(f"p{i}" for i in range(50))
     rows = [(1, f"own\nstart {passage}  end"), (2, f"other {passage} tail"), (3, " clean  text\n"), (4, None), (None, passage)]
-    docs = spark.createDataFrame([(*r, 0, 7) for r in rows], "doc_id int, text string, kept int, n_chars int")
+    docs = spark.createDataFrame([(*r, 0, 7) for r in rows], "doc_id int, text string, span_starts int, n_chars int")
     got = {r.doc_id: (r.text, r.n_chars) for r in stages.without_repeats(spark, docs, sf_small).collect()}
-    assert got == {1: (rows[0][1], 7), 2: ("other tail", 10), 3: (" clean  text\n", 7), 4: (None, 7)}
+    assert got == {1: (rows[0][1], 7), 2: ("other tail", 10), 3: (" clean  text\n", 7), 4: (None, 7), None: ("", 0)}
 
 
 def test_whole_run(spark, sf_small, docs):
