@@ -76,13 +76,14 @@ def test_pooling_matches_a_plain_convolution(monkeypatch):
     texts = ["", "one", "one two", *[" ".join(rng.choice(["ab", "cd", "ef", "gh!", "Ij"], n)) for n in (3, 30, 5, 1, 17)], ""]
     words = toxicity.Words.of(pa.array(texts))
     columns = sum(toxicity.WIDTHS) * toxicity.FILTERS
-    tables = [rng.normal(size=(toxicity.BUCKETS + 1, columns)).astype(np.float32) for _ in range(toxicity.SIDES)]
+    tables = [rng.normal(size=(toxicity.BUCKETS + 1, toxicity.SIZE)).astype(np.float32) for _ in range(toxicity.SIDES)]
+    places = rng.normal(size=(toxicity.SIZE, columns)).astype(np.float32)
     for t in tables:
         t[-1] = 0
     biases = rng.normal(size=(len(toxicity.WIDTHS), toxicity.FILTERS)).astype(np.float32)
-    model = toxicity.Model(tables, biases, np.ones(3 * toxicity.FILTERS), 0.0, np.zeros(len(toxicity.LANGUAGES)), 1.0)
+    model = toxicity.Model(tables, places, biases, np.ones(3 * toxicity.FILTERS), 0.0, np.zeros(len(toxicity.LANGUAGES)), 1.0)
     got = model.pooled(words)
-    vectors = sum(t[b] for t, b in zip(tables, words.buckets()))
+    vectors = sum(t[b] for t, b in zip(tables, words.buckets())) @ places
     for d in range(len(texts)):
         mine = vectors[words.firsts[d]:words.firsts[d + 1]]
         column = 0
