@@ -4,9 +4,9 @@ REL11 (latest wins upsert), REL13 (union of old and new rows), REL1 (completed /
 placeholder split), REL2 (pending files), REL3 (dummy-row filter) and REL12's
 placeholder rows.
 
-Scale notes: the latest place of a file is found by hash aggregation over numbers
-(partial in every map task, so a file with a huge number of attempts is pre-reduced), and
-its columns are then fetched by (file, place).  Pending files are a left-anti join;
+Scale notes: the latest attempt of a file is found by aggregation (partial in every map
+task, so a file with a huge number of attempts is pre-reduced): with an order over runs in
+one scan, with a single number by the number first, whose columns are then fetched.  Pending files are a left-anti join;
 Catalyst/AQE broadcast the smaller side only when its measured size is under the broadcast
 threshold and fall back to a shuffled join otherwise.
 """
@@ -39,20 +39,17 @@ def latest_attempts(attempts: DataFrame, key: str = "file_name", order: list[str
     """
     order = order or LOG_ORDER
     columns = [c for c in (payload or attempts.columns) if c not in (key, *order)]
-    *run, seq = order
-    places = attempts.groupBy(key, *run).agg(
-        F.max(seq).alias("_high"), F.min(seq).alias("_low"), F.count(F.lit(1)).alias("_n"))
-    if run:
-        runs = places.groupBy(key).agg(F.max(run[0]).alias("_last"), F.min(run[0]).alias("_first"),
-                                       F.sum("_n").alias("n_attempts"))
-        low = places.select(key, F.col(run[0]).alias("_first"), F.col("_low").alias("first_seen"))
-        places = (places.select(key, F.col(run[0]).alias("_last"), F.col("_high"))
-                  .join(runs, [key, "_last"]).join(low, [key, "_first"])
-                  .select(key, F.col("_last").alias(run[0]), F.col("_high").alias(seq), "first_seen", "n_attempts"))
-    else:
-        places = places.select(key, F.col("_high").alias(seq), F.col("_low").alias("first_seen"), F.col("_n").alias("n_attempts"))
-    return (attempts.select(key, *order, *columns).join(places, [key, *order]).distinct()
-            .select(key, *columns, *order, "first_seen", "n_attempts"))
+    if len(order) == 1:
+        seq = order[0]
+        places = attempts.groupBy(key).agg(F.max(seq).alias(seq), F.min(seq).alias("first_seen"), F.count(F.lit(1)).alias("n_attempts"))
+        return (attempts.select(key, seq, *columns).join(places, [key, seq]).distinct()
+                .select(key, *columns, seq, "first_seen", "n_attempts"))
+    # One scan: every map task keeps one row a file, the one of the highest place.
+    place = F.struct(*order)
+    return (attempts.groupBy(key).agg(F.max_by(F.struct(*columns, *order), place).alias("_last"), F.min(place).alias("_first"),
+                                      F.count(F.lit(1)).alias("n_attempts"))
+            .select(key, *[F.col(f"_last.{c}").alias(c) for c in (*columns, *order)],
+                    F.col("_first")[order[-1]].alias("first_seen"), "n_attempts"))
 
 
 def union_rows(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -37,6 +37,17 @@ ATTEMPTS = T.StructType([
     T.StructField("attempted_at", T.TimestampNTZType()),
 ])
 
+# Totals and times of a run, as its write counted them.
+RUNS = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("run_seq", T.LongType()),
+    T.StructField("n_attempts", T.LongType()),
+    T.StructField("n_results", T.LongType()),
+    T.StructField("n_skipped", T.LongType()),
+    T.StructField("processing_time", T.DoubleType()),
+    T.StructField("wall_time", T.DoubleType()),
+])
+
 CELL = T.StructType([
     T.StructField("label", T.StringType()),
     T.StructField("row", T.LongType()),

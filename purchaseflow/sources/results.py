@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ATTEMPTS, RESULTS
+from .quoted import read_fields
 
 # The pipe-separated result file format.
 CSV_OPTIONS = {"sep": "|", "header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
@@ -29,21 +30,19 @@ def _size(spark: SparkSession, path: str) -> int | None:
 
 def read_results(spark: SparkSession, path: str, na_as_missing: bool = True) -> DataFrame:
     """SRC4/SRC5: the pipe-separated result file(s) at ``path``: the declared columns, found
-    by their names in the header (a column the file does not have is null), plus
-    ``bad_fields``, the names of the amounts whose text is no number ('' for none).
+    by their names in each file's own header (a column a file does not have is null), plus
+    ``bad_fields``, the names of the amounts whose text is no number ('' for none).  A large
+    file is read by many tasks (:mod:`purchaseflow.sources.quoted`).
 
     Only a missing or empty location counts as a fresh start and gives an empty frame;
     anything else that cannot be read is an error.  ``na_as_missing``: every field that
     holds an NA token is missing."""
     if not _size(spark, path):
         return spark.createDataFrame([], RESULTS).withColumn("bad_fields", F.lit(""))
-    raw = spark.read.options(**CSV_OPTIONS).csv(path)
+    raw = read_fields(spark, path, [f.name for f in RESULTS.fields], CSV_OPTIONS)
 
     def text(name: str):
-        if name not in raw.columns:
-            return F.lit(None).cast("string")
-        value = F.col(f"`{name}`")
-        return F.when(~value.isin(NA_TOKENS), value) if na_as_missing else value
+        return F.when(~F.col(name).isin(NA_TOKENS), F.col(name)) if na_as_missing else F.col(name)
 
     amounts = [f.name for f in RESULTS.fields if isinstance(f.dataType, T.DoubleType)]
     columns = [(text(f.name).try_cast("double") if f.name in amounts else text(f.name)).alias(f.name) for f in RESULTS.fields]
