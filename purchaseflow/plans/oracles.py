@@ -449,3 +449,45 @@ SELECT page_id, regexp_extract(url, '[^/]*$', 0) ||
        CASE page_id % 5 WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPEG' ELSE '.png' END AS file_name
 FROM pages WHERE page_id % 5 < 3
 """
+
+# ---------------------------------------------------------------- published runs, planned starts
+
+_RUNS = """
+    placed AS (SELECT *, 1 + attempt_seq % {n} AS run_seq, attempt_seq // {n} AS seq,
+                      'run' || CAST(1 + attempt_seq % {n} AS VARCHAR) AS run FROM att)"""
+
+ORACLE_SQL["q41_compacted_state"] = f"""
+WITH {_F6}, {_RUNS.format(n=3)},
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY run_seq DESC, seq DESC) AS r,
+                      count(*) OVER (PARTITION BY file_name) AS n_attempts,
+                      first_value(seq) OVER (PARTITION BY file_name ORDER BY run_seq, seq) AS first_seen
+               FROM placed)
+SELECT file_name, status, run AS run_id, run_seq, seq AS attempt_seq, first_seen, n_attempts FROM ranked WHERE r = 1
+"""
+
+ORACLE_SQL["q42_publish_once"] = f"""
+WITH {_F6}, {_RUNS.format(n=2)}
+SELECT run AS run_id, run_seq, seq AS attempt_seq, file_name, status, error, processing_time FROM placed
+"""
+
+ORACLE_SQL["q43_mixed_headers"] = ORACLE_SQL["q23_csv_roundtrip"]
+
+ORACLE_SQL["q44_slot_schedule"] = ORACLE_SQL["q31_retry_plan"].split("SELECT file_name, attempt_seq, error, CAST")[0].rstrip() + """,
+    tasks AS (
+      SELECT file_name, attempt_seq, attempted_at + to_seconds(wait_seconds) AS released_at FROM waits WHERE wait_seconds IS NOT NULL
+      UNION ALL
+      SELECT 'r' || CAST(c_custkey AS VARCHAR) || '.jpg', NULL, (SELECT min(attempted_at) FROM att) FROM customer
+      WHERE 'r' || CAST(c_custkey AS VARCHAR) || '.jpg' NOT IN (SELECT file_name FROM att)),
+    slots AS (SELECT *, row_number() OVER (ORDER BY released_at, file_name, attempt_seq NULLS FIRST) - 1 AS slot FROM tasks)
+SELECT file_name, attempt_seq, released_at, slot,
+  make_timestamp(slot * 5000000 + max(epoch_us(released_at) - slot * 5000000) OVER (ORDER BY slot)) AS start_at
+FROM slots
+"""
+
+ORACLE_SQL["q45_run_times"] = f"""
+WITH {_F6}, {_RUNS.format(n=2)}
+SELECT run AS run_id, count(*) AS n_attempts, count(*) FILTER (WHERE status IN ('ok', 'bad_json')) AS n_results,
+  count(*) FILTER (WHERE status IN ('failed', 'timeout', 'error')) AS n_skipped,
+  round(sum(processing_time), 3) AS processing_time, round(sum(processing_time * 2), 3) AS wall_time
+FROM placed GROUP BY run
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import io_queries as io
+from . import log_queries as lq
 from . import receipt_queries as rq
 from . import state_queries as sq
 from .oracles import ORACLE_SQL
@@ -48,6 +49,11 @@ QUERIES = {
     "q38_dummy_rows": sq.q38_dummy_rows,
     "q39_type_filter": io.q39_type_filter,
     "q40_skipped_file": io.q40_skipped_file,
+    "q41_compacted_state": lq.q41_compacted_state,
+    "q42_publish_once": lq.q42_publish_once,
+    "q43_mixed_headers": lq.q43_mixed_headers,
+    "q44_slot_schedule": lq.q44_slot_schedule,
+    "q45_run_times": lq.q45_run_times,
 }
 
 ORACLES = dict(ORACLE_SQL)

@@ -8,11 +8,11 @@ file is materialised once from the latest state.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..schemas import ATTEMPTS, RESULT_COLUMNS
-from ..session import checkpoint_dir
+from ..session import drop_scratch, scratch_path
 from ..sources.results import CSV_OPTIONS
 
 # Writer options: keep leading/trailing blanks (the CSV writer trims by default).
@@ -40,12 +40,13 @@ def append_attempts(attempts: DataFrame, path: str) -> None:
 def write_skipped(skipped: DataFrame, path: str) -> bool:
     """SNK4: one path per line; nothing is written when there is no skipped file.
     Returns whether anything was written.  The input is evaluated once."""
-    checkpoint_dir(skipped.sparkSession)
-    paths = skipped.select("path").checkpoint()
-    if paths.isEmpty():
-        return False
-    paths.write.mode("overwrite").text(path)
-    return True
+    spark, seen = skipped.sparkSession, Observation()
+    draft = scratch_path(spark, "skipped")
+    skipped.select("path").observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(draft)
+    if seen.get["n"]:
+        spark.read.schema("path string").parquet(draft).write.mode("overwrite").text(path)
+    drop_scratch(spark, draft)
+    return seen.get["n"] > 0
 
 
 def receipt_json(business_name: Column, date: Column, items: Column, subtotal: Column,
