@@ -64,6 +64,7 @@ def discard(*tables: DataFrame) -> None:
         drop_scratch(df.sparkSession, df._staged_path)
     for df in tables[:1]:
         gc.collect()
+        trim()
         df.sparkSession._jvm.System.gc()
 
 
@@ -98,7 +99,10 @@ def fitted(sample: DataFrame, order: list[Column | str], fit: Callable[[list[pa.
         yield batch(model=pa.array([pickle.dumps(model, protocol=5)], pa.binary()))
 
     found = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").collect()
-    return pickle.loads(found[0].model) if found else None  # Spark may skip an empty sample
+    model = pickle.loads(found[0].model) if found else None  # Spark may skip an empty sample
+    found.clear()
+    trim()
+    return model
 
 
 def trim() -> None:
