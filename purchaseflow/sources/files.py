@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.media import IMAGE_EXTENSIONS, extension
 from ..functions.text import uri_base_name
-from ..session import checkpoint_dir
+from ..operators.selection import Sorted, literal, places_of
 
 # Fixed value: case-sensitive suffix glob of the folder scan (non-recursive).
 IMAGE_GLOB = "*.{jpg,jpeg,png}"
@@ -38,60 +38,46 @@ def slice_files(df: DataFrame, start: int | None, end: int | None,
     applied only when both bounds are given, as in the reference).  The rows come in no
     particular order.
 
-    Only the order columns are sorted: range-partitioned, checkpointed and numbered by the
-    partitions' counts, which gives the order values at both ends of the slice.  The rows
-    between them are then a filter of ``df``, so wide columns (an image's content) are
-    neither sorted nor shuffled.  Rows that tie with an end of the slice, where only some
-    of them belong to it, are taken in the order of their other plain columns.
+    Rows that tie in ``order`` are taken in the order of their other plain columns.  The keys
+    at both ends are selected without sorting the table (:mod:`..operators.selection`), and
+    the rows between them are a filter of ``df``, pushed to its scan by the first column: an
+    image's content is read for the slice only, and neither sorted nor shuffled.  Of rows
+    alike in all plain columns at an end, as many are taken as belong to the slice.
     """
     if start is None or end is None:
         return df
     if start < 0 or end < 0:
         raise ValueError("slice bounds must be non-negative")
     order = order or ["file_name"]
-    keys = _sorted_keys(df.select(*order), order)
-    counts = [(r["_pid"], r["n"], r["first"]) for r in keys.groupBy("_pid").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_mid").alias("first")).orderBy("_pid").collect()]  # a row a partition
-    end = min(end, sum(n for _, n, _ in counts))
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.BinaryType)]
+    keys = df.select(*order, *[c for c in plain if c not in order])
+    n = keys.count()
+    end = min(end, n)
     if end <= start:
         return df.limit(0)
-    low, high = _key_at(keys, counts, start), _key_at(keys, counts, end - 1)
-    value = F.struct(*order)
-    at = {name: F.struct(*[F.lit(k[c]).cast(df.schema[c].dataType).alias(c) for c in order])
-          for name, k in (("low", low), ("high", high))}
-    # How many rows lie before each end, and how many tie with it.
-    n = keys.agg(*[F.count_if(cond).alias(f"{side}_{name}") for name, k in at.items()
-                   for side, cond in (("before", value < k), ("tied", value.eqNullSafe(k)))]).first()
-    if low == high:
-        return _some_of(df, value.eqNullSafe(at["low"]), start - n["before_low"], end - n["before_low"], n["tied_low"])
-    inner = df.filter((value > at["low"]) & (value < at["high"]))
-    first = _some_of(df, value.eqNullSafe(at["low"]), start - n["before_low"], n["tied_low"], n["tied_low"])
-    last = _some_of(df, value.eqNullSafe(at["high"]), 0, end - n["before_high"], n["tied_high"])
-    return inner.unionAll(first).unionAll(last)
-
-
-def _sorted_keys(keys: DataFrame, order: list[str]) -> DataFrame:
-    spark = keys.sparkSession
-    checkpoint_dir(spark)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return (keys.repartitionByRange(n, *order).sortWithinPartitions(*order)
-            .withColumn("_pid", F.spark_partition_id())
-            .withColumn("_mid", F.monotonically_increasing_id()).checkpoint())
-
-
-def _key_at(keys: DataFrame, counts: list[tuple[int, int, int]], place: int) -> Row:
-    """The order values at a place of the sorted rows."""
-    for pid, n, first in counts:
-        if place < n:
-            return keys.filter((F.col("_pid") == pid) & (F.col("_mid") == first + place)).drop("_pid", "_mid").first()
-        place -= n
-    raise IndexError(place)
-
-
-def _some_of(df: DataFrame, tied: Column, a: int, b: int, n: int) -> DataFrame:
-    """Rows [a, b) of the n rows that tie."""
-    ties = df.filter(tied)
-    if (a, b) == (0, n):
-        return ties
-    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.AtomicType,)) and not isinstance(f.dataType, T.BinaryType)]
-    return ties.orderBy(*plain).offset(a).limit(b - a)
+    low, high = places_of(keys, [start, end - 1], n)
+    value, low_key, high_key = F.struct(*keys.columns), literal(keys, low.key, keys.columns), literal(keys, high.key, keys.columns)
+    first, kind = F.col(order[0]), df.schema[order[0]].dataType
+    at_least, at_most = (F.lit(k.key[order[0]]).cast(kind) for k in (low, high))
+    pushed = ((F.lit(True) if low.key[order[0]] is None else first >= at_least)
+              & (first.isNull() if high.key[order[0]] is None else first.isNull() | (first <= at_most)))
+    near = df.filter(pushed)
+    if low.before == start and high.before + high.equal == end:
+        return near.filter((value >= low_key) & (value <= high_key))
+    if low.before == high.before:
+        return _some_of(near.filter(value.eqNullSafe(low_key)), start - low.before, end - low.before)
+    return (near.filter((value > low_key) & (value < high_key))
+            .unionAll(_some_of(near.filter(value.eqNullSafe(low_key)), start - low.before, low.equal))
+            .unionAll(_some_of(near.filter(value.eqNullSafe(high_key)), 0, end - high.before)))
+
+
+def _some_of(alike: DataFrame, a: int, b: int) -> DataFrame:
+    """Rows [a, b) of rows that are alike, counted over their partitions."""
+    stored = Sorted(alike, [], sort=False)
+    before, ranges = 0, F.lit(False)
+    for p in stored.parts:
+        low, high = max(a - before, 0), min(b - before, p.n)
+        if low < high:
+            ranges |= F.col("_at").between(p.first + low, p.first + high - 1)
+        before += p.n
+    return stored.rows.filter(ranges).select(*alike.columns)

@@ -10,6 +10,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from purchaseflow.operators import selection
 from purchaseflow.schemas import RESULT_COLUMNS
 from purchaseflow.sinks.outputs import receipt_json, write_results, write_skipped
 from purchaseflow.sources.files import image_type_filter, scan_images, slice_files
@@ -64,6 +65,25 @@ def test_slices_with_ties_and_nulls(spark):
     assert sorted(r.n for r in halves.collect()) == list(range(8))
 
 
+@pytest.mark.parametrize("sample, margin", [(8, 0.1), (40, 4.0)])
+def test_slices_by_a_small_sample(spark, monkeypatch, sample, margin):
+    """Enclosing keys that miss a place are found out; a constant order is settled by the rest."""
+    monkeypatch.setattr(selection, "SAMPLE", sample)
+    monkeypatch.setattr(selection, "MARGIN", margin)
+    rows = [(1, "same", (i * 7919) % 1000, b"x") for i in range(1000)] + [(2, None, 5, None)] * 60
+    df = spark.createDataFrame(rows, "k int, name string, n int, content binary").repartition(5)
+    ordered = sorted((r[:3] for r in rows), key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2]))
+    for start, end in ((0, 3), (400, 650), (990, 1030), (1010, 1020), (1059, 2000)):
+        got = [(r.k, r.name, r.n) for r in slice_files(df, start, end, ["k"]).collect()]
+        assert sorted(got, key=str) == sorted(ordered[start:end], key=str)
+
+
+def test_a_slice_is_one_filtered_scan(spark, sf_small):
+    pages = spark.read.parquet(f"{sf_small}/pages.parquet")
+    plan = slice_files(pages, 5, 30, ["url", "page_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "GreaterThanOrEqual(url" in plan and "Exchange" not in plan
+
+
 def test_result_file_roundtrip_and_na(spark, tmp_path):
     rows = [("x.jpg", 'A | "B"', "  pad  ", "", "1x a ($1.00)", 1.0, 0.0, 1.0, 0.5, "l1\nl2|l3", "{}"),
             ("y.jpg", "N/A", None, "01-01-2020", "", 0.0, 0.0, 0.0, 0.0, "\\back", "{}")]
