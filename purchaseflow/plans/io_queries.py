@@ -12,8 +12,9 @@ from ..functions.media import data_url, mime_type, size_plan
 from ..functions.text import (base_name, display_date, display_name, items_text, money,
                               money_or_na, money_or_zero, render_prompt)
 from ..operators.extract import ExtractTimeout, extract, extract_offline
-from ..operators.job import results_of, run_batch
+from ..operators.job import RESULT_PAYLOAD, results_of_state, run_batch
 from ..operators.receipts import resolve_status, validate_receipts
+from ..operators.runlog import RunLog
 from ..operators.state import latest_attempts, pending_from_results, skipped_paths, split_results
 from ..schemas import RESULT_COLUMNS
 from ..session import scratch_path
@@ -158,13 +159,16 @@ def q34_extract_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q35_batch_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole batch job over OCR texts: a run in which every fifth file has no answer,
-    then a run that extracts just those; the results derive from the log."""
+    its state compacted, then a run that extracts just those, submitted twice; the results
+    derive from the snapshot and the second run."""
     base = scratch_path(spark, "q35-job")
-    files = fx.f7_ocr(spark, sf_dir)
+    files, log = fx.f7_ocr(spark, sf_dir), f"{base}/log"
     run_batch(spark, files, lambda todo: extract_offline(todo, "run1", 1, failed=F.col("o_orderkey") % 5 == 0),
-              f"{base}/log", skipped_path=f"{base}/skipped")
-    run_batch(spark, files, lambda todo: extract_offline(todo, "run2", 2), f"{base}/log")
-    rows = results_of(load_attempts(spark, f"{base}/log"), keep=["status", "n_attempts"])
+              log, skipped_path=f"{base}/skipped", run_id="run1", run_seq=1)
+    RunLog(spark, log).compact()
+    for _ in range(2):
+        run_batch(spark, files, lambda todo: extract_offline(todo, "run2", 2), log, run_id="run2", run_seq=2)
+    rows = results_of_state(RunLog(spark, log).state(RESULT_PAYLOAD), keep=["status", "n_attempts"])
     return rows.select(F.col("File_Name").alias("file_name"), "status", "n_attempts", F.col("Business_Name").alias("business_name"),
                        F.col("Date").alias("date"), F.col("Items").alias("items"), F.col("Subtotal").alias("subtotal"),
                        F.col("Tax").alias("tax"), F.col("Total").alias("total"))

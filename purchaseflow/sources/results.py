@@ -51,7 +51,12 @@ def read_results(spark: SparkSession, path: str, na_as_missing: bool = True) ->
 
 
 def load_attempts(spark: SparkSession, path: str) -> DataFrame:
-    """SRC6: the attempt log, or an empty frame when there is none yet."""
+    """SRC6: the attempt log, or an empty frame when there is none yet.  Of a log of published
+    runs, the attempts of those."""
     if not _size(spark, path):
         return spark.createDataFrame([], ATTEMPTS)
+    if _size(spark, f"{path}/manifests"):
+        from ..operators.runlog import RunLog
+
+        return RunLog(spark, path).attempts()
     return spark.read.schema(ATTEMPTS).parquet(path)
