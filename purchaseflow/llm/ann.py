@@ -5,11 +5,15 @@ balanced parts: recursive median splits, then moves of vertices to the part that
 most of their neighbours while sizes stay balanced.  A small softmax network learns, from
 a vector alone, in which parts its neighbours lie.  It places every vector of the table in
 its most probable part, and routes a query to its several most probable parts, as many as
-the sample needs for a recall of ``RECALL``.  Queries and vectors of a part meet in blocks
-of bounded size and are ranked by exact inner products in double precision.
+the sample needs for a recall of ``RECALL``, and on to the next ones until they hold enough
+other vectors.  Queries and vectors of a part meet in blocks of bounded size and are ranked
+by exact inner products in double precision.
 
-Only the model is broadcast; a part of any size, and a hot vector, is split in blocks,
-and of equal vectors in a block no more are kept than a query can return.
+The number of parts follows the table (``PART_ROWS`` vectors a part, as far as the sample
+can tell parts apart).  Only the model is broadcast.  A part of any size, and a hot vector,
+is split in blocks; every block of candidates is a key of its own, to which the blocks of
+queries for its part are sent, so no task takes a whole part.  Of equal vectors in a block
+no more are kept than a query can return.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 take no part, nor do rows with a null id, nor vectors of another length than most of the
@@ -26,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, staged
 
 FIT = 8192
-PARTS = 32
+PARTS = 32          # of a table of up to PARTS * PART_ROWS vectors, at most
+PART_ROWS = 1 << 17
 PART_LEAST = 64     # no more parts than leave so many sample vectors in each
 NEIGHBOURS = 20
 HIDDEN = 96
@@ -51,8 +56,17 @@ class Router:
         return np.maximum(x @ w1 + b1, 0) @ w2 + x @ w3 + b2
 
     def routes(self, x: np.ndarray) -> np.ndarray:
-        """The most probable parts of each vector, the best first."""
-        return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :self.probes]
+        """All parts for each vector, the most probable first."""
+        return np.argsort(-self.logits(x), axis=1, kind="stable")
+
+    def probed(self, x: np.ndarray, held: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, part) of all parts that each vector is compared in: its ``probes`` most
+        probable ones, and the next ones until they hold ``enough`` vectors."""
+        routes = self.routes(x)
+        before = np.cumsum(held[routes], axis=1) - held[routes]
+        chosen = (np.arange(routes.shape[1]) < self.probes) | (before < enough)
+        at, place = np.nonzero(chosen)
+        return at, routes[at, place]
 
 
 def nearest(queries: np.ndarray, vectors: np.ndarray, k: int, own: bool) -> np.ndarray:
@@ -106,13 +120,13 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int) -> np.ndarray:
     return part
 
 
-def fit(x: np.ndarray) -> Router:
-    """The router of a sample of vectors (one a row)."""
+def fit(x: np.ndarray, n_vectors: int = 0) -> Router:
+    """The router of a sample (one vector a row) of a table of ``n_vectors``."""
     rng = np.random.default_rng(3)
     n, size = x.shape
     x = x.astype(np.float64)
     parts = 1
-    while 2 * parts <= PARTS and n // (2 * parts) >= PART_LEAST:
+    while 2 * parts <= max(PARTS, n_vectors // PART_ROWS) and n // (2 * parts) >= PART_LEAST:
         parts *= 2
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     scale = HIDDEN ** -0.5
@@ -173,33 +187,44 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     query (the rows for which ``is_query`` holds) among all other rows."""
     spark = embeddings.sparkSession
     ready(spark)
-    vectors = (embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-               .filter(F.col("vec_id").isNotNull() & valid("embedding"))
-               .groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT).toArrow()
+    vectors = staged(
+        embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"),
+                          F.coalesce(is_query, F.lit(False)).alias("asks"))
+        .filter(F.col("vec_id").isNotNull() & valid("embedding"))
+        .groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("asks").alias("asks")), "ann-vectors")
+    sample = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT).toArrow()
     out = "query_id long, rank int, vec_id long, score double"
     if not sample.num_rows:
         return spark.createDataFrame([], out)
     lengths = np.diff(sample.column("embedding").combine_chunks().offsets.to_numpy())
     size = int(np.bincount(lengths).argmax())
     picked = sample.filter(pa.array(lengths == size)).column("embedding").combine_chunks()
-    router = fit(_vectors(picked))
+    router = fit(_vectors(picked), vectors.count())
     shared = spark.sparkContext.broadcast(router)
-    vectors = vectors.filter(F.size("embedding") == size)
-
-    def place(probes: bool):
-        def run(batches):
-            router = shared.value
-            for rows in batches:
-                if not rows.num_rows:
-                    continue
+
+    def place(batches):
+        router = shared.value
+        for rows in batches:
+            if rows.num_rows:
                 x = _vectors(rows.column(1))
-                routes = router.routes(x)[:, :None if probes else 1]
-                at = np.repeat(np.arange(len(x)), routes.shape[1])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(pa.array(at)), pa.array(routes.ravel().astype(np.int32)),
-                     pa.array([r.tobytes() for r in x], pa.binary()).take(pa.array(at))], names=["vec_id", "part", "vector"])
-        return run
+                    [rows.column(0), pa.array(router.routes(x)[:, 0].astype(np.int32)),
+                     pa.array([r.tobytes() for r in x], pa.binary()), rows.column(2)], names=["vec_id", "part", "vector", "asks"])
+
+    placed = staged(vectors.filter(F.size("embedding") == size).mapInArrow(place, "vec_id long, part int, vector binary, asks boolean"), "ann-placed")
+    held = np.zeros(len(router.weights[3]), np.int64)
+    for row in placed.groupBy("part").count().collect():  # a row a part
+        held[row.part] = row["count"]
+
+    def probe(batches):
+        router = shared.value
+        for rows in batches:
+            if rows.num_rows:
+                x = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.float64).reshape(-1, size)
+                at, part = router.probed(x, held, k + 1)
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(at), pa.array(part.astype(np.int32)), rows.column(1).take(at)],
+                                                 names=["vec_id", "part", "vector"])
 
     def packed_blocks(placed: DataFrame, rows_a_block: int, keep: int | None) -> DataFrame:
         """One row a block of a part: its ids, ascending, and its vectors."""
@@ -217,17 +242,17 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                 nth = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 kept = np.sort(by_twin[nth < keep])
                 ids, rows = ids[kept], rows[kept]
-            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
+            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
                              "rows": pa.array([np.ascontiguousarray(rows).tobytes()], pa.binary())})
 
         return (placed.join(F.broadcast(blocks), "part")
                 .withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
                 .select("part", "block", "vec_id", "vector")
-                .groupBy("part", "block").applyInArrow(pack, "part int, ids binary, rows binary"))
+                .groupBy("part", "block").applyInArrow(pack, "part int, block int, ids binary, rows binary"))
 
-    placed = "vec_id long, part int, vector binary"
-    candidates = packed_blocks(vectors.mapInArrow(place(False), placed), BLOCK, k + 1)
-    queries = packed_blocks(vectors.filter(is_query).mapInArrow(place(True), placed), QUERY_BLOCK, None)
+    candidates = packed_blocks(placed.select("vec_id", "part", "vector"), BLOCK, k + 1).toDF("part", "block", "c_ids", "c_rows")
+    queries = packed_blocks(placed.filter("asks").select("vec_id", "vector").mapInArrow(probe, "vec_id long, part int, vector binary"),
+                            QUERY_BLOCK, None).select("part", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
 
     def rank(batches):
         for rows in batches:
@@ -252,7 +277,10 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                 if found[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], names=["query_id", "vec_id", "score"])
 
-    met = (queries.toDF("part", "q_ids", "q_rows").join(candidates.toDF("part", "c_ids", "c_rows"), "part")
+    # Blocks are numbered from 0 in each part: its queries are sent to every one of them.
+    blocks = spark.createDataFrame([(i, -(-int(n) // BLOCK)) for i, n in enumerate(held) if n], "part int, blocks int")
+    sent = queries.join(F.broadcast(blocks), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "q_ids", "q_rows")
+    met = (sent.join(candidates.hint("shuffle_merge"), ["part", "block"])
            .select("q_ids", "q_rows", "c_ids", "c_rows").mapInArrow(rank, "query_id long, vec_id long, score double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -71,3 +71,31 @@ def test_hard_vectors_ties_and_copies(spark, monkeypatch):
     assert {len(v) for v in grouped(ann.search(few, F.col("vec_id") % 20 == 0).collect()).values()} <= {2}
     assert ann.search(few.filter("false"), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.search(few.limit(1), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_queries_go_on_until_their_parts_hold_enough():
+    rng = np.random.default_rng(5)
+    router = ann.Router([rng.normal(size=(4, 8)), np.zeros(8), rng.normal(size=(8, 6)), np.zeros(6), np.zeros((4, 6))], 2, 4)
+    x, held = rng.normal(size=(50, 4)), np.array([3, 0, 50, 1, 0, 2])
+    at, part = router.probed(x, held, 30)
+    for i in range(50):
+        mine, order = part[at == i], router.routes(x[i:i + 1])[0]
+        assert mine.tolist() == order[:len(mine)].tolist() and len(mine) >= 2
+        assert held[mine].sum() >= 30 and (len(mine) == 2 or held[mine[:-1]].sum() < 30)
+    assert len(router.probed(x, held, 1000)[0]) == 50 * 6  # all parts, where none is enough
+
+
+def test_a_clustered_table_is_pruned(spark):
+    """Recall against brute force, and the share of vectors that a query is compared with."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 24)) * 3
+    x = (centres[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 24))).astype(np.float32)
+    x[1000:2400] = x[1000]  # a third of the rows are equal
+    router = ann.fit(x.astype(np.float64), len(x))
+    held = np.bincount(router.routes(x)[:, 0], minlength=len(router.weights[3]))
+    at, part = router.probed(x[::20].astype(np.float64), held, 21)
+    assert held[part].sum() / (len(x) * len(x[::20])) < 0.5
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = grouped(ann.search(frame, F.col("vec_id") % 20 == 0).collect())
+    want = brute({i: v for i, v in enumerate(x)}, 20)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
