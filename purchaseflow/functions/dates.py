@@ -1,9 +1,10 @@
 """Date standardisation (FN3 ladder + FN4 regex fallback) to ``DD-MM-YYYY`` text.
 
-The ladder is a ``coalesce`` of ``try_to_date`` calls, each guarded by a regular
-expression that accepts exactly what the matching ``strptime`` directive accepts
-(Spark's parser is more lenient: ``M`` takes ``012`` as December).  First success
-wins, so format order is part of the semantics.
+Each format is a ``try_to_date`` call guarded by a regular expression that accepts exactly
+what the matching ``strptime`` directive accepts (Spark's parser is more lenient: ``M``
+takes ``012`` as December).  First success wins, so format order is part of the semantics.
+Formats are dispatched by shape: what is left of a text without its digits (two separators,
+or words), and where its year stands, leave two guarded formats at most to try.
 """
 
 from __future__ import annotations
@@ -54,15 +55,25 @@ def parse_date_ladder(s: Column, day_first: bool = False) -> Column:
     ladder = list(LADDER)
     if day_first:  # put d-M-yyyy ahead of M-d-yyyy (quirk K1 fix, opt-in)
         ladder[3], ladder[4] = ladder[4], ladder[3]
-    candidates = []
-    for _, guard, pattern, two_digit, collapse in ladder:
-        text = s
-        if two_digit:
-            text = _expand_two_digit_year(s)
-        if collapse:
-            text = F.regexp_replace(s, r"\s+", " ")
-        candidates.append(F.when(s.rlike(guard), F.try_to_date(text, pattern)))
-    return F.coalesce(*candidates)
+    def tried(*numbers: int) -> Column:
+        """The first of some formats that parses."""
+        found = []
+        for _, guard, pattern, two_digit, collapse in (ladder[i] for i in numbers):
+            text = s
+            if two_digit:
+                text = _expand_two_digit_year(s)
+            if collapse:
+                text = F.regexp_replace(s, r"\s+", " ")
+            found.append(F.when(s.rlike(guard), F.try_to_date(text, pattern)))
+        return F.coalesce(*found)
+
+    # No two shapes share a format, so the order of the ladder holds within each.
+    shape = F.translate(s, "0123456789", "")
+    short_year = F.substring(s, -3, 1) == "/"
+    return (F.when(shape == "--", F.when(F.instr(s, "-") == 5, tried(0)).otherwise(tried(3, 4)))
+            .when(shape == "//", F.when(F.instr(s, "/") == 5, tried(9)).when(short_year, tried(7, 8)).otherwise(tried(1, 2)))
+            .when(shape == "..", tried(10, 11))
+            .otherwise(tried(5, 6)))
 
 
 def _zfill2(c: Column) -> Column:
@@ -93,8 +104,7 @@ def standardize_date(s: Column, day_first: bool = False) -> Column:
     parsed = parse_date_ladder(s, day_first)
     return (F.when(s.isNull(), F.lit(None).cast("string"))
             .when(s == "", F.lit(""))
-            .when(parsed.isNotNull(), F.date_format(parsed, OUTPUT_FORMAT))
-            .otherwise(fallback_date_text(s)))
+            .otherwise(F.coalesce(F.date_format(parsed, OUTPUT_FORMAT), fallback_date_text(s))))
 
 
 def date_value(text: Column) -> Column:

@@ -57,9 +57,11 @@ def _row_items(group: Column) -> Column:
     def first(kind: int) -> Column:
         return F.try_element_at(F.filter(group, lambda c: c["kind"] == kind), F.lit(1))["text"]
 
-    return F.transform(F.filter(group, lambda c: c["kind"] == 2), lambda d: F.struct(
+    # Looked up once a row, however many descriptions it has.
+    heads = F.struct(first(0).alias("price_text"), first(1).alias("quantity_text"))
+    return _with(heads, lambda h: F.transform(F.filter(group, lambda c: c["kind"] == 2), lambda d: F.struct(
         d["row"].alias("row"), d["pos"].alias("desc_pos"), d["text"].alias("description"),
-        first(0).alias("price_text"), first(1).alias("quantity_text")))
+        h["price_text"].alias("price_text"), h["quantity_text"].alias("quantity_text"))))
 
 
 def _table_items(cells: Column) -> Column:

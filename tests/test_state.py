@@ -141,3 +141,13 @@ def test_wide_keys_keep_their_names_apart(spark):
     keys = spark.createDataFrame([(12345678901,), (12345678904,), (7,)], "k long")
     assert [r[0] for r in keys.select(fx.file_name_of(F.col("k"))).collect()] == [
         "12345678901.jpeg", "12345678904.jpeg", "000000007.jpeg"]
+
+
+def test_a_row_of_many_descriptions_takes_time_in_proportion(spark):
+    n = 40_000
+    cells = [{"label": "Price", "row": 1, "text": "$2.50"}, {"label": "Quantity", "row": 1, "text": "3"}]
+    cells[1:1] = [{"label": "Description", "row": 1, "text": f"item {i}"} for i in range(n)]
+    body = json.dumps({"result": [{"prediction": [{"label": "table", "cells": cells}]}]})
+    docs = spark.createDataFrame([("d", body)], "doc string, body string").select("doc", parse_labelled(F.col("body")).alias("prediction"))
+    got = labelled_items(docs, ["doc"]).agg(F.count("*"), F.sum("quantity"), F.sum("price"), F.countDistinct("description")).first()
+    assert tuple(got) == (n, 3 * n, 2.5 * n, n)
