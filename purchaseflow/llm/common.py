@@ -58,14 +58,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more.  Spark drops the shuffle files of
-    finished work once the driver has collected its garbage, so that is asked for here."""
+    """Delete staged tables that nothing reads any more, and what the driver kept for them."""
     for df in tables:
         drop_scratch(df.sparkSession, df._staged_path)
     for df in tables[:1]:
-        gc.collect()
-        trim()
-        df.sparkSession._jvm.System.gc()
+        give_back(df.sparkSession)
+
+
+def give_back(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, which is when Spark drops the shuffle files and
+    broadcasts of finished work, and return what Python has freed to the system."""
+    gc.collect()
+    trim()
+    spark._jvm.System.gc()
 
 
 def held_out() -> Column:
@@ -101,7 +106,7 @@ def fitted(sample: DataFrame, order: list[Column | str], fit: Callable[[list[pa.
     found = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").collect()
     model = pickle.loads(found[0].model) if found else None  # Spark may skip an empty sample
     found.clear()
-    trim()
+    give_back(sample.sparkSession)
     return model
 
 
