@@ -21,8 +21,7 @@ Only built-in functions are used; the templates are constants, and rows move onc
 ids and their few matches.
 
 Windows only add: the ``dice`` of a licence that a line or the whole text matches is theirs.
-``ORACLE_SQL`` knows lines and whole texts only; it agrees where no notice is found by
-windows alone.
+``ORACLE_SQL`` scores every window of every text that holds enough of a template's bigrams.
 
 Defined results: null, empty and wordless texts have no units and match nothing; rows
 with a null id take no part; rows that share an id are one document (one result row, the
@@ -232,12 +231,28 @@ unit_sets AS (
   FROM unit_words WHERE len(w) > 1),
 template_words AS (SELECT license, regexp_extract_all(body, '[A-Za-z0-9]+') AS w FROM templates),
 template_sets AS (
-  SELECT license, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: lower(w[i]) || ' ' || lower(w[i + 1]))) AS b
+  SELECT license, len(w) - 1 AS width,
+         list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: lower(w[i]) || ' ' || lower(w[i + 1]))) AS b
   FROM template_words),
+text_bigrams AS (
+  SELECT doc_id, list_transform(generate_series(1, len(w) - 1), lambda i: lower(w[i]) || ' ' || lower(w[i + 1])) AS seq
+  FROM unit_words WHERE unit = 0 AND len(w) > 1),
+wide AS (
+  SELECT doc_id, license, width, b, seq FROM text_bigrams JOIN template_sets ON len(seq) >= width
+  WHERE len(list_intersect(list_distinct(seq), b)) * (2 - {LEAST}) >= {LEAST} * len(b) - 1e-9),
+window_sets AS (
+  SELECT doc_id, license, b, list_distinct(seq[i:i + width - 1]) AS own
+  FROM (SELECT *, unnest(generate_series(1, len(seq) - width + 1)) AS i FROM wide)),
+window_dice AS (
+  SELECT doc_id, license, max(2.0::DOUBLE * len(list_intersect(own, b)) / (len(own) + len(b))) AS dice FROM window_sets GROUP BY ALL),
 pairs AS (
   SELECT u.doc_id, u.unit, t.license, 2.0::DOUBLE * len(list_intersect(u.b, t.b)) / (len(u.b) + len(t.b)) AS dice
   FROM unit_sets u JOIN template_sets t ON len(u.b) <= 2 * len(t.b) AND len(t.b) <= 2 * len(u.b)),
-found AS (SELECT * FROM pairs WHERE dice >= {LEAST}),
+in_units AS (SELECT * FROM pairs WHERE dice >= {LEAST}),
+found AS (
+  SELECT * FROM in_units
+  UNION ALL
+  SELECT doc_id, -1 AS unit, license, dice FROM window_dice ANTI JOIN in_units USING (doc_id, license) WHERE dice >= {LEAST}),
 best AS (SELECT doc_id, license, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) AS r FROM found)
 SELECT d.doc_id, coalesce(f.licenses, '') AS licenses, coalesce(f.n_lines, 0)::BIGINT AS n_lines,
        best.license AS best, round(best.dice, 6) AS dice

@@ -138,3 +138,21 @@ def test_a_wrapped_notice_and_one_in_a_paragraph_are_found(spark, name, text):
     docs = spark.createDataFrame([(1, f"{around}\n{wrapped}\n{around}"), (2, f"{around} {text} {around}"), (3, around)], "doc_id long, text string")
     got = {r.doc_id: (r.licenses, r.best, r.dice) for r in licenses.scan(docs).collect()}
     assert got == {1: (name, name, 1.0), 2: (name, name, 1.0), 3: ("", None, None)}
+
+
+def test_sql_finds_the_same_windows(spark):
+    rng = random.Random(5)
+    filler = [f"w{i}" for i in range(300)] + "the of and to a is in copy work version software any".split()
+    rows = []
+    for i, (_, text) in enumerate(licenses.TEMPLATES * 2):
+        parts = [w + "\n" * (n % 5 == 4) for n, w in enumerate(text.split())]
+        for _ in range(rng.choice([0, 1, 2])):
+            parts[rng.randrange(len(parts))] = rng.choice(filler)
+        rows.append((i, " ".join([*rng.choices(filler, k=rng.choice([0, 3, 90])), *parts, *rng.choices(filler, k=60)])))
+    rows += [(900, " ".join(t for _, t in licenses.TEMPLATES)), (902, "w " * 400 + "All rights\nreserved"), (903, None), (904, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {r[0]: r[1:] for r in con.execute(licenses.ORACLE_SQL).fetchall()}
+    assert sum(1 for w in want.values() if w[0] and not w[1]) > 10  # by windows only
+    compare(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect(), want)
