@@ -10,6 +10,10 @@ joined there, and what they score is summed per document:
    arrived from step 1, and score ``BACKOFF * count(word) / all words``.
 3. The sums are dealt by document.
 
+There are as many partitions as the counted words ask for (``PART_WORDS``).  A document's own
+words are part of the counts, so every bigram occurs; one that occurs once is only the
+document's own and backs off.
+
 Entries travel as sorted blocks, a block a batch and partition: every distinct bigram
 once, with its number and the documents that hold it.  Words so frequent that one
 partition could not hold their bigrams (``HOT`` of all words or more, so at most
@@ -36,6 +40,7 @@ from .words import mix, word_hashes, word_spans
 
 BACKOFF = 0.4
 MIN_COUNT = 2
+PART_WORDS = 2_000_000  # words a partition of counts, whatever the cluster's settings
 RANGES = 4  # of a partition's contexts, joined one after another
 HOT = 1 / 4096
 _MASK = np.uint64((1 << 48) - 1)
@@ -188,9 +193,10 @@ def _one_range(blobs, low, high, lookup, totals, later_words, later_docs, cold_w
 def scores(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_words`` and ``score`` of every document, by the counts of all."""
     spark = docs.sparkSession
-    parts = max(1, ready(spark) // 2)
+    ready(spark)
     docs = documents(docs)
     hot, hot_counts, n_all, n_started = hot_words(docs)
+    parts = max(1, -(-n_all // PART_WORDS))
     # The start is a context like a hot word: its count is the number of started documents.
     known = np.append(hot, START)
     order = np.argsort(known)
