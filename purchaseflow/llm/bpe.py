@@ -8,7 +8,7 @@ every adjacent pair are held in two lists, the minimum is found by a scan, its b
 is deleted and the two neighbouring ranks are refreshed.
 
 Defined results: null and empty texts give no ids and an empty decoded text; rows with a
-null id take no part; repeated rows are each encoded.  A text of any length is encoded as
+null id take no part; repeated rows are each encoded; an empty table gives no rows.  A text of any length is encoded as
 a whole; the memory holds at most ``MEMORY`` pieces and pieces over ``LONGEST`` characters
 are not remembered.
 """

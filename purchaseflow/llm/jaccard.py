@@ -30,7 +30,7 @@ longer than ``SPLIT`` is dealt over several tasks by salting.
 Defined results: a null, empty or wordless text has no shingle and is its own component;
 a text with fewer words than a shingle is one shingle of all its words; rows with a null
 id take no part; repeated rows are each returned; equal sets share a component; an empty
-table gives no rows.
+table gives no rows; the set of a text of any length is its whole set.
 """
 
 from __future__ import annotations

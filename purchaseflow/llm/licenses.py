@@ -26,7 +26,7 @@ Windows only add: the ``dice`` of a licence that a line or the whole text matche
 Defined results: null, empty and wordless texts have no units and match nothing; rows
 with a null id take no part; rows that share an id are one document (one result row, the
 matches of all their lines); ties go to the licence first in alphabetical order; an empty
-table gives no rows.
+table gives no rows; texts of any length are scanned whole.
 """
 
 from __future__ import annotations

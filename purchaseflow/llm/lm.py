@@ -24,7 +24,8 @@ The score of a document is the mean base-10 logarithm over its words.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z folded; a null, empty or wordless
 text has no words and scores 0; rows with a null id take no part; rows that share an id
-are one document (one result row, all their words); an empty table gives no rows.  Words
+are one document (one result row, all their words); an empty table gives no rows; texts of
+any length count and are scored whole.  Words
 are told apart by 48-bit hashes within a partition.
 """
 

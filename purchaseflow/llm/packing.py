@@ -8,7 +8,8 @@ leaves a boundary record, that is a piece on either side.  No row moves between
 partitions, and only the last window is not full.
 
 Defined results: a null or empty text is a document of its end mark alone; rows with a
-null id take no part; repeated rows are each packed; an empty table gives no pieces.
+null id take no part; repeated rows are each packed; an empty table gives no pieces.  A text
+of any length is encoded whole and becomes as many pieces as it meets windows.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ exactly, in blocks, and the ``NEIGHBOURS`` nearest vote with a power of their si
 
 Defined results: a null or empty text, and any text without a trigram in the sample, gets
 the share of label 1 in the sample; rows with a null id take no part; repeated rows are
-each scored; without labels every score is 0.  Whole texts of any length are read; the
-counts of a text have a fixed size.
+each scored; an empty table gives no rows; without labels every score is 0.  Whole texts of
+any length are read; the counts of a text have a fixed size.  Of sample vectors whose cosines
+tie at the last place of the neighbours, which one votes is numpy's choice: the same for equal
+texts, as they have equal cosines.
 """
 
 from __future__ import annotations

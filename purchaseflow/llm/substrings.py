@@ -17,7 +17,7 @@ document and merged to spans; a document's text meets its spans in one join.
 Defined results: a word is ``[^\\x20\\x09-\\x0D]+``, unchanged; null, empty and short texts
 (under ``window`` words) keep all words; rows with a null id take no part; rows that
 share an id are one document (same spans), also if repeated; an empty table gives no
-rows.  Windows are compared by 56 bits of a hash, besides the hash of their prefix.
+rows; a text of any length is read whole, with the other texts of its batch.  Windows are compared by 56 bits of a hash, besides the hash of their prefix.
 """
 
 from __future__ import annotations
