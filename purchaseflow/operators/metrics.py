@@ -7,8 +7,9 @@ totals are aggregated (partial aggregation, small output), an exclusive prefix o
 the bucket totals gives each bucket's offset, and a window partitioned by
 (run, bucket) adds the running count inside the bucket.  A run holding a third of
 all rows is therefore spread over many buckets; only the small bucket-total table
-is windowed per run.  The few columns that count are read twice, for the totals (reduced in
-every map task) and for the windows; the rows are shuffled once and nothing is stored.
+is windowed per run.  The windowed rows are checkpointed, so the input is read and
+shuffled once: the bucket totals are the last running counts of each bucket, and both
+uses keep the partitioning of the window.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .state import RESULT_STATUSES, SKIP_STATUSES
 
 DEFAULT_BUCKET_WIDTH = 1 << 18
@@ -30,10 +32,10 @@ def running_counts(df: DataFrame, partition: list[str], order: str, flags: dict[
                   F.floor(F.col(order) / F.lit(bucket_width)).alias("_bucket"))
     upto = Window.partitionBy(*partition, "_bucket").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    within = b.select(*df.columns, "_bucket", F.count(F.lit(1)).over(upto).alias("_w_n"),
-                      *[F.sum(f"_f_{k}").over(upto).alias(f"_w_{k}") for k in names])
-    totals = b.groupBy(*partition, "_bucket").agg(
-        F.count(F.lit(1)).alias("_t_n"), *[F.sum(f"_f_{k}").alias(f"_t_{k}") for k in names])
+    within = checkpointed(b.select(*df.columns, "_bucket", F.count(F.lit(1)).over(upto).alias("_w_n"),
+                                   *[F.sum(f"_f_{k}").over(upto).alias(f"_w_{k}") for k in names]))
+    totals = within.groupBy(*partition, "_bucket").agg(
+        F.max("_w_n").alias("_t_n"), *[F.max(f"_w_{k}").alias(f"_t_{k}") for k in names])
     before = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = totals.select(

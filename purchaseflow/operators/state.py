@@ -4,15 +4,17 @@ REL11 (latest wins upsert), REL13 (union of old and new rows), REL1 (completed /
 placeholder split), REL2 (pending files), REL3 (dummy-row filter) and REL12's
 placeholder rows.
 
-Scale notes: the latest attempt of a file is found by aggregation (partial in every map
-task, so a file with a huge number of attempts is pre-reduced): with an order over runs in
-one scan, with a single number by the number first, whose columns are then fetched.  Pending files are a left-anti join;
+Scale notes: the latest place of a file is found by one hash aggregation over a number
+(partial in every map task, so a file with a huge number of attempts is pre-reduced), and
+its columns are then fetched by (file, place).  Pending files are a left-anti join;
 Catalyst/AQE broadcast the smaller side only when its measured size is under the broadcast
 threshold and fall back to a shuffled join otherwise.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ SKIP_STATUSES = ("failed", "timeout", "error")  # placeholder row + skipped entr
 
 
 LOG_ORDER = ["run_seq", "attempt_seq"]
+SEQ_RANGE = Decimal(1 << 63)  # more than any number within a run
 
 
 def latest_attempts(attempts: DataFrame, key: str = "file_name", order: list[str] | None = None,
@@ -44,12 +47,14 @@ def latest_attempts(attempts: DataFrame, key: str = "file_name", order: list[str
         places = attempts.groupBy(key).agg(F.max(seq).alias(seq), F.min(seq).alias("first_seen"), F.count(F.lit(1)).alias("n_attempts"))
         return (attempts.select(key, seq, *columns).join(places, [key, seq]).distinct()
                 .select(key, *columns, seq, "first_seen", "n_attempts"))
-    # One scan: every map task keeps one row a file, the one of the highest place.
-    place = F.struct(*order)
-    return (attempts.groupBy(key).agg(F.max_by(F.struct(*columns, *order), place).alias("_last"), F.min(place).alias("_first"),
-                                      F.count(F.lit(1)).alias("n_attempts"))
-            .select(key, *[F.col(f"_last.{c}").alias(c) for c in (*columns, *order)],
-                    F.col("_first")[order[-1]].alias("first_seen"), "n_attempts"))
+    # A place over all runs is one number, so its extremes are found by hash in one pass.
+    run, seq = order
+    place = F.col(run).cast("decimal(17,0)") * F.lit(SEQ_RANGE) + F.col(seq)
+    marked = attempts.select(key, *order, *columns, place.alias("_place"))
+    places = attempts.select(key, place.alias("_place")).groupBy(key).agg(
+        F.max("_place").alias("_place"), F.min("_place").alias("_first"), F.count(F.lit(1)).alias("n_attempts"))
+    return (marked.join(places, [key, "_place"]).select(
+        key, *columns, *order, (F.col("_first") % F.lit(SEQ_RANGE)).cast("long").alias("first_seen"), "n_attempts").distinct())
 
 
 def union_rows(existing: DataFrame, new: DataFrame) -> DataFrame:

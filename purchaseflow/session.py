@@ -20,7 +20,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ENGINE_CONF = {
     "spark.sql.ansi.enabled": "true",
@@ -129,6 +129,16 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint whose files :func:`release_scratch` removes too."""
+    checkpoint_dir(df.sparkSession)
+    kept = df.checkpoint()
+    file = kept._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        _SCRATCH.append((df.sparkSession, file.get()))
+    return kept
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete one scratch folder."""
     _SCRATCH[:] = [(s, p) for s, p in _SCRATCH if p != path]

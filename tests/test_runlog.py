@@ -86,7 +86,7 @@ def test_the_snapshot_is_joined_in_its_buckets(spark, tmp_path, runs, monkeypatc
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     scans = [line for line in plan.splitlines() if "FileScan" in line]
-    assert len(scans) == 2 and "Bucketed: true" in plan
+    assert len(scans) == 3 and "Bucketed: true" in plan  # the snapshot, and the new run for places and columns
     assert "Exchange" not in above(plan, "Bucketed: true")
     assert all("raw_ocr" not in line.split("ReadSchema")[-1] for line in scans)
     folders = {f.split("/log/")[1].rsplit("/", 1)[0] for f in state.inputFiles()}

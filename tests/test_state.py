@@ -13,6 +13,7 @@ from purchaseflow.operators.labelled import (dispatch_labels, labelled_items, la
 from purchaseflow.operators.metrics import running_counts
 from purchaseflow.operators.state import (latest_attempts, pending_files, split_results, state_of,
                                           union_rows)
+from purchaseflow import session
 from purchaseflow.plans import fixtures as fx
 
 
@@ -151,3 +152,14 @@ def test_a_row_of_many_descriptions_takes_time_in_proportion(spark):
     docs = spark.createDataFrame([("d", body)], "doc string, body string").select("doc", parse_labelled(F.col("body")).alias("prediction"))
     got = labelled_items(docs, ["doc"]).agg(F.count("*"), F.sum("quantity"), F.sum("price"), F.countDistinct("description")).first()
     assert tuple(got) == (n, 3 * n, 2.5 * n, n)
+
+
+def test_no_checkpoint_is_left(spark, sf_small):
+    """Running counts are checkpointed; their files go with the other scratch data."""
+    counted = running_counts(fx.f6_attempts(spark, sf_small), ["run_id"], "attempt_seq", {})
+    path = next(p for s, p in reversed(session._SCRATCH) if "/rdd-" in p)
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert counted.count() > 0 and fs.exists(files)
+    session.drop_scratch(spark, path)
+    assert not fs.exists(files)
