@@ -2,39 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
-
-
-def _stored(edges: DataFrame) -> tuple[DataFrame, dict]:
-    """The edges, written once, and a mark of them that the same write counts."""
-    seen = Observation()
-    written = staged(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
-    return written, seen.get
+from ..session import checkpoint_dir
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) of every node of ``a``-``b``
     edges.  The edges of a hub are rewired to smaller hubs round by round; every round is
-    one job that writes its edges and drops those before, so neither lineage nor any task
-    grows with the number of rounds."""
-    now, mark = _stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    while mark["n"]:
+    checkpointed, so neither lineage nor any task grows with the number of rounds."""
+    spark = edges.sparkSession
+    checkpoint_dir(spark)
+    edges = (edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+             .filter("u <> v").distinct().checkpoint())
+    before = None
+    while True:
+        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == before:
+            break
+        before = mark
         # Each star needs its edges by node once, for the least neighbour and the rewiring.
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition(F.col("u"))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition(F.col("u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .repartition(F.col("u")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))))
-        after, new_mark = _stored(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        discard(now)
-        now = after
-        if new_mark == mark:
-            break
-        mark = new_mark
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        edges = (small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                 .distinct().checkpoint())
+    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -133,9 +133,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint whose files :func:`release_scratch` removes too."""
     checkpoint_dir(df.sparkSession)
     kept = df.checkpoint()
-    file = kept._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-    if file.isDefined():
-        _SCRATCH.append((df.sparkSession, file.get()))
+    kept._staged_path = kept._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    _SCRATCH.append((df.sparkSession, kept._staged_path))
     return kept
 
 
