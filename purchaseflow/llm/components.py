@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpointed, drop_scratch
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) of every node of ``a``-``b``
     edges.  The edges of a hub are rewired to smaller hubs round by round; every round is
-    checkpointed, so neither lineage nor any task grows with the number of rounds."""
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    edges = (edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-             .filter("u <> v").distinct().checkpoint())
+    checkpointed and the one before dropped, so neither lineage, disk nor any task grows with
+    the number of rounds."""
+    edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                         .filter("u <> v").distinct())
     before = None
     while True:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -30,7 +29,8 @@ def connected(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))))
-        edges = (small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                 .distinct().checkpoint())
+        old, edges = edges, checkpointed(small.filter("u <> v").select(
+            F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        drop_scratch(old.sparkSession, old._staged_path)
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
