@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .variants import is_fractional_type, is_integer_type, is_whole_type, value_parts
+from .variants import is_fractional_type, is_integer_type, is_number_type, is_whole_type, value_parts
 
 
 def float_text(d: Column) -> Column:
@@ -13,8 +13,7 @@ def float_text(d: Column) -> Column:
     1e16 (``2.0``, ``12345678.5``, ``0.0001``), with a two-digit exponent outside
     (``1e-05``, ``1.5e+16``)."""
     size = F.abs(d)
-    plain = F.regexp_replace(d.cast("string").try_cast("decimal(38,20)").cast("string"), r"(\.\d*?)0+$", "$1")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    plain = F.regexp_replace(d.cast("string").try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
     parts = F.split(d.cast("string"), "E")
     power = parts[1].cast("int")
     exponent = F.concat(F.regexp_replace(parts[0], r"\.0$", ""), F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
@@ -35,9 +34,16 @@ def quantity_from_text(text: Column) -> Column:
         F.lit(1.0))
 
 
-def normalize_quantity_parts(p: Column) -> Column:
+def number_in_text(p: Column) -> Column:
+    """What :func:`quantity_from_text` reads in a value that is neither number nor boolean."""
+    t = p["t"]
+    return F.when(~is_number_type(t) & (t != "BOOLEAN"), quantity_from_text(F.when(t == "STRING", p["str"]).otherwise(p["json"])))
+
+
+def normalize_quantity_parts(p: Column, from_text: Column | None = None) -> Column:
     """FN5 on a JSON value given as :func:`value_parts` ->
-    ``struct(quantity DOUBLE, quantity_text STRING)``.
+    ``struct(quantity DOUBLE, quantity_text STRING)``.  ``from_text``:
+    :func:`number_in_text` of the value, where the caller holds it already.
 
     Missing -> 1.  JSON integers and floats are kept as they are (``2`` and ``2.0``
     stay apart in the text), booleans print as ``True``/``False``; any other value
@@ -46,7 +52,7 @@ def normalize_quantity_parts(p: Column) -> Column:
     """
     t = p["t"]
     num = p["num"]
-    from_text = quantity_from_text(F.when(t == "STRING", p["str"]).otherwise(p["json"]))
+    from_text = number_in_text(p) if from_text is None else from_text
     text_qty_text = F.when(from_text == F.floor(from_text), int_text(from_text)).otherwise(
         float_text(from_text))
     default = p["missing"] | p["jnull"]

@@ -44,8 +44,10 @@ PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
 
 def strip_text(s: Column) -> Column:
     """FN7: remove leading/trailing whitespace as Python's ``str.strip()`` does
-    (Spark ``trim`` strips spaces only)."""
-    return F.btrim(s, F.lit(PY_WHITESPACE))
+    (Spark ``trim`` strips spaces only).  A text with visible ASCII at both ends has
+    nothing to strip and is not searched."""
+    visible = [F.substring(s, i, 1).between("!", "~") for i in (1, -1)]
+    return F.when(visible[0] & visible[1], s).otherwise(F.btrim(s, F.lit(PY_WHITESPACE)))
 
 
 def base_name(path: Column) -> Column:

@@ -8,7 +8,7 @@ code-generated) this keeps each element to one extraction per view.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INTEGER_TYPES = ["BIGINT", "INT", "SMALLINT", "TINYINT"]
@@ -37,6 +37,11 @@ def is_number_type(t: Column) -> Column:
     return is_integer_type(t) | is_fractional_type(t)
 
 
+def is_object(v: Column) -> Column:
+    """Whether a variant is a JSON object (null: no), without writing out its whole type."""
+    return F.try_variant_get(v, "$", "struct<date:variant>").isNotNull()
+
+
 def field(v: Column, key: str) -> Column:
     """Variant field by key; SQL null when the key is missing (or ``v`` is not an
     object), a variant null when the JSON value is ``null``."""
@@ -58,6 +63,22 @@ def typed(v: Column) -> Column:
     return F.struct(v.alias("v"), vtype(v).alias("t"))
 
 
+def _text(v: Column, t: Column) -> Column:
+    """The text of a string or a number.  A number is written as JSON: reading it as a string
+    builds a cast for every value."""
+    return F.when(t == "STRING", F.try_variant_get(v, "$", "string")).when(is_number_type(t), F.to_json(v))
+
+
+def _views(v: Column, t: Column, text: Column, num: Column) -> Column:
+    other = F.when(t.isin("STRING", "VOID") | is_number_type(t), F.lit(None)).when(t.isNotNull(), F.to_json(v))
+    return F.struct(
+        v.isNull().alias("missing"),
+        F.coalesce(t == "VOID", F.lit(False)).alias("jnull"),
+        t.alias("t"), num.alias("num"), text.alias("str"),
+        F.when(t == "BOOLEAN", other == "true").alias("bool"),
+        other.alias("json"))
+
+
 def views(tv: Column) -> Column:
     """``struct(missing, jnull, t, num, str, bool, json)`` from a :func:`typed` struct.
 
@@ -67,19 +88,20 @@ def views(tv: Column) -> Column:
     only for the types that need it.
     """
     v, t = tv["v"], tv["t"]
-    number = is_number_type(t)
     # Numbers are read through their text and a native string->double cast: a direct
     # variant->double read costs far more per value (measured ~10x on decimals).
-    text = F.try_variant_get(v, "$", "string")
-    return F.struct(
-        v.isNull().alias("missing"),
-        F.coalesce(t == "VOID", F.lit(False)).alias("jnull"),
-        t.alias("t"),
-        F.when(number, text.try_cast("double")).alias("num"),
-        F.when(number | (t == "STRING"), text).alias("str"),
-        F.when(t == "BOOLEAN", text == "true").alias("bool"),
-        F.when(~number & ~t.isin("STRING", "VOID"), F.to_json(v)).alias("json"),
-    )
+    return _views(v, t, _text(v, t), F.when(t == "STRING", F.lit(None)).when(is_number_type(t), F.to_json(v).try_cast("double")))
+
+
+def with_views(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` plus helper columns, and the :func:`views` of its variant columns ``names``.
+    Type, text and number are columns of their own, so the many branches that read them do
+    not repeat them."""
+    out = df.select("*", *[vtype(F.col(n)).alias(f"{n}_t") for n in names])
+    out = out.select("*", *[_text(F.col(n), F.col(f"{n}_t")).alias(f"{n}_s") for n in names])
+    out = out.select("*", *[F.when(is_number_type(F.col(f"{n}_t")), F.col(f"{n}_s").try_cast("double")).alias(f"{n}_n")
+                            for n in names])
+    return out, {n: _views(F.col(n), *[F.col(f"{n}_{x}") for x in "tsn"]) for n in names}
 
 
 def value_parts(v: Column) -> Column:

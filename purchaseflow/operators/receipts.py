@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_value, standardize_date
 from ..functions.price import clean_price_parts
-from ..functions.quantity import normalize_quantity_parts
+from ..functions.quantity import normalize_quantity_parts, number_in_text
 from ..functions.text import items_text, line_total, strip_text
-from ..functions.variants import field, parts_text, parts_truthy, typed, views, vtype
+from ..functions.variants import field, is_object, parts_text, parts_truthy, typed, views, with_views
 
 # Keys every receipt is completed with.
 REQUIRED_KEYS = ["business_name", "business_address", "date", "items", "subtotal", "tax", "total"]
@@ -31,19 +31,19 @@ def _text_value(p: Column) -> Column:
             .otherwise(parts_text(p)))
 
 
-ITEM_FIELDS = "struct<description:variant,quantity:variant,price:variant>"
+# An item's fields; the first is read as text, which is null for JSON null, or as it is.
+ITEM_FIELDS = "array<struct<description:string,quantity:variant,price:variant>>"
+ITEM_FIELDS_AS_IS = "array<struct<description:variant,quantity:variant,price:variant>>"
 
 
-def _description(d: Column, compat: bool) -> Column:
-    if compat:  # JSON null description prints as 'None' and is kept (quirk K9)
-        return F.when(d["missing"], F.lit("")).when(d["jnull"], F.lit("None")).otherwise(strip_text(parts_text(d)))
-    return F.when(d["missing"] | d["jnull"], F.lit("")).otherwise(strip_text(parts_text(d)))
+def _description(d: Column) -> Column:
+    # JSON null prints as 'None' and is kept (quirk K9)
+    return F.when(d["missing"], F.lit("")).when(d["jnull"], F.lit("None")).otherwise(strip_text(parts_text(d)))
 
 
-def _item(p: Column, compat: bool) -> Column:
-    desc = _description(p["d"], compat)
-    q = normalize_quantity_parts(p["q"])
-    return F.struct(desc.alias("description"), q["quantity"].alias("quantity"),
+def _item(p: Column) -> Column:
+    q = normalize_quantity_parts(p["q"], p["n"])
+    return F.struct(p["d"].alias("description"), q["quantity"].alias("quantity"),
                     q["quantity_text"].alias("quantity_text"),
                     clean_price_parts(p["p"]).alias("price"))
 
@@ -52,21 +52,32 @@ def valid_items(v: Column, compat: bool = False) -> Column:
     """FN9 + REL6 + FN5/FN7/FN1 per element: ``array<struct<description, quantity,
     quantity_text, price>>``; object elements with a non-blank description only.
 
-    Six passes over the array, each a cheap per-element step: read every element as a
-    struct of three variant fields, drop the non-objects, type each field, extract its
-    views once, derive the cleaned values, drop blank descriptions.
+    Passes over the array, each a cheap per-element step that reads what the one before
+    has computed (nothing is shared inside a step): read every element as a struct of three
+    variant fields, drop the non-objects, clean the descriptions, drop the blank ones, view
+    quantity and price, read numbers in texts, derive the cleaned values.
     """
-    arr = F.coalesce(F.try_variant_get(v, "$.items", "array<variant>"),
-                     F.array().cast("array<variant>"))
-    objects = F.filter(F.transform(arr, lambda x: F.try_variant_get(x, "$", ITEM_FIELDS)),
-                       lambda s: s.isNotNull())
-    typed_fields = F.transform(objects, lambda s: F.struct(
-        typed(s["description"]).alias("d"), typed(s["quantity"]).alias("q"),
-        typed(s["price"]).alias("p")))
-    parts = F.transform(typed_fields, lambda s: F.struct(
-        views(s["d"]).alias("d"), views(s["q"]).alias("q"), views(s["p"]).alias("p")))
-    items = F.transform(parts, lambda p: _item(p, compat))
-    return F.filter(items, lambda it: it["description"] != "")
+    viewed = F.transform(described_items(v, compat), lambda s: F.struct(
+        s["d"].alias("d"), views(s["q"]).alias("q"), views(s["p"]).alias("p")))
+    parts = F.transform(viewed, lambda s: F.struct(s["d"].alias("d"), s["q"].alias("q"), s["p"].alias("p"),
+                                                   number_in_text(s["q"]).alias("n")))
+    return F.transform(parts, _item)
+
+
+def described_items(v: Column, compat: bool = False, written: bool = True) -> Column:
+    """FN9 + REL6 + FN7: the items with a non-blank description ``d``, with quantity ``q``
+    and price ``p`` as :func:`typed` (as they are, unless ``written``)."""
+    # Items that are no objects read as null.
+    read = F.try_variant_get(v, "$.items", ITEM_FIELDS_AS_IS if compat else ITEM_FIELDS)
+    objects = F.filter(F.coalesce(read, F.array().cast(ITEM_FIELDS_AS_IS if compat else ITEM_FIELDS)), lambda s: s.isNotNull())
+    as_is = typed if written else (lambda c: c)
+    if compat:
+        objects = F.transform(objects, lambda s: F.struct(
+            views(typed(s["description"])).alias("description"), s["quantity"].alias("quantity"), s["price"].alias("price")))
+    described = F.transform(objects, lambda s: F.struct(
+        (_description(s["description"]) if compat else strip_text(F.coalesce(s["description"], F.lit("")))).alias("d"),
+        as_is(s["quantity"]).alias("q"), as_is(s["price"]).alias("p")))
+    return F.filter(described, lambda s: s["d"] != "")
 
 
 def validate_receipts(df: DataFrame, response: str = "response", compat: bool = False,
@@ -85,28 +96,28 @@ def validate_receipts(df: DataFrame, response: str = "response", compat: bool =
     # re-parsing the text for every use.
     v = F.col("_v")
     parsed = df.withColumn("_v", F.try_parse_json(F.col(response)))
-    # Stage 2: top-level type and the variant fields.
-    fields = parsed.select("*", vtype(v).alias("_t"),
+    # Stage 2: whether the top level is an object, and the variant fields.
+    fields = parsed.select("*", is_object(v).alias("_object"),
                            F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"),
                                         lambda k, _: ~k.isin(REQUIRED_KEYS)).alias("_extra"),
                            *[field(v, k).alias(f"_f_{k}") for k in TOP_LEVEL])
-    # Stage 3: each field's type name as its own column.  The cleaning expressions
-    # test the type in many branches; reading an attribute keeps the generated code
-    # small (inlined, the type test is repeated hundreds of times and whole-stage
+    # Stage 3: each field's type, text and number as columns.  The cleaning expressions
+    # test them in many branches; reading an attribute keeps the generated code
+    # small (inlined, the test is repeated hundreds of times and whole-stage
     # code generation gives up on the stage).
-    fields = fields.select("*", *[vtype(F.col(f"_f_{k}")).alias(f"_t_{k}") for k in TOP_LEVEL])
+    fields, seen = with_views(fields, [f"_f_{k}" for k in TOP_LEVEL])
 
     def parts(k: str) -> Column:
-        return views(F.struct(F.col(f"_f_{k}").alias("v"), F.col(f"_t_{k}").alias("t")))
+        return seen[f"_f_{k}"]
     date_p = parts("date")
     odd_date = ~date_p["missing"] & ~date_p["jnull"] & (date_p["t"] != "STRING") & parts_truthy(date_p)
     status = (F.when(v.isNull(), F.lit("bad_json"))
-              .when(~F.col("_t").startswith("OBJECT"), F.lit("failed"))
+              .when(~F.col("_object"), F.lit("failed"))
               .when(odd_date & F.lit(compat), F.lit("failed"))
               .otherwise(F.lit("ok")))
     # Stage 4: status and the raw date text.
     staged = fields.withColumn("parse_status", status) \
-        .withColumn("_date_raw", _text_value(date_p)).withColumn("_date_read", (F.col("_t_date") == "STRING") | odd_date)
+        .withColumn("_date_raw", _text_value(date_p)).withColumn("_date_read", (date_p["t"] == "STRING") | odd_date)
     raw_date = F.col("_date_raw")
     staged = staged.withColumn("_date", F.when(F.col("_date_read"), standardize_date(raw_date, day_first)).otherwise(raw_date))
     date = F.col("_date")
@@ -129,7 +140,7 @@ def validate_receipts(df: DataFrame, response: str = "response", compat: bool =
 
 def is_receipt(response: Column) -> Column:
     """Whether a response is a JSON object (anything else makes no receipt)."""
-    return F.coalesce(vtype(F.try_parse_json(response)).startswith("OBJECT"), F.lit(False))
+    return is_object(F.try_parse_json(response))
 
 
 def extracted_json(prefix: str = "") -> Column:
@@ -144,8 +155,9 @@ def extracted_json(prefix: str = "") -> Column:
         c("tax").alias("tax"), c("total").alias("total")), {"ignoreNullFields": "false"})
     extra = c("extra_json")
     # Two objects become one: the first without its last brace, the second without its first.
-    return F.when(extra.isNull(), own).otherwise(F.concat(
-        F.substring(own, F.lit(1), F.length(own) - 1), F.lit(","), F.substring(extra, F.lit(2), F.length(extra))))
+    # Inside the lambda the first is a variable, so it is written once.
+    return F.transform(F.array(own), lambda x: F.when(extra.isNull(), x).otherwise(F.concat(
+        F.substring(x, F.lit(1), F.length(x) - 1), F.lit(","), F.substring(extra, F.lit(2), F.length(extra)))))[0]
 
 
 def to_result_rows(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -206,21 +218,14 @@ def explode_response_items(df: DataFrame, keys: list[str], response: str = "resp
     columns."""
     parsed = (df.filter(F.col(attempt_status) == "ok")
               .select(*keys, F.try_parse_json(F.col(response)).alias("_v")))
-    objects = F.filter(F.transform(F.coalesce(F.try_variant_get(F.col("_v"), "$.items", "array<variant>"),
-                                              F.array().cast("array<variant>")),
-                                   lambda x: F.try_variant_get(x, "$", ITEM_FIELDS)), lambda s: s.isNotNull())
-    named = F.filter(objects, lambda s: _description(views(typed(s["description"])), compat) != "")
-    rows = parsed.select(*keys, F.posexplode(named).alias("_pos", "_s"))
-    fields = rows.select(*keys, "_pos", *[F.col(f"_s.{n}").alias(f"_{n}") for n in ("description", "quantity", "price")])
-    staged = fields.select("*", *[vtype(F.col(f"_{n}")).alias(f"_t_{n}") for n in ("description", "quantity", "price")])
-
-    def parts(n: str) -> Column:
-        return views(F.struct(F.col(f"_{n}").alias("v"), F.col(f"_t_{n}").alias("t")))
-
-    q = normalize_quantity_parts(parts("quantity"))
-    items = staged.select(*keys, (F.col("_pos") + 1).alias("pos"), _description(parts("description"), compat).alias("description"),
+    rows = parsed.select(*keys, F.posexplode(described_items(F.col("_v"), compat, written=False)).alias("_pos", "_s"))
+    fields = rows.select(*keys, "_pos", F.col("_s.d").alias("_d"), F.col("_s.q").alias("_q"), F.col("_s.p").alias("_p"))
+    staged, seen = with_views(fields, ["_q", "_p"])
+    staged = staged.withColumn("_number", number_in_text(seen["_q"]))
+    q = normalize_quantity_parts(seen["_q"], F.col("_number"))
+    items = staged.select(*keys, (F.col("_pos") + 1).alias("pos"), F.col("_d").alias("description"),
                           q["quantity"].alias("quantity"), q["quantity_text"].alias("quantity_text"),
-                          clean_price_parts(parts("price")).alias("price"))
+                          clean_price_parts(seen["_p"]).alias("price"))
     return items.withColumn("line_total", line_total(F.col("quantity"), F.col("price")))
 
 
