@@ -3,25 +3,28 @@
 A word (letters and digits, ASCII case folded) is the sum of hashed embeddings of
 the word and of its first four to seven bytes, so unseen forms of a stem are known.  Filters over one, two and three consecutive words are followed by a rectifier and a
 maximum over the whole text, so one word or phrase anywhere in a long text counts as much
-as in a short one.  The filters and embeddings are trained on a bounded sample of
-labelled documents; a threshold for each language, guessed from the text's own function
-words, is set on a quarter of the sample that training never saw, and scores are centred on
-it: 0.5 is the language's threshold.
+as in a short one.  Scores are centred on a threshold for each language, guessed from the
+text's own function words: 0.5 is the language's threshold.
 
-The sample has two bounds: the first ``PER_CLASS`` documents of each class by a hash of the
-id, and ``SAMPLE_WORDS`` words in all.  Half of the words are each class's own, and what one
-class leaves free the other may use.  Documents are taken whole in the hash's order; one
-that is longer than what is left is passed over and the next is tried.  Those over a
-``FEWEST``-th of their class's words come last, shortest first, so no long text keeps the
-others out.  A class whose documents are all over its words keeps the shortest.
+Every labelled document outside the held-out fold takes part, whole.  A hash of the id makes
+a quarter of them the tuning fold, which no weight has seen; the others are dealt to shards
+of about ``SHARD`` bytes of text.
 
-One task trains on that sample; the driver holds the weights only, which have a fixed size
-and are broadcast.  Scoring is one pass without a shuffle.
+* Counts: each shard counts the documents of each class that hold a bucket; the sums over all
+  shards give the log-odds that the embeddings start from.
+* Weights: each shard trains from that common start over its documents, one task a shard.
+  The weights are averaged: a bucket's embeddings by the documents that hold it, the filters
+  by documents.  One shard is plain training.
+* Thresholds: the logits of all documents of the tuning fold, counted in ``BINS`` steps for
+  each language and class; the cut with the fewest errors lies between two steps.
+
+What is summed has a fixed size and is dealt in blocks of ``ROWS`` buckets; the driver holds
+the weights only, which are broadcast.  Scoring is one pass without a shuffle.
 
 Defined results: a null, empty or wordless text scores as the bare bias of the model (its
 pooled features are zero); rows with a null id take no part; repeated rows are each
-scored; without labels of both classes every score is 0; an empty table
-gives no rows.  A text of any length is scored whole.
+scored and count once in training (the largest text); without labels of both classes every
+score is 0; an empty table gives no rows.  A text of any length is scored whole.
 """
 
 from __future__ import annotations
@@ -30,14 +33,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fitted, held_out, labelled_sample, long_column, ready, staged, text_bytes
+from .common import (batch, discard, documents, give_back, held_out, known_labels, labelled_sample, long_column, ready, staged,
+                     text_bytes, trim)
 from .words import letter_breaks, mix, word_hashes, word_spans
 
-PER_CLASS = 3000
+SHARD = 1 << 25  # bytes of labelled text, about
+FOLDS = 4  # one of them sets the thresholds
+ROWS = 4096
+BINS = 4096
+PER_CLASS = 3000  # of a sample
 SAMPLE_WORDS = 2_500_000  # of the whole sample, half of them for each class
 FEWEST = 100  # a document over such a share of its class's words waits for the others
 BUCKETS = 1 << 15
@@ -173,82 +180,114 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * centred, -60, 60)))
 
 
-def _train(words: Words, y: np.ndarray) -> Model:
-    """Adagrad over the sample's whole documents, three quarters of them; the last
-    quarter sets the thresholds."""
-    rng = np.random.default_rng(11)
-    n_docs = len(y)
-    order = rng.permutation(n_docs)
-    fit, tune = order[n_docs // 4:], order[:n_docs // 4]
-    sides = words.buckets()
-    docs = [[side[a:b] for side in sides] for a, b in zip(words.firsts, words.firsts[1:])]
-    # Warm start: the first coordinate of a bucket is the log-odds of a text holding it.
-    tables = []
-    for side in range(SIDES):
-        seen = np.zeros((2, BUCKETS))
-        for i in fit:
-            seen[y[i], np.unique(docs[i][side])] += 1
-        share = (seen + 0.05) / (np.bincount(y[fit], minlength=2)[:, None] + 1.0)
-        odds = np.clip(np.log(share[1] / share[0]), -3, 3)
-        odds[seen.sum(0) < 2] = np.minimum(odds[seen.sum(0) < 2], 0)
-        e = rng.normal(0, 0.02, (BUCKETS + 1, SIZE)).astype(np.float32)
-        e[:-1, 0] = odds / 4
-        e[-1] = 0
-        tables.append(e)
-    filters = [rng.normal(0, 0.15, (width, SIZE, FILTERS)).astype(np.float32) for width in WIDTHS]
-    for f in filters:
-        f[0, 0, :] = np.abs(f[0, 0, :]) + 0.5
-    biases = np.zeros((len(WIDTHS), FILTERS), np.float32)
-    out = np.full(len(WIDTHS) * FILTERS, 0.1, np.float32)
-    bias = np.float32(-1)
-    memory = {k: np.full_like(v, 1e-3) for k, v in
-              [("out", out), ("biases", biases), *[(f"f{i}", f) for i, f in enumerate(filters)],
-               *[(f"t{i}", t) for i, t in enumerate(tables)]]}
-    bias_memory = 1e-3
-    weight = (n_docs / (2 * np.maximum(np.bincount(y, minlength=2), 1)))[y]
-
-    def step(name: str, value: np.ndarray, grad: np.ndarray) -> None:
+@dataclass
+class Weights:
+    """What training moves: the tables of embeddings, the filters and what reads their pools."""
+
+    tables: list[np.ndarray]
+    filters: list[np.ndarray]
+    biases: np.ndarray
+    out: np.ndarray
+    bias: np.ndarray
+
+    @classmethod
+    def start(cls, seen: np.ndarray, n_docs: np.ndarray) -> Weights:
+        """The common start: the first coordinate of a bucket is the log-odds of a text holding
+        it.  ``seen``: side, class and bucket; ``n_docs``: documents of each class."""
+        rng = np.random.default_rng(11)
+        tables = []
+        for side in range(SIDES):
+            share = (seen[side] + 0.05) / (n_docs[:, None] + 1.0)
+            odds = np.clip(np.log(share[1] / share[0]), -3, 3)
+            rare = seen[side].sum(0) < 2
+            odds[rare] = np.minimum(odds[rare], 0)
+            e = rng.normal(0, 0.02, (BUCKETS + 1, SIZE)).astype(np.float32)
+            e[:-1, 0] = odds / 4
+            e[-1] = 0
+            tables.append(e)
+        filters = [rng.normal(0, 0.15, (width, SIZE, FILTERS)).astype(np.float32) for width in WIDTHS]
+        for f in filters:
+            f[0, 0, :] = np.abs(f[0, 0, :]) + 0.5
+        return cls(tables, filters, np.zeros((len(WIDTHS), FILTERS), np.float32),
+                   np.full(len(WIDTHS) * FILTERS, 0.1, np.float32), np.full(1, -1, np.float32))
+
+    def dense(self) -> list[np.ndarray]:
+        return [*self.filters, self.biases, self.out, self.bias]
+
+    def places(self) -> np.ndarray:
+        return np.concatenate([f[k] for f in self.filters for k in range(len(f))], 1)
+
+    def picks(self, ids: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text and filter the place of the maximum in ``ids`` (side by place), and the
+        maximum.  ``CHUNK`` places are laid out at a time, so a text may have any length."""
+        n, reach, places = ids.shape[1], max(WIDTHS) - 1, self.places()
+        ends = begin + np.maximum(counts, 1)
+        best = np.full((len(begin), len(WIDTHS) * FILTERS), -np.inf, np.float32)
+        where = np.zeros(best.shape, np.int64)
+        for lo in range(0, n, CHUNK):
+            hi = min(n, lo + CHUNK)
+            v = sum(t[i] for t, i in zip(self.tables, ids[:, lo:min(n, hi + reach)]))
+            v = np.concatenate([v, np.zeros((hi + reach - lo - len(v), SIZE), np.float32)])
+            v = places.T @ np.ascontiguousarray(v.T)
+            z = np.empty((best.shape[1], hi - lo), np.float32)
+            row = 0
+            for w, width in enumerate(WIDTHS):
+                mine = z[w * FILTERS:(w + 1) * FILTERS]
+                mine[:] = self.biases[w][:, None]
+                for k in range(width):
+                    mine += v[row:row + FILTERS, k:k + hi - lo]
+                    row += FILTERS
+            for d in np.flatnonzero((begin < hi) & (ends > lo)):
+                a, b = max(begin[d], lo), min(ends[d], hi)
+                at = z[:, a - lo:b - lo].argmax(1)
+                top = z[np.arange(len(z)), at + a - lo]
+                more = top > best[d]
+                best[d][more], where[d][more] = top[more], at[more] + a
+        return where, best
+
+
+def _train(weights: Weights, sides: np.ndarray, firsts: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int) -> None:
+    """Adagrad over whole documents, which are given by the buckets of their words (``sides``:
+    side by word) and count by the ``weight`` of their class."""
+    rng = np.random.default_rng([11, seed])
+    tables, filters, biases, out, bias = weights.tables, weights.filters, weights.biases, weights.out, weights.bias
+    named = {"out": out, "biases": biases, "bias": bias, **{f"f{i}": f for i, f in enumerate(filters)}}
+    memory = {k: np.full_like(v, 1e-3) for k, v in [*named.items(), *[(f"t{i}", t) for i, t in enumerate(tables)]]}
+
+    def step(name: str, grad: np.ndarray) -> None:
         memory[name] += grad * grad
-        value -= RATE * grad / np.sqrt(memory[name])
+        named[name] -= RATE * grad / np.sqrt(memory[name])
 
     reach = max(WIDTHS) - 1
+    pad = np.full((SIDES, reach), BUCKETS, sides.dtype)
     for epoch in range(EPOCHS):
-        shuffled = rng.permutation(fit)
+        shuffled = rng.permutation(len(y))
         for at in range(0, len(shuffled), BATCH):
             some = shuffled[at:at + BATCH]
-            pad = np.full(reach, BUCKETS, np.int32)
-            ids = [np.concatenate([x for i in some for x in (docs[i][side], pad)]) for side in range(SIDES)]
-            sizes = np.array([len(docs[i][0]) + reach for i in some])
-            begin = np.cumsum(sizes) - sizes
-            v = sum(t[i] for t, i in zip(tables, ids))
-            picks, pools = [], []
-            for w, f in enumerate(filters):
-                n = len(v) - WIDTHS[w] + 1
-                z = sum(v[k:k + n] @ f[k] for k in range(WIDTHS[w])) + biases[w]
-                pick = np.stack([b + (z[b:b + max(s - reach, 1)].argmax(0)) for b, s in zip(begin, sizes)])
-                picks.append(pick)
-                pools.append(z[pick, np.arange(FILTERS)])
-            raw = np.concatenate(pools, 1)
+            ids = np.concatenate([x for i in some for x in (sides[:, firsts[i]:firsts[i + 1]], pad)], 1)
+            counts = firsts[some + 1] - firsts[some]
+            begin = np.cumsum(counts + reach) - counts - reach
+            picks, raw = weights.picks(ids, begin, counts)
             pooled = np.maximum(raw, 0)
-            logits = pooled @ out + bias
-            wrong = ((1 / (1 + np.exp(-logits)) - y[some]) * weight[some] / len(some)).astype(np.float32)
+            logits = pooled @ out + bias[0]
+            wrong = ((1 / (1 + np.exp(-logits)) - y[some]) * weight[y[some]] / len(some)).astype(np.float32)
             back = wrong[:, None] * out * (raw > 0)
-            step("out", out, wrong @ pooled)
-            bias_memory += float(wrong.sum()) ** 2
-            bias -= np.float32(RATE * wrong.sum() / np.sqrt(bias_memory))
+            step("out", wrong @ pooled)
+            step("bias", wrong.sum(keepdims=True))
             touched, grads = [], []
+            bias_grad = np.zeros_like(biases)
             for w, f in enumerate(filters):
                 g = back[:, w * FILTERS:(w + 1) * FILTERS]
                 gf = np.empty_like(f)
                 for k in range(WIDTHS[w]):
-                    at_k = picks[w] + k
-                    gf[k] = np.einsum("df,dfe->ef", g, v[at_k])
+                    at_k = np.minimum(picks[:, w * FILTERS:(w + 1) * FILTERS] + k, ids.shape[1] - 1)
+                    v = sum(t[ids[side][at_k]] for side, t in enumerate(tables))
+                    gf[k] = np.einsum("df,dfe->ef", g, v)
                     touched.append(at_k.ravel())
                     grads.append((g[:, :, None] * f[k].T[None]).reshape(-1, SIZE))
-                step(f"f{w}", f, gf)
-                bias_grad = np.zeros_like(biases)
+                step(f"f{w}", gf)
                 bias_grad[w] = g.sum(0)
-                step("biases", biases, bias_grad)
+            step("biases", bias_grad)
             where, grad = np.concatenate(touched), np.concatenate(grads)
             for side in range(SIDES):
                 bucket, inverse = np.unique(ids[side][where], return_inverse=True)
@@ -257,34 +296,22 @@ def _train(words: Words, y: np.ndarray) -> Model:
                 memory[f"t{side}"][bucket] += total * total
                 tables[side][bucket] -= RATE * 0.5 * total / np.sqrt(memory[f"t{side}"][bucket])
                 tables[side][BUCKETS] = 0
-    places = np.concatenate([f[k] for f in filters for k in range(len(f))], 1)
-    model = Model(tables, places, biases, out, float(bias), np.zeros(len(LANGUAGES)), 1.0)
-
-    unseen = words.pick(tune)
-    logits = model.pooled(unseen) @ out + bias
-    spread = float(logits.std()) or 1.0
-    model.scale = 4.0 / spread
-    common = _threshold(logits, y[tune], 0.0, spread)
-    spoken = languages(unseen.hashes, unseen.firsts)
-    for i in range(len(LANGUAGES)):
-        mine = spoken == i
-        model.thresholds[i] = _threshold(logits[mine], y[tune][mine], common, spread)
-    return model
 
 
-def _threshold(logits: np.ndarray, y: np.ndarray, default: float, spread: float) -> float:
+def _threshold(low: np.ndarray, high: np.ndarray, counts: np.ndarray, default: float, spread: float) -> float:
     """The cut with the fewest errors, a clean text weighing three toxic ones: the middle
-    of the best cuts, drawn to the default by as much as examples are few."""
-    if len(logits) == 0:
+    of the best cuts, drawn to the default by as much as examples are few.  Texts come in
+    ascending steps of logits from ``low`` to ``high``, with the ``counts`` of each class."""
+    if len(low) == 0:
         return default
-    cuts = np.unique(logits)
-    cuts = np.concatenate([[cuts[0] - spread], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + spread]])
-    clean, toxic = np.sort(logits[y == 0]), np.sort(logits[y == 1])
-    missed = np.searchsorted(toxic, cuts) / max(len(toxic), 1)
-    wrongly = (len(clean) - np.searchsorted(clean, cuts)) / max(len(clean), 1)
+    cuts = np.concatenate([[low[0] - spread], (low[1:] + high[:-1]) / 2, [high[-1] + spread]])
+    below = np.concatenate([np.zeros((1, 2)), np.cumsum(counts, 0)])
+    clean, toxic = counts.sum(0)
+    missed = below[:, 1] / max(toxic, 1)
+    wrongly = (clean - below[:, 0]) / max(clean, 1)
     cost = missed + 3 * wrongly
     best = cuts[cost <= cost.min() + 1e-12]
-    trust = min(len(toxic), len(clean)) / (min(len(toxic), len(clean)) + FEW)
+    trust = min(toxic, clean) / (min(toxic, clean) + FEW)
     return float(trust * (best[0] + best[-1]) / 2 + (1 - trust) * default)
 
 
@@ -304,7 +331,7 @@ def _fitting(sizes: np.ndarray, budget: int) -> np.ndarray:
 
 
 def within_words(y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Which documents of the sample are trained on: see the bounds above."""
+    """Which documents the sample keeps: see :func:`training_sample`."""
     taken = np.zeros(len(y), bool)
     for c in (0, 1):
         free = SAMPLE_WORDS - int(sizes[y != c].sum())
@@ -313,7 +340,14 @@ def within_words(y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """``doc_id``, ``y`` and the hashes of the ``words`` of the documents to train on."""
+    """``doc_id``, ``y`` and the hashes of the ``words`` of a bounded sample of the labelled
+    documents, for a look at what is trained on (:func:`train` reads them all): the first
+    ``PER_CLASS`` of each class by a hash of the id, of ``SAMPLE_WORDS`` words in all.  Half of
+    the words are each class's own, and what one class leaves free the other may use.
+    Documents are taken whole in the hash's order; one that is longer than what is left is
+    passed over and the next is tried.  Those over a ``FEWEST``-th of their class's words come
+    last, shortest first, so no long text keeps the others out.  A class whose documents are
+    all over its words keeps the shortest."""
     ready(docs.sparkSession)
 
     def hashed(batches):
@@ -336,26 +370,167 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
     return sample.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "words")
 
 
-def _fit(rows: list[pa.RecordBatch]) -> Model | None:
-    """The model of all rows of a training sample."""
-    y = np.concatenate([np.zeros(0, np.int64), *[long_column(r.column(1)) for r in rows]])
-    if len(np.unique(y)) < 2:
-        return None
-    sizes = np.concatenate([pc.binary_length(r.column(2)).to_numpy() // 16 for r in rows])
-    both = np.empty((int(sizes.sum()), 2), np.uint64)
-    at = 0
-    for r in rows:
-        for blob in r.column(2):
-            some = np.frombuffer(blob.as_buffer(), np.uint64).reshape(-1, 2)
-            both[at:at + len(some)] = some
-            at += len(some)
-    rows.clear()
-    return _train(Words(both[:, 0], both[:, 1], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), y)
+def _tuning() -> Column:
+    return F.pmod(F.xxhash64(F.lit("tune"), "doc_id"), F.lit(FOLDS)) == 0
+
+
+def _shard(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets (side by word), first words and classes of a shard's documents, by their id;
+    a repeated document counts once."""
+    rows = rows.sort_by([("doc_id", "ascending"), ("text", "descending")])
+    ids = long_column(rows.column("doc_id"))
+    rows = rows.take(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])))
+    parts, counts = [], [np.zeros(1, np.int64)]
+    for i in range(0, rows.num_rows, 256):
+        words = Words.of(rows.column("text").slice(i, 256).combine_chunks())
+        parts.append(np.stack(words.buckets()).astype(np.uint16))  # the padding's number fits too
+        counts.append(np.diff(words.firsts))
+    return np.concatenate(parts, 1), np.cumsum(np.concatenate(counts)), long_column(rows.column("y"))
+
+
+def _held(sides: np.ndarray, firsts: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many documents of each class hold a bucket: side, class and bucket."""
+    seen = np.zeros((SIDES, 2, BUCKETS), np.int64)
+    for i, c in enumerate(y):
+        for side in range(SIDES):
+            seen[side, c, np.unique(sides[side, firsts[i]:firsts[i + 1]])] += 1
+    return seen
+
+
+def _summed(blocks: DataFrame) -> dict[int, np.ndarray]:
+    """The sums over all shards of each part's ``blob`` of doubles, whose number is fixed."""
+    def run(batches):
+        part, total = None, None
+        for rows in batches:
+            for p, blob in zip(rows.column(0).to_pylist(), rows.column(1)):
+                mine = np.frombuffer(blob.as_buffer(), np.float64)
+                if p == part:
+                    total += mine
+                    continue
+                if part is not None:
+                    yield batch(part=pa.array([part], pa.int32()), blob=pa.array([total.tobytes()], pa.binary()))
+                part, total = p, mine.copy()
+        if part is not None:
+            yield batch(part=pa.array([part], pa.int32()), blob=pa.array([total.tobytes()], pa.binary()))
+
+    # In the order of the shards, so that the sums are the same in every run.
+    found = (blocks.repartition("part").sortWithinPartitions("part", "shard").select("part", "blob")
+             .mapInArrow(run, "part int, blob binary").collect())
+    sums = {r.part: np.frombuffer(r.blob, np.float64) for r in found}
+    give_back(blocks.sparkSession)
+    return sums
+
+
+_BLOCKS = "part int, shard long, blob binary"
+
+
+def _blocks(shard: int, parts: list[np.ndarray]) -> pa.Table:
+    return pa.table({"part": pa.array(range(len(parts)), pa.int32()), "shard": pa.array([shard] * len(parts), pa.int64()),
+                     "blob": pa.array([p.astype(np.float64).tobytes() for p in parts], pa.binary())})
+
+
+def _counts(shards: DataFrame) -> np.ndarray:
+    """How many documents of all shards hold a bucket: side, class and bucket."""
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        seen = _held(*_shard(rows)).reshape(-1, ROWS)
+        trim()
+        return _blocks(key[0].as_py(), list(seen))
+
+    seen = np.zeros((SIDES * 2 * BUCKETS // ROWS, ROWS))
+    for part, total in _summed(shards.groupBy("shard").applyInArrow(run, _BLOCKS)).items():
+        seen[part] = total
+    return seen.reshape(SIDES, 2, BUCKETS)
+
+
+def _weights(shards: DataFrame, seen: np.ndarray, n_docs: np.ndarray) -> Weights:
+    """The mean of the weights that each shard makes of the common start."""
+    shared = shards.sparkSession.sparkContext.broadcast(seen.astype(np.int32) if seen.max() < 1 << 31 else seen)
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        sides, firsts, y = _shard(rows)
+        del rows
+        trim()
+        shard, weights = key[0].as_py(), Weights.start(shared.value, n_docs)
+        _train(weights, sides, firsts, y, n_docs.sum() / (2 * np.maximum(n_docs, 1)), shard)
+        by = _held(sides, firsts, y).sum(1).reshape(-1, ROWS)  # documents that hold a bucket
+        rows_of = np.concatenate([t[:-1] for t in weights.tables]).reshape(len(by), ROWS, SIZE)
+        dense = np.concatenate([x.ravel() for x in weights.dense()]).astype(np.float64)
+        found = _blocks(shard, [np.concatenate([n, (n[:, None] * r.astype(np.float64)).ravel()]) for n, r in zip(by, rows_of)]
+                        + [np.concatenate([[len(y)], len(y) * dense])])
+        trim()
+        return found
+
+    mean = Weights.start(seen, n_docs)
+    n_parts = SIDES * BUCKETS // ROWS
+    for part, total in _summed(shards.groupBy("shard").applyInArrow(run, _BLOCKS)).items():
+        if part == n_parts:
+            dense = total[1:] / total[0]
+            for x in mean.dense():
+                x[:], dense = dense[:x.size].reshape(x.shape), dense[x.size:]
+            continue
+        side, at = divmod(part * ROWS, BUCKETS)
+        held = total[:ROWS]
+        some = held > 0
+        mean.tables[side][at:at + ROWS][some] = total[ROWS:].reshape(ROWS, SIZE)[some] / held[some, None]
+    shared.unpersist()
+    return mean
+
+
+def _set_thresholds(model: Model, docs: DataFrame, known: DataFrame) -> None:
+    """Scale and thresholds by all documents of the tuning fold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        for rows in batches:
+            words = Words.of(rows.column(1))
+            yield batch(doc_id=rows.column(0), logit=(model.pooled(words) @ model.out + model.bias).astype(np.float64),
+                        lang=languages(words.hashes, words.firsts).astype(np.int32))
+
+    # Logits meet their labels: no text is shuffled.
+    logits = (docs.filter(~held_out() & _tuning()).mapInArrow(run, "doc_id long, logit double, lang int")
+              .groupBy("doc_id").agg(F.max(F.struct("logit", "lang")).alias("x")).join(known, "doc_id"))
+    logits = staged(logits.select("x.logit", "x.lang", "y"), "toxicity-logits")
+    all_of = logits.agg(F.min("logit"), F.max("logit"), F.stddev_pop("logit")).first()
+    if all_of[0] is not None:
+        spread = all_of[2] or 1.0
+        step = (all_of[1] - all_of[0]) / BINS or 1.0
+        bins = logits.groupBy("lang", F.floor((F.col("logit") - all_of[0]) / step).alias("bin")).agg(
+            F.min("logit"), F.max("logit"), F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).collect()
+        found = np.array(sorted((b[1], *b) for b in bins), np.float64)[:, [1, 0, 3, 4, 5, 6]]  # language, bin, lows, highs, counts
+
+        def cut(some: np.ndarray, default: float) -> float:
+            starts = np.flatnonzero(np.diff(some[:, 1], prepend=-1))
+            if not len(starts):
+                return default
+            return _threshold(np.minimum.reduceat(some[:, 2], starts), np.maximum.reduceat(some[:, 3], starts),
+                              np.add.reduceat(some[:, 4:], starts), default, spread)
+
+        common = cut(found, 0.0)
+        model.scale = 4.0 / spread
+        model.thresholds = np.array([cut(found[found[:, 0] == i], common) for i in range(len(LANGUAGES))])
+    discard(logits)
+    shared.unpersist()
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | None:
-    """The model of a bounded sample of labelled documents; None without both classes."""
-    return fitted(training_sample(docs, labels, label), [F.xxhash64("doc_id"), "doc_id"], _fit)
+    """The model of all labelled documents outside the held-out fold; None without both classes."""
+    ready(docs.sparkSession)
+    known, docs = known_labels(labels, label), documents(docs)
+    sizes = docs.filter(~held_out()).groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).join(known, "doc_id")
+    # At most four rows.
+    folds = sizes.groupBy("y", _tuning().alias("tuning")).agg(F.count("*").alias("docs"), F.sum("n").alias("n")).collect()
+    if len({r.y for r in folds}) < 2:
+        return None
+    n_docs = np.array([sum(r.docs for r in folds if r.y == c and not r.tuning) for c in (0, 1)], np.int64)
+    n_shards = 1 + sum(r.n for r in folds if not r.tuning) // SHARD
+    shards = docs.filter(~held_out() & ~_tuning()).join(known, "doc_id").select(
+        F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(n_shards)).alias("shard"), "doc_id", "text", "y")
+    weights = _weights(shards, _counts(shards), n_docs)
+    model = Model(weights.tables, weights.places(), weights.biases, weights.out, float(weights.bias[0]),
+                  np.zeros(len(LANGUAGES)), 1.0)
+    _set_thresholds(model, docs, known)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

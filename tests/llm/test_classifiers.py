@@ -129,3 +129,62 @@ def test_words_of_the_sample_are_shared_by_the_classes(monkeypatch):
     assert taken([900, 10, 950, 10], [10] * 200)[0] == [True, True, False, True]
     assert taken([9000, 8000], [7000]) == ([False, True], [True])
     assert taken([], [5])[0] == []
+
+
+def told_by_a_rare_word(spark):
+    """Documents of random words; toxic ones hold one of 40 words, each in a few documents only."""
+    rng = np.random.default_rng(5)
+    rows = [(d, " ".join(rng.choice(["one", "two", "three", "four"], 12)) + (f" vile{d % 40:02d}" if d % 3 == 0 else f" fine{d % 40:02d}"),
+             int(d % 3 == 0)) for d in range(1, 1500)]
+    return (rows, spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"),
+            spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+
+
+def test_counts_come_from_every_labelled_document(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 4000)  # many shards
+    rows, docs, labels = told_by_a_rare_word(spark)
+    docs = docs.union(docs.filter("doc_id % 7 = 0"))  # a repeated document counts once
+    found = []
+    monkeypatch.setattr(toxicity, "_weights", lambda shards, seen, n_docs: found.append((seen, n_docs, {
+        r.doc_id for r in shards.collect()}, shards.select("shard").distinct().count())) or toxicity.Weights.start(seen, n_docs))
+    toxicity.train(docs, labels)
+    (seen, n_docs, ids, n_shards), = found
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert ids < {d for d, _, _ in known} and abs(len(ids) / len(known) - 0.75) < 0.05 and n_shards > 5
+    want = np.zeros_like(seen)
+    for d, text, y in known:
+        if d in ids:
+            for side, buckets in enumerate(toxicity.Words.of(pa.array([text])).buckets()):
+                want[side, y, np.unique(buckets)] += 1
+    assert (seen == want).all()
+    assert n_docs.tolist() == [sum(y == c and d in ids for d, _, y in known) for c in (0, 1)]
+
+
+def test_weights_and_thresholds_come_from_every_labelled_document(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 20_000)
+    monkeypatch.setattr(toxicity, "PER_CLASS", 8)  # a sample so small knows few of the words
+    _, docs, labels = told_by_a_rare_word(spark)
+    model = toxicity.train(docs, labels)
+    texts = [f"two one {word}{i:02d} four" for word in ("vile", "fine") for i in range(40)]
+    moved = np.concatenate([(t[:-1, 1:] - s[:-1, 1:]).any(1)[b] for t, s, b in zip(
+        model.tables[:1], toxicity.Weights.start(np.zeros((toxicity.SIDES, 2, toxicity.BUCKETS)), np.ones(2)).tables,
+        toxicity.Words.of(pa.array([" ".join(f"vile{i:02d}" for i in range(40))])).buckets()[:1])])
+    assert moved.mean() > 0.9  # the embedding of nearly every word was trained
+    assert np.mean((model.scores(toxicity.Words.of(pa.array(texts))) > 0.5) == np.repeat([True, False], 40)) > 0.95
+    again = toxicity.train(docs.repartition(7), labels)
+    assert all((a == b).all() for a, b in zip(model.tables, again.tables)) and (model.thresholds == again.thresholds).all()
+
+
+def test_places_of_maxima_in_chunks(monkeypatch):
+    rng = np.random.default_rng(4)
+    weights = toxicity.Weights.start(rng.integers(0, 9, (toxicity.SIDES, 2, toxicity.BUCKETS)), np.array([9, 9]))
+    counts = np.array([0, 3, 40, 1, 17])
+    reach = max(toxicity.WIDTHS) - 1
+    begin = np.cumsum(counts + reach) - counts - reach
+    ids = rng.integers(0, toxicity.BUCKETS, (toxicity.SIDES, int((counts + reach).sum())))
+    for b, n in zip(begin, counts):
+        ids[:, b + n:b + n + reach] = toxicity.BUCKETS
+    whole = weights.picks(ids, begin, counts)
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    pieces = weights.picks(ids, begin, counts)
+    assert (whole[0] == pieces[0]).all() and whole[1] == pytest.approx(pieces[1], abs=1e-5)
