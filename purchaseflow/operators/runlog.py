@@ -26,7 +26,8 @@ from .state import LOG_ORDER, RESULT_STATUSES, SKIP_STATUSES, latest_attempts
 
 COLUMNS = [f.name for f in ATTEMPTS.fields]
 STATE = [*COLUMNS, "first_seen", "n_attempts"]
-FILES_PER_BUCKET = 1 << 20  # rows of a snapshot's bucket, about
+FILES_PER_BUCKET = 1 << 16  # rows of a snapshot's bucket, about; what reads a state has a task for each
+LEAST_PER_BUCKET = 1 << 12  # fewer rows are not spread over the shuffle's partitions
 
 
 @dataclass(frozen=True)
@@ -208,7 +209,8 @@ class RunLog:
             return last
         n_new = sum(r.n_attempts for r in runs if not last or r.run_seq > last.run_seq)
         bound = n_new + (last.n_files if last else 0)  # of the number of files
-        buckets = max(1, -(-bound // files_per_bucket))
+        wide = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(1, -(-bound // files_per_bucket), min(wide, bound // LEAST_PER_BUCKET))
         folder, name, seen = f"snapshots/{uuid.uuid4().hex}", f"runlog_{uuid.uuid4().hex}", Observation()
         (self.state().select(STATE).repartition(buckets, "file_name").observe(seen, F.count(F.lit(1)).alias("n"))
          .write.bucketBy(buckets, "file_name").sortBy("file_name").format("parquet")

@@ -6,9 +6,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from purchaseflow.operators.runlog import RunLog
+from purchaseflow.operators.runlog import LEAST_PER_BUCKET, RunLog
 from purchaseflow.operators.state import latest_attempts
 from purchaseflow.plans import fixtures as fx
+from purchaseflow.schemas import ATTEMPTS
 
 
 @pytest.fixture
@@ -105,3 +106,15 @@ def test_totals_come_from_the_write(spark, tmp_path, runs):
                      F.count_if(F.col("status").isin("ok", "bad_json")).alias("ok")).first()
         assert (got[f"run{i}"].n_attempts, got[f"run{i}"].n_results, got[f"run{i}"].n_skipped) == (want.n, want.ok, want.n - want.ok)
         assert got[f"run{i}"].processing_time == pytest.approx(want.p) and got[f"run{i}"].wall_time == pytest.approx(want.w)
+
+
+def test_a_snapshot_is_spread_over_the_shuffle_partitions(spark, tmp_path):
+    """What reads a state has one task for each bucket: a snapshot of some files has several."""
+    log = RunLog(spark, str(tmp_path / "log"))
+    rows = spark.range(3 * LEAST_PER_BUCKET).select(*[
+        (F.concat(F.lit("f"), "id") if f.name == "file_name" else F.col("id") if f.name == "attempt_seq"
+         else F.lit("ok") if f.name == "status" else F.lit(None)).cast(f.dataType).alias(f.name) for f in ATTEMPTS.fields])
+    log.publish(rows, "run1", 1)
+    assert log.compact().buckets == 3
+    state = log.state(["status"])
+    assert state.rdd.getNumPartitions() == 3 and state.count() == 3 * LEAST_PER_BUCKET
