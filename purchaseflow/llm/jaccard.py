@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, documents, ready, staged, text_bytes, trim
+from .common import discard, documents, marked, may_be_marked, ready, staged, text_bytes, trim
 from .components import connected
 from .words import _STEP, mix, runs, word_hashes, word_spans
 
@@ -54,7 +54,6 @@ LARGEST_BOUNDARY = 32
 CELLS = 256
 CELLED = 30_000     # larger sets are not pruned by their cells, which count to 255
 BLOCK = 2048
-BITS = 1 << 24
 
 _ENTRY = np.dtype([("token", "<u8"), ("set", "<u8"), ("n", "<u4"), ("tag", "<u2")])
 
@@ -406,24 +405,12 @@ class _Join:
         """The whole sets of the pairs, once each.  Two bits of a table of ``BITS`` bits mark
         a wanted set, so a pass over the texts sends little else; the join drops the rest."""
         wanted = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b")).distinct()
-        place = F.explode(F.array(F.col("set_id").bitwiseAND(BITS - 1),
-                                  F.shiftrightunsigned("set_id", 24).bitwiseAND(BITS - 1)))
-        marked = (wanted.select(place.alias("p"))
-                  .groupBy(F.shiftright("p", 5).alias("word"))
-                  .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(31).cast("int"))).alias("bits"))
-                  .toArrow())  # at most BITS / 32 rows
-        bits = np.zeros(BITS // 32, np.int64)
-        bits[marked.column("word").to_numpy()] = marked.column("bits").to_numpy()
-        shared = self.spark.sparkContext.broadcast(bits)
+        shared = self.spark.sparkContext.broadcast(marked(wanted, "set_id"))
 
         def run(ids, sets):
             bits = shared.value
             keys = np.array([set_id(s) for s in sets], np.uint64)
-            hit = np.ones(len(sets), bool)
-            for p in (keys & np.uint64(BITS - 1), (keys >> np.uint64(24)) & np.uint64(BITS - 1)):
-                p = p.astype(np.int64)
-                hit &= (bits[p >> 5] >> (p & 31)) & 1 == 1
-            chosen = {int(keys[i]): sets[i] for i in np.flatnonzero(hit)}
+            chosen = {int(keys[i]): sets[i] for i in np.flatnonzero(may_be_marked(bits, keys))}
             found = list(chosen.items())
             for i in range(0, len(found), 256):
                 some = found[i:i + 256]

@@ -8,7 +8,9 @@ text's own function words: 0.5 is the language's threshold.
 
 Every labelled document outside the held-out fold takes part, whole.  A hash of the id makes
 a quarter of them the tuning fold, which no weight has seen; the others are dealt to shards
-of about ``SHARD`` bytes of text.
+of about ``SHARD`` bytes of text.  A text moves to its shard, where it meets its label, and
+by no other shuffle; a table of bits of fixed size keeps nearly all texts without a label
+from moving.
 
 * Counts: each shard counts the documents of each class that hold a bucket; the sums over all
   shards give the log-odds that the embeddings start from.
@@ -33,11 +35,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import (batch, discard, documents, give_back, held_out, known_labels, labelled_sample, long_column, ready, staged,
-                     text_bytes, trim)
+from .common import (batch, discard, documents, give_back, held_out, known_labels, labelled_sample, long_column, marked,
+                     may_be_marked, ready, staged, text_bytes, trim)
 from .words import letter_breaks, mix, word_hashes, word_spans
 
 SHARD = 1 << 25  # bytes of labelled text, about
@@ -375,17 +378,21 @@ def _tuning() -> Column:
 
 
 def _shard(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets (side by word), first words and classes of a shard's documents, by their id;
-    a repeated document counts once."""
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "descending")])
-    ids = long_column(rows.column("doc_id"))
-    rows = rows.take(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])))
-    parts, counts = [], [np.zeros(1, np.int64)]
+    """Buckets (side by word), first words and classes of a shard's labelled documents, by
+    their id; a repeated document counts once."""
+    # A label, whose text is null, stands before its document's texts, the largest of them first.
+    order = pc.sort_indices(rows.select(["doc_id", "text"]), null_placement="at_start",
+                            sort_keys=[("doc_id", "ascending"), ("text", "descending")]).to_numpy()
+    ids, label = long_column(rows.column("doc_id"))[order], rows.column("text").is_null().to_numpy()[order]
+    at = np.flatnonzero(label[:-1] & ~label[1:] & (ids[:-1] == ids[1:]))
+    y = long_column(rows.column("y").take(order[at]))
+    rows = rows.select(["text"]).take(order[at + 1])
+    parts, counts = [np.zeros((SIDES, 0), np.uint16)], [np.zeros(1, np.int64)]
     for i in range(0, rows.num_rows, 256):
         words = Words.of(rows.column("text").slice(i, 256).combine_chunks())
         parts.append(np.stack(words.buckets()).astype(np.uint16))  # the padding's number fits too
         counts.append(np.diff(words.firsts))
-    return np.concatenate(parts, 1), np.cumsum(np.concatenate(counts)), long_column(rows.column("y"))
+    return np.concatenate(parts, 1), np.cumsum(np.concatenate(counts)), y
 
 
 def _held(sides: np.ndarray, firsts: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -524,12 +531,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | N
         return None
     n_docs = np.array([sum(r.docs for r in folds if r.y == c and not r.tuning) for c in (0, 1)], np.int64)
     n_shards = 1 + sum(r.n for r in folds if not r.tuning) // SHARD
-    shards = docs.filter(~held_out() & ~_tuning()).join(known, "doc_id").select(
-        F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(n_shards)).alias("shard"), "doc_id", "text", "y")
+    ids = docs.sparkSession.sparkContext.broadcast(marked(known.select(F.xxhash64("doc_id").alias("h")), "h"))
+
+    @F.arrow_udf("boolean")
+    def may_be_known(h: pa.Array) -> pa.Array:
+        return pa.array(may_be_marked(ids.value, h.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    # Texts without a label mostly stay where they are; the rest meet their labels in the shard.
+    docs = docs.filter(~held_out()).filter(may_be_known(F.xxhash64("doc_id")))
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(n_shards)).alias("shard")
+    shards = docs.filter(~_tuning()).select(shard, "doc_id", "text", F.lit(None).cast("int").alias("y")).unionByName(
+        known.filter(~_tuning()).select(shard, "doc_id", F.lit(None).cast("string").alias("text"), "y"))
     weights = _weights(shards, _counts(shards), n_docs)
     model = Model(weights.tables, weights.places(), weights.biases, weights.out, float(weights.bias[0]),
                   np.zeros(len(LANGUAGES)), 1.0)
     _set_thresholds(model, docs, known)
+    ids.unpersist()
     return model
 
 

@@ -188,3 +188,22 @@ def test_places_of_maxima_in_chunks(monkeypatch):
     monkeypatch.setattr(toxicity, "CHUNK", 7)
     pieces = weights.picks(ids, begin, counts)
     assert (whole[0] == pieces[0]).all() and whole[1] == pytest.approx(pieces[1], abs=1e-5)
+
+
+def test_a_text_meets_its_label_in_the_shard_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 2000)
+    _, docs, labels = told_by_a_rare_word(spark)
+    labels = labels.filter("doc_id % 10 = 0").unionAll(labels.selectExpr("doc_id + 90000", "toxic"))  # most of no document
+    found, plain = [], toxicity._weights
+    monkeypatch.setattr(toxicity, "_weights", lambda shards, *rest: found.append(shards) or plain(shards, *rest))
+    assert toxicity.train(docs.union(docs.limit(200)), labels) is not None
+    (shards,) = found
+    assert "Join" not in shards._jdf.queryExecution().executedPlan().toString()
+    rows = shards.toArrow()
+    texts = {d for d, t in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist()) if t is not None}
+    want = {d for d in range(10, 1500, 10) if zlib.crc32(str(d).encode()) % 5}
+    assert texts < want and len(texts) > 0.6 * len(want)  # no text without a label leaves its place
+    for shard in set(rows["shard"].to_pylist()):
+        sides, firsts, y = toxicity._shard(rows.filter(pa.array([s == shard for s in rows["shard"].to_pylist()])))
+        mine = [d for d, s, t in zip(*(rows[c].to_pylist() for c in ("doc_id", "shard", "text"))) if s == shard and t is not None]
+        assert y.tolist() == [int(d % 3 == 0) for d in sorted(set(mine))] and len(firsts) == len(y) + 1 and sides.shape[1] == firsts[-1]
