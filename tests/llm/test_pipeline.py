@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +96,23 @@ def test_empty_documents(spark, sf_small, docs):
     empty = docs.filter(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_small).count() == 0
+
+
+def test_trim_gives_back_what_the_arrow_pool_keeps():
+    # In a process of its own: how much other tests have freed doesn't matter.
+    code = """
+import re
+import pyarrow as pa
+from purchaseflow.llm.common import trim
+def mb():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()).group(1)) / 1024
+trim()
+before = mb()
+kept = [pa.array([b"x" * 5000] * 1000, pa.binary()) for _ in range(50)]
+held = mb() - before
+del kept
+trim()
+print(held, mb() - before)
+"""
+    held, left = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert held > 80 and left < 0.2 * held
