@@ -538,9 +538,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | N
         return pa.array(may_be_marked(ids.value, h.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     # Texts without a label mostly stay where they are; the rest meet their labels in the shard.
-    docs = docs.filter(~held_out()).filter(may_be_known(F.xxhash64("doc_id")))
+    some = docs.filter(~held_out() & ~_tuning()).filter(may_be_known(F.xxhash64("doc_id")))
     shard = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(n_shards)).alias("shard")
-    shards = docs.filter(~_tuning()).select(shard, "doc_id", "text", F.lit(None).cast("int").alias("y")).unionByName(
+    shards = some.select(shard, "doc_id", "text", F.lit(None).cast("int").alias("y")).unionByName(
         known.filter(~_tuning()).select(shard, "doc_id", F.lit(None).cast("string").alias("text"), "y"))
     weights = _weights(shards, _counts(shards), n_docs)
     model = Model(weights.tables, weights.places(), weights.biases, weights.out, float(weights.bias[0]),
