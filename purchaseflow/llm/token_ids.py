@@ -1,9 +1,11 @@
 """Ids of whole texts by the ``tokenizers`` library, asked once per distinct piece.
 
 The vocabulary drops white space and never merges over it, so a text's ids are those of
-its pieces in order.  Pieces are cut, hashed and looked up as arrays, a batch of texts at
-a time, in a bounded table of this worker; only pieces that are new become strings and go
-to the library.
+its pieces in order.  So is a piece's that is cut between an ASCII letter or digit and the
+punctuation after it.  Pieces are cut, hashed and looked up as arrays, a batch of texts at
+a time, in a bounded table of this worker; only pieces that are new go to the library.
+Pieces of ASCII letters are known by their lower case and go there many to a text, other
+pieces as strings.
 """
 
 from __future__ import annotations
@@ -22,13 +24,32 @@ WORDS = 150_000     # folded words remembered
 _MARKS = frozenset(".,;:!?")
 
 
+def _bytes_of(*ranges: str) -> np.ndarray:
+    """A table of the bytes in some ranges, each given by its ends."""
+    table = np.zeros(256, bool)
+    for a, b in ranges:
+        table[ord(a):ord(b) + 1] = True
+    return table
+
+
+_LETTER = _bytes_of("az", "AZ")
+# Where a piece is cut; the bar is left out, because the vocabulary's special tokens hold it after letters.
+_CUT = (_bytes_of("az", "AZ", "09"), _bytes_of("!/", ":@", "[`", "{{", "}~"))
+_OTHER = ~(_LETTER | _bytes_of("\t\r", "  "))
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[ord("A"):ord("Z") + 1] += 32
+
+
 class WordIds:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # Lower-case ASCII letters between blanks need no normaliser and no pattern.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.final = np.zeros(1 << 16, bool)  # the tokens that end a short word
         self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -46,12 +67,18 @@ class WordIds:
         """The ids of all texts, one after another, and where each text's begin (one more
         entry than texts)."""
         raw, offsets = text_bytes(texts)
-        starts, ends, firsts = word_spans(raw, offsets)
-        hashes = np.maximum(word_hashes(raw, starts, ends), np.uint64(1))
+        starts, ends, firsts = word_spans(raw, offsets, cut=_CUT)
+        plain = np.zeros(0, bool)  # whether a piece has ASCII letters only
+        if len(starts):
+            plain = ~np.logical_or.reduceat(_OTHER[raw], starts)
+        hashes = np.empty(len(starts), np.uint64)
+        for some, lower in ((plain, True), (~plain, False)):
+            hashes[some] = word_hashes(raw, starts[some], ends[some], lower)
+        hashes = np.maximum(hashes, np.uint64(1))
         ids, sizes = [np.zeros(0, "<u2")], [np.zeros(0, np.int64)]
         for lo in range(0, len(hashes), SLOTS // 4):  # the table holds the pieces of a part
             part = slice(lo, lo + SLOTS // 4)
-            number = self._numbers(hashes[part], raw, starts[part], ends[part])
+            number = self._numbers(hashes[part], raw, starts[part], ends[part], plain[part])
             begin = self.ends[number]
             size = self.ends[number + 1] - begin
             total = np.cumsum(size)
@@ -60,18 +87,20 @@ class WordIds:
         bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         return np.concatenate(ids), bounds[firsts]
 
-    def _numbers(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _numbers(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+                 plain: np.ndarray) -> np.ndarray:
         """The number of each piece; new pieces are entered first."""
         number = self._find(hashes)
         missing = np.flatnonzero(number < 0)
         if len(missing):
-            new, at = np.unique(hashes[missing], return_index=True)
-            at = missing[at]
-            if len(self.ends) + len(new) > SLOTS // 2:
+            at = missing[np.unique(hashes[missing], return_index=True)[1]]
+            if len(self.ends) + len(at) > SLOTS // 2:
                 self._clear()
-                new, at = np.unique(hashes, return_index=True)
+                at = np.unique(hashes, return_index=True)[1]
                 missing = np.arange(len(hashes))
-            self._add(new, [raw[a:b].tobytes().decode("utf-8") for a, b in zip(starts[at], ends[at])])
+            for ask, at in ((self._letters, at[plain[at]]), (self._mixed, at[~plain[at]])):
+                if len(at):
+                    self._add(hashes[at], *ask(raw, starts[at], ends[at]))
             number[missing] = self._find(hashes[missing])
         return number
 
@@ -90,16 +119,12 @@ class WordIds:
             todo = todo[~hit & (key != 0)]
         return number
 
-    def _add(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Enter new pieces (distinct hashes) with their ids."""
-        found = self._new(pieces)
-        blobs = [found[p] for p in pieces]
-        ids = np.frombuffer(b"".join(blobs), "<u2")
         used, first = int(self.ends[-1]), len(self.ends) - 1
         while used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), "<u2")])
         self.ids[used:used + len(ids)] = ids
-        sizes = np.array([len(b) // 2 for b in blobs], np.int64)
         self.ends = np.concatenate([self.ends, used + np.cumsum(sizes)])
         slot, todo = (hashes & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(hashes))
         while len(todo):
@@ -111,6 +136,24 @@ class WordIds:
             todo = todo[self.keys[slot[todo]] != hashes[todo]]
             slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
 
+    def _letters(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of new pieces of ASCII letters, many to a text."""
+        lengths = ends - starts
+        stops = np.cumsum(lengths + 1)
+        place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        joined = np.full(stops[-1], 0x20, np.uint8)
+        joined[place + np.repeat(stops - lengths - 1, lengths)] = _FOLDED[raw[place + np.repeat(starts, lengths)]]
+        text, cuts = joined.tobytes().decode("ascii"), [0, *stops[127:-1:128].tolist(), int(stops[-1])]
+        ids = self._ids(self.letters, [text[a:b] for a, b in zip(cuts, cuts[1:])])
+        return ids, np.diff(np.flatnonzero(self.final[ids]), prepend=-1)
+
+    def _mixed(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of other new pieces."""
+        pieces = [raw[a:b].tobytes().decode("utf-8") for a, b in zip(starts, ends)]
+        found = self._new(pieces)
+        blobs = [found[p] for p in pieces]
+        return np.frombuffer(b"".join(blobs), "<u2"), np.array([len(b) // 2 for b in blobs], np.int64)
+
     def _new(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of new pieces.  Letters, and letters before one mark, share the memory of
         folded words; the rest goes to the library piece by piece."""
@@ -139,10 +182,14 @@ class WordIds:
     def _learn(self, words: list[str]) -> None:
         """Many words share one text: each is ended by a final token."""
         texts = [" ".join(words[i:i + 128]) for i in range(0, len(words), 128)]
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = np.array([i for x in encoded for i in x.ids], "<u2")
+        ids = self._ids(self.tokenizer, texts)
         self.words.update(self._cut(words, ids, [0, *(2 * (np.flatnonzero(self.final[ids]) + 1)).tolist()]))
 
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> np.ndarray:
+        encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.array([i for x in encoded for i in x.ids], "<u2")
+
     @staticmethod
     def _cut(pieces: list[str], ids: np.ndarray, ends: list[int]):
         return zip(pieces, map(ids.tobytes().__getitem__, map(slice, ends, ends[1:])))

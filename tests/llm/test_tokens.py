@@ -69,6 +69,26 @@ def test_bounded_memory_changes_nothing(library, monkeypatch):
         assert ids[bounds[2]:].tolist() == want
 
 
+def test_case_and_punctuation_make_no_new_pieces(library):
+    """op3: new pieces are what a batch costs; a word in three cases with three marks was nine of them."""
+    words = ["inor", "thble", "tionhe", "heedth", "andwh"]
+    text = " ".join(f"{form}{mark}" for w in words for form in (w, w.capitalize(), w.upper()) for mark in ("", ",", "!!", "'s", "|"))
+    by_piece = WordIds(PATH)
+    assert by_piece.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    # once per word, ",", "!!", "'s", "'S"; a bar may belong to a special token and stays with its word
+    assert len(by_piece.ends) - 1 == len(words) + 3 + 3 * len(words)
+
+
+def test_pieces_cut_at_punctuation_are_the_librarys(library):
+    rng = random.Random(11)
+    parts = ["ab", "Q", "7", "İ", "Σ", "é", "e\u0301", "\u0301", "'", "'S", "'ll", "<|endoftext|>", "<|", "|>", "|", "<", "@", "_", "~",
+             "\x1c", "\x7f", "`", ";", "\u037e", "...", " ", "\u2028", "\u4e00"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(4000)]
+    ids, bounds = WordIds(PATH).encode(pa.array(texts))
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_bpe_query_on_hard_rows(spark, library):
     rows = [(i, t, "x", i) for i, t in enumerate(texts()[:60])] + [(900, None, None, None), (None, "a", "b", 1), (0, "", "x", 0)]
     got = bpe.token_digests(bpe.encode_documents(frame(spark, rows), PATH)).collect()
