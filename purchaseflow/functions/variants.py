@@ -110,6 +110,11 @@ def value_parts(v: Column) -> Column:
     return views(typed(v))
 
 
+def value_text(tv: Column) -> Column:
+    """:func:`parts_text` straight from a :func:`typed` struct."""
+    return F.when(tv["t"] == "STRING", F.try_variant_get(tv["v"], "$", "string")).when(tv["t"] != "VOID", F.to_json(tv["v"]))
+
+
 def parts_text(p: Column) -> Column:
     """Text of a value: the string itself, a number's text, else the JSON text."""
     return F.coalesce(p["str"], p["json"])

@@ -16,7 +16,8 @@ from ..functions.dates import date_value, standardize_date
 from ..functions.price import clean_price_parts
 from ..functions.quantity import normalize_quantity_parts, number_in_text
 from ..functions.text import items_text, line_total, strip_text
-from ..functions.variants import field, is_object, parts_text, parts_truthy, typed, views, with_views
+from ..functions.variants import (field, is_number_type, is_object, parts_text, parts_truthy, typed, value_text,
+                                  views, with_views)
 
 # Keys every receipt is completed with.
 REQUIRED_KEYS = ["business_name", "business_address", "date", "items", "subtotal", "tax", "total"]
@@ -41,11 +42,21 @@ def _description(d: Column) -> Column:
     return F.when(d["missing"], F.lit("")).when(d["jnull"], F.lit("None")).otherwise(strip_text(parts_text(d)))
 
 
-def _item(p: Column) -> Column:
-    q = normalize_quantity_parts(p["q"], p["n"])
-    return F.struct(p["d"].alias("description"), q["quantity"].alias("quantity"),
-                    q["quantity_text"].alias("quantity_text"),
-                    clean_price_parts(p["p"]).alias("price"))
+def _text_parts(t: Column, text: Column, num: Column) -> dict[str, Column]:
+    """What :func:`views` holds, from the type name, the text and the number of a value."""
+    return {"missing": t.isNull(), "jnull": t == "VOID", "t": t, "num": num, "str": text, "json": text, "bool": text == "true"}
+
+
+def _number(t: Column, text: Column) -> Column:
+    """A quantity's number: of a number itself, else the one in its text."""
+    num = text.try_cast("double")
+    return F.when(is_number_type(t), num).otherwise(number_in_text(_text_parts(t, text, num)))
+
+
+def _item(s: Column) -> Column:
+    q = normalize_quantity_parts(_text_parts(s["q_t"], s["q_s"], s["n"]), s["n"])
+    return F.struct(s["d"].alias("description"), q["quantity"].alias("quantity"),
+                    q["quantity_text"].alias("quantity_text"), s["price"].alias("price"))
 
 
 def valid_items(v: Column, compat: bool = False) -> Column:
@@ -54,22 +65,26 @@ def valid_items(v: Column, compat: bool = False) -> Column:
 
     Passes over the array, each a cheap per-element step that reads what the one before
     has computed (nothing is shared inside a step): read every element as a struct of three
-    variant fields, drop the non-objects, clean the descriptions, drop the blank ones, view
-    quantity and price, read numbers in texts, derive the cleaned values.
+    variant fields, clean the descriptions, drop the blank ones, read the text of quantity
+    and price, then the number and the price, derive the cleaned quantity.  A step hands on
+    only what a later one reads: these passes are interpreted, and every field of theirs is
+    paid for in each item.
     """
-    viewed = F.transform(described_items(v, compat), lambda s: F.struct(
-        s["d"].alias("d"), views(s["q"]).alias("q"), views(s["p"]).alias("p")))
-    parts = F.transform(viewed, lambda s: F.struct(s["d"].alias("d"), s["q"].alias("q"), s["p"].alias("p"),
-                                                   number_in_text(s["q"]).alias("n")))
-    return F.transform(parts, _item)
+    texts = F.transform(described_items(v, compat), lambda s: F.struct(
+        s["d"].alias("d"), s["q"]["t"].alias("q_t"), value_text(s["q"]).alias("q_s"),
+        s["p"]["t"].alias("p_t"), value_text(s["p"]).alias("p_s")))
+    read = F.transform(texts, lambda s: F.struct(
+        s["d"].alias("d"), s["q_t"].alias("q_t"), s["q_s"].alias("q_s"), _number(s["q_t"], s["q_s"]).alias("n"),
+        clean_price_parts(_text_parts(s["p_t"], s["p_s"], s["p_s"].try_cast("double"))).alias("price")))
+    return F.transform(read, _item)
 
 
 def described_items(v: Column, compat: bool = False, written: bool = True) -> Column:
     """FN9 + REL6 + FN7: the items with a non-blank description ``d``, with quantity ``q``
     and price ``p`` as :func:`typed` (as they are, unless ``written``)."""
-    # Items that are no objects read as null.
+    # Items that are no objects read as null: they have no description and go with the blank ones.
     read = F.try_variant_get(v, "$.items", ITEM_FIELDS_AS_IS if compat else ITEM_FIELDS)
-    objects = F.filter(F.coalesce(read, F.array().cast(ITEM_FIELDS_AS_IS if compat else ITEM_FIELDS)), lambda s: s.isNotNull())
+    objects = F.coalesce(read, F.array().cast(ITEM_FIELDS_AS_IS if compat else ITEM_FIELDS))
     as_is = typed if written else (lambda c: c)
     if compat:
         objects = F.transform(objects, lambda s: F.struct(
