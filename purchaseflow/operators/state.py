@@ -53,8 +53,9 @@ def latest_attempts(attempts: DataFrame, key: str = "file_name", order: list[str
     marked = attempts.select(key, *order, *columns, place.alias("_place"))
     places = attempts.select(key, place.alias("_place")).groupBy(key).agg(
         F.max("_place").alias("_place"), F.min("_place").alias("_first"), F.count(F.lit(1)).alias("n_attempts"))
-    return (marked.join(places, [key, "_place"]).select(
-        key, *columns, *order, (F.col("_first") % F.lit(SEQ_RANGE)).cast("long").alias("first_seen"), "n_attempts").distinct())
+    # Repeats go while the rows are still dealt by file and place: the columns move once.
+    return marked.join(places, [key, "_place"]).distinct().select(
+        key, *columns, *order, (F.col("_first") % F.lit(SEQ_RANGE)).cast("long").alias("first_seen"), "n_attempts")
 
 
 def union_rows(existing: DataFrame, new: DataFrame) -> DataFrame:

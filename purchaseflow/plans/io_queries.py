@@ -14,10 +14,10 @@ from ..functions.text import (base_name, display_date, display_name, items_text,
 from ..operators.extract import ExtractTimeout, extract, extract_offline
 from ..operators.job import RESULT_PAYLOAD, results_of_state, run_batch
 from ..operators.receipts import resolve_status, validate_receipts
-from ..operators.runlog import RunLog
+from ..operators.runlog import CODEC, RunLog
 from ..operators.state import latest_attempts, pending_from_results, skipped_paths, split_results
 from ..schemas import RESULT_COLUMNS
-from ..session import scratch_path
+from ..session import drop_scratch, scratch_path, shuffles_freed
 from ..sinks.outputs import append_attempts, receipt_json, write_results, write_skipped
 from ..sources.files import image_type_filter, slice_files
 from ..sources.results import load_attempts, read_results
@@ -160,14 +160,19 @@ def q34_extract_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q35_batch_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole batch job over OCR texts: a run in which every fifth file has no answer,
     its state compacted, then a run that extracts just those, submitted twice; the results
-    derive from the snapshot and the second run."""
-    base = scratch_path(spark, "q35-job")
-    files, log = fx.f7_ocr(spark, sf_dir), f"{base}/log"
+    derive from the snapshot and the second run.  The texts are put together once; both runs
+    read them."""
+    base, folder = scratch_path(spark, "q35-job"), scratch_path(spark, "q35-files")
+    log = f"{base}/log"
+    with shuffles_freed(spark):
+        fx.f7_ocr(spark, sf_dir).write.option("compression", CODEC).parquet(folder)
+    files = spark.read.parquet(folder)
     run_batch(spark, files, lambda todo: extract_offline(todo, "run1", 1, failed=F.col("o_orderkey") % 5 == 0),
               log, skipped_path=f"{base}/skipped", run_id="run1", run_seq=1)
     RunLog(spark, log).compact()
     for _ in range(2):
         run_batch(spark, files, lambda todo: extract_offline(todo, "run2", 2), log, run_id="run2", run_seq=2)
+    drop_scratch(spark, folder)
     rows = results_of_state(RunLog(spark, log).state(RESULT_PAYLOAD), keep=["status", "n_attempts"])
     return rows.select(F.col("File_Name").alias("file_name"), "status", "n_attempts", F.col("Business_Name").alias("business_name"),
                        F.col("Date").alias("date"), F.col("Items").alias("items"), F.col("Subtotal").alias("subtotal"),

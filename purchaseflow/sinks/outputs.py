@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..schemas import ATTEMPTS, RESULT_COLUMNS
-from ..session import drop_scratch, scratch_path
+from ..session import drop_scratch, scratch_path, shuffles_freed
 from ..sources.results import CSV_OPTIONS
 
 # Writer options: keep leading/trailing blanks (the CSV writer trims by default).
@@ -42,7 +42,8 @@ def write_skipped(skipped: DataFrame, path: str) -> bool:
     Returns whether anything was written.  The input is evaluated once."""
     spark, seen = skipped.sparkSession, Observation()
     draft = scratch_path(spark, "skipped")
-    skipped.select("path").observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(draft)
+    with shuffles_freed(spark):
+        skipped.select("path").observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(draft)
     if seen.get["n"]:
         spark.read.schema("path string").parquet(draft).write.mode("overwrite").text(path)
     drop_scratch(spark, draft)
